@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tests_llm_brute import brute_components
 from weblens.llm import queries as Q
 
 WS = " \t\n\x0b\x0c\r"
@@ -92,35 +93,6 @@ def test_op3(spark, sf_dir, docs):
         assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept_sha256"]) == (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
 
 
-def brute_components(texts, width, percent):
-    sets = {}
-    for i, t in texts.items():
-        w = WORD.findall(t.translate(LOWER))
-        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
-    lists = defaultdict(list)
-    for i, s in sets.items():
-        for x in s:
-            lists[x].append(i)
-    common = Counter()
-    for members in lists.values():
-        for a in range(len(members)):
-            for b in members[a + 1 :]:
-                common[members[a], b] += 1
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for (a, b), n in common.items():
-        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    return {i: (len(sets[i]), find(i)) for i in texts}
-
-
 def test_op4(spark, sf_dir, docs):
     want = brute_components({i: text(r) for i, r in docs.items()}, 4, 80)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in Q.op4_minhash_near_dedup(spark, sf_dir).collect()}
@@ -128,6 +100,22 @@ def test_op4(spark, sf_dir, docs):
     assert len({c for _, c in want.values()}) < len(want) - 20
 
 
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    assert len(Q.oracle_sql()) == 5
+    for name, sql in Q.oracle_sql().items():
+        df = Q.queries()[name](spark, sf_dir)
+        columns = sorted(df.columns)
+        found = con.execute(sql)
+        place = {c[0]: k for k, c in enumerate(found.description)}
+        want = sorted((tuple(r[place[c]] for c in columns) for r in found.fetchall()), key=repr)
+        assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == want
+
+
 def test_op5(spark, sf_dir):
     chats = defaultdict(list)
     for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():

@@ -17,19 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.llm.common import salted, stage, text_or_empty
 
-#: Values a sketch retains; of these the first LOOK are looked at for listing, and LISTED of them are used.
-K, LOOK, LISTED = 64, 32, 20
+#: Values a sketch retains; of these the first LOOK are looked at for listing, and LISTED of them are
+#: used; of hot ones HOT_LISTED.
+K, LOOK, LISTED, HOT_LISTED = 64, 32, 20, 10
 #: A value retained by more nodes than this is hot; lists up to this length are paired in one go.
 HOT = 32
 #: Members of a block of a long list.
-BLOCK = 256
-#: How far below the threshold an estimate from K values may be: over five standard deviations.
-SLACK = 0.28
+BLOCK = 1024
+#: How far below the threshold an estimate from K values may be: over four standard deviations.
+SLACK = 0.2
+#: Rounds in which each document is held against the likeliest of other components only.
+ROUNDS = 3
 SALTS = 16
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -133,7 +136,7 @@ def _listed(sketch: np.ndarray, hot: int) -> list[tuple[int, bool]]:
     cold = [v for i, v in enumerate(look) if not hot >> i & 1][:LISTED]
     if len(cold) >= min(LISTED, len(look)):
         return [(v, False) for v in cold]
-    more = [(v, True) for i, v in enumerate(look[:LISTED]) if hot >> i & 1]
+    more = [(v, True) for i, v in enumerate(look[:HOT_LISTED]) if hot >> i & 1]
     return [(v, False) for v in cold] + more
 
 
@@ -175,12 +178,14 @@ def _fits(x: str, y: str, percent: int) -> F.Column:
 
 
 def _estimate(a: bytes, b: bytes) -> float:
-    """Share of common values among the K smallest of the union of two sketches."""
+    """Share of common values in the union of two sketches, up to where both are complete."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    union = np.union1d(x, y)
-    if max(len(x), len(y)) >= K:
-        union = union[:K]
-    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union)
+    if len(x) == K:
+        y = y[: np.searchsorted(y, x[-1], "right")]
+    if len(y) == K:
+        x = x[: np.searchsorted(x, y[-1], "right")]
+    common = len(np.intersect1d(x, y, True))
+    return common / max(1, len(x) + len(y) - common)
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -253,27 +258,45 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def _across(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) across components within runs of equal ``key``: rows (key, node, n, root, sketch), bounded runs.
+def _likely_across(run: list[tuple], percent: int, best: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of a run of (key, node, n, root, sketch) that lie across components and may be similar.
 
-    Pairs whose sizes or union sketches rule the similarity out are not emitted.
+    Members of the run's largest component are held only against the others.  Common values are
+    counted along the inverted lists of the others' values.  With ``best`` each of these emits only
+    its likeliest partner.
     """
+    roots, place = np.unique([r[3] for r in run], return_inverse=True)
+    if len(roots) < 2:
+        return
+    sketches = [np.frombuffer(r[4], np.uint64) for r in run]
+    held = np.array([len(s) for s in sketches])
+    top = np.array([s[-1] if len(s) == K else np.iinfo(np.uint64).max for s in sketches], np.uint64)
+    size = np.array([r[2] for r in run])
+    values = np.concatenate(sketches)
+    owner = np.repeat(np.arange(len(run)), held)[np.argsort(values, kind="stable")]
+    values.sort()
     least = percent / 100 - SLACK
-
-    def pairs(run: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        sketches = [np.frombuffer(r[4], np.uint64) for r in run]
-        values, inverse = np.unique(np.concatenate(sketches), return_inverse=True)
-        table = np.zeros((len(run), len(values)), np.float32)
-        table[np.repeat(np.arange(len(run)), [len(s) for s in sketches]), inverse] = 1
-        table = table[:, table.sum(0) > 1]
-        common = table @ table.T
-        size = np.array([r[2] for r in run])
-        held = np.array([len(s) for s in sketches])
-        # values retained by both are at least those common in the union's sketch
-        near = (common >= least * np.maximum.outer(held, held)) & (np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * percent)
-        for i, j in zip(*np.nonzero(np.triu(near, 1))):
-            if run[i][3] != run[j][3] and run[i][1] != run[j][1] and _estimate(run[i][4], run[j][4]) >= least:
-                yield min(run[i][1], run[j][1]), max(run[i][1], run[j][1])
+    for i in np.flatnonzero(place != np.bincount(place).argmax()):
+        lo, hi = np.searchsorted(values, sketches[i], "left"), np.searchsorted(values, sketches[i], "right")
+        common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]), minlength=len(run))
+        fits = (place != place[i]) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & (common >= least * np.maximum(held, held[i]) * 0.5)
+        near = np.flatnonzero(fits)
+        if not len(near):
+            continue
+        # values up to where both sketches are complete
+        own = np.where(top[near] < top[i], np.searchsorted(sketches[i], top[near], "right"), held[i])
+        other = np.array([np.searchsorted(sketches[j], top[i], "right") if top[i] < top[j] else held[j] for j in near])
+        like = common[near] / np.maximum(1, own + other - common[near])
+        chosen = near[like >= least] if not best else near[[int(np.argmax(like))]] if like.max() >= least else []
+        for j in chosen:
+            yield min(run[i][1], run[j][1]), max(run[i][1], run[j][1])
+
+
+def _across(lists: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b) across components within runs of equal ``key`` that sizes and sketches don't rule out."""
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[tuple] = []
@@ -281,29 +304,34 @@ def _across(lists: DataFrame, percent: int) -> DataFrame:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if run and run[-1][0] != row[0]:
-                    out.extend(pairs(run))
+                    out.extend(_likely_across(run, percent, best))
                     run = []
                 run.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
-        out = list(pairs(run)) if run else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            yield table(out)
+        yield table(list(_likely_across(run, percent, best)) if run else [])
 
     ordered = lists.repartition(F.col("key")).sortWithinPartitions("key")
     return ordered.select("key", "node", "n", "root", "sketch").mapInArrow(go, "a binary, b binary").distinct()
 
 
-def _unfinished(lists: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, n, root, sketch) of the lists that hold several components, long ones in pairs of blocks."""
+def _unfinished(lists: DataFrame, roots: DataFrame, nodes: DataFrame, one: int | None = None) -> DataFrame:
+    """(key, node, n, root, sketch) of the lists that hold several components, long ones in pairs of blocks.
+
+    With ``one`` each node is only in the list of its (one + 1)-th smallest value among these.
+    """
     placed = stage(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
     open_ = placed.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).filter("_lo != _hi")
     open_ = salted(open_.select("value", F.ceil(F.col("_m") / F.lit(BLOCK)).cast("int").alias("_blocks")), SALTS)
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     members = placed.withColumn("_salt", salt).join(open_, ["value", "_salt"])
+    if one is not None:
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("value"))
+        members = members.withColumn("_rank", rank).filter(F.col("_rank") == one + 1)
     own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("_blocks")).cast("int")
-    members = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    withs = members.join(nodes.select("node", "sketch"), "node").withColumn("_own", own)
+    withs = withs.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     key = F.concat_ws(":", "value", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    members = members.withColumn("key", F.when(F.col("_blocks") == 1, F.col("value").cast("string")).otherwise(key))
-    return members.select("key", "node", "n", "root").join(nodes.select("node", "sketch"), "node")
+    return withs.withColumn("key", key).select("key", "node", "n", "root", "sketch")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,11 +367,20 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     edges = edges.unionByName(stage(verified(rest, texts, width, percent), "near-edges"))
     roots = components(edges)
 
-    rest = stage(_across(_unfinished(lists, roots, nodes), percent).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "near-across")
-    if rest.limit(1).count():
+    # what stands apart is held against its likeliest partner in one list, then all that is left in all lists
+    tested = likely.select("a", "b")
+    for k in range(ROUNDS + 1):
+        last = k == ROUNDS
+        open_ = _unfinished(lists, roots, nodes, None if last else k)
+        rest = stage(_across(open_, percent, not last).join(tested, ["a", "b"], "left_anti"), "near-across")
+        if not rest.limit(1).count():
+            continue
         more = _texts(docs, nodes, rest, id_col, text_col)
-        edges = edges.unionByName(stage(verified(rest, more, width, percent), "near-edges"))
-        roots = components(edges)
+        found = stage(verified(rest, more, width, percent), "near-edges")
+        tested = tested.unionByName(rest)
+        if found.limit(1).count():
+            edges = edges.unionByName(found)
+            roots = components(edges)
 
     least = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stage(least, "near-roots")
