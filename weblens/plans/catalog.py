@@ -5,11 +5,583 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weblens.functions import expressions as E
+from weblens.operators import alerts, geo, sketches, tiers, traffic
+from weblens.plans import sql as Q
+from weblens.sources import adapters, parsers, sinks
+
+IGNORE_HOSTS, IGNORE_PATHS = [" SHOP.example.com "], ["/healthz"]
+#: Ends of windows: of the sparse log and of the dense one.
+AS_OF, DENSE_AS_OF = 1706655600, 1704067680
+COOLDOWN, DASHBOARD = 20, "https://dash.example.com"
+RULES = [
+    ("High errors", "all", "error_rate", 10, 10, 20, 5),
+    ("Dampened", "all", "error_rate", 10, 10, 1000, 5),
+    ("Slow api", "api.example.com", "latency_avg", 1000, 5, 0, 0),
+    ("Slow p95", "all", "latency_p95", 2500, 5, 10, 0),
+    ("Quiet blog", "blog.example.com", "zero_traffic", 4, 5, 0, 0),
+    ("Unknown host", "absent.example.com", "error_rate", 1, 5, 0, 0),
+    ("Unknown metric", "all", "nosuch", 0, 5, 0, 0),
+]
+
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+
+
+def requests(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    return traffic.classified(traffic.clean(adapters.access_log(spark, sf_dir, dense)))
+
+
+def located(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    return geo.locate(requests(spark, sf_dir, dense), adapters.ip_ranges(spark, sf_dir), "raw_addr")
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def r(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+
+
+# parsing and cleaning
+
+_BROKEN = "event_id % 71 <> 0 AND event_id % 73 <> 0 AND event_id % 79 <> 0"
+
+
+@query(Q.base() + f"SELECT event_id, host, addr, method, uri, status, bytes, body_bytes, req_len, round(req_time, 6) AS req_time, upstream_time, upstream_addr, ua, ref, sec FROM log WHERE {_BROKEN}")
+def parse_access_log(spark, sf_dir):
+    return rounded(parsers.parse_access_log(adapters.log_lines(spark, sf_dir)).drop("ts"), "req_time")
+
+
+_POLLS = "polls AS (SELECT sec // 5 * 5 AS collected_at, max(event_id) AS n FROM log GROUP BY ALL), status AS (SELECT collected_at, n % 300 AS active, n * 2 AS accepts, n * 2 - n // 100 AS handled, n * 3 AS requests, n % 7 AS reading, n % 11 AS writing, n % 13 AS waiting FROM polls WHERE n % 13 <> 0)"
+
+
+@query(Q.base(True, _POLLS) + "SELECT * FROM status")
+def parse_conn_status(spark, sf_dir):
+    return parsers.parse_conn_status(adapters.conn_status(spark, sf_dir))
+
+
+@query(Q.base(True, _POLLS) + "SELECT * FROM status ORDER BY collected_at DESC LIMIT 1")
+def conn_latest(spark, sf_dir):
+    return parsers.latest_gauges(parse_conn_status(spark, sf_dir))
+
+
+@query(
+    Q.base(True, _POLLS)
+    + f"SELECT collected_at, {r('conn_rate', 'request_rate')}, dropped FROM (SELECT collected_at, (accepts - lag(accepts) OVER w) / (collected_at - lag(collected_at) OVER w) AS conn_rate, (requests - lag(requests) OVER w) / (collected_at - lag(collected_at) OVER w) AS request_rate, accepts - handled AS dropped FROM status WINDOW w AS (ORDER BY collected_at)) WHERE conn_rate IS NOT NULL"
+)
+def conn_rates(spark, sf_dir):
+    return rounded(traffic.connection_rates(parse_conn_status(spark, sf_dir)), "conn_rate", "request_rate")
+
+
+@query(
+    Q.base(True)
+    + ", z AS (SELECT sec // 60 * 60 AS collected_at, host AS zone, count(*) AS requests, CAST(sum(req_len) AS BIGINT) AS bytes_in, CAST(sum(bytes) AS BIGINT) AS bytes_out, count(*) * 2.0 AS msec, count(*) FILTER (status BETWEEN 200 AND 299) AS ok, count(*) FILTER (status >= 500) AS bad FROM log WHERE host <> '' GROUP BY ALL) "
+    "SELECT collected_at, zone, requests, bytes_in, bytes_out, CAST(msec AS DOUBLE) AS msec, '2xx' AS class, ok AS responses FROM z UNION ALL SELECT collected_at, zone, requests, bytes_in, bytes_out, CAST(msec AS DOUBLE), '5xx', bad FROM z"
+)
+def parse_zone_status(spark, sf_dir):
+    return parsers.parse_zone_status(adapters.zone_status(spark, sf_dir))
+
+
+@query(
+    Q.base()
+    + "SELECT event_id, CASE WHEN host = '' THEN '_default' ELSE host END AS vhost, regexp_replace(addr, '\\.[^.]*$', '.0') AS addr, split_part(uri, '?', 1) AS uri, CASE WHEN event_id % 4 = 2 THEN 0.125 ELSE 0.0 END::DOUBLE AS upstream_time FROM log WHERE lower(trim(host)) <> 'shop.example.com' AND NOT starts_with(uri, '/healthz')"
+)
+def clean_access_log(spark, sf_dir):
+    kept = traffic.clean(adapters.access_log(spark, sf_dir), IGNORE_HOSTS, IGNORE_PATHS)
+    return kept.select("event_id", E.default_vhost(F.col("host")).alias("vhost"), "addr", "uri", "upstream_time")
+
+
+@query(Q.base() + f"SELECT vhost, count(*) AS requests, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in traffic.CLASSES)} FROM req GROUP BY vhost")
+def status_class_counts(spark, sf_dir):
+    return requests(spark, sf_dir).groupBy("vhost").agg(F.count("*").alias("requests"), *[F.sum(c).cast("long").alias(c) for c in traffic.CLASSES])
+
+
+def _lat(where: str) -> str:
+    return f"SELECT vhost, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in traffic.BUCKETS)} FROM req WHERE {where} GROUP BY vhost"
+
+
+@query(Q.base(True) + _lat(f"sec > {DENSE_AS_OF - 3600} AND sec <= {DENSE_AS_OF}"))
+def latency_histogram(spark, sf_dir):
+    rows = traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 3600)
+    return rows.groupBy("vhost").agg(*[F.sum(c).cast("long").alias(c) for c in traffic.BUCKETS])
+
+
+@query(Q.base(True) + _lat(f"sec > {DENSE_AS_OF - 60} AND sec <= {DENSE_AS_OF}"))
+def latency_histogram_minute(spark, sf_dir):
+    rows = traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60)
+    return rows.groupBy("vhost").agg(*[F.sum(c).cast("long").alias(c) for c in traffic.BUCKETS])
+
+
+@query(Q.base(True) + f"SELECT vhost, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in traffic.CLIENTS)} FROM req WHERE sec > {DENSE_AS_OF - 60} AND sec <= {DENSE_AS_OF} GROUP BY vhost")
+def client_segments(spark, sf_dir):
+    rows = traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60)
+    return rows.groupBy("vhost").agg(*[F.sum(c).cast("long").alias(c) for c in traffic.CLIENTS])
+
+
+@query(f"WITH ranges AS ({Q.IP_RANGES_SQL}), codes AS (SELECT code FROM ranges UNION ALL SELECT lower(code) FROM ranges UNION ALL SELECT left(name, 3) FROM ranges UNION ALL SELECT '' FROM ranges) SELECT code, CASE WHEN regexp_matches(upper(trim(code)), '^[A-Z]{{2}}$') THEN concat(chr(127397 + ascii(upper(code)[1])), chr(127397 + ascii(upper(code)[2]))) ELSE '🌐' END AS flag FROM codes")
+def country_flags(spark, sf_dir):
+    ranges = adapters.ip_ranges(spark, sf_dir)
+    codes = ranges.select("code").union(ranges.select(F.lower("code"))).union(ranges.select(F.substring("name", 1, 3))).union(ranges.select(F.lit("")))
+    return codes.select("code", E.country_flag(F.col("code")).alias("flag"))
+
+
+# countries
+
+
+@query(Q.base(False, Q.LOCATED) + "SELECT event_id, raw_addr, code, name FROM located")
+def geo_join(spark, sf_dir):
+    return located(spark, sf_dir).select("event_id", "raw_addr", "code", "name")
+
+
+_CAP = 3
+
+
+@query(Q.base() + f"SELECT vhost, count(*) AS requests FROM req WHERE vhost IN (SELECT vhost FROM req GROUP BY vhost ORDER BY min(sec), vhost LIMIT {_CAP}) GROUP BY vhost")
+def vhost_cap(spark, sf_dir):
+    return traffic.capped_vhosts(requests(spark, sf_dir), _CAP).groupBy("vhost").agg(F.count("*").alias("requests"))
+
+
+# live metrics
+
+
+@query(Q.base(True, Q.SECONDS) + "SELECT * REPLACE (round(latency_sum, 6) AS latency_sum) FROM seconds")
+def per_second(spark, sf_dir):
+    return rounded(traffic.per_second(requests(spark, sf_dir, True)), "latency_sum")
+
+
+_IN5 = f"sec > {DENSE_AS_OF - 5} AND sec <= {DENSE_AS_OF}"
+_LIVE = (
+    "live AS (SELECT vhost, requests / least(5, " + str(DENSE_AS_OF) + f" - f + 1) AS rps, {Q.ERROR} AS error_rate, bytes_in, bytes_out, s2xx, s3xx, s4xx, s5xx FROM (SELECT vhost, min(sec) AS f, "
+    + ", ".join(f"CAST(sum(CASE WHEN {_IN5} THEN {c} ELSE 0 END) AS BIGINT) AS {c}" for c in ("requests", "bytes_in", "bytes_out", *traffic.CLASSES))
+    + f" FROM seconds WHERE sec <= {DENSE_AS_OF} GROUP BY vhost))"
+)
+_QUANT = f"quant AS (SELECT vhost, {Q.ms(0.5)} AS latency_p50, {Q.ms(0.95)} AS latency_p95, {Q.ms(0.99)} AS latency_p99, round(avg(req_time) * 1000, 6) AS latency_avg FROM req WHERE sec <= {DENSE_AS_OF} GROUP BY vhost)"
+
+
+@query(Q.base(True, Q.SECONDS, _LIVE) + f"SELECT * REPLACE ({r('rps', 'error_rate')}) FROM live")
+def live_metrics(spark, sf_dir):
+    return rounded(traffic.live(traffic.per_second(requests(spark, sf_dir, True)), DENSE_AS_OF), "rps", "error_rate")
+
+
+def _quantiles(spark, sf_dir):
+    rows = requests(spark, sf_dir, True).filter(F.col("sec") <= DENSE_AS_OF)
+    return rounded(traffic.quantiles(rows, "vhost"), "latency_p50", "latency_p95", "latency_p99", "latency_avg")
+
+
+@query(Q.base(True, _QUANT) + "SELECT * FROM quant")
+def latency_quantiles(spark, sf_dir):
+    return _quantiles(spark, sf_dir)
+
+
+@query(Q.base(True) + "SELECT vhost, count(DISTINCT addr) AS visitors FROM req GROUP BY vhost")
+def visitors_exact(spark, sf_dir):
+    return requests(spark, sf_dir, True).groupBy("vhost").agg(F.countDistinct("addr").alias("visitors"))
+
+
+@query(Q.base(True) + "SELECT vhost, true AS close FROM req GROUP BY vhost")
+def visitors_hll(spark, sf_dir):
+    """Whether the sketch is within a tenth of the exact number."""
+    rows = requests(spark, sf_dir, True).groupBy("vhost").agg(F.hll_sketch_estimate(F.hll_sketch_agg("raw_addr", sketches.LG_K)).alias("about"), F.countDistinct("raw_addr").alias("exact"))
+    return rows.select("vhost", (F.abs(F.col("about") - F.col("exact")) <= F.col("exact") * 0.1 + 1).alias("close"))
+
+
+@query(
+    Q.base(True)
+    + ", once AS (SELECT DISTINCT vhost, sec // 60 * 60 AS ts, addr FROM req), seen AS (SELECT vhost, unnest(generate_series(ts, ts + 240, 60)) AS ts, addr FROM once) SELECT vhost, ts, count(DISTINCT addr) AS visitors FROM seen SEMI JOIN (SELECT DISTINCT vhost, ts FROM once) USING (vhost, ts) GROUP BY ALL"
+)
+def visitors_trailing(spark, sf_dir):
+    return sketches.trailing_visitors_exact(requests(spark, sf_dir, True))
+
+
+@query()
+def visitors_trailing_hll(spark, sf_dir):
+    return sketches.trailing_visitors(requests(spark, sf_dir, True))
+
+
+@query()
+def minute_sketches(spark, sf_dir):
+    """Hour rows read from merged sketches of minutes."""
+    return sketches.read_sketches(sketches.merged_sketches(sketches.minute_sketches(requests(spark, sf_dir)), 3600))
+
+
+_IN60 = f"sec > {DENSE_AS_OF - 60} AND sec <= {DENSE_AS_OF}"
+
+
+@query(
+    Q.base(True)
+    + f"SELECT * FROM (SELECT vhost, uri, count(*) AS count, round(sum(req_time), 6) AS total_time, CAST(sum(s2xx) AS BIGINT) AS s2xx, round(count(*) / 60, 6) AS rps, round(sum(req_time) / count(*) * 1000, 6) AS avg_ms, round(sum(s2xx) / count(*) * 100, 6) AS ok_pct FROM req WHERE {_IN60} GROUP BY vhost, uri) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY count DESC, uri) <= 10"
+)
+def path_stats(spark, sf_dir):
+    rows = traffic.path_stats(traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60), 60, "vhost")
+    return rounded(traffic.top_per(rows, 10, ["vhost"], "count", "uri"), "total_time", "rps", "avg_ms", "ok_pct")
+
+
+@query(
+    Q.base(True, Q.LOCATED)
+    + f", c AS (SELECT vhost, code, count(*) AS count, max(name) AS name FROM located WHERE {_IN60} AND code <> '' GROUP BY ALL) SELECT vhost, code, count, name, round(count / 60, 6) AS rps, round(count / sum(count) OVER (PARTITION BY vhost) * 100, 6) AS pct, {Q.FLAG} AS flag FROM c QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY count DESC, code) <= 10"
+)
+def country_stats(spark, sf_dir):
+    rows = traffic.country_stats(traffic.trailing(located(spark, sf_dir, True), DENSE_AS_OF, 60), 60, "vhost")
+    return rounded(traffic.top_per(rows, 10, ["vhost"], "count", "code"), "rps", "pct")
+
+
+@query(Q.base(True) + f"SELECT vhost, uri, count(*) AS count, round(count(*) / 60, 6) AS rps FROM req WHERE {_IN60} GROUP BY ALL ORDER BY count DESC, vhost, uri LIMIT 10")
+def top_paths_global(spark, sf_dir):
+    rows = traffic.path_stats(traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60), 60, "vhost")
+    return rounded(rows.select("vhost", "uri", "count", "rps"), "rps").orderBy(F.col("count").desc(), "vhost", "uri").limit(10)
+
+
+@query(Q.base(True) + "SELECT vhost, uri, requests FROM (SELECT vhost, uri, count(*) AS requests FROM req GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY requests DESC, uri) <= 10")
+def heavy_hitters(spark, sf_dir):
+    return sketches.heavy_hitters(requests(spark, sf_dir, True))
+
+
+@query()
+def heavy_hitters_sketch(spark, sf_dir):
+    return sketches.heavy_hitters(requests(spark, sf_dir, True), exact=False)
+
+
+_API = "api.example.com"
+_SECOND = f"history AS (SELECT sec, requests, {Q.ERROR} AS error_rate, bytes_out, latency_sum / requests * 1000 AS latency_avg, s2xx, s3xx, s4xx, s5xx FROM seconds WHERE vhost = '{_API}' AND sec > {DENSE_AS_OF - 3600} AND sec <= {DENSE_AS_OF})"
+
+
+@query(Q.base(True, Q.SECONDS, _SECOND) + f"SELECT * REPLACE ({r('error_rate', 'latency_avg')}) FROM history")
+def second_history(spark, sf_dir):
+    return rounded(traffic.second_history(traffic.per_second(requests(spark, sf_dir, True)), _API, DENSE_AS_OF), "error_rate", "latency_avg")
+
+
+@query(
+    Q.base(True, Q.SECONDS, _SECOND)
+    + ", s AS (SELECT CAST(coalesce(sum(requests), 0) AS BIGINT) AS requests, CAST(coalesce(sum(bytes_out), 0) AS BIGINT) AS bytes_out, CAST(coalesce(sum(s4xx + s5xx), 0) AS BIGINT) AS errors, round(coalesce(avg(latency_avg), 0), 6) AS latency_avg FROM history) SELECT *, round(requests / 3600, 6) AS avg_rps, round(CASE WHEN requests > 0 THEN errors / requests * 100 ELSE 0.0 END, 6) AS error_rate FROM s"
+)
+def second_summary(spark, sf_dir):
+    history = traffic.second_history(traffic.per_second(requests(spark, sf_dir, True)), _API, DENSE_AS_OF)
+    return rounded(traffic.second_summary(history), "latency_avg", "avg_rps", "error_rate")
+
+
+@query(Q.base() + "SELECT DISTINCT vhost FROM req")
+def vhosts(spark, sf_dir):
+    return requests(spark, sf_dir).select("vhost").distinct()
+
+
+@query(
+    Q.base(True, Q.SECONDS, _LIVE)
+    + f"SELECT vhost, round(CASE WHEN {Q.TOTAL} > 0 THEN s2xx / {Q.TOTAL} * 100 ELSE 0.0 END, 6) AS ok_pct, round(rps / max(rps) OVER () * 100, 6) AS of_busiest, round((s2xx + s3xx + s4xx + s5xx) / sum({Q.TOTAL}) OVER () * 100, 6) AS of_all FROM live"
+)
+def traffic_share(spark, sf_dir):
+    """One row per vhost, of which there are at most as many as the cap allows: a window over all of them is small."""
+    from pyspark.sql import Window
+
+    every, total = Window.partitionBy(), traffic.classes_total()
+    rows = traffic.live(traffic.per_second(requests(spark, sf_dir, True)), DENSE_AS_OF)
+    share = rows.select("vhost", E.ratio(F.col("s2xx"), total, 100.0).alias("ok_pct"), (F.col("rps") / F.max("rps").over(every) * 100).alias("of_busiest"), (total / F.sum(total).over(every) * 100).alias("of_all"))
+    return rounded(share, "ok_pct", "of_busiest", "of_all")
+
+
+@query(
+    Q.base(True, Q.SECONDS)
+    + "SELECT vhost, sec, round(sum(requests) OVER (PARTITION BY vhost ORDER BY sec RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) / least(5, sec - min(sec) OVER (PARTITION BY vhost) + 1), 6) AS rps FROM seconds"
+)
+def rps_trailing(spark, sf_dir):
+    return rounded(traffic.trailing_rates(traffic.per_second(requests(spark, sf_dir, True))), "rps")
+
+
+_COUNTED = [*traffic.CLIENTS, *traffic.BUCKETS]
+
+
+@query(
+    Q.base(True, Q.SECONDS)
+    + f"SELECT vhost, sec, {', '.join(f'CAST(sum({c}) OVER w AS BIGINT) AS {c}' for c in _COUNTED)} FROM seconds WINDOW w AS (PARTITION BY vhost ORDER BY sec RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)"
+)
+def trailing_counters(spark, sf_dir):
+    return traffic.trailing_counts(traffic.per_second(requests(spark, sf_dir, True)), _COUNTED, 60)
+
+
+@query(Q.base(False, Q.minutes()) + "SELECT vhost, ts, requests, latency_p95 FROM minutes QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY ts DESC) <= 60")
+def latest_points(spark, sf_dir):
+    return rounded(traffic.latest_points(_minutes(spark, sf_dir)).select("vhost", "ts", "requests", "latency_p95"), "latency_p95")
+
+
+# all virtual hosts as one
+
+_BOTH = "whole AS (SELECT * FROM live JOIN quant USING (vhost))"
+
+
+def _live_whole(spark, sf_dir):
+    rows = requests(spark, sf_dir, True)
+    return traffic.live(traffic.per_second(rows), DENSE_AS_OF).join(_quantiles(spark, sf_dir), "vhost")
+
+
+_FOUR = ("latency_avg", "latency_p50", "latency_p95", "latency_p99")
+
+
+@query(
+    Q.base(True, Q.SECONDS, _LIVE, _QUANT, _BOTH)
+    + f", s AS (SELECT round(sum(rps), 6) AS rps, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('bytes_in', 'bytes_out', *traffic.CLASSES))}, {', '.join(f'round(avg({c}), 5) AS {c}' for c in _FOUR)} FROM whole) SELECT *, round({Q.ERROR}, 6) AS error_rate FROM s"
+)
+def all_mean(spark, sf_dir):
+    rows = rounded(traffic.all_mean(_live_whole(spark, sf_dir)), "rps", "error_rate")
+    return rows.withColumns({c: F.round(c, 5) for c in _FOUR})
+
+
+@query(
+    Q.base(True, Q.SECONDS, _LIVE, _QUANT, _BOTH)
+    + "SELECT round(sum(rps), 6) AS rps, round(sum(error_rate * rps) / sum(rps), 6) AS error_rate, max(latency_p50) AS latency_p50, max(latency_p95) AS latency_p95, max(latency_p99) AS latency_p99, round(sum(latency_avg * CASE WHEN rps > 0 THEN rps ELSE 1 END) FILTER (latency_avg > 0) / sum(CASE WHEN rps > 0 THEN rps ELSE 1 END) FILTER (latency_avg > 0), 5) AS latency_avg FROM whole"
+)
+def all_weighted(spark, sf_dir):
+    return rounded(traffic.all_weighted(_live_whole(spark, sf_dir)), "rps", "error_rate").withColumn("latency_avg", F.round("latency_avg", 5))
+
+
+# tiers
+
+_MS = ("latency_avg", "latency_p50", "latency_p95", "latency_p99")
+
+
+def _minutes(spark, sf_dir):
+    return traffic.minute_metrics(requests(spark, sf_dir))
+
+
+@query(Q.base(False, Q.minutes()) + "SELECT * FROM minutes")
+def minute_metrics(spark, sf_dir):
+    return rounded(_minutes(spark, sf_dir), *_MS)
+
+
+@query(Q.base(False, Q.MINUTE_PATHS) + "SELECT * REPLACE (round(total_time, 6) AS total_time) FROM minute_paths")
+def minute_paths(spark, sf_dir):
+    return rounded(sinks.path_rows(traffic.minute_paths(requests(spark, sf_dir))), "total_time")
+
+
+@query(Q.base(False, Q.LOCATED, Q.MINUTE_COUNTRIES) + "SELECT * FROM minute_countries")
+def minute_countries(spark, sf_dir):
+    return sinks.country_rows(traffic.minute_countries(located(spark, sf_dir)))
+
+
+def _hours(spark, sf_dir):
+    return tiers.rollup(rounded(_minutes(spark, sf_dir), *_MS), tiers.HOUR)
+
+
+def _days(spark, sf_dir):
+    return tiers.rollup(_hours(spark, sf_dir), tiers.DAY)
+
+
+_TIERS = (Q.minutes(), Q.rolled("minutes", "hours", 3600), Q.rolled("hours", "days", 86400))
+_LESS = "* REPLACE (round(latency_avg, 5) AS latency_avg)"
+
+
+@query(Q.base(False, *_TIERS[:2]) + f"SELECT {_LESS} FROM hours")
+def rollup_1h(spark, sf_dir):
+    return rounded(_hours(spark, sf_dir), "latency_p95", "latency_p99").withColumn("latency_avg", F.round("latency_avg", 5))
+
+
+@query(Q.base(False, *_TIERS) + f"SELECT {_LESS} FROM days")
+def rollup_1d(spark, sf_dir):
+    return rounded(_days(spark, sf_dir), "latency_p95", "latency_p99").withColumn("latency_avg", F.round("latency_avg", 5))
+
+
+_PATH_TIERS = (Q.MINUTE_PATHS, Q.rollup_paths("minute_paths", "hour_paths", 3600), Q.rollup_paths("hour_paths", "day_paths", 86400))
+
+
+def _day_paths(spark, sf_dir):
+    return tiers.rollup_paths(tiers.rollup_paths(traffic.minute_paths(requests(spark, sf_dir)), tiers.HOUR), tiers.DAY)
+
+
+@query(Q.base(False, *_PATH_TIERS) + "SELECT * REPLACE (round(total_time, 6) AS total_time) FROM day_paths")
+def rollup_paths(spark, sf_dir):
+    return rounded(_day_paths(spark, sf_dir), "total_time")
+
+
+_COUNTRY_TIERS = (Q.LOCATED, Q.MINUTE_COUNTRIES, Q.rollup_countries("minute_countries", "hour_countries", 3600), Q.rollup_countries("hour_countries", "day_countries", 86400))
+
+
+def _day_countries(spark, sf_dir):
+    return tiers.rollup_countries(tiers.rollup_countries(traffic.minute_countries(located(spark, sf_dir)), tiers.HOUR), tiers.DAY)
+
+
+@query(Q.base(False, *_COUNTRY_TIERS) + "SELECT * FROM day_countries")
+def rollup_countries(spark, sf_dir):
+    return _day_countries(spark, sf_dir)
+
+
+_CUTS = tiers.cuts(AS_OF)
+
+
+@query(
+    Q.base(False, *_TIERS)
+    + f"SELECT 'minute' AS tier, ts, vhost, requests FROM minutes WHERE ts >= {_CUTS['minute']} UNION ALL SELECT 'hour', ts, vhost, requests FROM hours WHERE ts >= {_CUTS['hour']} UNION ALL SELECT 'day', ts, vhost, requests FROM days WHERE ts >= {_CUTS['day']}"
+)
+def retention(spark, sf_dir):
+    parts = {"minute": _minutes(spark, sf_dir), "hour": _hours(spark, sf_dir), "day": _days(spark, sf_dir)}
+    kept = [tiers.retained(df, tier, AS_OF).select(F.lit(tier).alias("tier"), "ts", "vhost", "requests") for tier, df in parts.items()]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
+_UNION = (
+    f"tiers AS (SELECT *, 60 AS width FROM (SELECT * EXCLUDE (latency_p50) FROM minutes) WHERE ts >= {_CUTS['minute']} UNION ALL BY NAME SELECT *, 3600 AS width FROM hours WHERE ts >= {_CUTS['hour']} AND ts < {_CUTS['minute']} UNION ALL BY NAME SELECT *, 86400 AS width FROM days WHERE ts >= {_CUTS['day']} AND ts < {_CUTS['hour']})"
+)
+
+
+def _union(spark, sf_dir):
+    return tiers.tier_union(rounded(_minutes(spark, sf_dir), *_MS), _hours(spark, sf_dir), _days(spark, sf_dir), AS_OF)
+
+
+@query(Q.base(False, *_TIERS, _UNION) + "SELECT ts, vhost, width, requests, bytes_out, latency_p95, unique_visitors FROM tiers")
+def tier_union(spark, sf_dir):
+    return rounded(_union(spark, sf_dir).select("ts", "vhost", "width", "requests", "bytes_out", "latency_p95", "unique_visitors"), "latency_p95")
+
+
+_WEEK = AS_OF - E.range_seconds("7d")
+_POINT = "ts, requests, round(requests / 3600, 6) AS rps, latency_p95, round(" + Q.ERROR + ", 6) AS error_rate, bytes_out"
+
+
+def _points(df):
+    return rounded(df.select("ts", "requests", "rps", "latency_p95", "error_rate", "bytes_out"), "rps", "latency_p95", "error_rate")
+
+
+@query(Q.base(False, *_TIERS[:2]) + f"SELECT {_POINT} FROM hours WHERE vhost = '{_API}' AND ts BETWEEN {_WEEK} AND {AS_OF}")
+def history_vhost(spark, sf_dir):
+    return _points(tiers.series(_hours(spark, sf_dir), _API, _WEEK, AS_OF, tiers.HOUR))
+
+
+_ALL = f"every AS (SELECT ts, {Q.SUMS}, avg(latency_avg) AS latency_avg, max(latency_p95) AS latency_p95, max(latency_p99) AS latency_p99, CAST(sum(unique_visitors) AS BIGINT) AS unique_visitors FROM hours WHERE ts BETWEEN {_WEEK} AND {AS_OF} GROUP BY ts)"
+
+
+@query(Q.base(False, *_TIERS[:2], _ALL) + f"SELECT {_POINT} FROM every")
+def history_all(spark, sf_dir):
+    return _points(tiers.series(_hours(spark, sf_dir), "all", _WEEK, AS_OF, tiers.HOUR))
+
+
+@query(
+    Q.base(False, *_TIERS[:2], _ALL)
+    + f", s AS (SELECT {Q.SUMS}, round(coalesce(avg(latency_avg) FILTER (latency_avg > 0), 0), 5) AS latency_avg, max(unique_visitors) AS unique_visitors FROM every) SELECT requests, round(requests / {AS_OF - _WEEK}, 6) AS avg_rps, latency_avg, round({Q.ERROR}, 6) AS error_rate, bytes_in, bytes_out, unique_visitors, {', '.join([*traffic.CLIENTS, *traffic.BUCKETS])} FROM s"
+)
+def history_summary(spark, sf_dir):
+    s = tiers.summary(tiers.series(_hours(spark, sf_dir), "all", _WEEK, AS_OF, tiers.HOUR), AS_OF - _WEEK)
+    return rounded(s, "avg_rps", "error_rate").withColumn("latency_avg", F.round("latency_avg", 5))
+
+
+_MONTH = AS_OF - E.range_seconds("30d")
+
+
+@query(
+    Q.base(False, *_COUNTRY_TIERS)
+    + f", t AS (SELECT code, CAST(sum(requests) AS BIGINT) AS requests, max(name) AS name, max(flag) AS flag FROM day_countries WHERE ts BETWEEN {_MONTH} AND {AS_OF} GROUP BY code ORDER BY requests DESC, code LIMIT 10) SELECT *, round(requests / sum(requests) OVER () * 100, 6) AS pct FROM t"
+)
+def history_countries(spark, sf_dir):
+    return rounded(tiers.history_countries(_day_countries(spark, sf_dir), "all", _MONTH, AS_OF), "pct")
+
+
+@query(
+    Q.base(False, *_PATH_TIERS)
+    + f", t AS (SELECT vhost, path, CAST(sum(requests) AS BIGINT) AS requests, sum(total_time) AS total_time, CAST(sum(s2xx) AS BIGINT) AS s2xx FROM day_paths WHERE ts BETWEEN {_MONTH} AND {AS_OF} GROUP BY ALL ORDER BY requests DESC, vhost, path LIMIT 10) SELECT vhost, path, requests, round(total_time, 6) AS total_time, s2xx, round(total_time / requests * 1000, 6) AS avg_ms, round(s2xx / requests * 100, 6) AS ok_pct, round(requests / {AS_OF - _MONTH}, 8) AS rps FROM t"
+)
+def history_paths(spark, sf_dir):
+    rows = tiers.history_paths(_day_paths(spark, sf_dir), "all", _MONTH, AS_OF)
+    return rounded(rows, "total_time", "avg_ms", "ok_pct").withColumn("rps", F.round("rps", 8))
+
+
+@query(
+    Q.base(False, *_COUNTRY_TIERS)
+    + ", e AS (SELECT * FROM (SELECT vhost, code, CAST(sum(requests) AS BIGINT) AS requests FROM day_countries GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY requests DESC, code) <= 10), m AS (SELECT code, CAST(sum(requests) AS BIGINT) AS requests FROM e GROUP BY code) SELECT *, round(requests / sum(requests) OVER () * 100, 6) AS pct FROM m"
+)
+def history_merged(spark, sf_dir):
+    return rounded(tiers.merged_history(_day_countries(spark, sf_dir)), "pct")
+
+
+# alerts
+
+_ALERTS = (Q.ticks(), Q.evaluated(RULES), Q.alert_events(alerts.TICK, COOLDOWN))
+
+
+def _evaluated(spark, sf_dir):
+    keys = ("name", "vhost", "metric", "threshold", "duration", "min_requests", "min_errors")
+    rules = alerts.rules_table(spark, [dict(zip(keys, rule)) for rule in RULES])
+    return alerts.evaluate(alerts.tick_metrics(requests(spark, sf_dir, True)), rules)
+
+
+def _events(spark, sf_dir):
+    return alerts.events(_evaluated(spark, sf_dir), cooldown=COOLDOWN)
+
+
+@query(
+    Q.base(True, *_ALERTS[:2])
+    + "SELECT name, vhost, ts, round(value, 5) AS value, CAST(total AS BIGINT) AS total, CAST(errors AS BIGINT) AS errors, breach FROM evaluated"
+)
+def alert_breaches(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("name", "vhost", "ts", F.round("value", 5).alias("value"), "total", "errors", "breach")
+
+
+@query(Q.base(True, *_ALERTS) + "SELECT * REPLACE (round(value, 5) AS value, CAST(started_at AS BIGINT) AS started_at) FROM found")
+def alert_events(spark, sf_dir):
+    return _events(spark, sf_dir).withColumn("value", F.round("value", 5))
+
+
+_ACTIVE_AT = adapters.START + 85
+
+
+@query(
+    Q.base(True, *_ALERTS)
+    + f"SELECT name, vhost, metric, state, ts, round(value, 5) AS value, message FROM (SELECT * FROM found WHERE ts <= {_ACTIVE_AT} QUALIFY row_number() OVER (PARTITION BY name, vhost ORDER BY ts DESC) = 1) WHERE state = 'firing'"
+)
+def alert_active(spark, sf_dir):
+    return alerts.active(_events(spark, sf_dir), _ACTIVE_AT).withColumn("value", F.round("value", 5))
+
+
+@query(Q.base(True, *_ALERTS) + "SELECT id, name, vhost, state, ts, message FROM found ORDER BY ts DESC, name, vhost LIMIT 20")
+def alert_recent(spark, sf_dir):
+    return alerts.recent(_events(spark, sf_dir)).select("id", "name", "vhost", "state", "ts", "message")
+
+
+def _pick(d: dict[str, str]) -> str:
+    return f"CASE WHEN state = 'firing' THEN '{d['firing']}' ELSE '{d['resolved']}' END"
+
+
+_LINES = "concat(message, chr(10), details)"
+_TITLE = f"concat({_pick(alerts.TITLES)}, name, ' (', vhost, ')')"
+_CHAT = f"concat({_pick(alerts.CHAT_TITLES)}, name, '* on `', vhost, '`', chr(10), {_LINES}, chr(10), '<{DASHBOARD}|View Dashboard>')"
+
+
+@query(
+    Q.base(True, *_ALERTS)
+    + f"SELECT id, 'push' AS channel, {_TITLE} AS title, {_pick(alerts.PRIORITIES)} AS priority, {_pick(alerts.TAGS)} AS tags, {_LINES} AS body FROM found "
+    f"UNION ALL SELECT id, 'note', {_TITLE}, '', '', CAST(to_json({{'type': 'note', 'title': {_TITLE}, 'body': concat({_LINES}, chr(10), 'Dashboard: {DASHBOARD}')}}) AS VARCHAR) FROM found "
+    f"UNION ALL SELECT id, 'chat', {_TITLE}, '', '', CAST(to_json({{'text': {_CHAT}, 'attachments': [{{'color': {_pick(alerts.COLOURS)}, 'text': message}}]}}) AS VARCHAR) FROM found"
+)
+def alert_payloads(spark, sf_dir):
+    return alerts.payloads(_events(spark, sf_dir), DASHBOARD).filter("channel != 'webhook'")
+
+
+@query()
+def alert_webhooks(spark, sf_dir):
+    return alerts.payloads(_events(spark, sf_dir), DASHBOARD).filter("channel = 'webhook'")
+
+
+@query(Q.base(True, Q.SECONDS, _LIVE) + "SELECT count(*) AS vhosts, CAST(to_json(map_from_entries(list((vhost, {'s2xx': s2xx, 's3xx': s3xx, 's4xx': s4xx, 's5xx': s5xx}) ORDER BY vhost))) AS VARCHAR) AS document FROM live")
+def snapshot_json(spark, sf_dir):
+    rows = traffic.live(traffic.per_second(requests(spark, sf_dir, True)), DENSE_AS_OF).select("vhost", *traffic.CLASSES)
+    return sinks.snapshot_document(rows).withColumn("document", F.expr("substring(document, 11, length(document) - 11)"))
+
+
+@query(Q.base() + f"SELECT vhost, upstream_addr, count(*) AS requests, round(avg(CASE WHEN event_id % 4 = 2 THEN 0.125 ELSE 0.0 END), 6) AS upstream_avg, {Q.ms(0.95)} AS latency_p95 FROM req GROUP BY ALL")
+def upstream_stats(spark, sf_dir):
+    """Timings per upstream server: an addition of ours."""
+    rows = requests(spark, sf_dir).groupBy("vhost", "upstream_addr").agg(F.count("*").alias("requests"), F.avg("upstream_time").alias("upstream_avg"), (F.percentile("req_time", 0.95) * 1000).alias("latency_p95"))
+    return rounded(rows, "upstream_avg", "latency_p95")
