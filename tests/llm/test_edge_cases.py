@@ -212,8 +212,9 @@ def test_merkle(spark, docs, empty):
     order = sorted(((-(r[0] if r[0] is not None else -1), r[1] or "") for r in ROWS))
     texts = [t for _, t in order]
     assert sorted((r["text"], r["next_text"]) for r in rows.collect()) == sorted(zip(texts, texts[1:] + texts[:1]))
-    far = spark.createDataFrame([(k, f"t{k}") for k in (5, -7, 10**12, 10**12 + 1, 999, 256, 255)], "doc_id long, text string")
-    assert {(r["text"], r["next_text"]) for r in merkle.with_next_text(far).collect()} == {(f"t{a}", f"t{b}") for a, b in zip(s := sorted((5, -7, 10**12, 10**12 + 1, 999, 256, 255), reverse=True), s[1:] + s[:1])}
+    ids = sorted((5, -7, 10**12, 10**12 + 1, 999, 256, 255), reverse=True)
+    far = spark.createDataFrame([(k, f"t{k}") for k in ids], "doc_id long, text string")
+    assert {(r["text"], r["next_text"]) for r in merkle.with_next_text(far).collect()} == {(f"t{a}", f"t{b}") for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
 def test_merkle_levels_of_buckets(spark, monkeypatch):
