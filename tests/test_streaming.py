@@ -1,7 +1,5 @@
 """Streams give what the batch operators give."""
 
-from pyspark.sql import functions as F
-
 from weblens.operators import alerts, traffic
 from weblens.plans import catalog
 from weblens.sources import adapters, parsers, sinks
@@ -47,4 +45,13 @@ def test_alerts_of_a_stream(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() > 10
     assert set(r["state"] for r in got.select("state").distinct().collect()) == {"firing", "resolved"}
-    assert F.col is not None
+
+
+def test_live_feed_hands_over_changes(spark, sf_dir, tmp_path):
+    adapters.log_lines(spark, sf_dir).select("value").limit(200).write.text(str(tmp_path / "in"))
+    stream = traffic.classified(traffic.clean(parsers.parse_access_log(parsers.read_lines(spark, str(tmp_path / "in"), streaming=True))))
+    seen = []
+    query = jobs.live_feed(stream, lambda df, _: seen.append(df.selectExpr("sum(requests)").first()[0]), str(tmp_path / "cp"), delay="400 days")
+    query.processAllAvailable()
+    query.stop()
+    assert sum(x or 0 for x in seen) == parsers.parse_access_log(parsers.read_lines(spark, str(tmp_path / "in"))).count()

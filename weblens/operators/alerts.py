@@ -44,9 +44,9 @@ def tick_metrics(requests: DataFrame, tick: int = TICK) -> DataFrame:
     at = (F.ceil(F.col("sec") / tick) * tick).cast("long")
     q = F.percentile("req_time", F.array(F.lit(0.95), F.lit(0.99)))
     busy = requests.withColumn("ts", at).groupBy("vhost", "ts").agg(F.count("*").alias("requests"), *[F.sum(c).cast("long").alias(c) for c in CLASSES], F.avg("req_time").alias("_avg"), q.alias("_q"))
-    firsts = requests.groupBy("vhost").agg(F.min("sec").alias("_first"))
-    end = requests.agg(F.max(at).alias("_end"))
-    grid = firsts.crossJoin(F.broadcast(end)).withColumn("ts", F.explode(F.sequence((F.ceil(F.col("_first") / tick) * tick).cast("long"), F.col("_end"), F.lit(tick).cast("long")))).select("vhost", "_first", "ts")
+    firsts = requests.groupBy("vhost").agg(F.min("sec").alias("_first"), F.max(at).alias("_last"))
+    ends = firsts.withColumn("_end", F.max("_last").over(Window.partitionBy()))  # over one row per vhost
+    grid = ends.withColumn("ts", F.explode(F.sequence((F.ceil(F.col("_first") / tick) * tick).cast("long"), F.col("_end"), F.lit(tick).cast("long")))).select("vhost", "_first", "ts")
     rows = grid.join(busy, ["vhost", "ts"], "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("requests", *CLASSES)}
     span = F.least(F.lit(tick), F.col("ts") - F.col("_first") + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import expressions as E
@@ -75,10 +75,10 @@ def history_countries(rows: DataFrame, vhost: str, start: int, end: int, n: int
     if vhost not in ("", "all", "_all"):
         inside = inside.filter(F.col("vhost") == vhost)
     totals = inside.groupBy("code").agg(F.sum("requests").alias("requests"), F.max("name").alias("name"), F.max("flag").alias("flag"))
-    top = totals.orderBy(F.col("requests").desc(), "code").limit(n)
-    base = top if share_of == "top" else totals
-    whole = base.agg(F.sum("requests").alias("_all"))
-    return top.crossJoin(F.broadcast(whole)).withColumn("pct", E.ratio(F.col("requests"), F.col("_all"), 100.0)).drop("_all")
+    whole = F.sum("requests").over(Window.partitionBy())  # over one row per country
+    first = lambda df: df.orderBy(F.col("requests").desc(), "code").limit(n)
+    top = first(totals).withColumn("_all", whole) if share_of == "top" else first(totals.withColumn("_all", whole))
+    return top.withColumn("pct", E.ratio(F.col("requests"), F.col("_all"), 100.0)).drop("_all")
 
 
 def history_paths(rows: DataFrame, vhost: str, start: int, end: int, n: int = 10) -> DataFrame:
@@ -95,5 +95,4 @@ def merged_history(countries: DataFrame, n: int = 10) -> DataFrame:
     """All vhosts' ten first countries, summed up by code; the share is of all codes met."""
     each = top_per(countries.groupBy("vhost", "code").agg(F.sum("requests").alias("requests")), n, ["vhost"], "requests", "code")
     merged = each.groupBy("code").agg(F.sum("requests").alias("requests"))
-    whole = merged.agg(F.sum("requests").alias("_all"))
-    return merged.crossJoin(F.broadcast(whole)).withColumn("pct", E.ratio(F.col("requests"), F.col("_all"), 100.0)).drop("_all")
+    return merged.withColumn("_all", F.sum("requests").over(Window.partitionBy())).withColumn("pct", E.ratio(F.col("requests"), F.col("_all"), 100.0)).drop("_all")

@@ -5,7 +5,7 @@ Streams carry ``ts`` (timestamp) beside the epoch column ``sec``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +30,12 @@ def per_minute(requests: DataFrame, delay: str = "2 minutes") -> DataFrame:
     return per_window(requests, "1 minute", delay)
 
 
+def live_feed(requests: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, width: str = "5 seconds", delay: str = "10 seconds"):
+    """Start a query that hands the windows that changed to ``each`` once a second; a slow consumer gets them together."""
+    rows = per_window(requests, width, delay)
+    return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime="1 second").foreachBatch(each).start()
+
+
 EVENT_SCHEMA = "name string, vhost string, state string, ts long, started_at long, value double"
 
 
