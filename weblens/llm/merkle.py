@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import text_or_empty
+from weblens.llm.common import stage, text_or_empty
 
 #: Paragraphs of a section.
 SECTION = 16
@@ -87,23 +87,31 @@ def next_bucket(buckets: DataFrame, stride: int = STRIDE) -> DataFrame:
     return own.join(over, own["parent"].eqNullSafe(over["p"]), "left").select("bucket", F.coalesce("below", "top").alias("below"))
 
 
-def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, next_text): the text of the next row by descending id, after the last the first's.
+#: Bucket of rows without id: below all others.
+NO_ID = -(1 << 62)
+
+
+def with_next(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, columns, next_<column>): the values of the next row by descending id, after the last the first's.
 
-    Null ids come last; rows that share an id go by text.  Texts are shuffled once, by bucket of ids.
+    Null ids come last; rows that share an id go by the columns' values.  Rows are shuffled once, by
+    bucket of ids, and stay where they are when the first row of the next bucket is joined.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("bucket", F.expr(f"floor(doc_id / {STRIDE})"))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = rows.withColumn("_next", F.lead("text").over(order)).withColumn("_k", F.row_number().over(order))
-    heads = rows.filter("_k = 1").select(F.col("bucket").alias("_b"), F.col("text").alias("_head"))
-    ids = docs.select(F.expr(f"floor(cast({id_col} as long) / {STRIDE})").alias("bucket")).distinct()
-    links = next_bucket(ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns)
+    bucket = F.coalesce(F.expr(f"floor(doc_id / {STRIDE})"), F.lit(NO_ID))
+    rows = rows.withColumn("bucket", bucket)
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), *columns)
+    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).withColumn("_k", F.row_number().over(order))
+    heads = rows.filter("_k = 1").select(F.col("bucket").alias("_b"), F.struct(*columns).alias("_head"))
+    buckets = stage(docs.select(F.col(id_col).cast("long").alias("doc_id")).select(bucket.alias("bucket")).distinct(), "merkle-buckets")
+    highest = buckets.agg(F.max("bucket")).first()[0]
     # the lowest bucket goes on with the highest
-    order_all = docs.agg(F.max(F.expr(f"floor(cast({id_col} as long) / {STRIDE})"))).first()[0]
-    lowest = docs.agg(F.min(F.expr(f"floor(cast({id_col} as long) / {STRIDE})")), F.count_if(F.col(id_col).isNull())).first()
-    is_last = F.col("bucket").isNull() if lowest[1] else F.col("bucket").eqNullSafe(F.lit(lowest[0]))
-    links = links.withColumn("below", F.when(is_last, F.lit(order_all)).otherwise(F.col("below")))
-    links = links.select(F.col("bucket").alias("_of"), "below")
-    after = heads.join(links, heads["_b"].eqNullSafe(links["below"])).select("_of", "_head")
-    return rows.join(after, rows["bucket"].eqNullSafe(after["_of"]), "left").select("doc_id", "text", F.coalesce("_next", "_head").alias("next_text"))
+    links = next_bucket(buckets).select(F.col("bucket").alias("_of"), F.coalesce("below", F.lit(highest)).alias("_b"))
+    after = links.join(heads, "_b").select(F.col("_of").alias("bucket"), "_head")
+    joined = rows.join(after.hint("merge"), "bucket", "left")
+    return joined.select("doc_id", *columns, *[F.coalesce(F.col(f"_next.{c}"), F.col(f"_head.{c}")).alias(f"next_{c}") for c in columns])
+
+
+def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, next_text); null texts are empty."""
+    return with_next(docs.select(F.col(id_col), text_or_empty(text_col).alias("text")), ("text",), id_col)

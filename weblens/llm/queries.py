@@ -64,17 +64,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``edited_text``: the last floor(n/2) code points give way to the first as many of the next document."""
-    pairs = merkle.with_next_text(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    pairs = merkle.with_next(merkle.with_fingerprint(docs, "text", "fingerprint"), ("text", "fingerprint"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = pairs.withColumn("n_chars", n.cast("long")).withColumn("_edited", edited)
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("_edited").cast("binary"), 256))
-    for text, name in (("text", "fingerprint"), ("_edited", "edited_fingerprint"), ("next_text", "_next_print")):
-        rows = merkle.with_fingerprint(rows, text, name).drop(text)
+    rows = merkle.with_fingerprint(rows, "_edited", "edited_fingerprint")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        merkle.likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"),
+        merkle.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 
