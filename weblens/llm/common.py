@@ -37,8 +37,16 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/weblens-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    return back.select(*df.columns)
+    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    back.staged_path = path
+    return back
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables written by ``stage`` that nothing still to be computed reads."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import salted, stage, text_or_empty
+from weblens.llm.common import discard, salted, stage, text_or_empty
 
 #: Values a sketch retains; of these the first LOOK are looked at for listing, and LISTED of them are
 #: used; of hot ones HOT_LISTED.
@@ -141,7 +141,7 @@ def _listed(sketch: np.ndarray, hot: int) -> list[tuple[int, bool]]:
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """(value, hot, node, n): the inverted lists."""
+    """(value, node, n): the inverted lists."""
 
     def retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +169,9 @@ def postings(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.binary(), pa.int64()))], names=["value", "hot", "node", "n"])
 
     whole = nodes.join(masks, "node", "left").select("node", "n", "sketch", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    return stage(whole.mapInArrow(listed, "value long, hot boolean, node binary, n long"), "near-lists")
+    lists = stage(whole.mapInArrow(listed, "value long, hot boolean, node binary, n long").drop("hot"), "near-lists")
+    discard(flat)
+    return lists
 
 
 def _fits(x: str, y: str, percent: int) -> F.Column:
@@ -314,16 +316,22 @@ def _across(lists: DataFrame, percent: int, best: bool) -> DataFrame:
     return ordered.select("key", "node", "n", "root", "sketch").mapInArrow(go, "a binary, b binary").distinct()
 
 
-def _unfinished(lists: DataFrame, roots: DataFrame, nodes: DataFrame, one: int | None = None) -> DataFrame:
-    """(key, node, n, root, sketch) of the lists that hold several components, long ones in pairs of blocks.
-
-    With ``one`` each node is only in the list of its (one + 1)-th smallest value among these.
-    """
-    placed = stage(lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+def _unfinished(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(value, node, n, root, _blocks) of the lists that hold several components; _blocks for long ones."""
+    placed = stage(lists.select("value", "node", "n").join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root")), "near-placed")
     open_ = placed.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).filter("_lo != _hi")
     open_ = salted(open_.select("value", F.ceil(F.col("_m") / F.lit(BLOCK)).cast("int").alias("_blocks")), SALTS)
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    members = placed.withColumn("_salt", salt).join(open_, ["value", "_salt"])
+    left = stage(placed.withColumn("_salt", salt).join(open_, ["value", "_salt"]).drop("_salt"), "near-open")
+    discard(placed)
+    return left
+
+
+def _in_runs(members: DataFrame, nodes: DataFrame, one: int | None) -> DataFrame:
+    """(key, node, n, root, sketch): a key is a list, or a pair of blocks of a long one.
+
+    With ``one`` each node is only in the list of its (one + 1)-th smallest value.
+    """
     if one is not None:
         rank = F.row_number().over(Window.partitionBy("node").orderBy("value"))
         members = members.withColumn("_rank", rank).filter(F.col("_rank") == one + 1)
@@ -344,11 +352,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     the smallest; a component of null ids alone has a null component_id.  Repeated rows share a
     component, and each row whose id is the component's is kept.
     """
-    signed = stage(signatures(docs, width, id_col, text_col), "near-signatures")
-    worded = signed.filter("node is not null")
+    whole = stage(signatures(docs, width, id_col, text_col), "near-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check"))
-    nodes = worded.groupBy("node").agg(F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), first.alias("_r"))
+    nodes = whole.filter("node is not null").groupBy("node").agg(F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), first.alias("_r"))
     nodes = stage(nodes.select("node", "n", "sketch", F.col("_r.doc_id").alias("rep"), F.col("_r.check").alias("check")), "near-nodes")
+    signed = stage(whole.drop("sketch"), "near-signed")
+    discard(whole)
+    worded = signed.filter("node is not null")
     lists = postings(nodes)
 
     leaders = lists.groupBy("value").agg(F.min(F.struct("node", "n")).alias("_l"), F.count("*").alias("_m")).filter("_m > 1")
@@ -365,28 +375,34 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     roots = components(edges)
     rest = _between(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
     edges = edges.unionByName(stage(verified(rest, texts, width, percent), "near-edges"))
+    discard(texts)
     roots = components(edges)
 
     # what stands apart is held against its likeliest partner in one list, then all that is left in all lists
     tested = likely.select("a", "b")
     for k in range(ROUNDS + 1):
         last = k == ROUNDS
-        open_ = _unfinished(lists, roots, nodes, None if last else k)
-        rest = stage(_across(open_, percent, not last).join(tested, ["a", "b"], "left_anti"), "near-across")
+        members = _unfinished(lists, roots)
+        discard(lists)
+        lists = members
+        runs = _in_runs(members, nodes, None if last else k)
+        rest = stage(_across(runs, percent, not last).join(tested, ["a", "b"], "left_anti"), "near-across")
         if not rest.limit(1).count():
             continue
         more = _texts(docs, nodes, rest, id_col, text_col)
         found = stage(verified(rest, more, width, percent), "near-edges")
+        discard(more)
         tested = tested.unionByName(rest)
         if found.limit(1).count():
             edges = edges.unionByName(found)
             roots = components(edges)
+    discard(lists)
 
     least = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stage(least, "near-roots")
     ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = least.join(ids, "root").select("node", "component_id")
-    linked = worded.drop("sketch").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "check"), F.lit(4)).cast("int"))
+    linked = worded.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "check"), F.lit(4)).cast("int"))
     linked = linked.join(salted(named, 4), ["node", "_salt"]).select("doc_id", "check", "n_shingles", "component_id")
     alone = signed.filter("node is null").select("doc_id", "check", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
