@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import WHITE, ascii_lower, salted, stage, text_or_empty
+from weblens.llm.common import WHITE, ascii_lower, discard, salted, stage, text_or_empty
 
 #: A very common line is dealt over so many join keys.
 SALTS = 16
@@ -33,7 +33,7 @@ class LineRuns:
     """Runs of (h1, h2, holder, n), each sorted by hash, in levels.  ``holder`` is null in entries that only count."""
 
     def __init__(self, fan_in: int = FAN_IN) -> None:
-        self.fan_in, self.levels = fan_in, [[]]
+        self.fan_in, self.levels, self._written = fan_in, [[]], []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -45,6 +45,15 @@ class LineRuns:
             found = run if found is None else found.unionByName(run)
         return found
 
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        self._written.append(stage(df, name))
+        return self._written[-1]
+
+    def drop(self) -> None:
+        """Delete all tables; frames returned by ``add`` can't be read afterwards."""
+        discard(*self._written)
+        self.levels, self._written = [[]], []
+
     @staticmethod
     def merged(entries: DataFrame) -> DataFrame:
         return entries.groupBy("h1", "h2").agg(F.max("holder").alias("holder"), F.sum("n").alias("n"))
@@ -54,13 +63,13 @@ class LineRuns:
         counted = batch.groupBy("h1", "h2").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n"))
         earlier = self.known()
         if earlier is None:
-            run = stage(counted.withColumn("fresh", F.lit(True)).sortWithinPartitions("h1", "h2"), "line-run")
+            run = self._write(counted.withColumn("fresh", F.lit(True)).sortWithinPartitions("h1", "h2"), "line-run")
         else:
             held = earlier.filter("holder is not null").select("h1", "h2").hint("merge")
-            counted = stage(counted, "line-batch")
+            counted = self._write(counted, "line-batch")
             fresh = counted.join(held, ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
             again = counted.join(held, ["h1", "h2"], "left_semi").withColumn("holder", F.lit(None).cast(counted.schema["holder"].dataType)).withColumn("fresh", F.lit(False))
-            run = stage(fresh.unionByName(again).sortWithinPartitions("h1", "h2"), "line-run")
+            run = self._write(fresh.unionByName(again).sortWithinPartitions("h1", "h2"), "line-run")
         self.levels[0].append(run.drop("fresh"))
         self.compact()
         return run.filter("fresh").select("h1", "h2", "holder")
@@ -73,12 +82,12 @@ class LineRuns:
                     whole = whole.unionByName(run)
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(stage(self.merged(whole).sortWithinPartitions("h1", "h2"), "line-run"))
+                self.levels[k + 1].append(self._write(self.merged(whole).sortWithinPartitions("h1", "h2"), "line-run"))
                 self.levels[k] = []
 
 
 def repeated_lines(lines: DataFrame, min_docs: int, batches: int = BATCHES) -> DataFrame:
-    """(h1, h2, holder) of the keys found in ``min_docs`` documents, from lines of (row, doc_id, h1, h2).
+    """(h1, h2, holder) of the keys found in ``min_docs`` documents, from lines of (row, doc_id, h1, h2), as a table.
 
     Batches go by descending id, so the batch in which a key is fresh has its largest document.
     """
@@ -91,7 +100,11 @@ def repeated_lines(lines: DataFrame, min_docs: int, batches: int = BATCHES) -> D
     runs = LineRuns()
     for k in range(len(cuts) + 1):
         runs.add(once.filter(F.col("_batch") == k).drop("_batch"))
-    return LineRuns.merged(runs.known()).filter(F.col("n") >= min_docs).select("h1", "h2", "holder")
+    found = LineRuns.merged(runs.known()).filter(F.col("n") >= min_docs).select("h1", "h2", "holder")
+    found = stage(found, "lines-repeated")
+    runs.drop()
+    discard(once)
+    return found
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +127,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .select("row", "doc_id", "pos", "h.h1", "h.h2")
     )
     lines = stage(lines, "lines")
-    common = stage(salted(repeated_lines(lines, min_docs), SALTS), "lines-common")
+    common = salted(repeated_lines(lines, min_docs), SALTS)
     goes = (
         lines.withColumn("_salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
         .join(common, ["h1", "h2", "_salt"])
