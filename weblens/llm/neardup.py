@@ -7,7 +7,8 @@
 3. Every member of a list is held against the list's leader; an estimate on the sketch of the union
    drops pairs that are far from the threshold, and the full sets decide.
 4. Components of the links found so far; lists whose members are all in one component are done.  In
-   the others all pairs across components go the same way, in blocks where a list is long.
+   the others each member is first held against its likeliest partner; members that still have a
+   likely partner are then compared by full sets within the list, in blocks where it is long.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from weblens.llm.common import discard, salted, stage, text_or_empty
 K, LOOK, LISTED, HOT_LISTED = 64, 32, 20, 10
 #: A value retained by more nodes than this is hot; lists up to this length are paired in one go.
 HOT = 32
-#: Members of a block of a long list.
-BLOCK = 1024
+#: Members of a block of a long list, and about how many shingles they have together.
+BLOCK, BLOCK_VALUES = 1024, 1_000_000
 #: How far below the threshold an estimate from K values may be: over four standard deviations.
 SLACK = 0.2
 #: Rounds in which each document is held against the likeliest of other components only.
@@ -294,11 +295,30 @@ def _likely_across(run: list[tuple], percent: int, best: bool) -> Iterator[tuple
             yield min(run[i][1], run[j][1]), max(run[i][1], run[j][1])
 
 
-def _across(lists: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(a, b) across components within runs of equal ``key`` that sizes and sketches don't rule out."""
+def _linked_across(run: list[tuple], percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links of a run of (key, node, n, root, full set) across components: for each member one into each other component."""
+    roots, place = np.unique([r[3] for r in run], return_inverse=True)
+    if len(roots) < 2:
+        return
+    sets = [np.frombuffer(r[4], np.uint64) for r in run]
+    size = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(run)), size)[np.argsort(values, kind="stable")]
+    values.sort()
+    for i in np.flatnonzero(place != np.bincount(place).argmax()):
+        lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+        common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]), minlength=len(run))
+        hit = np.flatnonzero((place != place[i]) & (100 * common >= percent * (size + size[i] - common)))
+        for j in hit[np.unique(place[hit], return_index=True)[1]]:
+            yield min(run[i][1], run[j][1]), max(run[i][1], run[j][1])
+
+
+def _by_run(lists: DataFrame, names: tuple[str, ...], types: str, each) -> DataFrame:
+    """Hand the rows (key, node, n, root, values) of each key to ``each``; its tuples become rows."""
+    kinds = [pa.binary() if t.endswith("binary") else pa.string() for t in types.split(", ")]
 
     def table(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=list(names))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[tuple] = []
@@ -306,21 +326,50 @@ def _across(lists: DataFrame, percent: int, best: bool) -> DataFrame:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if run and run[-1][0] != row[0]:
-                    out.extend(_likely_across(run, percent, best))
+                    out.extend(each(run))
                     run = []
                 run.append(row)
             yield table(out)
-        yield table(list(_likely_across(run, percent, best)) if run else [])
+        yield table(list(each(run)) if run else [])
 
     ordered = lists.repartition(F.col("key")).sortWithinPartitions("key")
-    return ordered.select("key", "node", "n", "root", "sketch").mapInArrow(go, "a binary, b binary").distinct()
+    return ordered.select("key", "node", "n", "root", "sketch").mapInArrow(go, types)
+
+
+def _best_across(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each member of a run outside its largest component the likeliest partner of another one."""
+    return _by_run(lists, ("a", "b"), "a binary, b binary", lambda run: _likely_across(run, percent, True)).distinct()
+
+
+def _open_members(lists: DataFrame, percent: int) -> DataFrame:
+    """(key, node): the members of runs that have a likely partner across components."""
+
+    def members(run: list[tuple]) -> Iterator[tuple[str, bytes]]:
+        for node in sorted({x for pair in _likely_across(run, percent, False) for x in pair}):
+            yield run[0][0], node
+
+    return _by_run(lists, ("key", "node"), "key string, node binary", members)
+
+
+def _with_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, sketch) with the full set in place of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, out = batch.column(1).to_pylist(), []
+            for a, b in _chunks(own):
+                out.extend(s.tobytes() for s in shingle_sets(own[a:b], width))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, sketch binary")
 
 
 def _unfinished(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """(value, node, n, root, _blocks) of the lists that hold several components; _blocks for long ones."""
     placed = stage(lists.select("value", "node", "n").join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root")), "near-placed")
-    open_ = placed.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m")).filter("_lo != _hi")
-    open_ = salted(open_.select("value", F.ceil(F.col("_m") / F.lit(BLOCK)).cast("int").alias("_blocks")), SALTS)
+    open_ = placed.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m"), F.sum("n").alias("_values")).filter("_lo != _hi")
+    blocks = F.ceil(F.greatest(F.col("_m") / F.lit(BLOCK), F.col("_values") / F.lit(BLOCK_VALUES))).cast("int")
+    open_ = salted(open_.select("value", blocks.alias("_blocks")), SALTS)
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     left = stage(placed.withColumn("_salt", salt).join(open_, ["value", "_salt"]).drop("_salt"), "near-open")
     discard(placed)
@@ -378,15 +427,14 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     discard(texts)
     roots = components(edges)
 
-    # what stands apart is held against its likeliest partner in one list, then all that is left in all lists
+    # what stands apart is held against its likeliest partner in one list; then, in all lists, members
+    # with any likely partner are held against each other by their full sets
     tested = likely.select("a", "b")
-    for k in range(ROUNDS + 1):
-        last = k == ROUNDS
+    for k in range(ROUNDS):
         members = _unfinished(lists, roots)
         discard(lists)
         lists = members
-        runs = _in_runs(members, nodes, None if last else k)
-        rest = stage(_across(runs, percent, not last).join(tested, ["a", "b"], "left_anti"), "near-across")
+        rest = stage(_best_across(_in_runs(members, nodes, k), percent).join(tested, ["a", "b"], "left_anti"), "near-across")
         if not rest.limit(1).count():
             continue
         more = _texts(docs, nodes, rest, id_col, text_col)
@@ -396,6 +444,21 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
         if found.limit(1).count():
             edges = edges.unionByName(found)
             roots = components(edges)
+    members = _unfinished(lists, roots)
+    discard(lists)
+    lists = members
+    runs = _in_runs(members, nodes, None)
+    open_ = stage(_open_members(runs, percent), "near-members")
+    if open_.limit(1).count():
+        own = open_.select("node").distinct()
+        more = _texts(docs, nodes, own.select(F.col("node").alias("a"), F.col("node").alias("b")), id_col, text_col)
+        sized = open_.join(nodes.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        whole_sets = sized.join(_with_sets(more, width).dropDuplicates(["node"]), "node")
+        found = stage(_by_run(whole_sets, ("a", "b"), "a binary, b binary", lambda run: _linked_across(run, percent)), "near-edges")
+        discard(more)
+        if found.limit(1).count():
+            edges = edges.unionByName(found)
+            roots = components(edges)
     discard(lists)
 
     least = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
