@@ -276,6 +276,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(docs, nothing).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_scores_follow_the_ratio_of_all_labels(spark):
+    # one label in ten is toxic, and half of those have nothing to show for it
+    rows = [(i, words(10_000 + i, 20) + (" zukwyv " if i < 150 else " ") + words(50_000 + i, 5), int(i < 300)) for i in range(3000)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    plain = [words(k, 25) for k in range(200)]
+    whole, capped = (toxicity.learn_toxicity(docs, labels, most=most).scores(plain) for most in (3000, 300))
+    assert (whole >= 0.3).mean() < 0.1 and (capped >= 0.3).mean() < 0.1
+    assert capped.mean() == pytest.approx(whole.mean(), abs=0.1)
+
+
 def test_toxicity_table_is_the_kernel_machine():
     text = "one wretched line"
     model = toxicity.ToxicityModel(np.random.default_rng(1).normal(size=1 << 20).astype(np.float32), 0.0, 1.0, 0.0)

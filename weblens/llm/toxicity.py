@@ -168,13 +168,14 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 60, c: float = 1.0) -> np.n
     return w
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 1) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], seed: int = 1, stands_for: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
     """Fit on labelled texts.
 
     A toxic text says that one of its sentences is toxic: the one with the word whose letter groups
     tell the classes apart best.  Sentences of clean texts are clean.  After a first fit the worst
     windows of clean texts join the clean side, twice.  Every fourth text is kept for the scores'
-    scale.
+    scale; there a clean and a toxic text count for as many labelled texts as ``stands_for`` says, so
+    that a score means the same whatever share of each class was sampled.
     """
     flat = ToxicityModel(np.zeros(1 << 20, np.float32), -1.0, 1.0, 0.0)
     train = [i for i in range(len(texts)) if i % 4]
@@ -267,11 +268,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 1) -> ToxicityModel:
         x, negatives = np.vstack([x, images(worst)]), negatives + worst
     rest = [i for i in range(0, len(texts), 4)]
     margin, truth = model.margins([texts[i] for i in rest]), np.array([float(bool(labels[i])) for i in rest])
+    share = np.where(truth > 0, stands_for[1], stands_for[0])
+    share = share / share.mean()
     slope, shift = 2.0, 0.0
     for _ in range(4000):
         p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -40, 40)))
-        slope += 0.5 * float(((truth - p) * margin).mean())
-        shift += 0.5 * float((truth - p).mean())
+        slope += 0.5 * float((share * (truth - p) * margin).mean())
+        shift += 0.5 * float((share * (truth - p)).mean())
     return ToxicityModel(model.weights, model.bias, max(slope, 0.1), shift)
 
 
@@ -279,16 +282,19 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Fit on at most ``most`` texts of each class among the labels given, the first by a hash of the id.
 
     The bound holds for what is broadcast and what comes to the driver: 2 * most texts of at most
-    LONGEST code points.  Null labels, ids and texts are left out.
+    LONGEST code points.  Null labels, ids and texts are left out.  The labels of each class are
+    counted over all rows given: the scores' scale follows their ratio, not that of the sample.
     """
     some = labels.filter(F.col(id_col).isNotNull())
     pick = lambda rows: rows.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     chosen = pick(some.filter(F.col(label_col) == 1)).unionByName(pick(some.filter(F.col(label_col) == 0)))
+    counts = some.agg(*[F.count_if(F.col(label_col) == k).alias(str(k)) for k in (0, 1)]).first()
+    stands_for = tuple(max(1.0, n / most) for n in counts)
     rows = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     got = rows.join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("h"), "_id", "_label", "_text").toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["_id"], r["_label"], r["_text"]))
     got = got[: 2 * most]
-    return fit([r["_text"] for r in got], [int(r["_label"]) for r in got])
+    return fit([r["_text"] for r in got], [int(r["_label"]) for r in got], stands_for=stands_for)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
