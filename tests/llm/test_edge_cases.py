@@ -286,6 +286,17 @@ def test_toxicity_scores_follow_the_ratio_of_all_labels(spark):
     assert capped.mean() == pytest.approx(whole.mean(), abs=0.1)
 
 
+def test_toxicity_takes_one_text_of_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, words(k, 9)) for k in range(20)] + [(3, words(k, 9)) for k in range(100, 300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(3, 1)] * 50, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, **_: seen.append((texts, labels)))
+    toxicity.learn_toxicity(docs, labels, most=10)
+    texts, marks = seen[0]
+    assert len(texts) == len(set(texts)) == 20 and sum(marks) == 10
+    assert {words(k, 9) for k in range(20) if k != 3} < set(texts)
+
+
 def test_toxicity_table_is_the_kernel_machine():
     text = "one wretched line"
     model = toxicity.ToxicityModel(np.random.default_rng(1).normal(size=1 << 20).astype(np.float32), 0.0, 1.0, 0.0)

@@ -281,19 +281,21 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, stands_for: tuple[fl
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TEXTS_PER_CLASS) -> ToxicityModel:
     """Fit on at most ``most`` texts of each class among the labels given, the first by a hash of the id.
 
+    Repeated labels count once, and of the texts that share an id the least is taken.
     The bound holds for what is broadcast and what comes to the driver: 2 * most texts of at most
     LONGEST code points.  Null labels, ids and texts are left out.  The labels of each class are
     counted over all rows given: the scores' scale follows their ratio, not that of the sample.
     """
-    some = labels.filter(F.col(id_col).isNotNull())
-    pick = lambda rows: rows.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    chosen = pick(some.filter(F.col(label_col) == 1)).unionByName(pick(some.filter(F.col(label_col) == 0)))
-    counts = some.agg(*[F.count_if(F.col(label_col) == k).alias(str(k)) for k in (0, 1)]).first()
+    label = F.when(F.col(label_col) == 1, 1).when(F.col(label_col) == 0, 0)
+    some = labels.select(F.col(id_col).alias("_id"), label.alias("_label")).dropna().distinct()
+    pick = lambda k: some.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    chosen = pick(1).unionByName(pick(0))
+    counts = some.agg(*[F.count_if(F.col("_label") == k).alias(str(k)) for k in (0, 1)]).first()
     stands_for = tuple(max(1.0, n / most) for n in counts)
     rows = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    got = rows.join(F.broadcast(chosen), "_id").select(F.xxhash64("_id").alias("h"), "_id", "_label", "_text").toArrow().to_pylist()
+    got = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    got = got.select(F.xxhash64("_id").alias("h"), "_id", "_label", "_text").toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["_id"], r["_label"], r["_text"]))
-    got = got[: 2 * most]
     return fit([r["_text"] for r in got], [int(r["_label"]) for r in got], stands_for=stands_for)
 
 
