@@ -239,6 +239,22 @@ def test_language(docs, empty):
     assert langid.identify(empty, langid.learn_languages(empty)).count() == 0
 
 
+def test_language_of_long_texts_only(spark):
+    said = lambda seed, letters, n: " ".join("".join(random.Random(seed * n + i).choices(letters, k=5)) for i in range(n))
+    rows = [(said(k, "abcd", 60), "aa") for k in range(1, 20)] + [(said(k, "wxyz", 9000), "zz") for k in (1, 2)]
+    model = langid.learn_languages(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == ["aa", "zz"]
+    assert [x[0] for x in model.predict([said(77, "abcd", 30), said(77, "wxyz", 30)])] == ["aa", "zz"]
+
+
+def test_language_of_many_copies(spark):
+    own, other, copied = (["".join(random.Random(k).choices(x, k=6)) for k in range(40)] for x in ("abcd", "mnop", "wxyz"))
+    mixed = lambda seed, shares: " ".join(random.Random(seed).choice(random.Random(seed + 1).choices((own, other), shares)[0]) for seed in range(seed, seed + 50))
+    rows = [(mixed(100 * k, (1, 0)), "a") for k in range(30)] + [(" ".join(copied * 3), "a")] * 3000 + [(mixed(100 * k, (1, 5)), "b") for k in range(30)]
+    model = langid.learn_languages(spark.createDataFrame(rows, "text string, lang string"), most=4000)
+    assert [x[0] for x in model.predict([mixed(7777, (1, 0)), mixed(7777, (0, 1))])] == ["a", "b"]
+
+
 def test_exact(docs, empty):
     got = exactdup.exact_groups(docs).collect()
     assert len(got) == len(ROWS)

@@ -116,19 +116,31 @@ class LanguageModel:
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
     """Fit on a bounded sample of the rows given: about ``most`` texts a language, chosen by a hash of the text.
 
-    Rows of null language or text are left out.  Texts of more than LONGEST code points are not
-    sampled while there are others.  What reaches the driver is the table of n-grams of that sample.
+    Rows of null language or text are left out; copies of a text count once.  Texts of more than
+    LONGEST code points are not sampled while their language has others; where it has none, they are
+    cut into pieces of that length, which are sampled like texts.  What reaches the driver is the
+    table of n-grams of that sample.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    short = rows.filter(F.length("text") <= LONGEST)
-    sizes = {r["lang"]: r["n"] for r in short.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    mark = F.xxhash64(F.lit("langid"), "text")
+    counted_by = lambda df, *keys: df.groupBy(*keys).agg(F.countDistinct(mark).alias("n")).collect()
+    units = rows.filter(F.length("text") <= LONGEST)
+    found = counted_by(rows.withColumn("short", F.length("text") <= LONGEST), "lang", "short")
+    sizes = {r["lang"]: r["n"] for r in found if r["short"]}
+    long_only = sorted({r["lang"] for r in found} - sizes.keys())
+    if long_only:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / LONGEST).cast("int")), lambda k: F.substring("text", k * LONGEST + 1, F.lit(LONGEST)))
+        cut = rows.filter(F.col("lang").isin(long_only)).select("lang", F.explode(pieces).alias("text"))
+        sizes |= {r["lang"]: r["n"] for r in counted_by(cut, "lang")}
+        units = units.unionByName(cut)
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((1, 1), np.uint64), np.zeros(0))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, most / sizes[k])))])
     number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = short.filter(draw < share[F.col("lang")]).select(number[F.col("lang")].alias("k"), "text")
+    draw = F.pmod(mark, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = units.filter(draw < share[F.col("lang")]).select(number[F.col("lang")].alias("k"), mark.alias("_mark"), "text")
+    sample = drawn.groupBy("k", "_mark").agg(F.min("text").alias("text")).select("k", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
