@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.llm import linededup, mixing, neardup, packing, toxicity
-from weblens.llm.common import held_out, stage
+from weblens.llm.common import held_out, salted, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,10 +30,27 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8)."""
-    groups = neardup.near_groups(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct()
-    keys = docs["doc_id"].eqNullSafe(groups["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == groups["_check"])
-    return docs.join(groups.hint("shuffle_hash"), keys, "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates (five words, 0.8): that of the smallest id, text hash and row.
+
+    Texts without words are in no group, and all are kept.
+    """
+    rows = neardup.rooted_groups(docs, width=5, percent=80)
+    same = rows.groupBy("root", "doc_id", "check").agg(F.count("*").alias("n"))
+    first = same.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check", "n")).alias("_f"))
+    first = first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.check").alias("_check"), F.col("_f.n").alias("_n"))
+    wordless = same.filter("root is null").select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.lit(1).cast("long").alias("_n"))
+    groups = stage(first.unionByName(wordless), "pipeline-near-first")
+    check = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    keys = lambda left, right: left["doc_id"].eqNullSafe(right["_id"]) & (check == right["_check"])
+    once, again = groups.filter("_n = 1"), groups.filter("_n > 1")
+    kept = docs.join(once.hint("shuffle_hash"), keys(docs, once), "left_semi").select(*COLUMNS)
+    if again.limit(1).count():  # repeated rows: one of each, met first where they lie
+        salts = neardup.SALTS
+        dealt, repeated = docs.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")), salted(again, salts)
+        found = dealt.join(repeated.hint("shuffle_hash"), keys(dealt, repeated) & (dealt["_salt"] == repeated["_salt"]), "left_semi")
+        found = found.groupBy("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_check")).agg(F.min(F.struct(*COLUMNS)).alias("_m"))
+        kept = kept.unionByName(found.select("_m.*"))
+    return kept
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

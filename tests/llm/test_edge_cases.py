@@ -326,6 +326,19 @@ def test_toxicity_table_is_the_kernel_machine():
     assert sums[at] == pytest.approx(want, rel=1e-4)
 
 
+def test_pipeline_keeps_one_of_a_group(spark):
+    a, b, c = words(41, 80), words(42, 80), words(43, 80)
+    rows = [(1, a, "x"), (1, a, "y"), (1, a + " end", "x"), (2, "end " + a, "x")]  # repeated rows, a shared id, near copies
+    rows += [(None, b, "x"), (None, b + " end", "x"), (None, b, "x"), (None, c, "x")]  # two groups of null ids
+    rows += [(3, "", "x"), (3, None, "x"), (3, words(44, 80), "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert len([x for x in got if x[0] == 1]) == 1 and not [x for x in got if x[0] == 2]
+    null = [t for i, t in got if i is None]
+    assert len(null) == 2 and c in null
+    assert sorted((t for i, t in got if i == 3), key=str) == sorted(["", None, words(44, 80)], key=str)
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage on what the one before kept, against plain rules."""
     from tests_llm_brute import brute_components

@@ -401,6 +401,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     the smallest; a component of null ids alone has a null component_id.  Repeated rows share a
     component, and each row whose id is the component's is kept.
     """
+    return rooted_groups(docs, width, percent, id_col, text_col).drop("root")
+
+
+def rooted_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``near_groups`` with root: the same in all rows of a component whatever their ids, null for texts without shingles."""
     whole = stage(signatures(docs, width, id_col, text_col), "near-signatures")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "check"))
     nodes = whole.filter("node is not null").groupBy("node").agg(F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), first.alias("_r"))
@@ -464,10 +469,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     least = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stage(least, "near-roots")
     ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = least.join(ids, "root").select("node", "component_id")
+    named = least.join(ids, "root").select("node", "root", "component_id")
     linked = worded.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "check"), F.lit(4)).cast("int"))
-    linked = linked.join(salted(named, 4), ["node", "_salt"]).select("doc_id", "check", "n_shingles", "component_id")
-    alone = signed.filter("node is null").select("doc_id", "check", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = linked.join(salted(named, 4), ["node", "_salt"]).select("doc_id", "check", "n_shingles", "component_id", "root")
+    alone = signed.filter("node is null").select("doc_id", "check", "n_shingles", F.col("doc_id").alias("component_id"), F.col("node").alias("root"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
