@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,41 +18,48 @@ from weblens.llm.common import text_or_empty
 
 WINDOW = 4096
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 class WordIds(dict):
     """Token ids (little-endian unsigned 32-bit, as bytes) by white-space-free chunk of text.
 
     The vocabulary drops white space and no token goes on over it, so a text's ids are those of its
-    chunks, one after another.  Plain words of Latin letters go straight to the vocabulary's model;
-    all else goes through the whole tokenizer.
+    chunks, one after another.  Chunks of Latin letters, ASCII digits and marks fall into the
+    vocabulary's words (runs of letters, single digits, runs of marks), which go straight to its
+    model and are remembered; all else goes through the whole tokenizer.
     """
 
-    #: Latin letters that stay themselves under NFC and lower-case to one letter; then plain marks.
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+)([.,]*)")
+    #: Latin letters that stay themselves under NFC and lower-case to one letter; digits; marks but the apostrophe.
+    letters, marks = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž", r"!-&(-/:-@\[-`{-~"
+    plain = re.compile(f"[{letters}0-9{marks}]+")
+    words_of = re.compile(f"[{letters}]+|[0-9]|[{marks}]+")
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
         self.tokenizer, self.model, self.words = tokenizer, tokenizer.model, {}
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.bytes_of = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the letter by which the vocabulary shows each byte of UTF-8 in a longer letter's encoding
+        shown = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {}
+        for letter in map(chr, range(0xC0, 0x180)):
+            self.shown |= dict(zip(letter.encode(), shown.pre_tokenize_str(letter)[0][0]))
 
     def word(self, part: str) -> bytes:
         found = self.words.get(part)
         if found is None:
-            shown = part if part.isascii() else self.bytes_of.pre_tokenize_str(part)[0][0]
-            found = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.words[part] = found
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
+            found = self.words[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.plain.fullmatch(chunk)
-        if found:
-            ids = self.word(found[1].lower()) + (self.word(found[2]) if found[2] else b"")
+        if chunk.isascii() and chunk.isalpha():
+            ids = self.word(chunk.lower())
+        elif self.plain.fullmatch(chunk) and "<|" not in chunk:
+            ids = b"".join(map(self.word, self.words_of.findall(chunk.lower())))
         else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         self[chunk] = ids
         return ids
 
@@ -77,9 +86,9 @@ class SumOfSquares:
     """Online packer of one task.
 
     ``counts[h]`` is the number of open windows filled to level h.  A piece goes to the level (0: a
-    new window) after which the sum of squared counts is least; full windows leave.  ``finish`` cuts
-    the pieces of the windows still open into full windows and windows of power-of-two lengths, so
-    nothing is padded.
+    new window) after which the sum of squared counts is least; full windows leave.  ``finish`` fills the
+    windows still open with the pieces of the emptiest of them, so nothing is padded and all other
+    pieces stay where the rule put them.
     """
 
     def __init__(self, first_id: int, window: int = WINDOW) -> None:
@@ -121,22 +130,39 @@ class SumOfSquares:
             self.counts[level] += 1
 
     def finish(self) -> Iterator[list[tuple]]:
-        """The rest: open windows refilled in order, the last of them cut at powers of two."""
-        rest = [p for level in sorted(self.open) for pieces in self.open[level] for p in pieces]
-        left = sum(len(p[2]) for p in rest) // 4
-        room, pieces = self._next_length(left), []
-        for doc, start, ids, total in rest:
-            while ids:
-                part, ids = ids[: room * 4], ids[room * 4 :]
-                pieces.append((doc, start, part, total))
-                size = len(part) // 4
-                start, room, left = start + size, room - size, left - size
-                if not room:
-                    yield pieces
-                    room, pieces = self._next_length(left), []
-
-    def _next_length(self, left: int) -> int:
-        return self.window if left >= self.window else 1 << (left.bit_length() - 1) if left else 0
+        """The rest: the fullest open windows are filled up with what the emptiest hold, cut where they
+        are full; what then remains is less than a window and is cut at powers of two."""
+        left = deque((level, pieces) for level in sorted(self.open) for pieces in self.open[level])
+        given: deque = deque()
+        while left:
+            level, pieces = left.pop()
+            room = self.window - level
+            while room and (given or left):
+                if not given:
+                    given.extend(left.popleft()[1])
+                room -= self._move(given, pieces, room)
+            if room:
+                given.extend(pieces)
+                break
+            yield pieces
+        size = sum(len(p[2]) for p in given) // 4
+        while size:
+            room, pieces = 1 << (size.bit_length() - 1), []
+            size -= room
+            while room:
+                room -= self._move(given, pieces, room)
+            yield pieces
+
+    @staticmethod
+    def _move(given: deque, pieces: list[tuple], room: int) -> int:
+        """Move the first given piece, or as much of it as there is room for; tell how many tokens."""
+        doc, start, ids, total = given.popleft()
+        part, ids = ids[: room * 4], ids[room * 4 :]
+        size = len(part) // 4
+        pieces.append((doc, start, part, total))
+        if ids:
+            given.appendleft((doc, start + size, ids, total))
+        return size
 
     def rows(self, pieces: list[tuple]) -> Iterator[tuple]:
         at, number = 0, self.next_id
@@ -152,8 +178,10 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  Every partition of the input
     is packed by its own packer, so nothing is shuffled and a lost task is simply run again; its
-    sequences are numbered from partition * 2**33 on.  Null and empty texts are one end token; equal
-    or null ids and repeated rows are packed each; an empty table gives no rows.
+    sequences are numbered from partition * 2**33 on.  A text of more than ``window`` tokens is cut
+    into windows and a rest; one text at a time is held as ids, whatever its length.  Null and empty
+    texts are one end token; equal or null ids and repeated rows are packed each; other columns are
+    ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
