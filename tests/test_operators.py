@@ -102,10 +102,126 @@ def test_locate_wide_and_narrow_ranges(spark):
 
 
 def test_geo_join_is_no_nested_loop(spark, sf_dir):
-    plan = geo.locate(adapters.access_log(spark, sf_dir), adapters.ip_ranges(spark, sf_dir))._jdf.queryExecution().toString()
+    plan = geo.locate(adapters.access_log(spark, sf_dir), adapters.ip_ranges(spark, sf_dir), ranges6=adapters.ip6_ranges(spark, sf_dir))._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_ipv6_digits(spark):
+    import ipaddress
+
+    good = ["::", "::1", "2001:db8::1", "fe80::1:2", "2001:DB8:0:0:8:800:200C:417A", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8"]
+    bad = ["", "1.2.3.4", "1:2:3", ":::", "1::2::3", "g::1", "12345::", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "1:2:3:4:5:6:7:8:9", "1:2:3:4::5:6:7:8", None]
+    got = {r["a"]: r["h"] for r in spark.createDataFrame([(x,) for x in good + bad], "a string").select("a", E.ipv6_hex(F.col("a")).alias("h")).collect()}
+    assert got == {a: f"{int(ipaddress.IPv6Address(a)):032x}" for a in good} | dict.fromkeys(bad)
+
+
+def test_locate_ipv6(spark):
+    import ipaddress
+
+    def network(text, code):
+        n = ipaddress.IPv6Network(text)
+        return f"{int(n[0]):032x}", f"{int(n[-1]):032x}", code, code.lower()
+
+    ranges = spark.createDataFrame([], "start_ip long, end_ip long, code string, name string")
+    six = spark.createDataFrame([network(*x) for x in (("2001:db8::/32", "AA"), ("2001:db8:7::/48", "BB"), ("2001:db8:7:8::/64", "CC"), ("2400::/12", "DD"), ("2a00:1000::/24", "EE"))], "start_hex string, end_hex string, code string, name string")
+    want = {"2001:db8:1::9": "AA", "2001:db8:7::1": "BB", "2001:db8:7:8::1": "CC", "240f:ffff::1": "DD", "2410::1": "", "2a00:10ff::1": "EE", "2a00:1100::1": "", "fe80::1": "", "::1": "", "no": "", None: ""}
+    rows = spark.createDataFrame([(a,) for a in want], "addr string")
+    assert {r["addr"]: r["code"] for r in geo.locate(rows, ranges, ranges6=six).collect()} == want
+    mapped = spark.createDataFrame([(16777216, 16777299, "aa", "A")], "start_ip long, end_ip long, code string, name string")
+    assert geo.locate(spark.createDataFrame([("::ffff:1.0.0.5",)], "addr string"), mapped, ranges6=six).first()["code"] == "AA"
+
+
+def test_zero_filled_seconds(spark):
+    rows = requests(spark, [("h", 3598, "/", 200, 1.0, ""), ("h", 3603, "/", 404, 2.0, ""), ("late", 3604, "/", 200, 1.0, "")])
+    got = traffic.zero_filled(traffic.per_second(rows), traffic.first_seen(rows), 3605).orderBy("vhost", "sec").collect()
+    assert [(r["vhost"], r["sec"], r["requests"]) for r in got] == [("h", s, int(s in (3598, 3603))) for s in range(3598, 3606)] + [("late", 3604, 1), ("late", 3605, 0)]
+    last = traffic.zero_filled(traffic.per_second(rows), traffic.first_seen(rows), 3605, 3)
+    assert sorted((r["vhost"], r["sec"]) for r in last.collect()) == [("h", 3603), ("h", 3604), ("h", 3605), ("late", 3604), ("late", 3605)]
+
+
+def test_windows_by_days_are_windows_over_a_life(spark):
+    import random
+
+    rng = random.Random(4)
+    events = [("h", s, "/", 200, 0.1, "") for s in sorted(rng.sample(range(86400 - 100, 86400 + 100), 90))]
+    rows = requests(spark, events)
+    got = {r["sec"]: r["requests"] for r in traffic.trailing_counts(traffic.per_second(rows), ["requests"], 60).collect()}
+    assert got == {e[1]: sum(e[1] - 60 < x[1] <= e[1] for x in events) for e in events}
+    seen = traffic.first_seen(rows)
+    rates = {r["sec"]: r["rps"] for r in traffic.trailing_rates(traffic.per_second(rows), seen, 5).collect()}
+    assert rates == {e[1]: pytest.approx(sum(e[1] - 5 < x[1] <= e[1] for x in events) / min(5, e[1] - events[0][1] + 1)) for e in events}
+    visitors = {r["ts"]: r["visitors"] for r in sketches.trailing_visitors(rows.withColumn("addr", F.col("sec").cast("string"))).collect()}
+    slots = {e[1] - e[1] % 60 for e in events}
+    assert visitors == {t: sum(t - 240 <= x[1] < t + 60 for x in events) for t in slots}
+
+
+def test_stored_requests_are_the_classes_sum(spark):
+    rows = spark.createDataFrame([(5, 2, 1, 0, 0), (7, 0, 0, 0, 0), (0, 0, 0, 0, 0)], "requests long, s2xx long, s3xx long, s4xx long, s5xx long")
+    assert [r["requests"] for r in sinks.minute_rows(rows).collect()] == [3, 7, 0]
+    rated = rows.withColumn("rps", F.lit(0.99))
+    assert [r["requests"] for r in sinks.minute_rows(rated).collect()] == [3, 59, 59]
+
+
+def test_history_reads_only_its_days(spark, sf_dir):
+    from weblens.plans import catalog
+
+    df = catalog.history_all(spark, sf_dir)
+    assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len({line.split("Location")[1] for line in scans}) == 1 and all("PartitionFilters: [isnotnull(dt" in line and "events.parquet" not in line for line in scans)
+    union = catalog.tier_union(spark, sf_dir)
+    files = union.inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
+
+
+def test_country_stats_look_up_the_window_only(spark, sf_dir):
+    from weblens.plans import catalog
+
+    plan = catalog.country_stats(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    scans = plan.count("Relation [event_id")
+    assert scans == 3 and sum("Filter" in line and " div 20" in line for line in plan.splitlines()) == scans
+
+
+def test_merged_quantiles_of_sketches(spark):
+    rows = requests(spark, [("h", 60 * (v % 7), "/", 200, float(v), "") for v in range(1, 1001)])
+    q = sketches.merged_quantiles(sketches.minute_sketches(rows), "vhost").first()
+    assert q["latency_p50"] == pytest.approx(500_000, rel=0.05) and q["latency_p99"] == pytest.approx(990_000, rel=0.03) and q["latency_avg"] == pytest.approx(500_500)
+
+
+def test_rebucketed_tiers(spark):
+    columns = "ts long, vhost string, width int, requests long, latency_avg double, unique_visitors long"
+    rows = spark.createDataFrame([(0, "a", 60, 1, 1.0, 3), (60, "a", 60, 2, 3.0, 5), (3600, "a", 3600, 4, 2.0, 4), (86400, "a", 86400, 9, 1.0, 9)], columns)
+    got = sorted(tuple(r) for r in tiers.rebucketed(rows, 7200).select("ts", "vhost", "width", "requests", "latency_avg", "unique_visitors").collect())
+    assert got == [(0, "a", 7200, 7, 2.0, 5), (86400, "a", 86400, 9, 1.0, 9)]
+
+
+def test_snapshot_with_globals(spark):
+    import json
+
+    live = spark.createDataFrame([("b", 1.5), ("a", 2.0)], "vhost string, rps double")
+    row = sinks.snapshot_document(live, spark.createDataFrame([(7, 3)], "active long, waiting long"), 99).first()
+    assert row["vhosts"] == 2 and json.loads(row["document"]) == {"timestamp": 99, "global": {"active": 7, "waiting": 3}, "vhosts": {"a": {"rps": 2.0}, "b": {"rps": 1.5}}}
+    none = sinks.snapshot_document(live.limit(0), spark.createDataFrame([], "active long"), 99).first()
+    assert json.loads(none["document"])["vhosts"] == {} and "global" not in json.loads(none["document"])
+
+
+def test_islands_go_on_over_days(spark):
+    day = 86400
+    ticks = [(k * 5, k * 5 not in (day - 30, day + 40, 2 * day + 5)) for k in range((day - 60) // 5, (3 * day + 60) // 5)]
+    rows = spark.createDataFrame([("r", "h", "error_rate", 1.0, 10, ts, 2.0, 10, 5, b) for ts, b in ticks], "name string, vhost string, metric string, threshold double, duration int, ts long, value double, total long, errors long, breach boolean")
+    got = [(r["state"], r["ts"], r["started_at"]) for r in alerts.events(rows, 5, 20_000).orderBy("ts").collect()]
+    assert got == machine(ticks, 10, 20_000)
+    assert len(got) > 10
+
+
+def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(alerts, "MOST_RULES", 1)
+    rule = {"name": "a", "metric": "error_rate", "threshold": 5}
+    with pytest.raises(ValueError, match="rules"):
+        alerts.rules_table(spark, [rule, rule])
+
+
 def test_scan_reads_only_what_it_needs(spark, sf_dir):
     plan = traffic.per_second(traffic.classified(adapters.access_log(spark, sf_dir, True))).select("vhost", "sec", "requests")._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan.split("ReadSchema")[1]

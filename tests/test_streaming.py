@@ -55,3 +55,51 @@ def test_live_feed_hands_over_changes(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(x or 0 for x in seen) == parsers.parse_access_log(parsers.read_lines(spark, str(tmp_path / "in"))).count()
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    lines = lambda *at: [(f'{{"ts":"2024-01-01T00:{m:02d}:30Z","host":"h","status":200}}',) for m in at]
+    clean = lambda df: traffic.classified(traffic.clean(parsers.parse_access_log(df)))
+    progress = []
+    for batch in ([1, 2, 30], [3, 31], [40]):  # minute 3 comes when the watermark stands at 28
+        spark.createDataFrame(lines(*batch), "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+        stream = jobs.per_minute(clean(parsers.read_lines(spark, str(tmp_path / "in"), streaming=True)), "2 minutes")
+        query = drained(stream, tmp_path, "late")
+        progress += query.recentProgress
+    got = sorted((r["ts"] - 1704067200) // 60 for r in spark.read.parquet(str(tmp_path / "late")).collect())
+    assert 3 not in got and {1, 2, 30} <= set(got)
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in progress for op in (p["stateOperators"] if isinstance(p, dict) else p.stateOperators and [vars(o) | {"numRowsDroppedByWatermark": o.numRowsDroppedByWatermark} for o in p.stateOperators]))
+    assert dropped == 1
+
+
+def test_sliding_views_of_a_stream(spark, sf_dir, tmp_path):
+    log = adapters.access_log(spark, sf_dir, True).filter("event_id < 3000")
+    rows = traffic.classified(traffic.clean(log)).withColumn("ts", log["sec"].cast("timestamp"))
+    rows.repartitionByRange(3, "sec").sortWithinPartitions("sec").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = {}
+
+    def each(df, batch_id):
+        for r in df.collect():
+            seen[r["vhost"], r["sec"]] = (r["requests_5"], r["requests_60"], r["s4xx_60"], r["rps"])
+
+    query = jobs.sliding_views(stream, each, str(tmp_path / "seconds"), str(tmp_path / "cp"), windows=(5, 60), delay="400 days", trigger={"availableNow": True})
+    query.awaitTermination(300)
+    assert query.exception() is None
+    seconds = traffic.per_second(rows)
+    five, sixty = (traffic.trailing_counts(seconds, ["requests", "s4xx"], n) for n in (5, 60))
+    want = {(r["vhost"], r["sec"]): [r["requests"]] for r in five.collect()}
+    for r in sixty.collect():
+        want[r["vhost"], r["sec"]] += [r["requests"], r["s4xx"]]
+    last = max(s for _, s in want)
+    recent = {k: v for k, v in want.items() if k[1] > last - 60}
+    assert len(recent) > 100 and all(seen[k] == (v[0], v[1], v[2], v[0] / 5) for k, v in recent.items())
+
+
+def test_log_lines_of_files(spark, tmp_path):
+    """The source gives whole lines, in a batch and as a stream."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text('{"ts":"2024-01-01T00:00:00Z","host":"h"}\nnothing\n')
+    assert parsers.read_lines(spark, str(tmp_path / "in")).count() == 2
+    drained(parsers.read_lines(spark, str(tmp_path / "in"), streaming=True), tmp_path, "lines")
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "lines")).collect())[0] == "nothing"

@@ -104,21 +104,33 @@ def country_flag(code: Column) -> Column:
 
 
 def ipv4_number(addr: Column) -> Column:
-    """The address as a number, or null if it isn't four numbers up to 255."""
-    parts = F.split(addr, r"\.")
-    ok = addr.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$")
-    return F.when(ok, F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long")))
+    """The address as a number, or null if it isn't four numbers up to 255; IPv4 mapped into IPv6 is IPv4."""
+    plain = F.regexp_replace(F.lower(addr), r"^::ffff:(?=[0-9]+\.)", "")
+    ok = plain.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$")
+    return F.when(ok, F.aggregate(F.split(plain, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long")))
+
+
+def ipv6_hex(addr: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, which sort as the addresses do; null for whatever is none."""
+    low = F.lower(addr)
+    short = low.contains("::")
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    head = groups(F.when(short, F.substring_index(low, "::", 1)).otherwise(low))
+    tail = groups(F.when(short, F.substring_index(low, "::", -1)).otherwise(F.lit("")))
+    n = F.size(head) + F.size(tail)
+    ok = low.rlike("^[0-9a-f:]+$") & ~low.rlike(":::|::.*::|^:[^:]|[^:]:$|[0-9a-f]{5}") & F.when(short, n <= 7).otherwise(n == 8)
+    whole = F.concat(head, F.array_repeat(F.lit("0"), 8 - n), tail)
+    return F.when(ok, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
 
 
 def routable(addr: Column) -> Column:
     """False for loopback, private and link-local addresses and for whatever is no address."""
-    ip = ipv4_number(addr)
+    ip, six = ipv4_number(addr), ipv6_hex(addr)
     inside = lambda lo, hi: (ip >= lo) & (ip <= hi)
     # 10/8, 127/8, 169.254/16, 172.16/12, 192.168/16
     local = inside(167772160, 184549375) | inside(2130706432, 2147483647) | inside(2851995648, 2852061183) | inside(2886729728, 2887778303) | inside(3232235520, 3232301055)
-    low = F.lower(addr)
-    v6 = low.contains(":") & ~low.rlike("^(::1$|f[cd]|fe[89ab])")
-    return F.coalesce(F.when(ip.isNotNull(), ~local).otherwise(v6), F.lit(False))
+    # ::1, fc00::/7, fe80::/10
+    return F.coalesce(F.when(ip.isNotNull(), ~local).otherwise(~six.rlike("^(0{31}1$|f[cd]|fe[89ab])")), F.lit(False))
 
 
 def bucket_start(sec: Column, seconds: int) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from weblens.functions import expressions as E
 from weblens.operators.traffic import CLASSES, classes_total, error_rate
 
-TICK, COOLDOWN = 5, 600
+TICK, COOLDOWN, DAY = 5, 600, 86400
+#: Rules are configuration; a table of more than this many is refused, as it goes to every task.
+MOST_RULES = 10_000
 RULE_SCHEMA = "name string, vhost string, metric string, threshold double, duration int, min_requests long, min_errors long"
 
 
@@ -28,6 +30,8 @@ def seconds_of(text: str | int | None, default: int) -> int:
 
 def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules with defaults filled in: one minute, all vhosts, and for error rates 20 requests and 5 errors at least."""
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     rows = []
     for r in rules:
         rate = r["metric"] == "error_rate"
@@ -46,7 +50,12 @@ def tick_metrics(requests: DataFrame, tick: int = TICK) -> DataFrame:
     busy = requests.withColumn("ts", at).groupBy("vhost", "ts").agg(F.count("*").alias("requests"), *[F.sum(c).cast("long").alias(c) for c in CLASSES], F.avg("req_time").alias("_avg"), q.alias("_q"))
     firsts = requests.groupBy("vhost").agg(F.min("sec").alias("_first"), F.max(at).alias("_last"))
     ends = firsts.withColumn("_end", F.max("_last").over(Window.partitionBy()))  # over one row per vhost
-    grid = ends.withColumn("ts", F.explode(F.sequence((F.ceil(F.col("_first") / tick) * tick).cast("long"), F.col("_end"), F.lit(tick).cast("long")))).select("vhost", "_first", "ts")
+    # by days, so that no row holds all ticks of a vhost
+    start = (F.ceil(F.col("_first") / tick) * tick).cast("long")
+    step, day = F.lit(tick).cast("long"), F.lit(DAY).cast("long")
+    days = ends.withColumn("_day", F.explode(F.sequence(E.bucket_start(start, DAY), F.col("_end"), day)))
+    inside = F.sequence(F.greatest(start, (F.ceil(F.col("_day") / tick) * tick).cast("long")), F.least(F.col("_end"), F.col("_day") + DAY - 1), step)
+    grid = days.filter(F.greatest(start, (F.ceil(F.col("_day") / tick) * tick).cast("long")) <= F.least(F.col("_end"), F.col("_day") + DAY - 1)).withColumn("ts", F.explode(inside)).select("vhost", "_first", "ts")
     rows = grid.join(busy, ["vhost", "ts"], "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("requests", *CLASSES)}
     span = F.least(F.lit(tick), F.col("ts") - F.col("_first") + 1)
@@ -76,20 +85,44 @@ def breached() -> Column:
 def evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """(name, vhost, metric, ts, value, total, errors, breach ...) per rule and tick; rules of unknown vhosts have no rows.
 
-    The table of rules is configuration, a few rows long, and is broadcast.
+    The table of rules is configuration; up to MOST_RULES rows of it are broadcast, more are joined as they come.
     """
-    rows = metrics.join(F.broadcast(rules), "vhost")
+    few = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
+    rows = metrics.join(F.broadcast(rules) if few else rules, "vhost")
     rows = rows.withColumn("value", rule_value(F.col("metric"))).withColumn("total", classes_total()).withColumn("errors", F.col("s4xx") + F.col("s5xx"))
     rows = rows.withColumn("breach", breached())
     return rows.select("name", "vhost", "metric", "threshold", "duration", "ts", "value", "total", "errors", "breach")
 
 
+_DAY_OF = ("name", "vhost", "_day")
+
+
 def islands(evaluated: DataFrame) -> DataFrame:
-    """Evaluated ticks with the start of the breach that they are in (null outside)."""
-    order = Window.partitionBy("name", "vhost").orderBy("ts")
-    marked = evaluated.withColumn("_island", F.sum(F.when(F.col("breach"), 0).otherwise(1)).over(order))
-    since = F.min(F.when(F.col("breach"), F.col("ts"))).over(Window.partitionBy("name", "vhost", "_island"))
-    return marked.withColumn("since", F.when(F.col("breach"), since)).drop("_island")
+    """Evaluated ticks with the start of the breach that they are in (null outside), and the tick before with its own.
+
+    Ticks are put in order within days only; what goes on from the days before is carried over by a
+    table of one row per rule, vhost and day.
+    """
+    rows = evaluated.withColumn("_day", F.floor(F.col("ts") / DAY))
+    fine = F.when(~F.col("breach"), F.col("ts"))
+    order = Window.partitionBy(*_DAY_OF).orderBy("ts")
+    before = Window.partitionBy("name", "vhost").orderBy("_day")
+    days = rows.groupBy(*_DAY_OF).agg(F.max(fine).alias("_fine"), F.max("ts").alias("_last"), F.max_by("breach", "ts").alias("_open"))
+    days = days.withColumn("_fine_before", F.max("_fine").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    days = days.withColumn("_last_fine", F.coalesce("_fine", "_fine_before", F.lit(-1).cast("long")))
+    days = days.withColumns({"_last_before": F.lag("_last").over(before), "_open_before": F.lag("_open").over(before), "_after_before": F.lag("_last_fine").over(before)})
+    rows = rows.withColumn("_fine_here", F.max(fine).over(order)).join(days.select(*_DAY_OF, "_fine_before", "_last_before", "_open_before", "_after_before"), list(_DAY_OF))
+    # a breach is named by the last tick without one before it
+    rows = rows.withColumn("_after", F.coalesce("_fine_here", "_fine_before", F.lit(-1).cast("long")))
+    starts = rows.filter("breach").groupBy("name", "vhost", F.col("_after").alias("_of")).agg(F.min("ts").alias("_since"))
+    within = Window.partitionBy(*_DAY_OF).orderBy("ts")
+    rows = rows.withColumn("_prev_ts", F.coalesce(F.lag("ts").over(within), "_last_before"))
+    rows = rows.withColumn("_prev_after", F.when(F.coalesce(F.lag("breach").over(within), "_open_before"), F.coalesce(F.lag("_after").over(within), "_after_before")))
+    # the island of a tick in breach, or of the one before it
+    rows = rows.withColumn("_of", F.when(F.col("breach"), F.col("_after")).otherwise(F.col("_prev_after")))
+    rows = rows.join(starts, ["name", "vhost", "_of"], "left")
+    rows = rows.withColumn("since", F.when(F.col("breach"), F.col("_since"))).withColumn("_prev_since", F.when(F.col("_prev_after").isNotNull(), F.col("_since")))
+    return rows.select(*evaluated.columns, "since", "_prev_ts", "_prev_since")
 
 
 def _one_place(value: Column) -> Column:
@@ -103,8 +136,7 @@ def events(evaluated: DataFrame, tick: int = TICK, cooldown: int = COOLDOWN) ->
     rule's duration, then one every cooldown (both rounded up to ticks); the first tick without a
     breach after one that fired resolves, and tells when the last firing was.
     """
-    order = Window.partitionBy("name", "vhost").orderBy("ts")
-    rows = islands(evaluated).withColumn("_prev_ts", F.lag("ts").over(order)).withColumn("_prev_since", F.lag("since").over(order))
+    rows = islands(evaluated)
     wait = (F.ceil(F.col("duration") / tick) * tick).cast("long")
     again = math.ceil(cooldown / tick) * tick
     held = F.col("ts") - F.col("since")
@@ -114,6 +146,7 @@ def events(evaluated: DataFrame, tick: int = TICK, cooldown: int = COOLDOWN) ->
     last_fire = F.col("_prev_since") + wait + F.floor((lasted - wait) / again) * again
     state = F.when(firing, "firing").when(resolved, "resolved")
     found = rows.withColumn("state", state).filter("state is not null")
+    # fixed wording of messages and details
     message = F.when(
         F.col("state") == "firing",
         F.concat("name", F.lit(" breached threshold: "), _one_place(F.col("value")), F.lit(" (threshold: "), _one_place(F.col("threshold")), F.lit(")")),

@@ -9,15 +9,17 @@ from weblens.functions import expressions as E
 
 #: Addresses of a bucket: /24 networks.  A range wider than WIDE buckets is listed by /8 networks instead.
 NARROW, WIDE, COARSE = 256, 256, 1 << 24
+#: Digits that name a bucket of IPv6: /48 networks; a range wider than WIDE buckets is listed by /32, then by /16 networks.
+DIGITS = (12, 8, 4)
 
 
-def normal_ranges(ranges: DataFrame) -> DataFrame:
+def normal_ranges(ranges: DataFrame, start: str = "start_ip", end: str = "end_ip") -> DataFrame:
     """Upper-case codes, the registered country where there is none, the code where there is no name."""
     has = set(ranges.columns)
     reg = F.upper("reg_code") if "reg_code" in has else F.lit(None).cast("string")
     code = F.coalesce(F.nullif(F.upper("code"), F.lit("")), reg, F.lit(""))
     reg_name = F.col("reg_name") if "reg_name" in has else F.lit(None).cast("string")
-    return ranges.select("start_ip", "end_ip", code.alias("code"), F.coalesce(F.nullif(F.col("name"), F.lit("")), reg_name, code).alias("name"))
+    return ranges.select(start, end, code.alias("code"), F.coalesce(F.nullif(F.col("name"), F.lit("")), reg_name, code).alias("name"))
 
 
 def _bucketed(ranges: DataFrame) -> DataFrame:
@@ -27,17 +29,43 @@ def _bucketed(ranges: DataFrame) -> DataFrame:
     return listed
 
 
-def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr") -> DataFrame:
+def _found4(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(_addr, code, name) of IPv4 addresses: of several ranges the narrowest counts, then the lower code."""
+    numbers = addresses.withColumn("_ip", E.ipv4_number(F.col("_addr"))).filter("_ip is not null")
+    probe = lambda wide, width: F.struct(F.lit(wide).alias("_wide"), F.floor(F.col("_ip") / width).alias("_b"))
+    probes = numbers.withColumn("_probe", F.explode(F.array(probe(False, NARROW), probe(True, COARSE)))).select("_addr", "_ip", "_probe._wide", "_probe._b")
+    hits = probes.join(_bucketed(normal_ranges(ranges)), ["_wide", "_b"]).filter("_ip between start_ip and end_ip")
+    return hits.groupBy("_addr").agg(F.min(F.struct(F.col("end_ip") - F.col("start_ip"), "code", "name")).alias("_m")).select("_addr", "_m.code", "_m.name")
+
+
+def _prefix(digits, n: int):
+    return F.conv(F.substring(digits, 1, n), 16, 10).cast("long")
+
+
+def _found6(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(_addr, code, name) of IPv6 addresses: of several ranges the one that begins last counts, then the one that ends first, then the lower code."""
+    span = lambda n: _prefix("end_hex", n) - _prefix("start_hex", n)
+    level = F.when(span(DIGITS[0]) < WIDE, 0).when(span(DIGITS[1]) < WIDE, 1).otherwise(2)
+    ends = [F.coalesce(*[F.when(F.col("_level") == k, _prefix(c, n)) for k, n in enumerate(DIGITS)]) for c in ("start_hex", "end_hex")]
+    listed = normal_ranges(ranges, "start_hex", "end_hex").withColumn("_level", level).withColumn("_b", F.explode(F.sequence(*ends)))
+    numbers = addresses.withColumn("_hex", E.ipv6_hex(F.col("_addr"))).filter("_hex is not null")
+    probe = F.array(*[F.struct(F.lit(k).alias("_level"), _prefix("_hex", n).alias("_b")) for k, n in enumerate(DIGITS)])
+    probes = numbers.withColumn("_probe", F.explode(probe)).select("_addr", "_hex", "_probe._level", "_probe._b")
+    hits = probes.join(listed, ["_level", "_b"]).filter("_hex between start_hex and end_hex")
+    late = F.translate("start_hex", "0123456789abcdef", "fedcba9876543210")
+    return hits.groupBy("_addr").agg(F.min(F.struct(late, "end_hex", "code", "name")).alias("_m")).select("_addr", "_m.code", "_m.name")
+
+
+def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr", ranges6: DataFrame | None = None) -> DataFrame:
     """``requests`` with code and name: empty where no range holds the address.
 
-    Distinct addresses are looked up, by the /24 network and by the /8 network for wide ranges; then
-    they are joined back.  Of several ranges the narrowest counts, then the lower code.
+    Distinct addresses are looked up by the prefixes of the networks that ranges are listed by; then
+    they are joined back.  ``ranges`` has start_ip and end_ip as numbers, ``ranges6`` start_hex and
+    end_hex as 32 lower-case hexadecimal digits.
     """
-    addresses = requests.select(F.col(addr).alias("_addr")).distinct().filter(E.routable(F.col("_addr"))).withColumn("_ip", E.ipv4_number(F.col("_addr"))).filter("_ip is not null")
-    listed = _bucketed(normal_ranges(ranges))
-    probes = addresses.withColumn("_probe", F.explode(F.array(F.struct(F.lit(False).alias("_wide"), F.floor(F.col("_ip") / NARROW).alias("_b")), F.struct(F.lit(True).alias("_wide"), F.floor(F.col("_ip") / COARSE).alias("_b")))))
-    probes = probes.select("_addr", "_ip", "_probe._wide", "_probe._b")
-    hits = probes.join(listed, ["_wide", "_b"]).filter("_ip between start_ip and end_ip")
-    best = hits.groupBy("_addr").agg(F.min(F.struct(F.col("end_ip") - F.col("start_ip"), "code", "name")).alias("_m")).select("_addr", F.col("_m.code").alias("code"), F.col("_m.name").alias("name"))
-    joined = requests.join(best, requests[addr] == best["_addr"], "left").drop("_addr")
+    addresses = requests.select(F.col(addr).alias("_addr")).distinct().filter(E.routable(F.col("_addr")))
+    found = _found4(addresses, ranges)
+    if ranges6 is not None:
+        found = found.unionByName(_found6(addresses, ranges6))
+    joined = requests.join(found, requests[addr] == found["_addr"], "left").drop("_addr")
     return joined.withColumn("code", F.coalesce("code", F.lit(""))).withColumn("name", F.coalesce("name", F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import expressions as E
+from weblens.operators.traffic import in_days
 
 #: Log2 of registers of the distinct-count sketch: 12 for about 1.6 % error, 8 for the classic 6.5 %.
 LG_K = 12
@@ -29,12 +30,21 @@ def read_sketches(sketches: DataFrame) -> DataFrame:
     return sketches.select("ts", "vhost", "requests", F.hll_sketch_estimate("visitors").alias("unique_visitors"), (F.col("latency_sum") / F.col("requests") * 1000).alias("latency_avg"), *q)
 
 
+def merged_quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
+    """p50, p95, p99 and mean latency (ms) of each key from the sketches of its minutes: no value is kept."""
+    merged = sketches.groupBy(*keys).agg(F.sum("requests").alias("requests"), F.sum("latency_sum").alias("latency_sum"), F.expr("kll_merge_agg_double(latency)").alias("latency"))
+    q = [(F.expr(f"kll_sketch_get_quantile_double(latency, {p}D)") * 1000).alias(f"latency_p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
+    return merged.select(*keys, *q, (F.col("latency_sum") / F.col("requests") * 1000).alias("latency_avg"))
+
+
 def trailing_visitors(requests: DataFrame, slots: int = 5, slot_seconds: int = 60, lg_k: int = LG_K) -> DataFrame:
     """(vhost, ts, visitors): approximate distinct addresses of the ``slots`` slots that end with ts."""
     keyed = requests.withColumn("ts", E.bucket_start(F.col("sec"), slot_seconds))
     small = keyed.groupBy("vhost", "ts").agg(F.hll_sketch_agg("addr", lg_k).alias("_s"))
-    frame = Window.partitionBy("vhost").orderBy("ts").rangeBetween(-(slots - 1) * slot_seconds, 0)
-    return small.select("vhost", "ts", F.hll_sketch_estimate(F.hll_union_agg("_s").over(frame)).alias("visitors"))
+    back = (slots - 1) * slot_seconds
+    frame = Window.partitionBy("vhost", "_day").orderBy("ts").rangeBetween(-back, 0)
+    found = in_days(small, back, "ts").withColumn("visitors", F.hll_sketch_estimate(F.hll_union_agg("_s").over(frame)))
+    return found.filter("_own").select("vhost", "ts", "visitors")
 
 
 def trailing_visitors_exact(requests: DataFrame, slots: int = 5, slot_seconds: int = 60) -> DataFrame:
@@ -51,5 +61,6 @@ def heavy_hitters(requests: DataFrame, k: int = 10, exact: bool = True) -> DataF
         counted = requests.groupBy("vhost", "uri").agg(F.count("*").alias("requests"))
         order = Window.partitionBy("vhost").orderBy(F.col("requests").desc(), "uri")
         return counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
-    found = requests.groupBy("vhost").agg(F.expr(f"approx_top_k(uri, {k}, 10000)").alias("_t"))
-    return found.select("vhost", F.explode("_t").alias("_e")).select("vhost", F.col("_e.item").alias("uri"), F.col("_e.count").alias("requests"))
+    minutes = requests.groupBy("vhost", E.bucket_start(F.col("sec"), 60).alias("ts")).agg(F.expr("approx_top_k_accumulate(uri, 10000)").alias("_s"))
+    found = minutes.groupBy("vhost").agg(F.expr("approx_top_k_combine(_s, 10000)").alias("_s"))
+    return found.select("vhost", F.explode(F.expr(f"approx_top_k_estimate(_s, {k})")).alias("_e")).select("vhost", F.col("_e.item").alias("uri"), F.col("_e.count").alias("requests"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import expressions as E
-from weblens.operators.traffic import BUCKETS, CLIENTS, COUNTERS, classes_total, error_rate, top_per
+from weblens.operators.traffic import BUCKETS, CLIENTS, COUNTERS, classes_total, error_rate, merged_tops
 
 MINUTE, HOUR, DAY = 60, 3600, 86400
 #: Ages at which a tier's rows have passed on to the next.
@@ -51,6 +51,17 @@ def tier_union(minutes: DataFrame, hours: DataFrame, days: DataFrame, as_of: int
     return owned[0].unionByName(owned[1]).unionByName(owned[2])
 
 
+def rebucketed(union: DataFrame, width: int) -> DataFrame:
+    """A tier union as rows of one width, in seconds: rows of narrower buckets are rolled up, wider ones stay as they
+    are, as nothing is known inside them.  ``width`` tells each row's."""
+    wider = F.greatest(F.col("width"), F.lit(width))
+    keyed = union.withColumn("width", wider).withColumn("ts", F.col("ts") - F.pmod(F.col("ts"), F.col("width")))
+    counted = [c for c in COUNTERS if c in union.columns]
+    least = [c for c in ("latency_p95", "latency_p99", "unique_visitors") if c in union.columns]
+    means = [F.avg(c).alias(c) for c in ("latency_avg",) if c in union.columns]
+    return keyed.groupBy("ts", "vhost", "width").agg(*[F.sum(c).alias(c) for c in counted], *means, *[F.max(c).alias(c) for c in least])
+
+
 def series(rows: DataFrame, vhost: str, start: int, end: int, width: int) -> DataFrame:
     """(ts, rps, latency_p95, error_rate, bandwidth ...) of one vhost, or of ``all``, with both bounds inside."""
     inside = rows.filter(F.col("ts").between(start, end))
@@ -87,12 +98,20 @@ def history_paths(rows: DataFrame, vhost: str, start: int, end: int, n: int = 10
     if vhost not in ("", "all", "_all"):
         inside = inside.filter(F.col("vhost") == vhost)
     totals = inside.groupBy("vhost", "path").agg(*[F.sum(c).alias(c) for c in ("requests", "total_time", "s2xx")])
-    top = totals.orderBy(F.col("requests").desc(), "vhost", "path").limit(n)
+    return _path_columns(totals.orderBy(F.col("requests").desc(), "vhost", "path").limit(n), start, end)
+
+
+def _path_columns(top: DataFrame, start: int, end: int) -> DataFrame:
     return top.withColumn("avg_ms", F.col("total_time") / F.col("requests") * 1000).withColumn("ok_pct", E.ratio(F.col("s2xx"), F.col("requests"), 100.0)).withColumn("rps", F.col("requests") / F.lit(max(1, end - start)))
 
 
-def merged_history(countries: DataFrame, n: int = 10) -> DataFrame:
-    """All vhosts' ten first countries, summed up by code; the share is of all codes met."""
-    each = top_per(countries.groupBy("vhost", "code").agg(F.sum("requests").alias("requests")), n, ["vhost"], "requests", "code")
-    merged = each.groupBy("code").agg(F.sum("requests").alias("requests"))
-    return merged.withColumn("_all", F.sum("requests").over(Window.partitionBy())).withColumn("pct", E.ratio(F.col("requests"), F.col("_all"), 100.0)).drop("_all")
+def merged_history(countries: DataFrame, start: int, end: int, n: int = 10) -> DataFrame:
+    """All vhosts' ``n`` first countries of a time, summed up by code, and of these the ``n`` first; the share is of all codes met."""
+    inside = countries.filter(F.col("ts").between(start, end))
+    return merged_tops(inside.groupBy("vhost", "code").agg(F.sum("requests").alias("requests"), F.max("name").alias("name"), F.max("flag").alias("flag")), "requests", "code", n=n, share="pct")
+
+
+def merged_paths(paths: DataFrame, start: int, end: int, n: int = 10) -> DataFrame:
+    """Of all vhosts' ``n`` first paths of a time the ``n`` first: mean latency, share of 2xx, rate."""
+    inside = paths.filter(F.col("ts").between(start, end)).groupBy("vhost", "path").agg(*[F.sum(c).alias(c) for c in ("requests", "total_time", "s2xx")])
+    return _path_columns(merged_tops(inside, "requests", "vhost", "path", n=n), start, end)

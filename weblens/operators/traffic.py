@@ -51,13 +51,33 @@ def per_second(requests: DataFrame) -> DataFrame:
     return requests.groupBy("vhost", "sec").agg(F.sum("req_time").alias("latency_sum"), *counters())
 
 
-def live(seconds: DataFrame, as_of: int, window: int = 5) -> DataFrame:
-    """Rates of the last ``window`` seconds per vhost; a vhost seen before without requests now has zeros."""
-    inside = (F.col("sec") > as_of - window) & (F.col("sec") <= as_of)
-    sums = [F.sum(F.when(inside, F.col(c)).otherwise(0)).alias(c) for c in ("requests", "bytes_in", "bytes_out", *CLASSES)]
-    seen = seconds.filter(F.col("sec") <= as_of).groupBy("vhost").agg(F.min("sec").alias("_first"), *sums)
-    span = F.least(F.lit(window), F.lit(as_of) - F.col("_first") + 1)
-    return seen.select("vhost", (F.col("requests") / span).alias("rps"), error_rate().alias("error_rate"), "bytes_in", "bytes_out", *CLASSES)
+def first_seen(requests: DataFrame) -> DataFrame:
+    """(vhost, first, last): the seconds of the first and last request of every vhost.  A small table, to be kept."""
+    return requests.groupBy("vhost").agg(F.min("sec").alias("first"), F.max("sec").alias("last"))
+
+
+def zero_filled(seconds: DataFrame, seen: DataFrame, as_of: int, window: int | None = None) -> DataFrame:
+    """(vhost, sec, latency_sum, counters) for every second from a vhost's first on, or of the last ``window``; zeros
+    where there were no requests.  A vhost's seconds are listed by hours, so no row holds all of them."""
+    begin = F.col("first") if window is None else F.greatest(F.col("first"), F.lit(as_of - window + 1))
+    hour = F.explode(F.sequence(E.bucket_start(F.col("_begin"), 3600), F.lit(as_of).cast("long"), F.lit(3600).cast("long")))
+    hours = seen.select("vhost", begin.cast("long").alias("_begin")).filter(F.col("_begin") <= as_of).withColumn("_hour", hour)
+    second = F.explode(F.sequence(F.greatest("_begin", "_hour"), F.least(F.lit(as_of).cast("long"), F.col("_hour") + 3599)))
+    rows = hours.select("vhost", second.alias("sec")).join(seconds, ["vhost", "sec"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0).cast(t)) for c, t in rows.dtypes if c not in ("vhost", "sec")})
+
+
+def live(recent: DataFrame, seen: DataFrame, as_of: int, window: int = 5) -> DataFrame:
+    """Rates of the last ``window`` seconds per vhost; a vhost seen before without requests now has zeros.
+
+    ``recent`` need hold no more than those seconds; when vhosts were first seen is a table of its own.
+    """
+    sums = ("requests", "bytes_in", "bytes_out", *CLASSES)
+    now = trailing(recent, as_of, window).groupBy("vhost").agg(*[F.sum(c).alias(c) for c in sums])
+    rows = seen.filter(F.col("first") <= as_of).select("vhost", "first").join(now, "vhost", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in sums})
+    span = F.least(F.lit(window), F.lit(as_of) - F.col("first") + 1)
+    return rows.select("vhost", (F.col("requests") / span).alias("rps"), error_rate().alias("error_rate"), "bytes_in", "bytes_out", *CLASSES)
 
 
 def trailing(requests: DataFrame, as_of: int, window: int) -> DataFrame:
@@ -66,9 +86,14 @@ def trailing(requests: DataFrame, as_of: int, window: int) -> DataFrame:
 
 
 def quantiles(requests: DataFrame, *keys: str) -> DataFrame:
-    """Exact p50, p95, p99 and mean latency in milliseconds."""
-    q = F.percentile("req_time", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    grouped = requests.groupBy(*keys).agg(q.alias("_q"), F.avg("req_time").alias("_avg"))
+    """Exact p50, p95, p99 and mean latency in milliseconds.
+
+    Equal latencies are counted first, by latency, so what meets at a group is its different values
+    with their numbers; servers write latencies in milliseconds.
+    """
+    counted = requests.groupBy(*keys, "req_time").agg(F.count("*").alias("_n"))
+    q = F.percentile("req_time", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("_n"))
+    grouped = counted.groupBy(*keys).agg(q.alias("_q"), (F.sum(F.col("req_time") * F.col("_n")) / F.sum("_n")).alias("_avg"))
     return grouped.select(*keys, *[(F.col("_q")[k] * 1000).alias(n) for k, n in enumerate(("latency_p50", "latency_p95", "latency_p99"))], (F.col("_avg") * 1000).alias("latency_avg"))
 
 
@@ -124,32 +149,71 @@ def minute_countries(located: DataFrame) -> DataFrame:
     return grouped.withColumn("flag", E.country_flag(F.col("code")))
 
 
-def second_history(seconds: DataFrame, vhost: str, as_of: int, window: int = 3600) -> DataFrame:
-    """Per-second series of one vhost: requests, error %, bytes out, mean latency (ms)."""
-    own = seconds.filter((F.col("vhost") == vhost) & (F.col("sec") > as_of - window) & (F.col("sec") <= as_of))
-    return own.select("sec", "requests", error_rate().alias("error_rate"), "bytes_out", (F.col("latency_sum") / F.col("requests") * 1000).alias("latency_avg"), *CLASSES)
+def second_history(filled: DataFrame, vhost: str, as_of: int, window: int = 3600) -> DataFrame:
+    """Per-second series of one vhost from zero-filled seconds: requests, error %, bytes, mean latency (ms), counters."""
+    own = trailing(filled.filter(F.col("vhost") == vhost), as_of, window)
+    return own.select("sec", "requests", error_rate().alias("error_rate"), "bytes_in", "bytes_out", E.ratio(F.col("latency_sum"), F.col("requests"), 1000.0).alias("latency_avg"), *CLASSES, *CLIENTS, *BUCKETS)
+
+
+def second_summary(history: DataFrame, visitors: DataFrame, window: int = 3600) -> DataFrame:
+    """One row over a per-second series: totals, the error share of all requests, the mean of the busy seconds' mean latencies.
+
+    ``visitors`` has one row (visitors).
+    """
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS]
+    s = history.agg(*sums, F.coalesce(F.avg(F.when(F.col("requests") > 0, F.col("latency_avg"))), F.lit(0.0)).alias("latency_avg"))
+    s = s.withColumn("avg_rps", F.col("requests") / F.lit(window)).withColumn("error_rate", E.ratio(F.col("s4xx") + F.col("s5xx"), F.col("requests"), 100.0))
+    return s.withColumn("_k", F.lit(1)).join(visitors.select("visitors", F.lit(1).alias("_k")), "_k").drop("_k")
+
 
+def all_seconds(filled: DataFrame) -> DataFrame:
+    """All vhosts' series as one, by time: requests and bytes add up, of the mean latencies the largest counts."""
+    latency = E.ratio(F.col("latency_sum"), F.col("requests"), 1000.0)
+    sums = [F.sum(c).alias(c) for c in ("requests", "bytes_in", "bytes_out", *CLASSES, *CLIENTS, *BUCKETS)]
+    return filled.withColumn("_latency", latency).groupBy("sec").agg(*sums, F.max("_latency").alias("latency_avg")).withColumn("error_rate", error_rate())
 
-def second_summary(history: DataFrame, window: int = 3600) -> DataFrame:
-    """Totals over a per-second series; the error share is of all requests; latency is the mean of the seconds' means."""
-    s = history.agg(F.sum("requests").alias("requests"), F.sum("bytes_out").alias("bytes_out"), F.sum(F.col("s4xx") + F.col("s5xx")).alias("errors"), F.avg("latency_avg").alias("latency_avg"))
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("requests", "bytes_out", "errors", "latency_avg")}
-    s = s.withColumns(zero)
-    return s.withColumn("avg_rps", F.col("requests") / F.lit(window)).withColumn("error_rate", E.ratio(F.col("errors"), F.col("requests"), 100.0))
 
+def all_summary(series: DataFrame, visitors: DataFrame, window: int = 3600) -> DataFrame:
+    """One row for all vhosts: totals, rate, the error share of the classes' sum; ``visitors`` has a row per vhost, which add up."""
+    s = series.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+    s = s.withColumn("avg_rps", F.col("requests") / F.lit(window)).withColumn("error_rate", error_rate()).withColumn("_k", F.lit(1))
+    return s.join(visitors.agg(F.coalesce(F.sum("visitors"), F.lit(0)).alias("visitors")).withColumn("_k", F.lit(1)), "_k").drop("_k")
 
-def trailing_rates(seconds: DataFrame, window: int = 5) -> DataFrame:
-    """For every second with requests, the rate of the ``window`` seconds that end with it."""
-    frame = Window.partitionBy("vhost").orderBy("sec").rangeBetween(-(window - 1), 0)
-    first = F.min("sec").over(Window.partitionBy("vhost"))
-    span = F.least(F.lit(window), F.col("sec") - first + 1)
-    return seconds.select("vhost", "sec", (F.sum("requests").over(frame) / span).alias("rps"))
+
+def merged_tops(rows: DataFrame, by: str, *ties: str, n: int = 10, share: str | None = None) -> DataFrame:
+    """Of the vhosts' ``n`` first rows each, the ``n`` first; with ``share`` each one's part of all of them in percent."""
+    each = top_per(rows, n, ["vhost"], by, ties[-1])
+    if share:
+        each = each.groupBy(*ties).agg(*[F.sum(c).alias(c) for c in {by, "rps"} & set(each.columns)], *[F.max(c).alias(c) for c in ("name", "flag") if c in each.columns])
+        each = each.withColumn(share, E.ratio(F.col(by), F.sum(by).over(Window.partitionBy()), 100.0))  # over n rows a vhost at most
+    return each.orderBy(F.col(by).desc(), *ties).limit(n)
+
+
+DAY = 86400
+
+
+def in_days(rows: DataFrame, back: int, sec: str = "sec") -> DataFrame:
+    """Rows with _day, the day they are worked on in, and _own: false for those of the ``back`` seconds before it.
+
+    A window over (vhost, _day) then sees what a window over a vhost's whole life would, a day a task.
+    """
+    day = F.explode(F.sequence(F.floor(F.col(sec) / DAY), F.floor((F.col(sec) + back) / DAY)))
+    return rows.withColumn("_day", day).withColumn("_own", F.col("_day") == F.floor(F.col(sec) / DAY))
+
+
+def trailing_rates(seconds: DataFrame, seen: DataFrame, window: int = 5) -> DataFrame:
+    """For every second given, the rate of the ``window`` seconds that end with it; ``seen`` tells each vhost's first."""
+    frame = Window.partitionBy("vhost", "_day").orderBy("sec").rangeBetween(-(window - 1), 0)
+    sums = in_days(seconds.select("vhost", "sec", "requests"), window - 1).withColumn("_sum", F.sum("requests").over(frame)).filter("_own")
+    rows = sums.join(seen.select("vhost", "first"), "vhost")
+    return rows.select("vhost", "sec", (F.col("_sum") / F.least(F.lit(window), F.col("sec") - F.col("first") + 1)).alias("rps"))
 
 
 def trailing_counts(seconds: DataFrame, columns: list[str], window: int) -> DataFrame:
-    """For every second with requests, sums of the columns over the ``window`` seconds that end with it."""
-    frame = Window.partitionBy("vhost").orderBy("sec").rangeBetween(-(window - 1), 0)
-    return seconds.select("vhost", "sec", *[F.sum(c).over(frame).alias(c) for c in columns])
+    """For every second given, sums of the columns over the ``window`` seconds that end with it."""
+    frame = Window.partitionBy("vhost", "_day").orderBy("sec").rangeBetween(-(window - 1), 0)
+    rows = in_days(seconds.select("vhost", "sec", *columns), window - 1)
+    return rows.select("vhost", "sec", "_own", *[F.sum(c).over(frame).alias(c) for c in columns]).filter("_own").drop("_own")
 
 
 def latest_points(series: DataFrame, n: int = 60, key: str = "vhost", ts: str = "ts") -> DataFrame:
@@ -159,12 +223,28 @@ def latest_points(series: DataFrame, n: int = 60, key: str = "vhost", ts: str =
 
 
 def all_mean(live_rows: DataFrame) -> DataFrame:
-    """All vhosts as one for alerts and the terminal: sums, and the mean of the vhosts' latencies."""
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rps", "bytes_in", "bytes_out", *CLASSES)]
+    """All vhosts as one for alerts and the terminal: sums (visitors too, where given), and the mean of the vhosts' latencies."""
+    summed = ("rps", "bytes_in", "bytes_out", *CLASSES, *[c for c in ("visitors",) if c in live_rows.columns])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed]
     means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("latency_avg", "latency_p50", "latency_p95", "latency_p99")]
     return live_rows.agg(*sums, *means).withColumn("error_rate", error_rate())
 
 
+def shares(live_rows: DataFrame, clients: DataFrame) -> DataFrame:
+    """Per vhost the share of each status class, of each client class (``clients`` has their counts), of the busiest
+    vhost's rate and of all requests.  Windows over all rows are over one row per vhost."""
+    every, total = Window.partitionBy(), classes_total()
+    rows = live_rows.join(clients.select("vhost", *CLIENTS), "vhost", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in CLIENTS})
+    visits = sum((F.col(c) for c in CLIENTS[1:]), F.col(CLIENTS[0]))
+    return rows.select(
+        "vhost",
+        *[E.ratio(F.col(c), total, 100.0).alias(f"{c}_pct") for c in CLASSES],
+        *[E.ratio(F.col(c), visits, 100.0).alias(f"{c}_pct") for c in CLIENTS],
+        E.ratio(F.col("rps"), F.max("rps").over(every), 100.0).alias("of_busiest"),
+        E.ratio(total, F.sum(total).over(every), 100.0).alias("of_all"),
+    )
+
+
 def all_weighted(live_rows: DataFrame) -> DataFrame:
     """All vhosts as one for the web view: error share weighted by rate, percentiles by maximum, mean latency weighted by
     rate (weight 1 where the rate is 0) over the vhosts that have one."""

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from weblens.functions import expressions as E
 from weblens.operators import alerts, geo, sketches, tiers, traffic
 from weblens.plans import sql as Q
-from weblens.sources import adapters, parsers, sinks
+from weblens.sources import adapters, parsers, sinks, store
 
 IGNORE_HOSTS, IGNORE_PATHS = [" SHOP.example.com "], ["/healthz"]
-#: Ends of windows: of the sparse log and of the dense one.
-AS_OF, DENSE_AS_OF = 1706655600, 1704067680
+#: The time at which history over the sparse log ends; windows over the dense one end with its last request.
+AS_OF = 1706655600
 COOLDOWN, DASHBOARD = 20, "https://dash.example.com"
 RULES = [
     ("High errors", "all", "error_rate", 10, 10, 20, 5),
@@ -49,8 +49,37 @@ def requests(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame
     return traffic.classified(traffic.clean(adapters.access_log(spark, sf_dir, dense)))
 
 
-def located(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return geo.locate(requests(spark, sf_dir, dense), adapters.ip_ranges(spark, sf_dir), "raw_addr")
+def located(spark: SparkSession, sf_dir: str, dense: bool = False, window: int | None = None) -> DataFrame:
+    """Requests with their country; with ``window`` only the last seconds' addresses are looked up."""
+    rows = requests(spark, sf_dir, dense)
+    if window:
+        rows = traffic.trailing(rows, now(spark, sf_dir), window)
+    return geo.locate(rows, adapters.ip_ranges(spark, sf_dir), "raw_addr", adapters.ip6_ranges(spark, sf_dir))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> store.Store:
+    return store.Store(spark, sf_dir, "events.parquet", "nation.parquet")
+
+
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vhost, first, last) of the dense log, kept."""
+    return stored(spark, sf_dir).table("seen", lambda: traffic.first_seen(requests(spark, sf_dir, True)))
+
+
+def now(spark: SparkSession, sf_dir: str) -> int:
+    """The time of the dense log's last request."""
+    return seen(spark, sf_dir).agg(F.max("last")).first()[0]
+
+
+def recent(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
+    """Requests of the last ``window`` seconds of the dense log."""
+    return traffic.trailing(requests(spark, sf_dir, True), now(spark, sf_dir), window)
+
+
+def filled(spark: SparkSession, sf_dir: str, window: int | None = None) -> DataFrame:
+    """Zero-filled seconds of the dense log, all or the last ``window``."""
+    rows = recent(spark, sf_dir, window) if window else requests(spark, sf_dir, True)
+    return traffic.zero_filled(traffic.per_second(rows), seen(spark, sf_dir), now(spark, sf_dir), window)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -119,21 +148,24 @@ def _lat(where: str) -> str:
     return f"SELECT vhost, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in traffic.BUCKETS)} FROM req WHERE {where} GROUP BY vhost"
 
 
-@query(Q.base(True) + _lat(f"sec > {DENSE_AS_OF - 3600} AND sec <= {DENSE_AS_OF}"))
+@query(Q.base(True) + _lat(Q.within(3600)))
 def latency_histogram(spark, sf_dir):
-    rows = traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 3600)
+    rows = recent(spark, sf_dir, 3600)
     return rows.groupBy("vhost").agg(*[F.sum(c).cast("long").alias(c) for c in traffic.BUCKETS])
 
 
-@query(Q.base(True) + _lat(f"sec > {DENSE_AS_OF - 60} AND sec <= {DENSE_AS_OF}"))
+@query(Q.base(True) + _lat(Q.within(60)))
 def latency_histogram_minute(spark, sf_dir):
-    rows = traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60)
+    rows = recent(spark, sf_dir, 60)
     return rows.groupBy("vhost").agg(*[F.sum(c).cast("long").alias(c) for c in traffic.BUCKETS])
 
 
-@query(Q.base(True) + f"SELECT vhost, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in traffic.CLIENTS)} FROM req WHERE sec > {DENSE_AS_OF - 60} AND sec <= {DENSE_AS_OF} GROUP BY vhost")
+@query(Q.base(True) + f"SELECT vhost, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in traffic.CLIENTS)} FROM req WHERE {Q.within(60)} GROUP BY vhost")
 def client_segments(spark, sf_dir):
-    rows = traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60)
+    return _clients(recent(spark, sf_dir, 60))
+
+
+def _clients(rows):
     return rows.groupBy("vhost").agg(*[F.sum(c).cast("long").alias(c) for c in traffic.CLIENTS])
 
 
@@ -168,23 +200,30 @@ def per_second(spark, sf_dir):
     return rounded(traffic.per_second(requests(spark, sf_dir, True)), "latency_sum")
 
 
-_IN5 = f"sec > {DENSE_AS_OF - 5} AND sec <= {DENSE_AS_OF}"
+@query(Q.base(True, Q.SECONDS, Q.FILLED) + "SELECT * REPLACE (round(latency_sum, 6) AS latency_sum) FROM filled")
+def per_second_filled(spark, sf_dir):
+    return rounded(filled(spark, sf_dir), "latency_sum")
+
+
 _LIVE = (
-    "live AS (SELECT vhost, requests / least(5, " + str(DENSE_AS_OF) + f" - f + 1) AS rps, {Q.ERROR} AS error_rate, bytes_in, bytes_out, s2xx, s3xx, s4xx, s5xx FROM (SELECT vhost, min(sec) AS f, "
-    + ", ".join(f"CAST(sum(CASE WHEN {_IN5} THEN {c} ELSE 0 END) AS BIGINT) AS {c}" for c in ("requests", "bytes_in", "bytes_out", *traffic.CLASSES))
-    + f" FROM seconds WHERE sec <= {DENSE_AS_OF} GROUP BY vhost))"
+    f"live AS (SELECT vhost, requests / least(5, {Q.NOW} - f + 1) AS rps, {Q.ERROR} AS error_rate, bytes_in, bytes_out, s2xx, s3xx, s4xx, s5xx FROM (SELECT vhost, min(sec) AS f, "
+    + ", ".join(f"CAST(sum(CASE WHEN {Q.within(5)} THEN {c} ELSE 0 END) AS BIGINT) AS {c}" for c in ("requests", "bytes_in", "bytes_out", *traffic.CLASSES))
+    + " FROM seconds GROUP BY vhost))"
 )
-_QUANT = f"quant AS (SELECT vhost, {Q.ms(0.5)} AS latency_p50, {Q.ms(0.95)} AS latency_p95, {Q.ms(0.99)} AS latency_p99, round(avg(req_time) * 1000, 6) AS latency_avg FROM req WHERE sec <= {DENSE_AS_OF} GROUP BY vhost)"
+_QUANT = f"quant AS (SELECT vhost, {Q.ms(0.5)} AS latency_p50, {Q.ms(0.95)} AS latency_p95, {Q.ms(0.99)} AS latency_p99, round(avg(req_time) * 1000, 6) AS latency_avg FROM req GROUP BY vhost)"
+
+
+def _live(spark, sf_dir):
+    return traffic.live(traffic.per_second(recent(spark, sf_dir, 5)), seen(spark, sf_dir), now(spark, sf_dir))
 
 
 @query(Q.base(True, Q.SECONDS, _LIVE) + f"SELECT * REPLACE ({r('rps', 'error_rate')}) FROM live")
 def live_metrics(spark, sf_dir):
-    return rounded(traffic.live(traffic.per_second(requests(spark, sf_dir, True)), DENSE_AS_OF), "rps", "error_rate")
+    return rounded(_live(spark, sf_dir), "rps", "error_rate")
 
 
 def _quantiles(spark, sf_dir):
-    rows = requests(spark, sf_dir, True).filter(F.col("sec") <= DENSE_AS_OF)
-    return rounded(traffic.quantiles(rows, "vhost"), "latency_p50", "latency_p95", "latency_p99", "latency_avg")
+    return rounded(traffic.quantiles(requests(spark, sf_dir, True), "vhost"), "latency_p50", "latency_p95", "latency_p99", "latency_avg")
 
 
 @query(Q.base(True, _QUANT) + "SELECT * FROM quant")
@@ -192,16 +231,33 @@ def latency_quantiles(spark, sf_dir):
     return _quantiles(spark, sf_dir)
 
 
+_RANKS = ", ".join(f"true AS p{p}_close" for p in (50, 95, 99))
+
+
+@query(Q.base(True) + f"SELECT vhost, count(*) AS requests, {_RANKS} FROM req GROUP BY vhost")
+def latency_quantiles_sketch(spark, sf_dir):
+    """Quantiles over a vhost's life from the merged sketches of its minutes, and whether the rank of each is within 2 % of the one asked for."""
+    rows = requests(spark, sf_dir, True)
+    found = sketches.merged_quantiles(sketches.minute_sketches(rows), "vhost")
+    ranked = rows.groupBy("vhost", "req_time").agg(F.count("*").alias("n")).join(found, "vhost").withColumn("ms", F.col("req_time") * 1000)
+    close = []
+    for p in (50, 95, 99):
+        at = F.col(f"latency_p{p}")
+        below, upto = F.sum(F.when(F.col("ms") < at, F.col("n")).otherwise(0)), F.sum(F.when(F.col("ms") <= at, F.col("n")).otherwise(0))
+        total = F.sum("n")
+        close.append(((below <= (p / 100 + 0.02) * total + 1) & (upto >= (p / 100 - 0.02) * total - 1)).alias(f"p{p}_close"))
+    return ranked.groupBy("vhost").agg(F.sum("n").alias("requests"), *close)
+
+
 @query(Q.base(True) + "SELECT vhost, count(DISTINCT addr) AS visitors FROM req GROUP BY vhost")
 def visitors_exact(spark, sf_dir):
     return requests(spark, sf_dir, True).groupBy("vhost").agg(F.countDistinct("addr").alias("visitors"))
 
 
-@query(Q.base(True) + "SELECT vhost, true AS close FROM req GROUP BY vhost")
+@query(Q.base(True) + "SELECT vhost, count(DISTINCT raw_addr) AS visitors FROM req GROUP BY vhost")
 def visitors_hll(spark, sf_dir):
-    """Whether the sketch is within a tenth of the exact number."""
-    rows = requests(spark, sf_dir, True).groupBy("vhost").agg(F.hll_sketch_estimate(F.hll_sketch_agg("raw_addr", sketches.LG_K)).alias("about"), F.countDistinct("raw_addr").alias("exact"))
-    return rows.select("vhost", (F.abs(F.col("about") - F.col("exact")) <= F.col("exact") * 0.1 + 1).alias("close"))
+    """What the sketch says of whole addresses: on few of them it is exact."""
+    return requests(spark, sf_dir, True).groupBy("vhost").agg(F.hll_sketch_estimate(F.hll_sketch_agg("raw_addr", sketches.LG_K)).alias("visitors"))
 
 
 @query(
@@ -212,18 +268,29 @@ def visitors_trailing(spark, sf_dir):
     return sketches.trailing_visitors_exact(requests(spark, sf_dir, True))
 
 
-@query()
+@query(
+    Q.base(True)
+    + ", once AS (SELECT DISTINCT vhost, sec // 60 * 60 AS ts, addr FROM req), seen AS (SELECT vhost, unnest(generate_series(ts, ts + 240, 60)) AS ts, addr FROM once) SELECT vhost, ts, count(DISTINCT addr) AS visitors FROM seen SEMI JOIN (SELECT DISTINCT vhost, ts FROM once) USING (vhost, ts) GROUP BY ALL"
+)
 def visitors_trailing_hll(spark, sf_dir):
     return sketches.trailing_visitors(requests(spark, sf_dir, True))
 
 
-@query()
+def _disc(q: float) -> str:
+    return f"round(quantile_disc(req_time, {q}) * 1000, 6)"
+
+
+@query(
+    Q.base(False)
+    + f"SELECT sec // 3600 * 3600 AS ts, vhost, count(*) AS requests, count(DISTINCT addr) AS unique_visitors, round(avg(req_time) * 1000, 6) AS latency_avg, {_disc(0.5)} AS latency_p50, {_disc(0.95)} AS latency_p95, {_disc(0.99)} AS latency_p99 FROM req GROUP BY ALL"
+)
 def minute_sketches(spark, sf_dir):
-    """Hour rows read from merged sketches of minutes."""
-    return sketches.read_sketches(sketches.merged_sketches(sketches.minute_sketches(requests(spark, sf_dir)), 3600))
+    """Hour rows read from merged sketches of minutes.  On an hour of few requests the sketches are exact."""
+    rows = sketches.read_sketches(sketches.merged_sketches(sketches.minute_sketches(requests(spark, sf_dir)), 3600))
+    return rounded(rows, "latency_avg", "latency_p50", "latency_p95", "latency_p99")
 
 
-_IN60 = f"sec > {DENSE_AS_OF - 60} AND sec <= {DENSE_AS_OF}"
+_IN60 = Q.within(60)
 
 
 @query(
@@ -231,7 +298,7 @@ _IN60 = f"sec > {DENSE_AS_OF - 60} AND sec <= {DENSE_AS_OF}"
     + f"SELECT * FROM (SELECT vhost, uri, count(*) AS count, round(sum(req_time), 6) AS total_time, CAST(sum(s2xx) AS BIGINT) AS s2xx, round(count(*) / 60, 6) AS rps, round(sum(req_time) / count(*) * 1000, 6) AS avg_ms, round(sum(s2xx) / count(*) * 100, 6) AS ok_pct FROM req WHERE {_IN60} GROUP BY vhost, uri) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY count DESC, uri) <= 10"
 )
 def path_stats(spark, sf_dir):
-    rows = traffic.path_stats(traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60), 60, "vhost")
+    rows = traffic.path_stats(recent(spark, sf_dir, 60), 60, "vhost")
     return rounded(traffic.top_per(rows, 10, ["vhost"], "count", "uri"), "total_time", "rps", "avg_ms", "ok_pct")
 
 
@@ -240,13 +307,13 @@ def path_stats(spark, sf_dir):
     + f", c AS (SELECT vhost, code, count(*) AS count, max(name) AS name FROM located WHERE {_IN60} AND code <> '' GROUP BY ALL) SELECT vhost, code, count, name, round(count / 60, 6) AS rps, round(count / sum(count) OVER (PARTITION BY vhost) * 100, 6) AS pct, {Q.FLAG} AS flag FROM c QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY count DESC, code) <= 10"
 )
 def country_stats(spark, sf_dir):
-    rows = traffic.country_stats(traffic.trailing(located(spark, sf_dir, True), DENSE_AS_OF, 60), 60, "vhost")
+    rows = traffic.country_stats(located(spark, sf_dir, True, 60), 60, "vhost")
     return rounded(traffic.top_per(rows, 10, ["vhost"], "count", "code"), "rps", "pct")
 
 
 @query(Q.base(True) + f"SELECT vhost, uri, count(*) AS count, round(count(*) / 60, 6) AS rps FROM req WHERE {_IN60} GROUP BY ALL ORDER BY count DESC, vhost, uri LIMIT 10")
 def top_paths_global(spark, sf_dir):
-    rows = traffic.path_stats(traffic.trailing(requests(spark, sf_dir, True), DENSE_AS_OF, 60), 60, "vhost")
+    rows = traffic.path_stats(recent(spark, sf_dir, 60), 60, "vhost")
     return rounded(rows.select("vhost", "uri", "count", "rps"), "rps").orderBy(F.col("count").desc(), "vhost", "uri").limit(10)
 
 
@@ -255,27 +322,113 @@ def heavy_hitters(spark, sf_dir):
     return sketches.heavy_hitters(requests(spark, sf_dir, True))
 
 
-@query()
+@query(
+    Q.base(True)
+    + "SELECT vhost, row_number() OVER (PARTITION BY vhost ORDER BY requests DESC) AS place, requests FROM (SELECT vhost, uri, count(*) AS requests FROM req GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY requests DESC) <= 10"
+)
 def heavy_hitters_sketch(spark, sf_dir):
-    return sketches.heavy_hitters(requests(spark, sf_dir, True), exact=False)
+    """The numbers of requests of the ten most requested paths from merged sketches of minutes; which of equally requested paths are among them is left open."""
+    from pyspark.sql import Window
+
+    rows = sketches.heavy_hitters(requests(spark, sf_dir, True), exact=False)
+    return rows.select("vhost", F.row_number().over(Window.partitionBy("vhost").orderBy(F.col("requests").desc())).alias("place"), "requests")
 
 
 _API = "api.example.com"
-_SECOND = f"history AS (SELECT sec, requests, {Q.ERROR} AS error_rate, bytes_out, latency_sum / requests * 1000 AS latency_avg, s2xx, s3xx, s4xx, s5xx FROM seconds WHERE vhost = '{_API}' AND sec > {DENSE_AS_OF - 3600} AND sec <= {DENSE_AS_OF})"
+_ALL_COUNTERS = [*traffic.CLASSES, *traffic.CLIENTS, *traffic.BUCKETS]
+_MEAN = "CASE WHEN requests > 0 THEN latency_sum / requests * 1000 ELSE 0.0 END AS latency_avg"
+_SECOND = f"history AS (SELECT sec, requests, {Q.ERROR} AS error_rate, bytes_in, bytes_out, {_MEAN}, {', '.join(_ALL_COUNTERS)} FROM filled WHERE vhost = '{_API}' AND {Q.within(3600)})"
+_SINCE5 = f"sec // 60 * 60 > {Q.NOW} // 60 * 60 - 300"
+_VISITS = f"visits AS (SELECT vhost, count(DISTINCT addr) AS visitors FROM req WHERE {_SINCE5} GROUP BY vhost)"
+
 
+def _visits(spark, sf_dir):
+    """(vhost, visitors): distinct addresses of the five one-minute slots that end now."""
+    rows = requests(spark, sf_dir, True).withColumn("_slot", E.bucket_start(F.col("sec"), 60))
+    at = now(spark, sf_dir)
+    return rows.filter(F.col("_slot") > at - at % 60 - 300).groupBy("vhost").agg(F.countDistinct("addr").alias("visitors"))
 
-@query(Q.base(True, Q.SECONDS, _SECOND) + f"SELECT * REPLACE ({r('error_rate', 'latency_avg')}) FROM history")
+
+@query(Q.base(True, Q.SECONDS, Q.FILLED, _SECOND) + f"SELECT * REPLACE ({r('error_rate', 'latency_avg')}) FROM history")
 def second_history(spark, sf_dir):
-    return rounded(traffic.second_history(traffic.per_second(requests(spark, sf_dir, True)), _API, DENSE_AS_OF), "error_rate", "latency_avg")
+    return rounded(traffic.second_history(filled(spark, sf_dir, 3600), _API, now(spark, sf_dir)), "error_rate", "latency_avg")
+
+
+_TOTALS = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in traffic.COUNTERS)
 
 
 @query(
-    Q.base(True, Q.SECONDS, _SECOND)
-    + ", s AS (SELECT CAST(coalesce(sum(requests), 0) AS BIGINT) AS requests, CAST(coalesce(sum(bytes_out), 0) AS BIGINT) AS bytes_out, CAST(coalesce(sum(s4xx + s5xx), 0) AS BIGINT) AS errors, round(coalesce(avg(latency_avg), 0), 6) AS latency_avg FROM history) SELECT *, round(requests / 3600, 6) AS avg_rps, round(CASE WHEN requests > 0 THEN errors / requests * 100 ELSE 0.0 END, 6) AS error_rate FROM s"
+    Q.base(True, Q.SECONDS, Q.FILLED, _SECOND, _VISITS)
+    + f", s AS (SELECT {_TOTALS}, round(coalesce(avg(latency_avg) FILTER (requests > 0), 0), 6) AS latency_avg FROM history) SELECT *, (SELECT visitors FROM visits WHERE vhost = '{_API}') AS visitors, round(requests / 3600, 6) AS avg_rps, round(CASE WHEN requests > 0 THEN (s4xx + s5xx) / requests * 100 ELSE 0.0 END, 6) AS error_rate FROM s"
 )
 def second_summary(spark, sf_dir):
-    history = traffic.second_history(traffic.per_second(requests(spark, sf_dir, True)), _API, DENSE_AS_OF)
-    return rounded(traffic.second_summary(history), "latency_avg", "avg_rps", "error_rate")
+    history = traffic.second_history(filled(spark, sf_dir, 3600), _API, now(spark, sf_dir))
+    visits = _visits(spark, sf_dir).filter(F.col("vhost") == _API)
+    return rounded(traffic.second_summary(history, visits), "latency_avg", "avg_rps", "error_rate")
+
+
+def _paths_sql(window: int) -> str:
+    return f"paths AS (SELECT vhost, uri, count(*) AS count, round(sum(req_time), 6) AS total_time, CAST(sum(s2xx) AS BIGINT) AS s2xx, round(count(*) / {window}, 6) AS rps, round(sum(req_time) / count(*) * 1000, 6) AS avg_ms, round(sum(s2xx) / count(*) * 100, 6) AS ok_pct FROM req WHERE {Q.within(window)} GROUP BY vhost, uri)"
+
+
+_FIRST_PATHS = "first_paths AS (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY count DESC, uri) <= 10)"
+
+
+def _paths(spark, sf_dir, window):
+    return rounded(traffic.path_stats(recent(spark, sf_dir, window), window, "vhost"), "total_time", "rps", "avg_ms", "ok_pct")
+
+
+@query(Q.base(True, _paths_sql(3600), _FIRST_PATHS) + f"SELECT * FROM first_paths WHERE vhost = '{_API}'")
+def second_summary_paths(spark, sf_dir):
+    """The first ten paths that go with ``second_summary``."""
+    return traffic.top_per(_paths(spark, sf_dir, 3600).filter(F.col("vhost") == _API), 10, ["vhost"], "count", "uri")
+
+
+_HOUR_COUNTRIES = f"countries AS (SELECT vhost, code, count(*) AS count, max(name) AS name, round(count(*) / 3600, 6) AS rps FROM located WHERE {Q.within(3600)} AND code <> '' GROUP BY ALL), first_countries AS (SELECT *, count / sum(count) OVER (PARTITION BY vhost) * 100 AS pct, {Q.FLAG} AS flag FROM countries QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY count DESC, code) <= 10)"
+
+
+@query(Q.base(True, Q.LOCATED, _HOUR_COUNTRIES) + f"SELECT * REPLACE (round(pct, 6) AS pct) FROM first_countries WHERE vhost = '{_API}'")
+def second_summary_countries(spark, sf_dir):
+    """The first ten countries that go with ``second_summary``."""
+    rows = traffic.country_stats(located(spark, sf_dir, True, 3600).filter(F.col("vhost") == _API), 3600, "vhost")
+    return rounded(traffic.top_per(rows, 10, ["vhost"], "count", "code"), "rps", "pct")
+
+
+_SERIES = f"series AS (SELECT sec, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('requests', 'bytes_in', 'bytes_out', *_ALL_COUNTERS))}, max(CASE WHEN requests > 0 THEN latency_sum / requests * 1000 ELSE 0.0 END) AS latency_avg FROM filled WHERE {Q.within(3600)} GROUP BY sec)"
+
+
+@query(Q.base(True, Q.SECONDS, Q.FILLED, _SERIES) + f"SELECT sec, requests, bytes_out, round(latency_avg, 6) AS latency_avg, round({Q.ERROR}, 6) AS error_rate FROM series")
+def second_history_all(spark, sf_dir):
+    rows = traffic.all_seconds(filled(spark, sf_dir, 3600))
+    return rounded(rows.select("sec", "requests", "bytes_out", "latency_avg", "error_rate"), "latency_avg", "error_rate")
+
+
+@query(
+    Q.base(True, Q.SECONDS, Q.FILLED, _SERIES, _VISITS)
+    + f", s AS (SELECT {_TOTALS} FROM series) SELECT *, (SELECT CAST(sum(visitors) AS BIGINT) FROM visits) AS visitors, round(requests / 3600, 6) AS avg_rps, round({Q.ERROR}, 6) AS error_rate FROM s"
+)
+def second_summary_all(spark, sf_dir):
+    return rounded(traffic.all_summary(traffic.all_seconds(filled(spark, sf_dir, 3600)), _visits(spark, sf_dir)), "avg_rps", "error_rate")
+
+
+@query(
+    Q.base(True, Q.LOCATED, _HOUR_COUNTRIES)
+    + f", m AS (SELECT code, CAST(sum(count) AS BIGINT) AS count, round(sum(count / 3600), 6) AS rps, max(name) AS name, max(flag) AS flag FROM first_countries GROUP BY code), p AS (SELECT *, round(count / sum(count) OVER () * 100, 6) AS pct FROM m) SELECT * FROM p ORDER BY count DESC, code LIMIT 10"
+)
+def second_summary_all_countries(spark, sf_dir):
+    rows = traffic.country_stats(located(spark, sf_dir, True, 3600), 3600, "vhost").drop("pct")
+    return rounded(traffic.merged_tops(rows, "count", "code", share="pct"), "rps", "pct")
+
+
+@query(Q.base(True, _paths_sql(3600), _FIRST_PATHS) + "SELECT * FROM first_paths ORDER BY count DESC, vhost, uri LIMIT 10")
+def second_summary_all_paths(spark, sf_dir):
+    return traffic.merged_tops(_paths(spark, sf_dir, 3600), "count", "vhost", "uri")
+
+
+@query(Q.base(True, _paths_sql(60), _FIRST_PATHS) + "SELECT * FROM first_paths ORDER BY rps DESC, vhost, uri LIMIT 10")
+def terminal_paths(spark, sf_dir):
+    """All vhosts' first paths of the last minute, ranked anew by rate."""
+    return traffic.merged_tops(_paths(spark, sf_dir, 60), "rps", "vhost", "uri")
 
 
 @query(Q.base() + "SELECT DISTINCT vhost FROM req")
@@ -283,37 +436,47 @@ def vhosts(spark, sf_dir):
     return requests(spark, sf_dir).select("vhost").distinct()
 
 
+_VISIT_SUM = " + ".join(traffic.CLIENTS)
+_SHARES = ", ".join(
+    [f"round(CASE WHEN {Q.TOTAL} > 0 THEN {c} / {Q.TOTAL} * 100 ELSE 0.0 END, 6) AS {c}_pct" for c in traffic.CLASSES]
+    + [f"round(CASE WHEN ({_VISIT_SUM}) > 0 THEN {c} / ({_VISIT_SUM}) * 100 ELSE 0.0 END, 6) AS {c}_pct" for c in traffic.CLIENTS]
+)
+
+
 @query(
     Q.base(True, Q.SECONDS, _LIVE)
-    + f"SELECT vhost, round(CASE WHEN {Q.TOTAL} > 0 THEN s2xx / {Q.TOTAL} * 100 ELSE 0.0 END, 6) AS ok_pct, round(rps / max(rps) OVER () * 100, 6) AS of_busiest, round((s2xx + s3xx + s4xx + s5xx) / sum({Q.TOTAL}) OVER () * 100, 6) AS of_all FROM live"
+    + f", clients AS (SELECT vhost, {', '.join(f'CAST(sum(CASE WHEN {Q.within(60)} THEN {c} ELSE 0 END) AS BIGINT) AS {c}' for c in traffic.CLIENTS)} FROM req GROUP BY vhost) "
+    f"SELECT vhost, {_SHARES}, round(rps / max(rps) OVER () * 100, 6) AS of_busiest, round({Q.TOTAL} / sum({Q.TOTAL}) OVER () * 100, 6) AS of_all FROM live JOIN clients USING (vhost)"
 )
 def traffic_share(spark, sf_dir):
-    """One row per vhost, of which there are at most as many as the cap allows: a window over all of them is small."""
-    from pyspark.sql import Window
-
-    every, total = Window.partitionBy(), traffic.classes_total()
-    rows = traffic.live(traffic.per_second(requests(spark, sf_dir, True)), DENSE_AS_OF)
-    share = rows.select("vhost", E.ratio(F.col("s2xx"), total, 100.0).alias("ok_pct"), (F.col("rps") / F.max("rps").over(every) * 100).alias("of_busiest"), (total / F.sum(total).over(every) * 100).alias("of_all"))
-    return rounded(share, "ok_pct", "of_busiest", "of_all")
+    """Status classes of the last five seconds, client classes of the last minute, and vhosts among each other."""
+    rows = traffic.shares(_live(spark, sf_dir), _clients(recent(spark, sf_dir, 60)))
+    return rounded(rows, *[c for c in rows.columns if c != "vhost"])
 
 
 @query(
-    Q.base(True, Q.SECONDS)
-    + "SELECT vhost, sec, round(sum(requests) OVER (PARTITION BY vhost ORDER BY sec RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) / least(5, sec - min(sec) OVER (PARTITION BY vhost) + 1), 6) AS rps FROM seconds"
+    Q.base(True, Q.SECONDS, Q.FILLED)
+    + "SELECT vhost, sec, round(sum(requests) OVER (PARTITION BY vhost ORDER BY sec RANGE BETWEEN 4 PRECEDING AND CURRENT ROW) / least(5, sec - min(sec) OVER (PARTITION BY vhost) + 1), 6) AS rps FROM filled"
 )
 def rps_trailing(spark, sf_dir):
-    return rounded(traffic.trailing_rates(traffic.per_second(requests(spark, sf_dir, True))), "rps")
+    return rounded(traffic.trailing_rates(filled(spark, sf_dir), seen(spark, sf_dir)), "rps")
 
 
 _COUNTED = [*traffic.CLIENTS, *traffic.BUCKETS]
 
 
-@query(
-    Q.base(True, Q.SECONDS)
-    + f"SELECT vhost, sec, {', '.join(f'CAST(sum({c}) OVER w AS BIGINT) AS {c}' for c in _COUNTED)} FROM seconds WINDOW w AS (PARTITION BY vhost ORDER BY sec RANGE BETWEEN 59 PRECEDING AND CURRENT ROW)"
-)
+def _trailing_sql(window: int) -> str:
+    return Q.base(True, Q.SECONDS, Q.FILLED) + f"SELECT vhost, sec, {', '.join(f'CAST(sum({c}) OVER w AS BIGINT) AS {c}' for c in _COUNTED)} FROM filled WINDOW w AS (PARTITION BY vhost ORDER BY sec RANGE BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+
+
+@query(_trailing_sql(60))
 def trailing_counters(spark, sf_dir):
-    return traffic.trailing_counts(traffic.per_second(requests(spark, sf_dir, True)), _COUNTED, 60)
+    return traffic.trailing_counts(filled(spark, sf_dir), _COUNTED, 60)
+
+
+@query(_trailing_sql(3600))
+def trailing_counters_hour(spark, sf_dir):
+    return traffic.trailing_counts(filled(spark, sf_dir), _COUNTED, 3600)
 
 
 @query(Q.base(False, Q.minutes()) + "SELECT vhost, ts, requests, latency_p95 FROM minutes QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY ts DESC) <= 60")
@@ -327,8 +490,7 @@ _BOTH = "whole AS (SELECT * FROM live JOIN quant USING (vhost))"
 
 
 def _live_whole(spark, sf_dir):
-    rows = requests(spark, sf_dir, True)
-    return traffic.live(traffic.per_second(rows), DENSE_AS_OF).join(_quantiles(spark, sf_dir), "vhost")
+    return _live(spark, sf_dir).join(_quantiles(spark, sf_dir), "vhost")
 
 
 _FOUR = ("latency_avg", "latency_p50", "latency_p95", "latency_p99")
@@ -343,6 +505,17 @@ def all_mean(spark, sf_dir):
     return rows.withColumns({c: F.round(c, 5) for c in _FOUR})
 
 
+@query(
+    Q.base(True, Q.SECONDS, _LIVE, _QUANT, _VISITS, "whole AS (SELECT *, coalesce(visitors, 0) AS v FROM live JOIN quant USING (vhost) LEFT JOIN visits USING (vhost))")
+    + f", s AS (SELECT round(sum(rps), 6) AS rps, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('bytes_in', 'bytes_out', *traffic.CLASSES))}, CAST(sum(v) AS BIGINT) AS visitors, {', '.join(f'round(avg({c}), 5) AS {c}' for c in _FOUR)} FROM whole) SELECT *, round({Q.ERROR}, 6) AS error_rate FROM s"
+)
+def all_terminal(spark, sf_dir):
+    """All vhosts as the terminal shows them: with their visitors; the paths are ``terminal_paths``."""
+    whole = _live_whole(spark, sf_dir).join(_visits(spark, sf_dir), "vhost", "left").withColumn("visitors", F.coalesce("visitors", F.lit(0)))
+    rows = rounded(traffic.all_mean(whole), "rps", "error_rate")
+    return rows.withColumns({c: F.round(c, 5) for c in _FOUR})
+
+
 @query(
     Q.base(True, Q.SECONDS, _LIVE, _QUANT, _BOTH)
     + "SELECT round(sum(rps), 6) AS rps, round(sum(error_rate * rps) / sum(rps), 6) AS error_rate, max(latency_p50) AS latency_p50, max(latency_p95) AS latency_p95, max(latency_p99) AS latency_p99, round(sum(latency_avg * CASE WHEN rps > 0 THEN rps ELSE 1 END) FILTER (latency_avg > 0) / sum(CASE WHEN rps > 0 THEN rps ELSE 1 END) FILTER (latency_avg > 0), 5) AS latency_avg FROM whole"
@@ -356,13 +529,18 @@ def all_weighted(spark, sf_dir):
 _MS = ("latency_avg", "latency_p50", "latency_p95", "latency_p99")
 
 
-def _minutes(spark, sf_dir):
-    return traffic.minute_metrics(requests(spark, sf_dir))
+def _computed_minutes(spark, sf_dir):
+    return rounded(sinks.minute_rows(traffic.minute_metrics(requests(spark, sf_dir))), *_MS)
+
+
+def _minutes(spark, sf_dir, start=None, end=None):
+    """The minute tier as it is stored."""
+    return stored(spark, sf_dir).tier("vhosts", "minute", lambda: _computed_minutes(spark, sf_dir), start, end)
 
 
 @query(Q.base(False, Q.minutes()) + "SELECT * FROM minutes")
 def minute_metrics(spark, sf_dir):
-    return rounded(_minutes(spark, sf_dir), *_MS)
+    return _computed_minutes(spark, sf_dir)
 
 
 @query(Q.base(False, Q.MINUTE_PATHS) + "SELECT * REPLACE (round(total_time, 6) AS total_time) FROM minute_paths")
@@ -375,12 +553,12 @@ def minute_countries(spark, sf_dir):
     return sinks.country_rows(traffic.minute_countries(located(spark, sf_dir)))
 
 
-def _hours(spark, sf_dir):
-    return tiers.rollup(rounded(_minutes(spark, sf_dir), *_MS), tiers.HOUR)
+def _hours(spark, sf_dir, start=None, end=None):
+    return stored(spark, sf_dir).tier("vhosts", "hour", lambda: tiers.rollup(_minutes(spark, sf_dir), tiers.HOUR), start, end)
 
 
-def _days(spark, sf_dir):
-    return tiers.rollup(_hours(spark, sf_dir), tiers.DAY)
+def _days(spark, sf_dir, start=None, end=None):
+    return stored(spark, sf_dir).tier("vhosts", "day", lambda: tiers.rollup(_hours(spark, sf_dir), tiers.DAY), start, end)
 
 
 _TIERS = (Q.minutes(), Q.rolled("minutes", "hours", 3600), Q.rolled("hours", "days", 86400))
@@ -389,36 +567,52 @@ _LESS = "* REPLACE (round(latency_avg, 5) AS latency_avg)"
 
 @query(Q.base(False, *_TIERS[:2]) + f"SELECT {_LESS} FROM hours")
 def rollup_1h(spark, sf_dir):
-    return rounded(_hours(spark, sf_dir), "latency_p95", "latency_p99").withColumn("latency_avg", F.round("latency_avg", 5))
+    """Rolled up from the stored minutes."""
+    return rounded(tiers.rollup(_minutes(spark, sf_dir), tiers.HOUR), "latency_p95", "latency_p99").withColumn("latency_avg", F.round("latency_avg", 5))
 
 
 @query(Q.base(False, *_TIERS) + f"SELECT {_LESS} FROM days")
 def rollup_1d(spark, sf_dir):
-    return rounded(_days(spark, sf_dir), "latency_p95", "latency_p99").withColumn("latency_avg", F.round("latency_avg", 5))
+    """Rolled up from the stored hours."""
+    return rounded(tiers.rollup(_hours(spark, sf_dir), tiers.DAY), "latency_p95", "latency_p99").withColumn("latency_avg", F.round("latency_avg", 5))
 
 
 _PATH_TIERS = (Q.MINUTE_PATHS, Q.rollup_paths("minute_paths", "hour_paths", 3600), Q.rollup_paths("hour_paths", "day_paths", 86400))
 
 
-def _day_paths(spark, sf_dir):
-    return tiers.rollup_paths(tiers.rollup_paths(traffic.minute_paths(requests(spark, sf_dir)), tiers.HOUR), tiers.DAY)
+def _hour_paths(spark, sf_dir):
+    minutes = lambda: sinks.path_rows(traffic.minute_paths(requests(spark, sf_dir)))
+    s = stored(spark, sf_dir)
+    return s.tier("paths", "hour", lambda: tiers.rollup_paths(s.tier("paths", "minute", minutes), tiers.HOUR))
+
+
+def _day_paths(spark, sf_dir, start=None, end=None):
+    return stored(spark, sf_dir).tier("paths", "day", lambda: tiers.rollup_paths(_hour_paths(spark, sf_dir), tiers.DAY), start, end)
 
 
 @query(Q.base(False, *_PATH_TIERS) + "SELECT * REPLACE (round(total_time, 6) AS total_time) FROM day_paths")
 def rollup_paths(spark, sf_dir):
-    return rounded(_day_paths(spark, sf_dir), "total_time")
+    """Rolled up from the stored hours, and these from the stored minutes."""
+    return rounded(tiers.rollup_paths(_hour_paths(spark, sf_dir), tiers.DAY), "total_time")
 
 
 _COUNTRY_TIERS = (Q.LOCATED, Q.MINUTE_COUNTRIES, Q.rollup_countries("minute_countries", "hour_countries", 3600), Q.rollup_countries("hour_countries", "day_countries", 86400))
 
 
-def _day_countries(spark, sf_dir):
-    return tiers.rollup_countries(tiers.rollup_countries(traffic.minute_countries(located(spark, sf_dir)), tiers.HOUR), tiers.DAY)
+def _hour_countries(spark, sf_dir):
+    minutes = lambda: sinks.country_rows(traffic.minute_countries(located(spark, sf_dir)))
+    s = stored(spark, sf_dir)
+    return s.tier("countries", "hour", lambda: tiers.rollup_countries(s.tier("countries", "minute", minutes), tiers.HOUR))
+
+
+def _day_countries(spark, sf_dir, start=None, end=None):
+    return stored(spark, sf_dir).tier("countries", "day", lambda: tiers.rollup_countries(_hour_countries(spark, sf_dir), tiers.DAY), start, end)
 
 
 @query(Q.base(False, *_COUNTRY_TIERS) + "SELECT * FROM day_countries")
 def rollup_countries(spark, sf_dir):
-    return _day_countries(spark, sf_dir)
+    """Rolled up from the stored hours, and these from the stored minutes."""
+    return tiers.rollup_countries(_hour_countries(spark, sf_dir), tiers.DAY)
 
 
 _CUTS = tiers.cuts(AS_OF)
@@ -429,7 +623,7 @@ _CUTS = tiers.cuts(AS_OF)
     + f"SELECT 'minute' AS tier, ts, vhost, requests FROM minutes WHERE ts >= {_CUTS['minute']} UNION ALL SELECT 'hour', ts, vhost, requests FROM hours WHERE ts >= {_CUTS['hour']} UNION ALL SELECT 'day', ts, vhost, requests FROM days WHERE ts >= {_CUTS['day']}"
 )
 def retention(spark, sf_dir):
-    parts = {"minute": _minutes(spark, sf_dir), "hour": _hours(spark, sf_dir), "day": _days(spark, sf_dir)}
+    parts = {tier: read(spark, sf_dir, _CUTS[tier]) for tier, read in (("minute", _minutes), ("hour", _hours), ("day", _days))}
     kept = [tiers.retained(df, tier, AS_OF).select(F.lit(tier).alias("tier"), "ts", "vhost", "requests") for tier, df in parts.items()]
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
@@ -440,7 +634,9 @@ _UNION = (
 
 
 def _union(spark, sf_dir):
-    return tiers.tier_union(rounded(_minutes(spark, sf_dir), *_MS), _hours(spark, sf_dir), _days(spark, sf_dir), AS_OF)
+    """Of each tier only the days that it owns are read."""
+    at = _CUTS
+    return tiers.tier_union(_minutes(spark, sf_dir, at["minute"]), _hours(spark, sf_dir, at["hour"], at["minute"] - 1), _days(spark, sf_dir, at["day"], at["hour"] - 1), AS_OF)
 
 
 @query(Q.base(False, *_TIERS, _UNION) + "SELECT ts, vhost, width, requests, bytes_out, latency_p95, unique_visitors FROM tiers")
@@ -448,6 +644,19 @@ def tier_union(spark, sf_dir):
     return rounded(_union(spark, sf_dir).select("ts", "vhost", "width", "requests", "bytes_out", "latency_p95", "unique_visitors"), "latency_p95")
 
 
+_ASKED = 21600
+
+
+@query(
+    Q.base(False, *_TIERS, _UNION)
+    + f"SELECT ts - ts % w AS ts, vhost, w AS width, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, max(latency_p95) AS latency_p95, max(unique_visitors) AS unique_visitors FROM (SELECT *, greatest(width, {_ASKED}) AS w FROM tiers) GROUP BY ALL"
+)
+def tier_union_rebucketed(spark, sf_dir):
+    """The tiers as one, in buckets of six hours; what only days are known of stays in days."""
+    rows = tiers.rebucketed(_union(spark, sf_dir), _ASKED)
+    return rounded(rows.select("ts", "vhost", "width", "requests", "bytes_out", "latency_p95", "unique_visitors"), "latency_p95")
+
+
 _WEEK = AS_OF - E.range_seconds("7d")
 _POINT = "ts, requests, round(requests / 3600, 6) AS rps, latency_p95, round(" + Q.ERROR + ", 6) AS error_rate, bytes_out"
 
@@ -458,7 +667,7 @@ def _points(df):
 
 @query(Q.base(False, *_TIERS[:2]) + f"SELECT {_POINT} FROM hours WHERE vhost = '{_API}' AND ts BETWEEN {_WEEK} AND {AS_OF}")
 def history_vhost(spark, sf_dir):
-    return _points(tiers.series(_hours(spark, sf_dir), _API, _WEEK, AS_OF, tiers.HOUR))
+    return _points(tiers.series(_hours(spark, sf_dir, _WEEK, AS_OF), _API, _WEEK, AS_OF, tiers.HOUR))
 
 
 _ALL = f"every AS (SELECT ts, {Q.SUMS}, avg(latency_avg) AS latency_avg, max(latency_p95) AS latency_p95, max(latency_p99) AS latency_p99, CAST(sum(unique_visitors) AS BIGINT) AS unique_visitors FROM hours WHERE ts BETWEEN {_WEEK} AND {AS_OF} GROUP BY ts)"
@@ -466,7 +675,7 @@ _ALL = f"every AS (SELECT ts, {Q.SUMS}, avg(latency_avg) AS latency_avg, max(lat
 
 @query(Q.base(False, *_TIERS[:2], _ALL) + f"SELECT {_POINT} FROM every")
 def history_all(spark, sf_dir):
-    return _points(tiers.series(_hours(spark, sf_dir), "all", _WEEK, AS_OF, tiers.HOUR))
+    return _points(tiers.series(_hours(spark, sf_dir, _WEEK, AS_OF), "all", _WEEK, AS_OF, tiers.HOUR))
 
 
 @query(
@@ -474,7 +683,7 @@ def history_all(spark, sf_dir):
     + f", s AS (SELECT {Q.SUMS}, round(coalesce(avg(latency_avg) FILTER (latency_avg > 0), 0), 5) AS latency_avg, max(unique_visitors) AS unique_visitors FROM every) SELECT requests, round(requests / {AS_OF - _WEEK}, 6) AS avg_rps, latency_avg, round({Q.ERROR}, 6) AS error_rate, bytes_in, bytes_out, unique_visitors, {', '.join([*traffic.CLIENTS, *traffic.BUCKETS])} FROM s"
 )
 def history_summary(spark, sf_dir):
-    s = tiers.summary(tiers.series(_hours(spark, sf_dir), "all", _WEEK, AS_OF, tiers.HOUR), AS_OF - _WEEK)
+    s = tiers.summary(tiers.series(_hours(spark, sf_dir, _WEEK, AS_OF), "all", _WEEK, AS_OF, tiers.HOUR), AS_OF - _WEEK)
     return rounded(s, "avg_rps", "error_rate").withColumn("latency_avg", F.round("latency_avg", 5))
 
 
@@ -486,7 +695,7 @@ _MONTH = AS_OF - E.range_seconds("30d")
     + f", t AS (SELECT code, CAST(sum(requests) AS BIGINT) AS requests, max(name) AS name, max(flag) AS flag FROM day_countries WHERE ts BETWEEN {_MONTH} AND {AS_OF} GROUP BY code ORDER BY requests DESC, code LIMIT 10) SELECT *, round(requests / sum(requests) OVER () * 100, 6) AS pct FROM t"
 )
 def history_countries(spark, sf_dir):
-    return rounded(tiers.history_countries(_day_countries(spark, sf_dir), "all", _MONTH, AS_OF), "pct")
+    return rounded(tiers.history_countries(_day_countries(spark, sf_dir, _MONTH, AS_OF), "all", _MONTH, AS_OF), "pct")
 
 
 @query(
@@ -494,16 +703,25 @@ def history_countries(spark, sf_dir):
     + f", t AS (SELECT vhost, path, CAST(sum(requests) AS BIGINT) AS requests, sum(total_time) AS total_time, CAST(sum(s2xx) AS BIGINT) AS s2xx FROM day_paths WHERE ts BETWEEN {_MONTH} AND {AS_OF} GROUP BY ALL ORDER BY requests DESC, vhost, path LIMIT 10) SELECT vhost, path, requests, round(total_time, 6) AS total_time, s2xx, round(total_time / requests * 1000, 6) AS avg_ms, round(s2xx / requests * 100, 6) AS ok_pct, round(requests / {AS_OF - _MONTH}, 8) AS rps FROM t"
 )
 def history_paths(spark, sf_dir):
-    rows = tiers.history_paths(_day_paths(spark, sf_dir), "all", _MONTH, AS_OF)
+    rows = tiers.history_paths(_day_paths(spark, sf_dir, _MONTH, AS_OF), "all", _MONTH, AS_OF)
     return rounded(rows, "total_time", "avg_ms", "ok_pct").withColumn("rps", F.round("rps", 8))
 
 
 @query(
     Q.base(False, *_COUNTRY_TIERS)
-    + ", e AS (SELECT * FROM (SELECT vhost, code, CAST(sum(requests) AS BIGINT) AS requests FROM day_countries GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY requests DESC, code) <= 10), m AS (SELECT code, CAST(sum(requests) AS BIGINT) AS requests FROM e GROUP BY code) SELECT *, round(requests / sum(requests) OVER () * 100, 6) AS pct FROM m"
+    + f", e AS (SELECT * FROM (SELECT vhost, code, CAST(sum(requests) AS BIGINT) AS requests, max(name) AS name, max(flag) AS flag FROM day_countries WHERE ts BETWEEN {_MONTH} AND {AS_OF} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY requests DESC, code) <= 10), m AS (SELECT code, CAST(sum(requests) AS BIGINT) AS requests, max(name) AS name, max(flag) AS flag FROM e GROUP BY code), p AS (SELECT *, round(requests / sum(requests) OVER () * 100, 6) AS pct FROM m) SELECT * FROM p ORDER BY requests DESC, code LIMIT 10"
 )
 def history_merged(spark, sf_dir):
-    return rounded(tiers.merged_history(_day_countries(spark, sf_dir)), "pct")
+    return rounded(tiers.merged_history(_day_countries(spark, sf_dir, _MONTH, AS_OF), _MONTH, AS_OF), "pct")
+
+
+@query(
+    Q.base(False, *_PATH_TIERS)
+    + f", t AS (SELECT vhost, path, CAST(sum(requests) AS BIGINT) AS requests, sum(total_time) AS total_time, CAST(sum(s2xx) AS BIGINT) AS s2xx FROM day_paths WHERE ts BETWEEN {_MONTH} AND {AS_OF} GROUP BY ALL), f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY requests DESC, path) <= 10) SELECT vhost, path, requests, round(total_time, 6) AS total_time, s2xx, round(total_time / requests * 1000, 6) AS avg_ms, round(s2xx / requests * 100, 6) AS ok_pct, round(requests / {AS_OF - _MONTH}, 8) AS rps FROM f ORDER BY requests DESC, vhost, path LIMIT 10"
+)
+def history_merged_paths(spark, sf_dir):
+    rows = tiers.merged_paths(_day_paths(spark, sf_dir, _MONTH, AS_OF), _MONTH, AS_OF)
+    return rounded(rows, "total_time", "avg_ms", "ok_pct").withColumn("rps", F.round("rps", 8))
 
 
 # alerts
@@ -514,7 +732,8 @@ _ALERTS = (Q.ticks(), Q.evaluated(RULES), Q.alert_events(alerts.TICK, COOLDOWN))
 def _evaluated(spark, sf_dir):
     keys = ("name", "vhost", "metric", "threshold", "duration", "min_requests", "min_errors")
     rules = alerts.rules_table(spark, [dict(zip(keys, rule)) for rule in RULES])
-    return alerts.evaluate(alerts.tick_metrics(requests(spark, sf_dir, True)), rules)
+    ticks = stored(spark, sf_dir).tier("ticks", "tick", lambda: alerts.tick_metrics(requests(spark, sf_dir, True)))
+    return alerts.evaluate(ticks, rules)
 
 
 def _events(spark, sf_dir):
@@ -534,15 +753,14 @@ def alert_events(spark, sf_dir):
     return _events(spark, sf_dir).withColumn("value", F.round("value", 5))
 
 
-_ACTIVE_AT = adapters.START + 85
-
-
 @query(
     Q.base(True, *_ALERTS)
-    + f"SELECT name, vhost, metric, state, ts, round(value, 5) AS value, message FROM (SELECT * FROM found WHERE ts <= {_ACTIVE_AT} QUALIFY row_number() OVER (PARTITION BY name, vhost ORDER BY ts DESC) = 1) WHERE state = 'firing'"
+    + f"SELECT name, vhost, metric, state, ts, round(value, 5) AS value, message FROM (SELECT * FROM found WHERE ts <= (SELECT (min(sec) + max(sec)) // 2 FROM log) QUALIFY row_number() OVER (PARTITION BY name, vhost ORDER BY ts DESC) = 1) WHERE state = 'firing'"
 )
 def alert_active(spark, sf_dir):
-    return alerts.active(_events(spark, sf_dir), _ACTIVE_AT).withColumn("value", F.round("value", 5))
+    """What fires half way through the log."""
+    begin, end = seen(spark, sf_dir).agg(F.min("first"), F.max("last")).first()
+    return alerts.active(_events(spark, sf_dir), (begin + end) // 2).withColumn("value", F.round("value", 5))
 
 
 @query(Q.base(True, *_ALERTS) + "SELECT id, name, vhost, state, ts, message FROM found ORDER BY ts DESC, name, vhost LIMIT 20")
@@ -569,15 +787,28 @@ def alert_payloads(spark, sf_dir):
     return alerts.payloads(_events(spark, sf_dir), DASHBOARD).filter("channel != 'webhook'")
 
 
-@query()
+_EVENT = "'id': id, 'name': name, 'vhost': vhost, 'metric': metric, 'threshold': threshold, 'value': value, 'state': state, 'started_at': CAST(started_at AS BIGINT)"
+_REST = "'message': message, 'details': details"
+_HOOK = "CAST(to_json({{'event': {{{}}}, 'dashboard_url': '" + DASHBOARD + "', 'timestamp': ts}}) AS VARCHAR)"
+
+
+@query(
+    Q.base(True, *_ALERTS)
+    + f", shown AS (SELECT * REPLACE (round(value, 5) AS value) FROM found) SELECT id, 'webhook' AS channel, {_TITLE} AS title, '' AS priority, '' AS tags, CASE WHEN resolved_at IS NULL THEN {_HOOK.format(f'{_EVENT}, {_REST}')} ELSE {_HOOK.format(_EVENT + chr(44) + chr(39) + 'resolved_at' + chr(39) + ': resolved_at, ' + _REST)} END AS body FROM shown"
+)
 def alert_webhooks(spark, sf_dir):
-    return alerts.payloads(_events(spark, sf_dir), DASHBOARD).filter("channel = 'webhook'")
+    rows = _events(spark, sf_dir).withColumn("value", F.round("value", 5))
+    return alerts.payloads(rows, DASHBOARD).filter("channel = 'webhook'")
+
+
+_GLOBAL = "global AS (SELECT {'collected_at': collected_at, 'active': active, 'accepts': accepts, 'handled': handled, 'requests': requests, 'reading': reading, 'writing': writing, 'waiting': waiting} AS g FROM status ORDER BY collected_at DESC LIMIT 1)"
+_SHOWN = ", ".join([f"'{c}': round({c}, 6)" for c in ("rps", "error_rate")] + [f"'{c}': {c}" for c in ("bytes_in", "bytes_out", *traffic.CLASSES)])
 
 
-@query(Q.base(True, Q.SECONDS, _LIVE) + "SELECT count(*) AS vhosts, CAST(to_json(map_from_entries(list((vhost, {'s2xx': s2xx, 's3xx': s3xx, 's4xx': s4xx, 's5xx': s5xx}) ORDER BY vhost))) AS VARCHAR) AS document FROM live")
+@query(Q.base(True, Q.SECONDS, _LIVE, _POLLS, _GLOBAL) + f"SELECT count(*) AS vhosts, CAST(to_json({{'timestamp': {Q.NOW}, 'global': (SELECT g FROM global), 'vhosts': map_from_entries(list((vhost, {{{_SHOWN}}}) ORDER BY vhost))}}) AS VARCHAR) AS document FROM live")
 def snapshot_json(spark, sf_dir):
-    rows = traffic.live(traffic.per_second(requests(spark, sf_dir, True)), DENSE_AS_OF).select("vhost", *traffic.CLASSES)
-    return sinks.snapshot_document(rows).withColumn("document", F.expr("substring(document, 11, length(document) - 11)"))
+    """The whole document: time, connection counters, and all columns of every vhost."""
+    return sinks.snapshot_document(live_metrics(spark, sf_dir), conn_latest(spark, sf_dir), now(spark, sf_dir))
 
 
 @query(Q.base() + f"SELECT vhost, upstream_addr, count(*) AS requests, round(avg(CASE WHEN event_id % 4 = 2 THEN 0.125 ELSE 0.0 END), 6) AS upstream_avg, {Q.ms(0.95)} AS latency_p95 FROM req GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from weblens.functions.expressions import BAD_SIGNATURES, BROWSERS, GENERIC_BAD, GENERIC_GOOD, GOOD_SIGNATURES, LATENCY_EDGES, any_of
 from weblens.operators.traffic import BUCKETS, CLASSES, CLIENTS, COUNTERS
-from weblens.sources.adapters import IP_RANGES_SQL, access_log_sql
+from weblens.sources.adapters import IP6_RANGES_SQL, IP_RANGES_SQL, access_log_sql
 
 CLIENT = (
     "CASE WHEN ua IN ('', '-') THEN 'bad_bot' "
@@ -37,18 +37,35 @@ def base(dense: bool = False, *more: str) -> str:
     return "WITH " + ", ".join(parts) + " "
 
 
+#: The time at which windows over the dense log end: that of its last request.
+NOW = "(SELECT max(sec) FROM log)"
+FILLED = (
+    f"seen AS (SELECT vhost, min(sec) AS f FROM req GROUP BY vhost), filled AS (SELECT vhost, sec, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('latency_sum', *COUNTERS))} "
+    f"FROM (SELECT vhost, unnest(generate_series(f, {NOW})) AS sec FROM seen) LEFT JOIN seconds USING (vhost, sec))"
+)
+
+
+def within(seconds: int) -> str:
+    return f"sec > {NOW} - {seconds} AND sec <= {NOW}"
+
+
 SECONDS = f"seconds AS (SELECT vhost, sec, sum(req_time) AS latency_sum, {COUNTS} FROM req GROUP BY ALL)"
 _IP = "list_reduce(list_transform(string_split(raw_addr, '.'), lambda x: CAST(x AS BIGINT)), lambda a, x: a * 256 + x)"
+_GROUPS = lambda k: f"list_filter(string_split(split_part(lower(raw_addr), '::', {k}), ':'), lambda x: x <> '')"
+_HEX = (
+    f"array_to_string(list_transform(list_concat(list_concat({_GROUPS(1)}, list_transform(range(8 - len({_GROUPS(1)}) - len({_GROUPS(2)})), lambda i: '0')), {_GROUPS(2)}), lambda x: lpad(x, 4, '0')), '')"
+)
 LOCATED = (
-    f"ranges AS ({IP_RANGES_SQL}), numbered AS (SELECT *, CASE WHEN raw_addr NOT LIKE '%:%' AND raw_addr NOT LIKE '192.168.%' THEN {_IP} END AS ip FROM req), "
-    "located AS (SELECT n.*, coalesce(r.code, '') AS code, coalesce(r.name, '') AS name FROM numbered n LEFT JOIN ranges r ON n.ip BETWEEN r.start_ip AND r.end_ip)"
+    f"ranges AS ({IP_RANGES_SQL}), ranges6 AS ({IP6_RANGES_SQL}), numbered AS (SELECT *, CASE WHEN raw_addr NOT LIKE '%:%' AND raw_addr NOT LIKE '192.168.%' THEN {_IP} END AS ip, CASE WHEN raw_addr LIKE '%::%' THEN {_HEX} END AS hex FROM req), "
+    "located AS (SELECT n.*, coalesce(r.code, s.code, '') AS code, coalesce(r.name, s.name, '') AS name FROM numbered n LEFT JOIN ranges r ON n.ip BETWEEN r.start_ip AND r.end_ip LEFT JOIN ranges6 s ON n.hex BETWEEN s.start_hex AND s.end_hex)"
 )
 FLAG = "concat(chr(127397 + ascii(code[1])), chr(127397 + ascii(code[2])))"
 VISITORS = "count(DISTINCT addr) AS unique_visitors"
 
 
 def minutes(width: int = 60) -> str:
-    return f"minutes AS (SELECT sec // {width} * {width} AS ts, vhost, {COUNTS}, {VISITORS}, round(avg(req_time) * 1000, 6) AS latency_avg, {ms(0.5)} AS latency_p50, {ms(0.95)} AS latency_p95, {ms(0.99)} AS latency_p99 FROM req GROUP BY ALL)"
+    raw = f"SELECT sec // {width} * {width} AS ts, vhost, {COUNTS}, {VISITORS}, round(avg(req_time) * 1000, 6) AS latency_avg, {ms(0.5)} AS latency_p50, {ms(0.95)} AS latency_p95, {ms(0.99)} AS latency_p99 FROM req GROUP BY ALL"
+    return f"minutes AS (SELECT * REPLACE (CASE WHEN {TOTAL} = 0 AND requests / 60 > 0 THEN CAST(floor(requests / 60 * 60) AS BIGINT) ELSE {TOTAL} END AS requests) FROM ({raw}))"
 
 
 def rolled(source: str, target: str, width: int) -> str:

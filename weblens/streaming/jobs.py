@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weblens.operators.traffic import counters
+from weblens.operators.traffic import COUNTERS, counters
+from weblens.sources import sinks
 
 
 def per_window(requests: DataFrame, width: str, delay: str) -> DataFrame:
@@ -36,6 +37,38 @@ def live_feed(requests: DataFrame, each: Callable[[DataFrame, int], None], check
     return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime="1 second").foreachBatch(each).start()
 
 
+def sliding_views(requests: DataFrame, each: Callable[[DataFrame, int], None], path: str, checkpoint: str, windows: tuple[int, ...] = (5, 60, 3600), delay: str = "10 seconds", trigger: dict | None = None):
+    """Start a query that hands sliding views to ``each`` whenever seconds changed.
+
+    The stream gives per-second partials, of which the latest of each second counts; they are kept by
+    batch under ``path``, so a batch that is run again replaces itself.  A view has, for every second
+    within the longest window of the last one seen, the rate over the first window and all counters
+    over each of ``windows`` seconds that end with it (<counter>_<seconds>).
+    """
+    longest = max(windows)
+
+    def view(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        sinks.batch_sink(path, "second")(batch.drop("visitors", "latency"), batch_id)
+        kept = spark.read.parquet(path)
+        last = kept.agg(F.max("ts")).first()[0]
+        if last is None:
+            return
+        recent = kept.filter(F.col("ts") > last - 2 * longest)
+        latest = recent.groupBy("vhost", "ts").agg(F.max_by(F.struct(*COUNTERS), "batch").alias("c")).select("vhost", F.col("ts").alias("sec"), "c.*")
+        shown = None
+        for window in windows:
+            frame = Window.partitionBy("vhost").orderBy("sec").rangeBetween(-(window - 1), 0)  # of two longest windows' seconds
+            sums = latest.select("vhost", "sec", *[F.sum(c).over(frame).alias(f"{c}_{window}") for c in COUNTERS])
+            shown = sums if shown is None else shown.join(sums, ["vhost", "sec"])
+        shown = shown.withColumn("rps", F.col(f"requests_{windows[0]}") / F.lit(windows[0]))
+        each(shown.filter(F.col("sec") > last - longest), batch_id)
+
+    rows = per_second(requests, delay)
+    writer = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(view)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 EVENT_SCHEMA = "name string, vhost string, state string, ts long, started_at long, value double"
 
 
