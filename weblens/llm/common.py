@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +19,40 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset the warehouse.
+
+    Only a local session, whose driver and executors are one process, gets a temporary folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if spark.sparkContext.master.startswith("local"):
         found = tempfile.mkdtemp(prefix="weblens-shared-")
         spark.sparkContext.setCheckpointDir(found)
-    return found
+        return found
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/weblens-staged"
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     That cuts the lineage: what is read back survives the loss of any executor and is
-    computed once, however many branches of a plan read it.
+    computed once, however many branches of a plan read it.  The table goes with ``discard``,
+    or at the end of the application at the latest.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/weblens-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    place, system = _path(spark, path)
+    system.deleteOnExit(place)
+    for tables in _scopes:
+        tables.append(path)
     back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
     back.staged_path = path
     return back
@@ -45,8 +61,34 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 def discard(*staged: DataFrame) -> None:
     """Delete tables written by ``stage`` that nothing still to be computed reads."""
     for df in staged:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        place, system = _path(df.sparkSession, df.staged_path)
+        system.delete(place, True)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def staged_within(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Delete all tables staged inside the block at its end, but for those put into the list it gives."""
+    tables: list[str] = []
+    kept: list[DataFrame] = list(keep)
+    _scopes.append(tables)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(tables)
+        for path in set(tables) - {df.staged_path for df in kept}:
+            place, system = _path(spark, path)
+            system.delete(place, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_or_empty(col: str = "text") -> Column:
