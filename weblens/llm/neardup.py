@@ -29,14 +29,13 @@ K, LOOK, LISTED, HOT_LISTED = 64, 32, 20, 10
 #: A value retained by more nodes than this is hot; lists up to this length are paired in one go.
 HOT = 32
 #: Members of a block of a long list, and about how many shingles they have together.
-BLOCK, BLOCK_VALUES = 1024, 1_000_000
+BLOCK, BLOCK_VALUES = 256, 1_000_000
 #: How far below the threshold an estimate from K values may be: over four standard deviations.
 SLACK = 0.2
 #: Rounds in which each document is held against the likeliest of other components only.
 ROUNDS = 3
 SALTS = 16
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -50,20 +49,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _PRIME)
 _PLACE = _mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A random number for each byte at each of the first places of a word (tabulation hashing); later places compute theirs.
+_TABLED = 64
+_KEYED = np.uint64(0x9E3779B97F4A7C15)
+_TABLE = _mix(np.arange(1, _TABLED * 256 + 1, dtype=np.uint64) * _KEYED)
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2**64, at least n of them."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_PRIME, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every word of bytes (A-Z lower-cased), and where each word begins and ends.
+
+    A word's hash is the sum of one random number for each of its (place, byte), mixed: unlike sums of
+    powers it has no words that meet whatever the base is.
+    """
+    word = ~_SPACE[data]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    first, last = edge[::2], edge[1::2]
+    at = np.arange(len(data))
+    begin = np.zeros(len(data), np.int64)
+    begin[first] = first
+    place = at - np.maximum.accumulate(begin)
+    number = place * 256 + _UPPER[data]
+    value = _TABLE[np.minimum(number, len(_TABLE) - 1)]
+    far = np.flatnonzero(place >= _TABLED)
+    value[far] = _mix((number[far] + 1).astype(np.uint64) * _KEYED)
+    value[~word] = 0
+    total = np.cumsum(value, dtype=np.uint64)
+    return _mix((total[last - 1] - total[first - 1]) ^ ((last - first).astype(np.uint64) * _PLACE[0])), first, last
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -71,12 +83,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
-    word = ~_SPACE[data]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    first, last = edge[::2], edge[1::2]
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.cumsum(_BYTE[_UPPER[data]] * power[: len(data)], dtype=np.uint64)
-    hashes = _mix((total[last - 1] - total[first - 1]) * inverse[first] + (last - first).astype(np.uint64))
+    hashes, first, _ = word_hashes(data)
     bound = np.searchsorted(first, np.concatenate([[0], ends]), "right")
     n = max(0, len(hashes) - width + 1)
     rolled = np.zeros(n, np.uint64)
@@ -238,7 +245,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node with a smaller neighbour hooks to the smallest; pointers are doubled until
     they stand; edges between roots go on.  At least half of the nodes that still have edges drop
-    out in a round.
+    out in a round.  Ends that are equal make no edge and no node.
     """
     tidy = lambda e: e.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = stage(tidy(edges), "cc-edges")
@@ -249,73 +256,124 @@ def components(edges: DataFrame) -> DataFrame:
             above = up.select(F.col("b").alias("p"), F.col("p").alias("q"))
             doubled = stage(up.join(above, "p", "left").select("b", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("_moved")), "cc-up")
             moved = doubled.filter("_moved").limit(1).count()
+            discard(up)
             up = doubled.drop("_moved")
+            up.staged_path = doubled.staged_path
             if not moved:
                 break
         hop = up.select(F.col("b").alias("root"), "p")
-        roots = stage(roots.join(hop, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "cc-roots")
+        new_roots = stage(roots.join(hop, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "cc-roots")
         ends = left
         for side in ("a", "b"):
             ends = ends.join(up.select(F.col("b").alias(side), F.col("p").alias("_p")), side, "left").withColumn(side, F.coalesce("_p", side)).drop("_p")
-        left = stage(tidy(ends), "cc-edges")
+        new_left = stage(tidy(ends), "cc-edges")
+        discard(roots, left, up)
+        roots, left = new_roots, new_left
+    discard(left)
     return roots
 
 
-def _likely_across(run: list[tuple], percent: int, best: bool) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of a run of (key, node, n, root, sketch) that lie across components and may be similar.
+def merged_roots(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further edges: only what lies between known roots is connected anew."""
+    if roots is None:
+        return components(edges)
+    between = edges
+    for side in ("a", "b"):
+        between = between.join(roots.select(F.col("node").alias(side), F.col("root").alias("_r")), side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
+    moved = components(between)
+    hop = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    known = roots.join(hop, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    # the ends of new edges that had no root have themselves in ``moved``
+    found = stage(known.unionByName(moved.join(roots.select("node"), "node", "left_anti")), "near-components")
+    discard(moved, roots)
+    return found
+
+
+class Run:
+    """The rows (key, node, n, root, role, values) of one key: residents, and visitors that are held against them.
 
-    Members of the run's largest component are held only against the others.  Common values are
-    counted along the inverted lists of the others' values.  With ``best`` each of these emits only
-    its likeliest partner.
+    Residents are a block of a list's members; visitors are a block of those of its members that lie
+    outside the list's largest component.  In a list of one block the same rows are both.
     """
-    roots, place = np.unique([r[3] for r in run], return_inverse=True)
-    if len(roots) < 2:
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.rows = rows
+        self.role = np.array([r[4] for r in rows])
+        self.roots, self.place = np.unique([r[3] for r in rows], return_inverse=True)
+        self.visitors = np.flatnonzero(self.role != RESIDENT)
+        self.values = [np.frombuffer(r[5], np.uint64) for r in rows]
+        self.held = np.array([len(v) for v in self.values])
+        self.resident = self.role != VISITOR
+        self.flat = np.concatenate([v if ok else v[:0] for v, ok in zip(self.values, self.resident)])
+        order = np.argsort(self.flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(rows)), np.where(self.resident, self.held, 0))[order]
+        self.flat = self.flat[order]
+
+    def common(self, i: int) -> np.ndarray:
+        """How many values each resident shares with row i, counted along the inverted lists of its values."""
+        lo, hi = np.searchsorted(self.flat, self.values[i], "left"), np.searchsorted(self.flat, self.values[i], "right")
+        some = np.flatnonzero(hi > lo)
+        parts = [self.owner[a:b] for a, b in zip(lo[some].tolist(), hi[some].tolist())]
+        return np.bincount(np.concatenate(parts), minlength=len(self.rows)) if parts else np.zeros(len(self.rows), np.int64)
+
+    def apart(self, i: int) -> np.ndarray:
+        """Residents of other components than row i's."""
+        return self.resident & (self.place != self.place[i])
+
+    def pair(self, i: int, j: int) -> tuple[bytes, bytes]:
+        x, y = self.rows[i][1], self.rows[j][1]
+        return min(x, y), max(x, y)
+
+
+#: Roles of a row in a run: held against by visitors only, visitor only, both.
+RESIDENT, VISITOR, BOTH = 0, 1, 2
+
+
+def _likely_across(run: Run, percent: int, best: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of a run that lie across components and whose sketches don't rule the similarity out.
+
+    With ``best`` each visitor emits only its likeliest partner.
+    """
+    if len(run.roots) < 2:
         return
-    sketches = [np.frombuffer(r[4], np.uint64) for r in run]
-    held = np.array([len(s) for s in sketches])
-    top = np.array([s[-1] if len(s) == K else np.iinfo(np.uint64).max for s in sketches], np.uint64)
-    size = np.array([r[2] for r in run])
-    values = np.concatenate(sketches)
-    owner = np.repeat(np.arange(len(run)), held)[np.argsort(values, kind="stable")]
-    values.sort()
+    top = np.array([v[-1] if len(v) == K else np.iinfo(np.uint64).max for v in run.values], np.uint64)
+    size = np.array([r[2] for r in run.rows])
+    padded = np.full((len(run.rows), K), np.iinfo(np.uint64).max)
+    for k, v in enumerate(run.values):
+        padded[k, : len(v)] = v
     least = percent / 100 - SLACK
-    for i in np.flatnonzero(place != np.bincount(place).argmax()):
-        lo, hi = np.searchsorted(values, sketches[i], "left"), np.searchsorted(values, sketches[i], "right")
-        common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]), minlength=len(run))
-        fits = (place != place[i]) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & (common >= least * np.maximum(held, held[i]) * 0.5)
+    for i in run.visitors.tolist():
+        common = run.common(i)
+        fits = run.apart(i) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & (common >= least * np.maximum(run.held, run.held[i]) * 0.5)
         near = np.flatnonzero(fits)
         if not len(near):
             continue
         # values up to where both sketches are complete
-        own = np.where(top[near] < top[i], np.searchsorted(sketches[i], top[near], "right"), held[i])
-        other = np.array([np.searchsorted(sketches[j], top[i], "right") if top[i] < top[j] else held[j] for j in near])
+        own = np.where(top[near] < top[i], np.searchsorted(run.values[i], top[near], "right"), run.held[i])
+        other = np.where(top[i] < top[near], (padded[near] <= top[i]).sum(1), run.held[near])
         like = common[near] / np.maximum(1, own + other - common[near])
         chosen = near[like >= least] if not best else near[[int(np.argmax(like))]] if like.max() >= least else []
         for j in chosen:
-            yield min(run[i][1], run[j][1]), max(run[i][1], run[j][1])
+            yield run.pair(i, j)
 
 
-def _linked_across(run: list[tuple], percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """Links of a run of (key, node, n, root, full set) across components: for each member one into each other component."""
-    roots, place = np.unique([r[3] for r in run], return_inverse=True)
-    if len(roots) < 2:
+def _linked_across(run: Run, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links of a run of full sets across components: for each visitor one into each other component."""
+    if len(run.roots) < 2:
         return
-    sets = [np.frombuffer(r[4], np.uint64) for r in run]
-    size = np.array([len(s) for s in sets])
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(run)), size)[np.argsort(values, kind="stable")]
-    values.sort()
-    for i in np.flatnonzero(place != np.bincount(place).argmax()):
-        lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-        common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi)]), minlength=len(run))
-        hit = np.flatnonzero((place != place[i]) & (100 * common >= percent * (size + size[i] - common)))
-        for j in hit[np.unique(place[hit], return_index=True)[1]]:
-            yield min(run[i][1], run[j][1]), max(run[i][1], run[j][1])
+    for i in run.visitors.tolist():
+        common = run.common(i)
+        hit = np.flatnonzero(run.apart(i) & (100 * common >= percent * (run.held + run.held[i] - common)))
+        for j in hit[np.unique(run.place[hit], return_index=True)[1]]:
+            yield run.pair(i, j)
+
+
+_RUN = ("key", "node", "n", "root", "role", "sketch")
 
 
 def _by_run(lists: DataFrame, names: tuple[str, ...], types: str, each) -> DataFrame:
-    """Hand the rows (key, node, n, root, values) of each key to ``each``; its tuples become rows."""
-    kinds = [pa.binary() if t.endswith("binary") else pa.string() for t in types.split(", ")]
+    """Hand the run of each key to ``each``; its tuples become rows."""
+    kinds = [{"binary": pa.binary(), "string": pa.string(), "int": pa.int32()}[t.split()[-1]] for t in types.split(", ")]
 
     def table(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=list(names))
@@ -326,29 +384,31 @@ def _by_run(lists: DataFrame, names: tuple[str, ...], types: str, each) -> DataF
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if run and run[-1][0] != row[0]:
-                    out.extend(each(run))
+                    out.extend(each(Run(run)))
                     run = []
                 run.append(row)
             yield table(out)
-        yield table(list(each(run)) if run else [])
+        yield table(list(each(Run(run))) if run else [])
 
     ordered = lists.repartition(F.col("key")).sortWithinPartitions("key")
-    return ordered.select("key", "node", "n", "root", "sketch").mapInArrow(go, types)
+    return ordered.select(*_RUN).mapInArrow(go, types)
 
 
 def _best_across(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each member of a run outside its largest component the likeliest partner of another one."""
+    """(a, b): for each visitor of a run the likeliest partner of another component."""
     return _by_run(lists, ("a", "b"), "a binary, b binary", lambda run: _likely_across(run, percent, True)).distinct()
 
 
 def _open_members(lists: DataFrame, percent: int) -> DataFrame:
-    """(key, node): the members of runs that have a likely partner across components."""
+    """(key, node, role): the members of runs that have a likely partner across components."""
 
-    def members(run: list[tuple]) -> Iterator[tuple[str, bytes]]:
-        for node in sorted({x for pair in _likely_across(run, percent, False) for x in pair}):
-            yield run[0][0], node
+    def members(run: Run) -> Iterator[tuple[str, bytes, int]]:
+        some = {x for pair in _likely_across(run, percent, False) for x in pair}
+        for row in run.rows:
+            if row[1] in some:
+                yield row[0], row[1], row[4]
 
-    return _by_run(lists, ("key", "node"), "key string, node binary", members)
+    return _by_run(lists, ("key", "node", "role"), "key string, node binary, role int", members)
 
 
 def _with_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -365,30 +425,45 @@ def _with_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _unfinished(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(value, node, n, root, _blocks) of the lists that hold several components; _blocks for long ones."""
+    """(value, node, n, root, _blocks, _outer, _minor) of the lists that hold several components.
+
+    _minor marks members outside the list's largest component; _blocks and _outer tell into how many
+    blocks all members and these are dealt.
+    """
     placed = stage(lists.select("value", "node", "n").join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root")), "near-placed")
-    open_ = placed.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("_m"), F.sum("n").alias("_values")).filter("_lo != _hi")
-    blocks = F.ceil(F.greatest(F.col("_m") / F.lit(BLOCK), F.col("_values") / F.lit(BLOCK_VALUES))).cast("int")
-    open_ = salted(open_.select("value", blocks.alias("_blocks")), SALTS)
+    parts = placed.groupBy("value", "root").agg(F.count("*").alias("_m"), F.sum("n").alias("_v"))
+    top = F.max_by(F.struct("root", "_m", "_v"), F.struct("_m", "root"))
+    open_ = parts.groupBy("value").agg(F.count("*").alias("_roots"), F.sum("_m").alias("_m"), F.sum("_v").alias("_v"), top.alias("_top")).filter("_roots > 1")
+    blocks = lambda m, v: F.ceil(F.greatest(m / F.lit(BLOCK), v / F.lit(BLOCK_VALUES))).cast("int")
+    outer = blocks(F.col("_m") - F.col("_top._m"), F.col("_v") - F.col("_top._v"))
+    open_ = salted(open_.select("value", F.col("_top.root").alias("_major"), blocks(F.col("_m"), F.col("_v")).alias("_blocks"), outer.alias("_outer")), SALTS)
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    left = stage(placed.withColumn("_salt", salt).join(open_, ["value", "_salt"]).drop("_salt"), "near-open")
+    left = placed.withColumn("_salt", salt).join(open_, ["value", "_salt"]).withColumn("_minor", F.col("root") != F.col("_major"))
+    left = stage(left.select("value", "node", "n", "root", "_blocks", "_outer", "_minor"), "near-open")
     discard(placed)
     return left
 
 
 def _in_runs(members: DataFrame, nodes: DataFrame, one: int | None) -> DataFrame:
-    """(key, node, n, root, sketch): a key is a list, or a pair of blocks of a long one.
+    """(key, node, n, root, role, sketch): a key is a list, or a block of its members with a block of its visitors.
 
+    So a list whose members are mostly of one component is shuffled about once however long it is.
     With ``one`` each node is only in the list of its (one + 1)-th smallest value.
     """
     if one is not None:
         rank = F.row_number().over(Window.partitionBy("node").orderBy("value"))
         members = members.withColumn("_rank", rank).filter(F.col("_rank") == one + 1)
-    own = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("_blocks")).cast("int")
-    withs = members.join(nodes.select("node", "sketch"), "node").withColumn("_own", own)
-    withs = withs.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    key = F.concat_ws(":", "value", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return withs.withColumn("key", key).select("key", "node", "n", "root", "sketch")
+    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    whole = (F.col("_blocks") == 1) & (F.col("_outer") == 1)
+    at = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.alias("role"))
+    zero = F.lit(0)
+    alone = F.array(at(zero, zero, F.when(F.col("_minor"), F.lit(BOTH)).otherwise(F.lit(RESIDENT))))
+    stays = F.transform(F.sequence(zero, F.col("_outer") - 1), lambda j: at(block(3, "_blocks"), j, F.lit(RESIDENT)))
+    visits = F.transform(F.sequence(zero, F.col("_blocks") - 1), lambda i: at(i, block(4, "_outer"), F.lit(VISITOR)))
+    dealt = F.when(whole, alone).when(F.col("_minor"), F.concat(stays, visits)).otherwise(stays)
+    withs = members.join(nodes.select("node", "sketch"), "node").withColumn("_at", F.explode(dealt))
+    key = F.concat_ws(":", "value", "_at.i", "_at.j")
+    return withs.select(key.alias("key"), "node", "n", "root", F.col("_at.role").alias("role"), "sketch")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,7 +474,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     are linked; component_id is the smallest id reachable.  Null, empty and blank texts have no
     shingles, are linked with nothing and are their own component.  Null ids are linked but never
     the smallest; a component of null ids alone has a null component_id.  Repeated rows share a
-    component, and each row whose id is the component's is kept.
+    component, and each row whose id is the component's is kept.  Very long texts give all their
+    shingles.  Columns other than the two are ignored.  An empty table gives an empty one.
     """
     return rooted_groups(docs, width, percent, id_col, text_col).drop("root")
 
@@ -425,49 +501,47 @@ def rooted_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: st
     # each node first against the leader it is most like; what then still lies across components, against the others
     best = likely.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
     texts = _texts(docs, nodes, likely.select("a", "b"), id_col, text_col)
-    edges = stage(verified(best, texts, width, percent), "near-edges")
-    roots = components(edges)
+    found = stage(verified(best, texts, width, percent), "near-edges")
+    roots = merged_roots(None, found)
     rest = _between(likely.select("a", "b").join(best, ["a", "b"], "left_anti"), roots)
-    edges = edges.unionByName(stage(verified(rest, texts, width, percent), "near-edges"))
-    discard(texts)
-    roots = components(edges)
+    more = stage(verified(rest, texts, width, percent), "near-edges")
+    roots = merged_roots(roots, more)
+    discard(texts, found, more)
 
     # what stands apart is held against its likeliest partner in one list; then, in all lists, members
     # with any likely partner are held against each other by their full sets
-    tested = likely.select("a", "b")
+    tested, held = likely.select("a", "b"), [likely]
     for k in range(ROUNDS):
         members = _unfinished(lists, roots)
         discard(lists)
         lists = members
         rest = stage(_best_across(_in_runs(members, nodes, k), percent).join(tested, ["a", "b"], "left_anti"), "near-across")
+        held.append(rest)
         if not rest.limit(1).count():
             continue
-        more = _texts(docs, nodes, rest, id_col, text_col)
-        found = stage(verified(rest, more, width, percent), "near-edges")
-        discard(more)
+        texts = _texts(docs, nodes, rest, id_col, text_col)
+        found = stage(verified(rest, texts, width, percent), "near-edges")
         tested = tested.unionByName(rest)
         if found.limit(1).count():
-            edges = edges.unionByName(found)
-            roots = components(edges)
+            roots = merged_roots(roots, found)
+        discard(texts, found)
     members = _unfinished(lists, roots)
     discard(lists)
-    lists = members
     runs = _in_runs(members, nodes, None)
     open_ = stage(_open_members(runs, percent), "near-members")
     if open_.limit(1).count():
         own = open_.select("node").distinct()
-        more = _texts(docs, nodes, own.select(F.col("node").alias("a"), F.col("node").alias("b")), id_col, text_col)
+        texts = _texts(docs, nodes, own.select(F.col("node").alias("a"), F.col("node").alias("b")), id_col, text_col)
         sized = open_.join(nodes.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        whole_sets = sized.join(_with_sets(more, width).dropDuplicates(["node"]), "node")
+        whole_sets = sized.join(_with_sets(texts, width).dropDuplicates(["node"]), "node")
         found = stage(_by_run(whole_sets, ("a", "b"), "a binary, b binary", lambda run: _linked_across(run, percent)), "near-edges")
-        discard(more)
         if found.limit(1).count():
-            edges = edges.unionByName(found)
-            roots = components(edges)
-    discard(lists)
+            roots = merged_roots(roots, found)
+        discard(texts, found)
 
     least = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = stage(least, "near-roots")
+    discard(members, open_, nodes, roots, *held)
     ids = least.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = least.join(ids, "root").select("node", "root", "component_id")
     linked = worded.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "check"), F.lit(4)).cast("int"))
