@@ -1,8 +1,9 @@
 """Document fingerprints: a Merkle tree over the clauses, paragraphs and sections of a text.
 
 The digest of a leaf is that of its text; a paragraph's is that of its leaves' digests, a section's
-that of up to 16 paragraphs' and the root's that of all sections'.  A fingerprint is the root, then
-the first 8 digits of the leaves' digests under their sections and paragraphs:
+that of its paragraphs' and the root's that of all sections'.  A section ends after a paragraph whose
+digest begins with CUT, so what is put in or taken out moves no other section's ends.  A fingerprint
+is the root, then the first 8 digits of the leaves' digests under their sections and paragraphs:
 ``root:leaf leaf|leaf/leaf|leaf`` with ``|`` between paragraphs and ``/`` between sections.  Equal
 roots mean equal texts; where two trees differ, the branches that differ locate the edit.
 """
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import stage, text_or_empty
+from weblens.llm.common import free_name, stage, text_or_empty
 
-#: Paragraphs of a section.
-SECTION = 16
+#: A section ends after a paragraph whose digest begins so: after one in 16.
+CUT = "0"
 #: A leaf ends after marks of a clause, or after 64 characters without one.
 LEAF = r"(?s)[^.!?,;:]{0,63}[.!?,;:]+|.{1,64}"
 
@@ -29,20 +30,27 @@ def _md5(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def _grouped(items: Column, digest: bool, mark: str) -> Column:
-    """Items joined by sections of SECTION paragraphs; as a digest of each section, or as they are."""
-    starts = F.sequence(F.lit(1), F.size(items), F.lit(SECTION))
-    return F.transform(starts, lambda s: _md5(F.array_join(F.slice(items, s, SECTION), mark)) if digest else F.array_join(F.slice(items, s, SECTION), mark))
+def _sectioned(items: Column, ends: Column, each) -> Column:
+    """``each`` of the items of every section, of which ``ends`` has the last one's number; 0 stands before the first."""
+    return F.transform(F.sequence(F.lit(2), F.size(ends)), lambda k: each(F.slice(items, ends[k - 2] + 1, ends[k - 1] - ends[k - 2])))
 
 
 def with_fingerprint(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``df`` with the tree of a text column as one string column ``name``; null counts as empty."""
-    digests = F.transform(F.split(text_or_empty(text_col), "\n"), lambda p: F.transform(leaves(p), _md5))
-    tree = df.withColumn("_tree", digests)
-    root = _md5(F.array_join(_grouped(F.transform("_tree", lambda p: _md5(F.array_join(p, ""))), True, ""), ""))
-    shown = F.transform("_tree", lambda p: F.array_join(F.transform(p, lambda d: F.substring(d, 1, 8)), " "))
-    body = F.array_join(_grouped(shown, False, "|"), "/")
-    return tree.withColumn(name, F.concat(root, F.lit(":"), body)).drop("_tree")
+    """``df`` with the tree of a text column as one string column ``name`` (replaced, where it exists).
+
+    Null counts as empty, which is one empty paragraph; very long texts are one long tree; repeated
+    rows get equal trees; an empty table gives an empty one.  All other columns pass through.
+    """
+    tree, digests, ends = (free_name(df, x) for x in ("_tree", "_digests", "_ends"))
+    rows = df.withColumn(tree, F.transform(F.split(text_or_empty(text_col), "\n"), lambda p: F.transform(leaves(p), _md5)))
+    rows = rows.withColumn(digests, F.transform(tree, lambda p: _md5(F.array_join(p, ""))))
+    last = F.size(digests)
+    cut = F.filter(F.sequence(F.lit(1), last), lambda k: (F.col(digests)[k - 1].startswith(CUT)) | (k == last))
+    rows = rows.withColumn(ends, F.concat(F.array(F.lit(0)), cut))
+    root = _md5(F.array_join(_sectioned(F.col(digests), F.col(ends), lambda x: _md5(F.array_join(x, ""))), ""))
+    shown = F.transform(tree, lambda p: F.array_join(F.transform(p, lambda d: F.substring(d, 1, 8)), " "))
+    body = F.array_join(_sectioned(shown, F.col(ends), lambda x: F.array_join(x, "|")), "/")
+    return rows.withColumn(name, F.concat(root, F.lit(":"), body)).drop(tree, digests, ends)
 
 
 def sections(print_: Column) -> Column:
@@ -51,9 +59,9 @@ def sections(print_: Column) -> Column:
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Numbers (from 1) of the sections in which two fingerprints differ; none if they are equal."""
-    n = F.greatest(F.size(sections(a)), F.size(sections(b)))
-    return F.filter(F.sequence(F.lit(1), n), lambda i: ~F.try_element_at(sections(a), i).eqNullSafe(F.try_element_at(sections(b), i)))
+    """Numbers (from 1) of the sections of ``a`` that ``b`` doesn't have, wherever they stand; none if they are equal."""
+    mine, theirs = sections(a), sections(b)
+    return F.filter(F.sequence(F.lit(1), F.size(mine)), lambda i: ~F.array_contains(theirs, mine[i - 1]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -64,51 +72,88 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(same, 1.0).when(total == 0, 0.0).otherwise(2.0 * both / total)
 
 
-#: Ids that share their quotient by this are neighbours in one bucket; the bucket is bounded as ids are unique.
+#: Ids that share their quotient by this are neighbours in one bucket.
 STRIDE = 256
+#: A bucket of more rows than this (repeated ids, or the rows without id) is split by id, by the hash of a row and by chance.
+FULL, PARTS, CHANCES = 4096, 1024, 16
 #: So many buckets may be put in order by one task.
 SINGLE = 4096
+#: Bucket of rows without id: below all others.
+NO_ID = -(1 << 62)
+
+_KEY = ("bucket", "part", "chance")
+
+
+def _first(*keys: str) -> list[Column]:
+    """The order of rows: descending buckets, then ascending parts of a bucket."""
+    return [F.col(keys[0]).desc(), *[F.col(k) for k in keys[1:]]]
 
 
 def next_bucket(buckets: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """For each (bucket) the nearest lower one as ``below``; null at the lowest (null buckets are lowest).
+    """For each (bucket, part, chance) the next one in order as ``after``; null at the last.
 
     Levels of larger buckets keep each ordering task small.
     """
-    spark = buckets.sparkSession
+    here = F.struct(*_KEY)
     if buckets.count() <= SINGLE:
-        return buckets.select("bucket", F.lead("bucket").over(Window.orderBy(F.col("bucket").desc_nulls_last())).alias("below"))
+        return buckets.select(*_KEY, F.lead(here).over(Window.orderBy(*_first(*_KEY))).alias("after"))
     parent = buckets.withColumn("parent", F.expr(f"floor(bucket / {stride})"))
-    parents = next_bucket(parent.select(F.col("parent").alias("bucket")).distinct(), stride)
-    tops = parent.groupBy("parent").agg(F.max("bucket").alias("top"))
-    own = parent.withColumn("below", F.lead("bucket").over(Window.partitionBy("parent").orderBy(F.col("bucket").desc_nulls_last())))
-    links = parents.select(F.col("bucket").alias("p"), F.col("below").alias("q"))
-    over = links.join(tops, links["q"].eqNullSafe(tops["parent"])).select("p", "top")
-    return own.join(over, own["parent"].eqNullSafe(over["p"]), "left").select("bucket", F.coalesce("below", "top").alias("below"))
+    wider = parent.select(F.col("parent").alias("bucket"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("chance")).distinct()
+    tops = parent.groupBy("parent").agg(F.min_by(here, F.struct(-F.col("bucket"), "part", "chance")).alias("top"))
+    own = parent.withColumn("after", F.lead(here).over(Window.partitionBy("parent").orderBy(*_first(*_KEY))))
+    over = next_bucket(wider, stride).select(F.col("bucket").alias("p"), F.col("after.bucket").alias("parent")).join(tops, "parent").select("p", "top")
+    return own.join(over, own["parent"] == over["p"], "left").select(*_KEY, F.coalesce("after", "top").alias("after"))
 
 
-#: Bucket of rows without id: below all others.
-NO_ID = -(1 << 62)
-
-
-def with_next(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+def _bucketed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of (doc_id, _hash ...) with their bucket, part and chance, _hash only in full buckets; and the different keys."""
+    bucket = F.coalesce(F.expr(f"floor(doc_id / {STRIDE})"), F.lit(NO_ID))
+    sized = stage(raw.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("_n")), "merkle-sizes")
+    full = sized.filter(F.col("_n") > FULL).select("bucket", F.lit(True).alias("_full"))
+    none = (F.lit(0).cast("long").alias("part"), F.lit(0).alias("chance"))
+    if not full.limit(1).count():
+        return raw.withColumn("_hash", F.lit(0).cast("long")).select("*", bucket.alias("bucket"), *none), sized.select("bucket", *none)
+    # by id, by the leading bits of the hash, and, as equal rows may come in any order, by chance
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(CHANCES)).cast("int")
+    split = raw.withColumns({"bucket": bucket, "chance": chance}).join(full, "bucket", "left")
+    down = F.coalesce(STRIDE - 1 - F.pmod("doc_id", F.lit(STRIDE)), F.lit(0))
+    part = F.when(F.col("_full"), down * PARTS + _leading()).otherwise(0).cast("long")
+    split = split.withColumns({"part": part, "chance": F.when(F.col("_full"), F.col("chance")).otherwise(0), "_hash": F.when(F.col("_full"), F.col("_hash")).otherwise(0)}).drop("_full")
+    return split, stage(split.select(*_KEY).distinct(), "merkle-buckets")
+
+
+def _leading() -> Column:
+    """The first ten bits of the hash: a number below PARTS."""
+    return F.shiftrightunsigned("_hash", 54)
+
+
+def with_next(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id", derive=None) -> DataFrame:
     """(doc_id, columns, next_<column>): the values of the next row by descending id, after the last the first's.
 
-    Null ids come last; rows that share an id go by the columns' values.  Rows are shuffled once, by
-    bucket of ids, and stay where they are when the first row of the next bucket is joined.
+    Null ids come last; rows that share an id go by the columns' values, in full buckets by the leading
+    bits of their hash, by chance and by the hash.  Rows are shuffled once, by bucket of ids, and stay where they
+    are when the first row of the next bucket is joined.  ``derive`` adds columns to rows before they
+    are shuffled; the first rows of buckets are found without it.  An empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *columns)
-    bucket = F.coalesce(F.expr(f"floor(doc_id / {STRIDE})"), F.lit(NO_ID))
-    rows = rows.withColumn("bucket", bucket)
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), *columns)
-    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(order)).withColumn("_k", F.row_number().over(order))
-    heads = rows.filter("_k = 1").select(F.col("bucket").alias("_b"), F.struct(*columns).alias("_head"))
-    buckets = stage(docs.select(F.col(id_col).cast("long").alias("doc_id")).select(bucket.alias("bucket")).distinct(), "merkle-buckets")
-    highest = buckets.agg(F.max("bucket")).first()[0]
-    # the lowest bucket goes on with the highest
-    links = next_bucket(buckets).select(F.col("bucket").alias("_of"), F.coalesce("below", F.lit(highest)).alias("_b"))
-    after = links.join(heads, "_b").select(F.col("_of").alias("bucket"), "_head")
-    joined = rows.join(after.hint("merge"), "bucket", "left")
+    derive = derive or (lambda df: df)
+    given = [c for c in columns if c in docs.columns]
+    raw, keys = _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), *given).withColumn("_hash", F.xxhash64(*given)))
+    order = Window.partitionBy(*_KEY).orderBy(F.col("doc_id").desc_nulls_last(), "_hash", *given)
+    rows = derive(raw).withColumn("_next", F.lead(F.struct(*columns)).over(order))
+
+    heads = raw.groupBy(*_KEY).agg(F.min(F.struct(-F.col("doc_id"), F.col("_hash"))).alias("_h"))
+    heads = stage(heads.select(*[F.col(k).alias(f"_{k}") for k in _KEY], (-F.col("_h.col1")).alias("_id"), F.col("_h._hash").alias("_of")), "merkle-heads")
+    same = raw["doc_id"].eqNullSafe(heads["_id"]) & (raw["_hash"] == heads["_of"])
+    for k in _KEY:
+        same &= raw[k] == heads[f"_{k}"]
+    found = raw.join(heads, same, "left_semi").groupBy(*_KEY).agg(F.min(F.struct(*given)).alias("_m"))
+    found = derive(found.select(*_KEY, "_m.*"))
+    found = found.select(F.struct(*_KEY).alias("_b"), F.struct(*columns).alias("_head"))
+
+    top = keys.orderBy(*_first(*_KEY)).select(F.struct(*_KEY)).head(1)
+    highest = F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(_KEY, top[0][0], ("long", "long", "int"))]) if top else F.lit(None)
+    after = next_bucket(keys).select(*_KEY, F.coalesce("after", highest).alias("_b")).join(found, "_b").select(*_KEY, "_head")
+    joined = rows.join(after.hint("merge"), list(_KEY), "left")
     return joined.select("doc_id", *columns, *[F.coalesce(F.col(f"_next.{c}"), F.col(f"_head.{c}")).alias(f"next_{c}") for c in columns])
 
 

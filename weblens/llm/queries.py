@@ -65,7 +65,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``edited_text``: the last floor(n/2) code points give way to the first as many of the next document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    pairs = merkle.with_next(merkle.with_fingerprint(docs, "text", "fingerprint"), ("text", "fingerprint"))
+    pairs = merkle.with_next(docs, ("text", "fingerprint"), derive=lambda df: merkle.with_fingerprint(df, "text", "fingerprint"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = pairs.withColumn("n_chars", n.cast("long")).withColumn("_edited", edited)
