@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 
 from weblens.llm.common import WORD, stage, text_or_empty
 
-#: Documents of about one size are dealt over so many sub-buckets, so that no bucket holds a large source.
-SUBS = 64
+#: Documents of about one size are dealt over so many sub-buckets at least, one for each ROWS rows of the table.
+SUBS, ROWS = 64, 1 << 20
+
+
+def sub_buckets(rows: int) -> int:
+    """A power of two, so that no bucket holds many more than ROWS rows whatever part of the table a source is."""
+    return max(SUBS, 1 << max(0, -(-rows // ROWS) - 1).bit_length())
+
+
+def sub_bucket(doc_id: Column, n: int) -> Column:
+    """The sub-bucket of an id by its MD5, so that no pattern of ids fills one; 0 for a null id."""
+    number = F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.coalesce(F.pmod(number, F.lit(n)), F.lit(0)).cast("int")
 
 
 def word_count(text: Column) -> Column:
@@ -57,18 +68,19 @@ def offset(source: Column, seed: int) -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken (and ``carry``).
 
-    Within a source the order is (size class, id modulo 64, size, id).  The running sum never passes
-    through one task: counts of the small buckets (size class, modulo) are summed up per source, and
+    Within a source the order is (size class, sub-bucket of the id, size, id).  The running sum never passes
+    through one task: counts of the small buckets (size class, sub-bucket) are summed up per source, and
     within a bucket rows are only numbered.  Null and empty texts have size 0 and take no words.
     Null sources form one source.  Null ids come first in their bucket; repeated rows are documents
-    of their own, equal in order, so it doesn't matter which of them gets a copy more.  An empty
-    table gives an empty one.
+    of their own, equal in order, so it doesn't matter which of them gets a copy more.  Very long texts are counted
+    whole; columns other than those named are ignored.  An empty table gives an empty one.
     """
     size = word_count(text_or_empty(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carry)
     bits = F.length(F.bin("size"))
     rows = rows.withColumn("_class", (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("int"))
-    rows = stage(rows.withColumn("_sub", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SUBS)), F.lit(0)).cast("int")), "mix-sizes")
+    rows = stage(rows, "mix-sizes")
+    rows = rows.withColumn("_sub", sub_bucket(F.col("doc_id"), sub_buckets(rows.count())))
 
     key = ["source", "_class", "_sub"]
     buckets = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))

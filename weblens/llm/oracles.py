@@ -2,13 +2,13 @@
 
 from weblens.llm.common import LOWER, UPPER
 from weblens.llm.merkle import CUT, LEAF
-from weblens.llm.mixing import SUBS
+from weblens.llm.mixing import ROWS, SUBS
 
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 MIX = rf"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-c AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS class, coalesce((doc_id % {SUBS} + {SUBS}) % {SUBS}, 0) AS sub FROM s),
+c AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS class, coalesce(CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT CAST(greatest({SUBS}, pow(2, ceil(log2(ceil(count(*) / {ROWS}.0))))) AS BIGINT) FROM s) AS INTEGER), 0) AS sub FROM s),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS weight FROM src),
 f AS (SELECT *, source_size * CAST(2 AS DOUBLE) AS cap, source_size * CAST(2 AS DOUBLE) / weight AS full_at, CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE) AS total FROM w),
