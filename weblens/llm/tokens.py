@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,35 +35,45 @@ def _piece_model(name: str):
     return model
 
 
+@lru_cache(maxsize=1 << 16)
+def _stays(char: str) -> bool:
+    """Whether a character keeps to itself under any normalizer: no mark, nothing composed or to compose, no space."""
+    if "!" <= char <= "~":
+        return True
+    return unicodedata.category(char) in ("Lu", "Ll", "Lo", "Nd", "Po") and all(unicodedata.normalize(form, char) == char for form in ("NFC", "NFD", "NFKC", "NFKD")) and not unicodedata.combining(char)
+
+
 def safe_pieces(text: str, limit: int = LONG_CHARS) -> list[str]:
     """Cut a text so that its pieces, encoded one by one, give as many tokens as the whole text.
 
-    A cut replaces one single space between two other characters: no piece of the vocabulary goes
-    on over a space, and the model puts the space back before each text.  Where no such space
-    follows, the rest stays whole.
+    A cut replaces one single space between two characters that no normalizer changes or joins to
+    others: no piece of the vocabulary goes on over a space, and the model puts the space back
+    before each text.  Where no such space follows, the rest stays whole: there is no safe boundary.
     """
     out, at = [], 0
-    safe = re.compile(r"(?<=[!-~]) (?=[!-~])")
     while len(text) - at > limit:
-        found = safe.search(text, at + limit)
-        if not found:
+        cut = text.find(" ", at + limit)
+        while 0 < cut < len(text) - 1 and not (_stays(text[cut - 1]) and _stays(text[cut + 1])):
+            cut = text.find(" ", cut + 1)
+        if not 0 < cut < len(text) - 1:
             break
-        out.append(text[at : found.start()])
-        at = found.end()
+        out.append(text[at:cut])
+        at = cut + 1
     return [*out, text[at:]]
 
 
 def _balanced(texts: list[str], batch_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Pieces of all texts in batches of about equal bytes, with the place of the text each belongs to."""
+    """Pieces of all texts in batches of about equal bytes of UTF-8, with the place of the text each belongs to."""
     places, pieces, held = [], [], 0
     for place, text in enumerate(texts):
         for piece in safe_pieces(text):
-            places.append(place)
-            pieces.append(piece)
-            held += len(piece)
-            if held >= batch_bytes:
+            size = len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
+            if pieces and held + size > batch_bytes:
                 yield places, pieces
                 places, pieces, held = [], [], 0
+            places.append(place)
+            pieces.append(piece)
+            held += size
     if pieces:
         yield places, pieces
 
@@ -88,7 +99,8 @@ def count_tokens(docs: DataFrame, model: str, text_col: str = "text", limit: int
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) added.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; an empty table
-    gives an empty table.  Columns of those three names are replaced; all others pass through.
+    gives an empty table; very long texts are counted in pieces.  Columns of those three names are
+    replaced; all others pass through.
     """
     text = text_or_empty(text_col)
     kept = docs.drop("n_bytes", "n_tokens", "over_limit")
