@@ -96,6 +96,7 @@ def format_chats(events: DataFrame, learn: tuple[str, ...] = ("assistant",)) ->
     """Reconstruct and render every conversation of an event log.
 
     Null roles and texts are empty; null conversation ids are one conversation; repeated events are
-    events of their own; an empty log gives an empty table; columns other than the six are ignored.
+    events of their own; very long texts are rendered whole, and a conversation, which is one output,
+    is held by one task; an empty log gives an empty table; columns other than the six are ignored.
     """
     return render(fold_events(events), learn)

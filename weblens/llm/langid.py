@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import text_or_empty
+from weblens.llm.common import free_name, text_or_empty
 
 #: Characters of an n-gram, hashes of it, slots of the filter.
 N, HASHES, SLOTS = 4, 3, 1 << 21
 #: Bound of the training sample: texts of a language (chosen by hash), and code points of each that is chosen.
 TEXTS_PER_LANGUAGE, LONGEST = 2000, 20_000
+#: Most languages that a model tells apart: the filter has 16 MB for every 64 of them.
+MOST_LANGUAGES = 256
 #: An n-gram counts for a language if it was seen so often there, at this share of its highest rate at least.
 SEEN, RATE = 3, 0.25
 UNKNOWN = "und"
@@ -116,7 +118,9 @@ class LanguageModel:
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
     """Fit on a bounded sample of the rows given: about ``most`` texts a language, chosen by a hash of the text.
 
-    Rows of null language or text are left out; copies of a text count once.  Texts of more than
+    Rows of null language or text are left out; copies of a text count once.  More than
+    MOST_LANGUAGES different languages are an error, not dropped; an empty table gives a model that
+    says UNKNOWN.  Texts of more than
     LONGEST code points are not sampled while their language has others; where it has none, they are
     cut into pieces of that length, which are sampled like texts.  What reaches the driver is the
     table of n-grams of that sample.
@@ -125,6 +129,8 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     mark = F.xxhash64(F.lit("langid"), "text")
     counted_by = lambda df, *keys: df.groupBy(*keys).agg(F.countDistinct(mark).alias("n")).collect()
     units = rows.filter(F.length("text") <= LONGEST)
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = counted_by(rows.withColumn("short", F.length("text") <= LONGEST), "lang", "short")
     sizes = {r["lang"]: r["n"] for r in found if r["short"]}
     long_only = sorted({r["lang"] for r in found} - sizes.keys())
@@ -168,7 +174,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """``docs`` with lang_pred and score added (replaced, where they exist).
 
     Null, empty and letterless texts are ``und`` with score 0; ties go to the first language by
-    name; a model without languages says ``und``; only the text is looked at.
+    name; a model without languages says ``und``; only the text is looked at.  Repeated rows get the
+    same answer each; very long texts are read whole; an empty table gives an empty one; all other
+    columns pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -184,5 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                     start, held = i + 1, 0
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["lang_pred", "score"])
 
-    kept = docs.drop("lang_pred", "score").withColumn("_said", predict(text_or_empty(text_col)))
-    return kept.withColumn("lang_pred", F.col("_said.lang_pred")).withColumn("score", F.col("_said.score")).drop("_said")
+    kept = docs.drop("lang_pred", "score")
+    said = free_name(kept, "_said")
+    kept = kept.withColumn(said, predict(text_or_empty(text_col)))
+    return kept.withColumn("lang_pred", F.col(f"{said}.lang_pred")).withColumn("score", F.col(f"{said}.score")).drop(said)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import WHITE, ascii_lower, discard, salted, stage, text_or_empty
+from weblens.llm.common import WHITE, ascii_lower, discard, free_name, salted, stage, text_or_empty
 
 #: A very common line is dealt over so many join keys.
 SALTS = 16
@@ -113,13 +113,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     Lines whose key has ``min_chars`` code points or more and is found in ``min_docs`` rows go, except
     in the rows with the largest id holding it.  Null or empty text is one empty line.  Rows that
     share an id but not a text are separate documents that hold a line together; rows that repeat
-    both are one.  Rows of null id count, and hold a line only where no other row has it.  Columns n_lines, n_dropped, kept are replaced, others pass.
+    both are one.  Rows of null id count, and hold a line only where no other row has it.  Very long
+    texts are read whole.  An empty table gives an empty one.  Columns n_lines, n_dropped, kept are
+    replaced, all others pass through.
     """
     text = text_or_empty(text_col)
-    rows = docs.drop("n_lines", "n_dropped", "kept").withColumn("_row", F.xxhash64(F.col(id_col), text))
+    rows = docs.drop("n_lines", "n_dropped", "kept")
+    row, gone, marks, split_ = (free_name(rows, x) for x in ("_row", "_gone", "_marks", "_lines"))
+    rows = rows.withColumn(row, F.xxhash64(F.col(id_col), text))
     key = line_key(F.col("line"))
     lines = (
-        rows.select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+        rows.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
         .filter(F.length("line") >= min_chars)
         .withColumn("key", key)
         .filter(F.length("key") >= min_chars)
@@ -127,22 +131,23 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .select("row", "doc_id", "pos", "h.h1", "h.h2")
     )
     lines = stage(lines, "lines")
-    common = salted(repeated_lines(lines, min_docs), SALTS)
+    repeated = repeated_lines(lines, min_docs)
     goes = (
         lines.withColumn("_salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
-        .join(common, ["h1", "h2", "_salt"])
+        .join(salted(repeated, SALTS), ["h1", "h2", "_salt"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-        .groupBy("row", F.col("doc_id").alias("_id"))
-        .agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
-        .withColumnRenamed("row", "_goes")
+        .groupBy(F.col("row").alias("_goes"), F.col("doc_id").alias("_id"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("_of"))
     )
+    goes = stage(goes, "lines-gone")
+    discard(lines, repeated)
+    goes = goes.select(F.col("_goes").alias(f"{row}_goes"), F.col("_id").alias(f"{row}_id"), F.col("_of").alias(gone))
     split = F.split(text, "\n")
-    joined = rows.join(goes.hint("shuffle_hash"), (rows["_row"] == goes["_goes"]) & rows[id_col].eqNullSafe(goes["_id"]), "left").drop("_goes", "_id")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    marked = joined.withColumn("_gone", gone).withColumn("n_lines", F.size(split).cast("long")).withColumn("n_dropped", F.size("_gone").cast("long"))
+    joined = rows.join(goes.hint("shuffle_hash"), (rows[row] == goes[f"{row}_goes"]) & rows[id_col].eqNullSafe(goes[f"{row}_id"]), "left").drop(f"{row}_goes", f"{row}_id")
+    marked = joined.withColumn(gone, F.coalesce(gone, F.array().cast("array<int>"))).withColumn("n_lines", F.size(split).cast("long")).withColumn("n_dropped", F.size(gone).cast("long"))
     # the lines between one dropped line and the next; linear in the number of lines
-    marks = F.expr("concat(array(-1), _gone, array(cast(n_lines as int)))")
-    parts = F.flatten(F.zip_with(F.slice("_marks", 1, F.size("_marks") - 1), F.slice("_marks", 2, F.size("_marks") - 1), lambda a, b: F.slice(F.col("_lines"), a + 2, b - a - 1)))
-    cut = marked.withColumn("_marks", marks).withColumn("_lines", split)
+    bounds = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.col("n_lines").cast("int")))
+    parts = F.flatten(F.zip_with(F.slice(marks, 1, F.size(marks) - 1), F.slice(marks, 2, F.size(marks) - 1), lambda a, b: F.slice(F.col(split_), a + 2, b - a - 1)))
+    cut = marked.withColumn(marks, bounds).withColumn(split_, split)
     kept = F.when(F.col("n_dropped") == 0, text).otherwise(F.array_join(parts, "\n"))
-    return cut.withColumn("kept", kept).drop("_row", "_gone", "_marks", "_lines")
+    return cut.withColumn("kept", kept).drop(row, gone, marks, split_)
