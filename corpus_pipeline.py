@@ -1,7 +1,9 @@
 """A corpus pipeline over ``documents``: toxicity, line dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and its result is
-written as Parquet and read again as the next one's docs.
+written as Parquet and read again as the next one's docs.  Every stage takes null ids, texts,
+languages and sources, empty and very long texts, repeated rows and rows that share an id, and an
+empty table (which gives an empty one); columns other than those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -10,29 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.llm import linededup, mixing, neardup, packing, toxicity
-from weblens.llm.common import held_out, salted, stage
+from weblens.llm.common import discard, held_out, salted, stage, staged_within
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted on labels outside the held-out quarter, doesn't reject."""
+    """Documents that the toxicity model, fitted on labels outside the held-out quarter, doesn't reject.
+
+    Null and empty texts have no toxic word and stay; repeated rows go or stay alike; without labels all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id")))
     model = toxicity.learn_toxicity(docs, labels)
     return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that three or more share, save in the last that has them; n_chars follows."""
+    """Every document, without the lines that three or more share, save in the last that has them; n_chars follows.
+
+    A null text stays null; a text that loses all its lines is empty; repeated rows are one document that keeps or loses a line in each.
+    """
     kept = linededup.dedup_lines(docs)
     text = F.when(F.col("text").isNotNull() | (F.col("kept") != ""), F.col("kept"))
     return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): that of the smallest id, text hash and row.
+    """One document of each group of near-duplicates (five words, 0.8): that of the smallest id (null ids last) and text hash.
 
-    Texts without words are in no group, and all are kept.
+    Of repeated rows the least by its columns stays.  Texts without words, null ones too, are in no group, and all are kept.
     """
     rows = neardup.rooted_groups(docs, width=5, percent=80)
     same = rows.groupBy("root", "doc_id", "check").agg(F.count("*").alias("n"))
@@ -54,12 +62,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the numbers of copies that the mix gives them."""
+    """Documents in the numbers of copies that the mix gives them, 0 to 2.
+
+    A null source is a source; null and empty texts have size 0 and are copied as any other document; of
+    repeated rows, equal in order, either gets a copy more.
+    """
     return mixing.emit(mixing.mix(docs.withColumn("_src", F.col("source")), source_col="_src", carry=("text", "lang", "n_chars"))).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mix in windows of 4096 tokens."""
+    """Pieces of the mix in windows of 4096 tokens; each copy is packed, and a null or empty text is one end token."""
     return packing.pack(docs)
 
 
@@ -76,10 +88,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, f"pipeline-{name}")
-    return docs
+    """All stages over ``documents``; what a stage staged, and what it read, goes when its result has been written."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, step in STAGES[:-1]:
+        with staged_within(spark) as kept:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        if read is not None:
+            discard(read)
+        read = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
