@@ -106,7 +106,7 @@ def test_sql_gives_the_same_rows(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    assert len(Q.oracle_sql()) == 5
+    assert len(Q.oracle_sql()) == 6
     for name, sql in Q.oracle_sql().items():
         df = Q.queries()[name](spark, sf_dir)
         columns = sorted(df.columns)
