@@ -814,5 +814,6 @@ def snapshot_json(spark, sf_dir):
 @query(Q.base() + f"SELECT vhost, upstream_addr, count(*) AS requests, round(avg(CASE WHEN event_id % 4 = 2 THEN 0.125 ELSE 0.0 END), 6) AS upstream_avg, {Q.ms(0.95)} AS latency_p95 FROM req GROUP BY ALL")
 def upstream_stats(spark, sf_dir):
     """Timings per upstream server: an addition of ours."""
-    rows = requests(spark, sf_dir).groupBy("vhost", "upstream_addr").agg(F.count("*").alias("requests"), F.avg("upstream_time").alias("upstream_avg"), (F.percentile("req_time", 0.95) * 1000).alias("latency_p95"))
+    counted = requests(spark, sf_dir).groupBy("vhost", "upstream_addr", "req_time").agg(F.count("*").alias("n"), F.sum("upstream_time").alias("t"))
+    rows = counted.groupBy("vhost", "upstream_addr").agg(F.sum("n").alias("requests"), (F.sum("t") / F.sum("n")).alias("upstream_avg"), (F.percentile("req_time", F.lit(0.95), F.col("n")) * 1000).alias("latency_p95"))
     return rounded(rows, "upstream_avg", "latency_p95")
