@@ -79,8 +79,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *carry)
     bits = F.length(F.bin("size"))
     rows = rows.withColumn("_class", (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("int"))
-    rows = stage(rows, "mix-sizes")
-    rows = rows.withColumn("_sub", sub_bucket(F.col("doc_id"), sub_buckets(rows.count())))
+    whole = stage(rows.withColumn("_row", F.monotonically_increasing_id()) if carry else rows, "mix-sizes")
+    rows = whole.drop(*carry).withColumn("_sub", sub_bucket(F.col("doc_id"), sub_buckets(whole.count())))
 
     key = ["source", "_class", "_sub"]
     buckets = rows.groupBy(*key).agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
@@ -98,7 +98,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     at = (F.col("_before") + F.col("_rank")).cast("double")
     crossed = F.floor(rate * at + offset(F.col("source"), seed)) - F.floor(rate * (at - 1) + offset(F.col("source"), seed))
     out = joined.withColumn("copies", F.least(crossed, F.lit(int(-(-most // 1)))).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    if carry:  # what is carried meets its row again at the end and is never sorted
+        out = whole.select("_row", *carry).join(out.hint("shuffle_hash"), "_row")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *carry)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
