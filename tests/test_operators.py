@@ -310,3 +310,11 @@ def test_tier_table_is_idempotent(spark, tmp_path):
         sinks.write_tier(rows, str(tmp_path / "t"), "1m")
     sinks.write_tier(rows.filter("ts = 60").withColumn("s2xx", F.lit(9).cast("long")), str(tmp_path / "t"), "1m")
     assert sorted((r["ts"], r["s2xx"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(60, 9), (90000, 2)]
+
+
+def test_no_query_joins_everything_with_everything(spark, sf_dir):
+    from weblens.plans import catalog
+
+    for name, query in catalog.queries().items():
+        plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name

@@ -155,6 +155,14 @@ def second_history(filled: DataFrame, vhost: str, as_of: int, window: int = 3600
     return own.select("sec", "requests", error_rate().alias("error_rate"), "bytes_in", "bytes_out", E.ratio(F.col("latency_sum"), F.col("requests"), 1000.0).alias("latency_avg"), *CLASSES, *CLIENTS, *BUCKETS)
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """The columns of several tables of one row each (or none) as one row, without a join."""
+    whole = rows[0]
+    for other in rows[1:]:
+        whole = whole.unionByName(other, allowMissingColumns=True)
+    return whole.agg(*[F.first(c, ignorenulls=True).alias(c) for c in whole.columns])
+
+
 def second_summary(history: DataFrame, visitors: DataFrame, window: int = 3600) -> DataFrame:
     """One row over a per-second series: totals, the error share of all requests, the mean of the busy seconds' mean latencies.
 
@@ -163,7 +171,7 @@ def second_summary(history: DataFrame, visitors: DataFrame, window: int = 3600)
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS]
     s = history.agg(*sums, F.coalesce(F.avg(F.when(F.col("requests") > 0, F.col("latency_avg"))), F.lit(0.0)).alias("latency_avg"))
     s = s.withColumn("avg_rps", F.col("requests") / F.lit(window)).withColumn("error_rate", E.ratio(F.col("s4xx") + F.col("s5xx"), F.col("requests"), 100.0))
-    return s.withColumn("_k", F.lit(1)).join(visitors.select("visitors", F.lit(1).alias("_k")), "_k").drop("_k")
+    return side_by_side(s, visitors.select("visitors"))
 
 
 def all_seconds(filled: DataFrame) -> DataFrame:
@@ -176,8 +184,8 @@ def all_seconds(filled: DataFrame) -> DataFrame:
 def all_summary(series: DataFrame, visitors: DataFrame, window: int = 3600) -> DataFrame:
     """One row for all vhosts: totals, rate, the error share of the classes' sum; ``visitors`` has a row per vhost, which add up."""
     s = series.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
-    s = s.withColumn("avg_rps", F.col("requests") / F.lit(window)).withColumn("error_rate", error_rate()).withColumn("_k", F.lit(1))
-    return s.join(visitors.agg(F.coalesce(F.sum("visitors"), F.lit(0)).alias("visitors")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+    s = s.withColumn("avg_rps", F.col("requests") / F.lit(window)).withColumn("error_rate", error_rate())
+    return side_by_side(s, visitors.agg(F.coalesce(F.sum("visitors"), F.lit(0)).alias("visitors")))
 
 
 def merged_tops(rows: DataFrame, by: str, *ties: str, n: int = 10, share: str | None = None) -> DataFrame:

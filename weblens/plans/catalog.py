@@ -68,7 +68,7 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def now(spark: SparkSession, sf_dir: str) -> int:
     """The time of the dense log's last request."""
-    return seen(spark, sf_dir).agg(F.max("last")).first()[0]
+    return stored(spark, sf_dir).value("now", lambda: seen(spark, sf_dir).agg(F.max("last")).first()[0])
 
 
 def recent(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:

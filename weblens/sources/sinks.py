@@ -68,5 +68,6 @@ def snapshot_document(live_rows: DataFrame, totals: DataFrame, as_of: int) -> Da
     entry = F.struct("vhost", F.struct(*columns).alias("v"))
     grouped = live_rows.agg(F.count("*").alias("vhosts"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("m"))
     one = totals.agg(F.first(F.struct(*totals.columns)).alias("g"))
+    both = grouped.unionByName(one, allowMissingColumns=True).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("vhosts", "m", "g")])
     whole = F.struct(F.lit(as_of).cast("long").alias("timestamp"), F.col("g").alias("global"), F.col("m").alias("vhosts"))
-    return grouped.withColumn("_k", F.lit(1)).join(one.withColumn("_k", F.lit(1)), "_k").select("vhosts", F.to_json(whole).alias("document"))
+    return both.select("vhosts", F.to_json(whole).alias("document"))

@@ -42,6 +42,7 @@ class Store:
     """The stored tables that derive from one input."""
 
     _roots: dict[tuple[str, str, str], str] = {}
+    _values: dict[tuple[str, str], object] = {}
 
     def __init__(self, spark: SparkSession, source: str, *inputs: str) -> None:
         key = (spark.sparkContext.applicationId, source, "|".join(state_of(spark, f"{source}/{x}") for x in inputs))
@@ -75,3 +76,10 @@ class Store:
             rows().write.mode("overwrite").parquet(f"{self.path}/{name}")
             self._finish(name)
         return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def value(self, name: str, find: Callable[[], object]) -> object:
+        """A single value that derives from the input; ``find`` gives it the first time."""
+        key = (self.path, name)
+        if key not in self._values:
+            self._values[key] = find()
+        return self._values[key]

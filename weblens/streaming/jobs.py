@@ -46,14 +46,17 @@ def sliding_views(requests: DataFrame, each: Callable[[DataFrame, int], None], p
     over each of ``windows`` seconds that end with it (<counter>_<seconds>).
     """
     longest = max(windows)
+    ends: list[int] = []  # the last second seen, after the first batch of a run
 
     def view(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         sinks.batch_sink(path, "second")(batch.drop("visitors", "latency"), batch_id)
         kept = spark.read.parquet(path)
-        last = kept.agg(F.max("ts")).first()[0]
-        if last is None:
+        found = (kept.filter(F.col("batch") == batch_id) if ends else kept).agg(F.max("ts")).first()[0]
+        ends[:] = [max(x for x in (*ends, found) if x is not None)] if ends or found is not None else []
+        if not ends:
             return
+        last = ends[0]
         recent = kept.filter(F.col("ts") > last - 2 * longest)
         latest = recent.groupBy("vhost", "ts").agg(F.max_by(F.struct(*COUNTERS), "batch").alias("c")).select("vhost", F.col("ts").alias("sec"), "c.*")
         shown = None
