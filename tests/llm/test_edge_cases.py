@@ -404,16 +404,13 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
     assert float(done.stdout) < 150
 
 
-def test_toxicity_bounds_come_after_what_is_left_out(spark, monkeypatch):
+def test_toxicity_bounds_come_after_what_is_left_out(spark):
     rows = [(k, words(k, 9) if k % 2 else "x" * 20_001) for k in range(40)] + [(100, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k // 2 % 2) for k in range(40)] + [(100, 1)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, **_: seen.append((texts, labels)))
-    toxicity.learn_toxicity(docs, labels, most=10)
-    assert len(seen[0][0]) == 20 and sum(seen[0][1]) == 10
-    toxicity.learn_toxicity(docs, labels, most=10, most_chars=200)
-    assert 0 < sum(map(len, seen[1][0])) <= 400
+    got = toxicity.labelled_sample(docs, labels, most=10).collect()
+    assert len(got) == 20 and sum(r["_label"] for r in got) == 10
+    assert 0 < sum(len(r["_text"]) for r in toxicity.labelled_sample(docs, labels, most=10, most_chars=200).collect()) <= 400
 
 
 def test_toxicity_scores_follow_the_ratio_of_all_labels(spark):
@@ -426,17 +423,43 @@ def test_toxicity_scores_follow_the_ratio_of_all_labels(spark):
     assert capped.mean() == pytest.approx(whole.mean(), abs=0.1)
 
 
-def test_toxicity_takes_one_text_of_an_id(spark, monkeypatch):
+def test_toxicity_takes_one_text_of_an_id(spark):
     docs = spark.createDataFrame([(k, words(k, 9)) for k in range(20)] + [(3, words(k, 9)) for k in range(100, 300)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(3, 1)] * 50, "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, **_: seen.append((texts, labels)))
-    toxicity.learn_toxicity(docs, labels, most=10)
-    texts, marks = seen[0]
-    assert len(texts) == len(set(texts)) == 20 and sum(marks) == 10
+    got = toxicity.labelled_sample(docs, labels, most=10).collect()
+    texts = [r["_text"] for r in got]
+    assert len(texts) == len(set(texts)) == 20 and sum(r["_label"] for r in got) == 10
     assert {words(k, 9) for k in range(20) if k != 3} < set(texts)
 
 
+def test_long_texts_in_pieces_give_what_whole_ones_give(monkeypatch):
+    from weblens.llm import common
+
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 90))) for _ in range(rng.randint(0, 300))) + rng.choice(["", "\n", " "]) for _ in range(20)] + ["", " ", "x" * 500]
+    assert all("".join(common.pieces_of(x, 30)) == x for x in texts)
+    ids = packing.word_ids("word_bpe_49k.json")
+    assert all(b"".join(map(ids._ids, common.pieces_of(x, 50))) == ids._ids(x) for x in texts)
+    data = np.frombuffer((" " + " ".join(texts) + " ").encode(), np.uint8)
+    hashes, first, _ = neardup.word_hashes(data)
+    for size in (7, 50, 1000):
+        found, begins = neardup._hashed(data, size)
+        assert (found == hashes).all() and (begins == first).all()
+    labelled = [" ".join(rng.choice(["nice", "words", "here", "okay", "zukwyvx" if k % 2 else "plain", "more"]) for _ in range(60)) for k in range(300)]
+    model = toxicity.fit(labelled, [k % 2 for k in range(300)])
+    tested = [" ".join(labelled[:20]), labelled[0], labelled[1], ""]
+    whole = model.scores(tested)
+    monkeypatch.setattr(toxicity, "LONG_CHARS", 300)
+    assert np.allclose(model.scores(tested), whole, atol=1e-6)
+    table = np.zeros((langid.SLOTS, 1), np.uint64)
+    for slots in langid._slots(langid.gram_hashes([tested[0]])[0]):
+        table[slots, 0] |= np.uint64(1)
+    languages = langid.LanguageModel(["aa"], table, np.zeros(1))
+    said = languages.predict(tested)
+    monkeypatch.setattr(langid, "LONG_CHARS", 300)
+    assert [x[0] for x in languages.predict(tested)] == [x[0] for x in said] == ["aa", "aa", "aa", "und"]
+
+
 def test_language_filter_against_exact_sets():
     rng = random.Random(8)
     letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "uvwxyz"}

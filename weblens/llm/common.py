@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -100,6 +101,31 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+_WHITE_SPACE = re.compile(WHITE_CLASS)
+
+
+def pieces_of(text: str, size: int, overlap: int = 0) -> list[str]:
+    """A text in pieces of ``size`` code points or somewhat more, each from white space to white space.
+
+    So memory follows ``size`` and not the longest text.  A piece begins at white space ``overlap`` or
+    more code points before the last one's end.  Where no white space follows, the rest stays whole.
+    """
+    out, at = [], 0
+    while len(text) - at > 2 * size:
+        found = _WHITE_SPACE.search(text, at + size)
+        if not found:
+            break
+        out.append(text[at : found.start()])
+        at = max(text.rfind(" ", at + 1, found.start() - overlap), at + 1) if overlap else found.start()
+    return [*out, text[at:]] if out else [text]
+
+
+def slices(batch, rows: int = 512):
+    """An Arrow batch or array in parts of so many rows: texts become Python strings a part at a time."""
+    for at in range(0, len(batch), rows):
+        yield batch.slice(at, rows)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's decimal text leaves 2 when divided by 4; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

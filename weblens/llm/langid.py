@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import free_name, text_or_empty
+from weblens.llm.common import free_name, pieces_of, slices, text_or_empty
 
 #: Characters of an n-gram, hashes of it, slots of the filter.
 N, HASHES, SLOTS = 4, 3, 1 << 21
@@ -27,6 +27,8 @@ MOST_LANGUAGES = 256
 #: An n-gram counts for a language if it was seen so often there, at this share of its highest rate at least.
 SEEN, RATE = 3, 0.25
 UNKNOWN = "und"
+#: Code points of the pieces that longer texts are counted in.
+LONG_CHARS = 1 << 20
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -92,6 +94,26 @@ class LanguageModel:
         """(language, score) of each text: the share of the best in the sum of all corrected shares."""
         if not texts:
             return []
+        pieces = [pieces_of(t, LONG_CHARS) for t in texts]
+        if max(map(len, pieces)) == 1:
+            hits, counts = self._hits(texts)
+        else:  # the pieces' numbers add up
+            parts = [[self._hits([x]) for x in own] for own in pieces]
+            hits = np.concatenate([sum(h for h, _ in own) for own in parts])
+            counts = np.concatenate([sum(c for _, c in own) for own in parts])
+        share = np.maximum(0, (hits / np.maximum(counts, 1)[:, None] - self.false) / (1 - self.false)) if self.languages else hits
+        out = []
+        for i in range(len(texts)):
+            if not counts[i] or not self.languages:
+                out.append((UNKNOWN, 0.0))
+            else:
+                best, total = int(np.argmax(share[i])), float(share[i].sum())
+                out.append((self.languages[best], float(share[i, best]) / total if total else 0.0))
+        return out
+
+
+    def _hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many n-grams of each text each language has, and how many the text has."""
         hashed, counts = gram_hashes(texts)
         found = None
         for slots in _slots(hashed):
@@ -104,15 +126,7 @@ class LanguageModel:
             for k in range(len(self.languages)):
                 bit = (found[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
                 hits[some, k] = np.add.reduceat(bit.astype(np.int64), starts[some])
-        share = np.maximum(0, (hits / np.maximum(counts, 1)[:, None] - self.false) / (1 - self.false)) if self.languages else hits
-        out = []
-        for i in range(len(texts)):
-            if not counts[i] or not self.languages:
-                out.append((UNKNOWN, 0.0))
-            else:
-                best, total = int(np.argmax(share[i])), float(share[i].sum())
-                out.append((self.languages[best], float(share[i, best]) / total if total else 0.0))
-        return out
+        return hits, counts
 
 
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
@@ -183,13 +197,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts, out = [x or "" for x in batch.to_pylist()], []
-            start, held = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= 1 << 19 or i == len(texts) - 1:
-                    out.extend(shared.value.predict(texts[start : i + 1]))
-                    start, held = i + 1, 0
+            out = []
+            for part in slices(batch, 256):
+                out.extend(shared.value.predict(part.to_pylist()))
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["lang_pred", "score"])
 
     kept = docs.drop("lang_pred", "score")

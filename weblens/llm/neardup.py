@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import discard, salted, stage, text_or_empty
+from weblens.llm.common import discard, salted, slices, stage, text_or_empty
 
 #: Values a sketch retains; of these the first LOOK are looked at for listing, and LISTED of them are
 #: used; of hot ones HOT_LISTED.
@@ -40,6 +40,7 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = np.array([32], np.uint8)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,12 +79,27 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mix((total[last - 1] - total[first - 1]) ^ ((last - first).astype(np.uint64) * _PLACE[0])), first, last
 
 
+def _hashed(data: np.ndarray, size: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` and where words begin, worked out by parts that end at white space."""
+    hashes, firsts, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + size)
+        while end < len(data) and not _SPACE[data[end - 1]]:
+            more = np.flatnonzero(_SPACE[data[end : end + size]])
+            end = end + int(more[0]) + 1 if len(more) else min(len(data), end + size)
+        found, first, _ = word_hashes(np.concatenate([_GAP, data[at:end], _GAP]))
+        hashes.append(found)
+        firsts.append(first + at - 1)
+        at = end
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: ``width`` words each, or the whole text if it has fewer."""
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
-    hashes, first, _ = word_hashes(data)
+    hashes, first = _hashed(data)
     bound = np.searchsorted(first, np.concatenate([[0], ends]), "right")
     n = max(0, len(hashes) - width + 1)
     rolled = np.zeros(n, np.uint64)
@@ -102,7 +118,7 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
-def _chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     start, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
@@ -121,13 +137,14 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
             sizes, nodes, sketches = [], [], []
-            for a, b in _chunks(texts):
-                for s in shingle_sets(texts[a:b], width):
-                    sizes.append(len(s))
-                    nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sketches.append(s[:K].tobytes() if len(s) else None)
+            for part in slices(batch.column(2)):
+                texts = part.to_pylist()
+                for a, b in _chunks(texts):
+                    for s in shingle_sets(texts[a:b], width):
+                        sizes.append(len(s))
+                        nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                        sketches.append(s[:K].tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketches, pa.binary())],
                 names=["doc_id", "check", "n_shingles", "node", "sketch"],
@@ -223,13 +240,14 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         kept_text, kept_set = None, None
         for batch in batches:
             ok = []
-            lefts, rights = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i, j in _chunks(rights):
-                for left, right in zip(lefts[i:j], shingle_sets(rights[i:j], width)):
-                    if kept_text != left:
-                        kept_text, kept_set = left, shingle_sets([left], width)[0]
-                    common = len(np.intersect1d(kept_set, right, True))
-                    ok.append(100 * common >= percent * (len(kept_set) + len(right) - common))
+            for part in slices(batch):
+                lefts, rights = part.column(2).to_pylist(), part.column(3).to_pylist()
+                for i, j in _chunks(rights):
+                    for left, right in zip(lefts[i:j], shingle_sets(rights[i:j], width)):
+                        if kept_text != left:
+                            kept_text, kept_set = left, shingle_sets([left], width)[0]
+                        common = len(np.intersect1d(kept_set, right, True))
+                        ok.append(100 * common >= percent * (len(kept_set) + len(right) - common))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -416,9 +434,11 @@ def _with_sets(texts: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, out = batch.column(1).to_pylist(), []
-            for a, b in _chunks(own):
-                out.extend(s.tobytes() for s in shingle_sets(own[a:b], width))
+            out = []
+            for part in slices(batch.column(1)):
+                own = part.to_pylist()
+                for a, b in _chunks(own):
+                    out.extend(s.tobytes() for s in shingle_sets(own[a:b], width))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
 
     return texts.select("node", "text").mapInArrow(run, "node binary, sketch binary")

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import text_or_empty
+from weblens.llm.common import pieces_of, slices, text_or_empty
 
 WINDOW = 4096
 #: Words whose ids a worker remembers before it starts anew.
 CACHE_WORDS = 800_000
+#: Code points of a text that are split into words at once.
+LONG_CHARS = 1 << 20
 
 
 class WordIds(dict):
@@ -64,6 +66,9 @@ class WordIds(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        return b"".join(map(self._ids, pieces_of(text, LONG_CHARS)))
+
+    def _ids(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
             self.words.clear()
@@ -198,12 +203,13 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode.ids(text) + end
-                total = len(ids) // 4
-                for at in range(0, total, window):
-                    for full in packer.place((doc, at, ids[at * 4 : (at + window) * 4], total)):
-                        out.extend(packer.rows(full))
+            for part in slices(batch):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = encode.ids(text) + end
+                    total = len(ids) // 4
+                    for at in range(0, total, window):
+                        for full in packer.place((doc, at, ids[at * 4 : (at + window) * 4], total)):
+                            out.extend(packer.rows(full))
             yield table(out)
         yield table([r for pieces in packer.finish() for r in packer.rows(pieces)])
 

@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import text_or_empty
+from weblens.llm.common import slices, text_or_empty
 
 #: Bytes of text per call of the tokenizer.
 BATCH_BYTES = 1 << 20
+#: Rows that become Python strings at once.
+ROWS = 512
 #: Texts above this many code points are cut at safe boundaries.
 LONG_CHARS = 1 << 16
 
@@ -85,11 +87,11 @@ def token_length(text: Column, model: str, batch_bytes: int = BATCH_BYTES) -> Co
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _piece_model(model)
         for batch in batches:
-            texts = [x or "" for x in batch.to_pylist()]
-            counts = [0] * len(texts)
-            for places, pieces in _balanced(texts, batch_bytes):
-                for place, ids in zip(places, tokenizer.encode(pieces, num_threads=1)):
-                    counts[place] += len(ids)
+            counts = [0] * len(batch)
+            for k, part in enumerate(slices(batch, ROWS)):
+                for places, pieces in _balanced([x or "" for x in part.to_pylist()], batch_bytes):
+                    for place, ids in zip(places, tokenizer.encode(pieces, num_threads=1)):
+                        counts[k * ROWS + place] += len(ids)
             yield pa.array(counts, pa.int64())
 
     return lengths(text)
