@@ -40,10 +40,14 @@ def merged_quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
 def trailing_visitors(requests: DataFrame, slots: int = 5, slot_seconds: int = 60, lg_k: int = LG_K) -> DataFrame:
     """(vhost, ts, visitors): approximate distinct addresses of the ``slots`` slots that end with ts."""
     keyed = requests.withColumn("ts", E.bucket_start(F.col("sec"), slot_seconds))
-    small = keyed.groupBy("vhost", "ts").agg(F.hll_sketch_agg("addr", lg_k).alias("_s"))
+    return trailing_of_sketches(keyed.groupBy("vhost", "ts").agg(F.hll_sketch_agg("addr", lg_k).alias("visitors")), slots, slot_seconds)
+
+
+def trailing_of_sketches(sketches: DataFrame, slots: int = 5, slot_seconds: int = 60) -> DataFrame:
+    """The same from a sketch ``visitors`` for each slot, as the minute tier keeps them."""
     back = (slots - 1) * slot_seconds
     frame = Window.partitionBy("vhost", "_day").orderBy("ts").rangeBetween(-back, 0)
-    found = in_days(small, back, "ts").withColumn("visitors", F.hll_sketch_estimate(F.hll_union_agg("_s").over(frame)))
+    found = in_days(sketches.select("vhost", "ts", "visitors"), back, "ts").withColumn("visitors", F.hll_sketch_estimate(F.hll_union_agg("visitors").over(frame)))
     return found.filter("_own").select("vhost", "ts", "visitors")
 
 

@@ -231,6 +231,11 @@ def latency_quantiles(spark, sf_dir):
     return _quantiles(spark, sf_dir)
 
 
+def _sketches(spark, sf_dir, dense=False):
+    """The minute tier of sketches as it is stored."""
+    return stored(spark, sf_dir).tier("dense-sketches" if dense else "sketches", "minute", lambda: sketches.minute_sketches(requests(spark, sf_dir, dense)))
+
+
 _RANKS = ", ".join(f"true AS p{p}_close" for p in (50, 95, 99))
 
 
@@ -238,7 +243,7 @@ _RANKS = ", ".join(f"true AS p{p}_close" for p in (50, 95, 99))
 def latency_quantiles_sketch(spark, sf_dir):
     """Quantiles over a vhost's life from the merged sketches of its minutes, and whether the rank of each is within 2 % of the one asked for."""
     rows = requests(spark, sf_dir, True)
-    found = sketches.merged_quantiles(sketches.minute_sketches(rows), "vhost")
+    found = sketches.merged_quantiles(_sketches(spark, sf_dir, True), "vhost")
     ranked = rows.groupBy("vhost", "req_time").agg(F.count("*").alias("n")).join(found, "vhost").withColumn("ms", F.col("req_time") * 1000)
     close = []
     for p in (50, 95, 99):
@@ -273,7 +278,8 @@ def visitors_trailing(spark, sf_dir):
     + ", once AS (SELECT DISTINCT vhost, sec // 60 * 60 AS ts, addr FROM req), seen AS (SELECT vhost, unnest(generate_series(ts, ts + 240, 60)) AS ts, addr FROM once) SELECT vhost, ts, count(DISTINCT addr) AS visitors FROM seen SEMI JOIN (SELECT DISTINCT vhost, ts FROM once) USING (vhost, ts) GROUP BY ALL"
 )
 def visitors_trailing_hll(spark, sf_dir):
-    return sketches.trailing_visitors(requests(spark, sf_dir, True))
+    """From the sketches of stored minutes."""
+    return sketches.trailing_of_sketches(_sketches(spark, sf_dir, True))
 
 
 def _disc(q: float) -> str:
@@ -285,8 +291,8 @@ def _disc(q: float) -> str:
     + f"SELECT sec // 3600 * 3600 AS ts, vhost, count(*) AS requests, count(DISTINCT addr) AS unique_visitors, round(avg(req_time) * 1000, 6) AS latency_avg, {_disc(0.5)} AS latency_p50, {_disc(0.95)} AS latency_p95, {_disc(0.99)} AS latency_p99 FROM req GROUP BY ALL"
 )
 def minute_sketches(spark, sf_dir):
-    """Hour rows read from merged sketches of minutes.  On an hour of few requests the sketches are exact."""
-    rows = sketches.read_sketches(sketches.merged_sketches(sketches.minute_sketches(requests(spark, sf_dir)), 3600))
+    """Hour rows read from merged sketches of stored minutes.  On an hour of few requests the sketches are exact."""
+    rows = sketches.read_sketches(sketches.merged_sketches(_sketches(spark, sf_dir), 3600))
     return rounded(rows, "latency_avg", "latency_p50", "latency_p95", "latency_p99")
 
 
