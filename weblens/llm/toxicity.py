@@ -14,6 +14,7 @@ the classes apart, then by the machine's own margins.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.llm.common import text_or_empty
+from weblens.llm.common import pieces_of, slices, text_or_empty
 
 #: Places of a subsequence beyond its first, how far they reach, what a skipped character costs, starts in a window.
 SPAN, DECAY, STARTS = 6, 0.5, 8
@@ -38,6 +39,8 @@ LANDMARKS, HARD_LANDMARKS, CLEAN_LANDMARKS = 144, 64, 32
 ROUNDS, STRINGS, STRINGS_PER_TEXT = 4, 6000, 4
 #: Characters encoded in one go.
 CHUNK = 1 << 16
+#: Code points of the pieces that longer texts are scored in, and that two of them share.
+LONG_CHARS, SHARED = 1 << 18, 256
 
 _PATTERNS = {d3: [(d1, d2) for d1 in range(1, d3) for d2 in range(d1 + 1, d3)] for d3 in range(3, SPAN + 1)}
 #: Folded characters: edges of words, marks (which are left out), and what is between texts.
@@ -159,6 +162,16 @@ class ToxicityModel:
     slope: float
     shift: float
 
+    def __getstate__(self) -> dict:
+        """Of the weights only those that aren't 0: some thousands."""
+        at = np.flatnonzero(self.weights)
+        return self.__dict__ | {"weights": (len(self.weights), at, self.weights[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        n, at, values = state["weights"]
+        self.__dict__.update(state | {"weights": np.zeros(n, np.float32)})
+        self.weights[at] = values
+
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The sum of the window that begins at each folded character, the beginnings of texts, the characters and what each adds."""
         folded, starts = fold(texts)
@@ -175,12 +188,16 @@ class ToxicityModel:
         return sums, starts, folded, total
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        """The margin of each text, encoded in chunks so that memory follows the longest text and not all of them."""
+        """The margin of each text, encoded in chunks; of a long text that of its worst piece, where pieces share more than a window."""
+        if not texts:
+            return np.zeros(0)
+        pieces = [pieces_of(t, LONG_CHARS, SHARED) for t in texts]
         out = []
-        for part in _chunks(texts):
+        for part in _chunks([x for own in pieces for x in own]):
             sums, starts, folded, _ = self.windows(part)
             out.append(_most(sums, starts, _ends(folded, starts)) + self.bias)
-        return np.concatenate(out) if out else np.zeros(0)
+        firsts = np.cumsum([0] + [len(own) for own in pieces])[:-1]
+        return np.maximum.reduceat(np.concatenate(out), firsts)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -40, 40)))
@@ -462,30 +479,49 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, stands_for: tuple[fl
     return ToxicityModel(model.alphabet, model.weights, model.bias, max(slope, 0.1), shift)
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TEXTS_PER_CLASS, most_chars: int = CHARS_PER_CLASS) -> ToxicityModel:
-    """Fit on at most ``most`` texts and ``most_chars`` code points of each class, the first by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TEXTS_PER_CLASS, most_chars: int = CHARS_PER_CLASS) -> DataFrame:
+    """(_h, _id, _label, _text): at most ``most`` texts and ``most_chars`` code points of each class, the first by a hash of the id.
 
     Repeated labels count once, and of the texts that share an id the least is taken.  Null labels,
     ids and texts, and texts above LONGEST, are left out before the bounds apply, so they don't
-    shrink the sample.  The labels of each class are counted over all rows given: the scores' scale
-    follows their ratio, not that of the sample.  Without labels or texts all scores are one low value.
+    shrink the sample.
     """
-    label = F.when(F.col(label_col) == 1, 1).when(F.col(label_col) == 0, 0)
-    some = labels.select(F.col(id_col).alias("_id"), label.alias("_label")).dropna().distinct()
-    counts = some.agg(*[F.count_if(F.col("_label") == k).alias(str(k)) for k in (0, 1)]).first()
     rows = docs.filter(F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    usable = some.join(rows.select("_id").distinct(), "_id", "left_semi")
+    usable = _marked(labels, id_col, label_col).join(rows.select("_id").distinct(), "_id", "left_semi")
     pick = lambda k: usable.filter(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(most)
     chosen = pick(1).unionByName(pick(0))  # at most 2 * most rows: small enough to broadcast
     got = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
     upto = F.sum(F.length("_text")).over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))  # over the chosen rows
     got = got.withColumn("_upto", upto).filter(F.col("_upto") <= most_chars)
-    got = got.select(F.xxhash64("_id").alias("h"), "_id", "_label", "_text").toArrow()
-    order = got.sort_by([("h", "ascending"), ("_id", "ascending"), ("_label", "ascending")])
-    marks, texts = order["_label"].to_pylist(), order["_text"].to_pylist()
-    del got, order
-    sampled = [max(1, marks.count(k)) for k in (0, 1)]
-    return fit(texts, marks, stands_for=tuple(max(1.0, n / m) for n, m in zip(counts, sampled)))
+    return got.select(F.xxhash64("_id").alias("_h"), "_id", "_label", "_text")
+
+
+def _marked(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    label = F.when(F.col(label_col) == 1, 1).when(F.col(label_col) == 0, 0)
+    return labels.select(F.col(id_col).alias("_id"), label.alias("_label")).dropna().distinct()
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TEXTS_PER_CLASS, most_chars: int = CHARS_PER_CLASS) -> ToxicityModel:
+    """Fit on the ``labelled_sample``, in one task, which gives the driver no more than the model.
+
+    The labels of each class are counted over all rows given: the scores' scale follows their ratio,
+    not that of the sample.  Without labels or texts all scores are one low value.
+    """
+    counts = tuple(_marked(labels, id_col, label_col).agg(*[F.count_if(F.col("_label") == k).alias(str(k)) for k in (0, 1)]).first())
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, most, most_chars)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, texts = [], []
+        for batch in batches:
+            marks += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        sampled = [max(1, marks.count(k)) for k in (0, 1)]
+        model = fit(texts, marks, stands_for=tuple(max(1.0, n / m) for n, m in zip(counts, sampled)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    ordered = sample.repartition(1).sortWithinPartitions("_h", "_id", "_label").select("_label", "_text")
+    found = ordered.mapInArrow(train, "model binary").head(1)
+    return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -500,7 +536,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     @F.arrow_udf("double")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(shared.value.scores([x or "" for x in batch.to_pylist()]), pa.float64())
+            scores = [shared.value.scores(part.to_pylist()) for part in slices(batch)]
+            yield pa.array(np.concatenate(scores) if scores else [], pa.float64())
 
     scored = docs.drop("score", "predicted").withColumn("score", judge(text_or_empty(text_col)))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
