@@ -180,7 +180,7 @@ def test_country_stats_look_up_the_window_only(spark, sf_dir):
 
     plan = catalog.country_stats(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     scans = plan.count("Relation [event_id")
-    assert scans == 3 and sum("Filter" in line and " div 20" in line for line in plan.splitlines()) == scans
+    assert scans == 2 and sum("Filter" in line and " div 20" in line for line in plan.splitlines()) == scans
 
 
 def test_merged_quantiles_of_sketches(spark):

@@ -22,50 +22,51 @@ def normal_ranges(ranges: DataFrame, start: str = "start_ip", end: str = "end_ip
     return ranges.select(start, end, code.alias("code"), F.coalesce(F.nullif(F.col("name"), F.lit("")), reg_name, code).alias("name"))
 
 
-def _bucketed(ranges: DataFrame) -> DataFrame:
-    wide = F.col("end_ip") - F.col("start_ip") >= NARROW * WIDE
-    width = F.when(wide, COARSE).otherwise(NARROW)
-    listed = ranges.withColumn("_wide", wide).withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_ip") / width), F.floor(F.col("end_ip") / width))))
-    return listed
+def _prefix(digits, n: int):
+    return F.conv(F.substring(digits, 1, n), 16, 10).cast("long")
 
 
-def _found4(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(_addr, code, name) of IPv4 addresses: of several ranges the narrowest counts, then the lower code."""
-    numbers = addresses.withColumn("_ip", E.ipv4_number(F.col("_addr"))).filter("_ip is not null")
-    probe = lambda wide, width: F.struct(F.lit(wide).alias("_wide"), F.floor(F.col("_ip") / width).alias("_b"))
-    probes = numbers.withColumn("_probe", F.explode(F.array(probe(False, NARROW), probe(True, COARSE)))).select("_addr", "_ip", "_probe._wide", "_probe._b")
-    hits = probes.join(_bucketed(normal_ranges(ranges)), ["_wide", "_b"]).filter("_ip between start_ip and end_ip")
-    return hits.groupBy("_addr").agg(F.min(F.struct(F.col("end_ip") - F.col("start_ip"), "code", "name")).alias("_m")).select("_addr", "_m.code", "_m.name")
+#: Kinds of buckets: IPv4 by /24 and /8 networks, then IPv6 by the prefixes of DIGITS.
+_KINDS4, _KINDS6 = (NARROW, COARSE), DIGITS
 
 
-def _prefix(digits, n: int):
-    return F.conv(F.substring(digits, 1, n), 16, 10).cast("long")
+def _listed4(ranges: DataFrame) -> DataFrame:
+    """(_kind, _b, start_ip, end_ip, code, name, _rank): ranges by their buckets; the narrowest has the least rank."""
+    wide = F.col("end_ip") - F.col("start_ip") >= NARROW * WIDE
+    width = F.when(wide, COARSE).otherwise(NARROW)
+    buckets = F.sequence(F.floor(F.col("start_ip") / width), F.floor(F.col("end_ip") / width))
+    listed = normal_ranges(ranges).withColumns({"_kind": wide.cast("int"), "_b": F.explode(buckets)})
+    return listed.withColumn("_rank", F.hex(F.col("end_ip") - F.col("start_ip"))).withColumn("_rank", F.lpad("_rank", 16, "0"))
 
 
-def _found6(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(_addr, code, name) of IPv6 addresses: of several ranges the one that begins last counts, then the one that ends first, then the lower code."""
+def _listed6(ranges: DataFrame) -> DataFrame:
+    """The same of IPv6, with start_hex and end_hex; the range that begins last, then the one that ends first, has the least rank."""
     span = lambda n: _prefix("end_hex", n) - _prefix("start_hex", n)
     level = F.when(span(DIGITS[0]) < WIDE, 0).when(span(DIGITS[1]) < WIDE, 1).otherwise(2)
-    ends = [F.coalesce(*[F.when(F.col("_level") == k, _prefix(c, n)) for k, n in enumerate(DIGITS)]) for c in ("start_hex", "end_hex")]
-    listed = normal_ranges(ranges, "start_hex", "end_hex").withColumn("_level", level).withColumn("_b", F.explode(F.sequence(*ends)))
-    numbers = addresses.withColumn("_hex", E.ipv6_hex(F.col("_addr"))).filter("_hex is not null")
-    probe = F.array(*[F.struct(F.lit(k).alias("_level"), _prefix("_hex", n).alias("_b")) for k, n in enumerate(DIGITS)])
-    probes = numbers.withColumn("_probe", F.explode(probe)).select("_addr", "_hex", "_probe._level", "_probe._b")
-    hits = probes.join(listed, ["_level", "_b"]).filter("_hex between start_hex and end_hex")
-    late = F.translate("start_hex", "0123456789abcdef", "fedcba9876543210")
-    return hits.groupBy("_addr").agg(F.min(F.struct(late, "end_hex", "code", "name")).alias("_m")).select("_addr", "_m.code", "_m.name")
+    ends = [F.coalesce(*[F.when(F.col("_kind") == len(_KINDS4) + k, _prefix(c, n)) for k, n in enumerate(DIGITS)]) for c in ("start_hex", "end_hex")]
+    listed = normal_ranges(ranges, "start_hex", "end_hex").withColumn("_kind", level + len(_KINDS4)).withColumn("_b", F.explode(F.sequence(*ends)))
+    return listed.withColumn("_rank", F.concat(F.translate("start_hex", "0123456789abcdef", "fedcba9876543210"), "end_hex"))
 
 
 def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr", ranges6: DataFrame | None = None) -> DataFrame:
     """``requests`` with code and name: empty where no range holds the address.
 
     Distinct addresses are looked up by the prefixes of the networks that ranges are listed by; then
-    they are joined back.  ``ranges`` has start_ip and end_ip as numbers, ``ranges6`` start_hex and
-    end_hex as 32 lower-case hexadecimal digits.
+    they are joined back.  Of several ranges the narrowest counts, then the lower code.  ``ranges``
+    has start_ip and end_ip as numbers, ``ranges6`` start_hex and end_hex as 32 lower-case
+    hexadecimal digits.
     """
-    addresses = requests.select(F.col(addr).alias("_addr")).distinct().filter(E.routable(F.col("_addr")))
-    found = _found4(addresses, ranges)
+    addresses = requests.select(F.col(addr).alias("_addr")).distinct().filter(E.routable(F.col("_addr"))).withColumn("_ip", E.ipv4_number(F.col("_addr")))
+    probes = [F.when(F.col("_ip").isNotNull(), F.struct(F.lit(k).alias("_kind"), F.floor(F.col("_ip") / width).alias("_b"))) for k, width in enumerate(_KINDS4)]
+    listed, inside = _listed4(ranges), F.col("_ip").between(F.col("start_ip"), F.col("end_ip"))
     if ranges6 is not None:
-        found = found.unionByName(_found6(addresses, ranges6))
+        addresses = addresses.withColumn("_hex", E.ipv6_hex(F.col("_addr")))
+        probes += [F.when(F.col("_hex").isNotNull(), F.struct(F.lit(len(_KINDS4) + k).alias("_kind"), _prefix("_hex", n).alias("_b"))) for k, n in enumerate(_KINDS6)]
+        listed = listed.unionByName(_listed6(ranges6), allowMissingColumns=True)
+        inside = F.coalesce(inside, F.col("_hex").between(F.col("start_hex"), F.col("end_hex")))
+    probed = addresses.withColumn("_p", F.explode(F.filter(F.array(*probes), lambda p: p.isNotNull())))
+    probed = probed.select(*addresses.columns, "_p._kind", "_p._b")
+    hits = probed.join(listed, ["_kind", "_b"]).filter(inside)
+    found = hits.groupBy("_addr").agg(F.min(F.struct("_rank", "code", "name")).alias("_m")).select("_addr", "_m.code", "_m.name")
     joined = requests.join(found, requests[addr] == found["_addr"], "left").drop("_addr")
     return joined.withColumn("code", F.coalesce("code", F.lit(""))).withColumn("name", F.coalesce("name", F.lit("")))
