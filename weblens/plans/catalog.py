@@ -337,7 +337,7 @@ def heavy_hitters_sketch(spark, sf_dir):
     from pyspark.sql import Window
 
     rows = sketches.heavy_hitters(requests(spark, sf_dir, True), exact=False)
-    return rows.select("vhost", F.row_number().over(Window.partitionBy("vhost").orderBy(F.col("requests").desc())).alias("place"), "requests")
+    return rows.select("vhost", F.row_number().over(Window.partitionBy("vhost").orderBy(F.col("requests").desc())).cast("long").alias("place"), "requests")
 
 
 _API = "api.example.com"
