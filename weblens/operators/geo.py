@@ -56,7 +56,9 @@ def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr", ranges6:
     has start_ip and end_ip as numbers, ``ranges6`` start_hex and end_hex as 32 lower-case
     hexadecimal digits.
     """
-    addresses = requests.select(F.col(addr).alias("_addr")).distinct().filter(E.routable(F.col("_addr"))).withColumn("_ip", E.ipv4_number(F.col("_addr")))
+    addresses = requests.groupBy(F.col(addr).alias("_addr")).agg(F.count("*").alias("_n"))
+    # as a matter of the count, so that addresses are read once each and not once a request
+    addresses = addresses.filter(F.when(F.col("_n") > 0, E.routable(F.col("_addr")))).drop("_n").withColumn("_ip", E.ipv4_number(F.col("_addr")))
     probes = [F.when(F.col("_ip").isNotNull(), F.struct(F.lit(k).alias("_kind"), F.floor(F.col("_ip") / width).alias("_b"))) for k, width in enumerate(_KINDS4)]
     listed, inside = _listed4(ranges), F.col("_ip").between(F.col("start_ip"), F.col("end_ip"))
     if ranges6 is not None:
