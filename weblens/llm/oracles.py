@@ -78,6 +78,47 @@ c AS (SELECT doc_id, min(least) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8: of each byte, then eight steps (-1) of the reversed polynomial 0xEDB88320."""
+    code = f"hex(encode({text}))"
+    steps = f"flatten(list_transform(range(length({code}) // 2), lambda i: [CAST(CAST('0x' || substr({code}, 2 * i + 1, 2) AS INTEGER) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+
+RUNS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+a AS (SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS (SELECT doc_id, unnest(range(n)) AS i, unnest(CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: words[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT) + 1]) END) AS word FROM p),
+k AS (SELECT doc_id, i, word, dense_rank() OVER (ORDER BY doc_id, word) AS key FROM w),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS lag FROM k x JOIN k y ON x.key = y.key AND x.i < y.i),
+g AS (SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS g FROM e),
+s AS (SELECT doc_id, lag, min(i) AS start, count(*) + lag AS length FROM g GROUP BY doc_id, lag, g),
+r AS (SELECT doc_id, start, length, min(lag) AS period FROM s WHERE length >= greatest(12, 2 * lag) GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}}, (-length, start, period)) AS b,
+  string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS shown FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(range(CAST(start + period AS BIGINT), CAST(start + length AS BIGINT))) AS i FROM r),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.p AS BIGINT) AS period, CAST(1000 * b.l // b.p AS BIGINT) AS exponent_milli,
+  sha256(coalesce(shown, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+SPELLING = f"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+h AS (SELECT run, n, {_crc32("concat(doc_id, ':', run)")} AS h FROM c),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN concat(left(run, CAST(h % length(run) AS BIGINT)), substr(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, k, concat(left(word, k), substr(word, k + 2)) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS k FROM w)),
+p AS (SELECT x.word, y.word AS other, y.n AS m FROM d x JOIN d y ON x.rest = y.rest AND x.k = y.k AND x.word <> y.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+g AS (SELECT word, count(*) AS n_near, arg_min({{'w': other, 'n': m}}, (-m, other)) AS b FROM p GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.w END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM w LEFT JOIN g USING (word)),
+t AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.at = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT t.word, t.at AS root FROM t JOIN f ON t.at = f.word WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN e USING (word)
+"""
+
 #: The others, token counts, packing and language and toxicity models, are beyond SQL; the tests hold them against
 #: the libraries, exact round trips, plain kernels and sets, and held-out labels.
 ORACLES: dict[str, str] = {
@@ -87,4 +128,6 @@ ORACLES: dict[str, str] = {
     "op5_chat_formatting": CHATS,
     "op7_merkle_fingerprints": MERKLE,
     "op9_exact_dedup": EXACT,
+    "op12_periodic_runs": RUNS,
+    "op13_spelling_variants": SPELLING,
 }

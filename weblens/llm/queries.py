@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblens.llm import chat, exactdup, langid, linededup, merkle, mixing, neardup, packing, tokens, toxicity
-from weblens.llm.common import held_out, text_or_empty
+from weblens.llm import chat, exactdup, langid, linededup, merkle, mixing, neardup, packing, periodic, spelling, tokens, toxicity
+from weblens.llm.common import WORD, held_out, text_or_empty
 from weblens.llm.oracles import ORACLES
 
 
@@ -96,8 +97,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(rows, model).drop("text")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every tenth document by hash the words from one on are made periodic before."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    n, g = F.size("_words"), F.floor(F.col("_h") / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    tail = F.transform("_words", lambda w, i: F.when(i < a, w).otherwise(F.get("_words", a + (i - a) % p)))
+    edited = docs.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, words))
+    edited = edited.withColumn("text", F.when(n > 0, F.array_join(tail, " ")).otherwise(F.col("text")))
+    found = periodic.find_runs(edited.select("doc_id", "text"))
+    longest = F.aggregate("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"), lambda best, r: F.when(best.isNull() | (r["length"] > best["length"]), r).otherwise(best))
+    return (
+        found.withColumn("_longest", longest)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            *[F.col(f"_longest.{c}").alias(c) for c in ("start", "length", "period")],
+            F.floor(F.col("_longest.length") * 1000 / F.col("_longest.period")).cast("long").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+            F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        )
+    )
+
+
+def typo(doc_id: int | None, run: str) -> str:
+    """One in 31 runs of a document, by hash, loses a code point."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    return run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.count_words(docs, edit=typo))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_source_mixing, op3_line_dedup, op4_minhash_near_dedup, op5_chat_formatting, op6_packing, op7_merkle_fingerprints, op8_language_id, op9_exact_dedup, op10_toxicity]
+    own = [op1_token_counts, op2_source_mixing, op3_line_dedup, op4_minhash_near_dedup, op5_chat_formatting, op6_packing, op7_merkle_fingerprints, op8_language_id, op9_exact_dedup, op10_toxicity, op12_periodic_runs, op13_spelling_variants]
     return {f.__name__: f for f in own}
 
 
