@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblens.llm import chat, exactdup, langid, linededup, merkle, mixing, neardup, packing, periodic, spelling, tokens, toxicity
+from weblens.llm import chat, exactdup, langid, linededup, merkle, mixing, neardup, packing, periodic, pii, spelling, tokens, toxicity
 from weblens.llm.common import WORD, held_out, text_or_empty
 from weblens.llm.oracles import ORACLES
 
@@ -97,6 +97,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(rows, model).drop("text")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_email`` and so on count all spans, ``n_base`` those of the fixed forms."""
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    kind = F.array(*[F.lit(k) for k in pii.KINDS])
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["kind"]), s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)],
+        F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"),
+        shown("spans").alias("spans"),
+        F.size("base").cast("long").alias("n_base"),
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every tenth document by hash the words from one on are made periodic before."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
@@ -135,7 +149,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_source_mixing, op3_line_dedup, op4_minhash_near_dedup, op5_chat_formatting, op6_packing, op7_merkle_fingerprints, op8_language_id, op9_exact_dedup, op10_toxicity, op12_periodic_runs, op13_spelling_variants]
+    own = [op1_token_counts, op2_source_mixing, op3_line_dedup, op4_minhash_near_dedup, op5_chat_formatting, op6_packing, op7_merkle_fingerprints, op8_language_id, op9_exact_dedup, op10_toxicity, op11_pii, op12_periodic_runs, op13_spelling_variants]
     return {f.__name__: f for f in own}
 
 
