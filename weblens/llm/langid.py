@@ -22,8 +22,8 @@ from weblens.llm.common import free_name, pieces_of, slices, text_or_empty
 N, HASHES, SLOTS = 4, 3, 1 << 21
 #: Bound of the training sample: texts of a language (chosen by hash), and code points of each that is chosen.
 TEXTS_PER_LANGUAGE, LONGEST = 2000, 20_000
-#: Most languages that a model tells apart: the filter has 16 MB for every 64 of them.
-MOST_LANGUAGES = 256
+#: Most languages that a model tells apart, the most frequent ones: the filter has 16 MB for every 64 of them.
+MOST_LANGUAGES = 512
 #: An n-gram counts for a language if it was seen so often there, at this share of its highest rate at least.
 SEEN, RATE = 3, 0.25
 UNKNOWN = "und"
@@ -41,40 +41,30 @@ def _letters() -> np.ndarray:
 def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of the texts, and how many each text has; 0 for a text without letters.
 
-    Texts are lower-cased; every run of other characters than letters becomes one space, and a space
-    stands at either end.
+    Texts are lower-cased; every run of other characters than letters becomes one space, a space stands
+    at either end, and a mark of the end after it.  The mark may only end an n-gram, so a text of one letter
+    has one, and what a text gives doesn't hang on the texts beside it.
     """
     letters = _letters()
-    joined = (" " + "\x00".join(f" {t.lower()} " for t in texts) + "   ").encode("utf-32-le", "replace")
+    joined = "".join(" " + t.replace("\x00", " ").lower() + " \x00" for t in texts).encode("utf-32-le", "replace")
     codes = np.frombuffer(joined, np.uint32).copy()
-    ends = codes == 0
-    if ends.sum() != len(texts) - 1:  # a text holds the separator itself
-        parts = [gram_hashes([t.replace("\x00", " ")]) for t in texts]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    space = ~letters[codes] & ~ends
+    space = ~letters[codes] & (codes != 0)
     codes[space] = 32
-    keep = ~(space[1:] & space[:-1])
-    codes = codes[np.concatenate([[True], keep])]
-    codes = np.concatenate([codes, np.full(N, 32, np.uint32)])
+    codes = codes[np.concatenate([[True], ~(space[1:] & space[:-1])])] if len(codes) else codes
     ends = codes == 0
     wide = codes.astype(np.uint64)
-    n = len(codes) - N + 1
+    n = max(len(codes) - N + 1, 0)
     hashed = np.zeros(n, np.uint64)
     broken = np.zeros(n, bool)
     for j in range(N):
         hashed += wide[j : j + n] * _FACTORS[j]
-        broken |= ends[j : j + n]
+        if j < N - 1:
+            broken |= ends[j : j + n]
     hashed ^= hashed >> np.uint64(29)
     hashed *= np.uint64(0xBF58476D1CE4E5B9)
     hashed ^= hashed >> np.uint64(32)
-    owner = np.cumsum(ends)[:n]
-    real = ~broken & ((codes[:n] != 32) | (codes[1 : n + 1] != 32))
-    counts = np.bincount(owner[real], minlength=len(texts))
-    lettered = np.bincount(owner[letters[codes[:n]]], minlength=len(texts)) > 0
-    if not lettered.all():
-        real &= lettered[owner]
-        counts = np.where(lettered, counts, 0)
-    return hashed[real], counts
+    owner = np.cumsum(ends)[:n]  # n-grams don't begin with a mark
+    return hashed[~broken], np.bincount(owner[~broken], minlength=len(texts))
 
 
 def _slots(hashed: np.ndarray) -> Iterator[np.ndarray]:
@@ -111,7 +101,6 @@ class LanguageModel:
                 out.append((self.languages[best], float(share[i, best]) / total if total else 0.0))
         return out
 
-
     def _hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many n-grams of each text each language has, and how many the text has."""
         hashed, counts = gram_hashes(texts)
@@ -132,9 +121,9 @@ class LanguageModel:
 def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = TEXTS_PER_LANGUAGE) -> LanguageModel:
     """Fit on a bounded sample of the rows given: about ``most`` texts a language, chosen by a hash of the text.
 
-    Rows of null language or text are left out; copies of a text count once.  More than
-    MOST_LANGUAGES different languages are an error, not dropped; an empty table gives a model that
-    says UNKNOWN.  Texts of more than
+    Rows of null language or text are left out; copies of a text count once.  Where there are more than
+    MOST_LANGUAGES different languages, those of most rows are learned (of equal ones the first by name)
+    and the others never said; an empty table gives a model that says UNKNOWN.  Texts of more than
     LONGEST code points are not sampled while their language has others; where it has none, they are
     cut into pieces of that length, which are sampled like texts.  What reaches the driver is the
     table of n-grams of that sample.
@@ -142,9 +131,9 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     mark = F.xxhash64(F.lit("langid"), "text")
     counted_by = lambda df, *keys: df.groupBy(*keys).agg(F.countDistinct(mark).alias("n")).collect()
+    learned = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()]
+    rows = rows.filter(F.col("lang").isin(learned)) if learned else rows
     units = rows.filter(F.length("text") <= LONGEST)
-    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = counted_by(rows.withColumn("short", F.length("text") <= LONGEST), "lang", "short")
     sizes = {r["lang"]: r["n"] for r in found if r["short"]}
     long_only = sorted({r["lang"] for r in found} - sizes.keys())
@@ -187,8 +176,8 @@ def learn_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "la
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score added (replaced, where they exist).
 
-    Null, empty and letterless texts are ``und`` with score 0; ties go to the first language by
-    name; a model without languages says ``und``; only the text is looked at.  Repeated rows get the
+    Null, empty and letterless texts are ``und`` with score 0; ties, and texts with no n-gram that is
+    known, go to the first language by name (with score 0); a model without languages says ``und``; only the text is looked at.  Repeated rows get the
     same answer each; very long texts are read whole; an empty table gives an empty one; all other
     columns pass through.
     """
