@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import expressions as E
-from weblens.operators.traffic import in_days
+from weblens.operators.traffic import COUNTERS, counters, in_days
 
 #: Log2 of registers of the distinct-count sketch: 12 for about 1.6 % error, 8 for the classic 6.5 %.
 LG_K = 12
@@ -30,6 +30,24 @@ def read_sketches(sketches: DataFrame) -> DataFrame:
     return sketches.select("ts", "vhost", "requests", F.hll_sketch_estimate("visitors").alias("unique_visitors"), (F.col("latency_sum") / F.col("requests") * 1000).alias("latency_avg"), *q)
 
 
+def partial_columns(lg_k: int = LG_K) -> list[Column]:
+    """All that a bucket's row needs, in a form that adds up: counters, latency_sum, and sketches of visitors and latency."""
+    return [*counters(), F.sum("req_time").alias("latency_sum"), F.hll_sketch_agg("addr", lg_k).alias("visitors"), F.expr("kll_sketch_agg_double(req_time)").alias("latency")]
+
+
+def merged_partials(rows: DataFrame, seconds: int) -> DataFrame:
+    """Partial rows of wider buckets, from narrower ones or from several parts of the same."""
+    keyed = rows.withColumn("ts", E.bucket_start(F.col("ts"), seconds))
+    sums = [F.sum(c).alias(c) for c in (*COUNTERS, "latency_sum")]
+    return keyed.groupBy("ts", "vhost").agg(*sums, F.hll_union_agg("visitors").alias("visitors"), F.expr("kll_merge_agg_double(latency)").alias("latency"))
+
+
+def shown_partials(rows: DataFrame) -> DataFrame:
+    """Rows as tiers have them: counters, mean and percentiles of the latency in ms, visitors."""
+    q = [(F.expr(f"kll_sketch_get_quantile_double(latency, {p}D)") * 1000).alias(f"latency_p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
+    return rows.select("ts", "vhost", *COUNTERS, (F.col("latency_sum") / F.col("requests") * 1000).alias("latency_avg"), *q, F.hll_sketch_estimate("visitors").alias("unique_visitors"))
+
+
 def merged_quantiles(sketches: DataFrame, *keys: str) -> DataFrame:
     """p50, p95, p99 and mean latency (ms) of each key from the sketches of its minutes: no value is kept."""
     merged = sketches.groupBy(*keys).agg(F.sum("requests").alias("requests"), F.sum("latency_sum").alias("latency_sum"), F.expr("kll_merge_agg_double(latency)").alias("latency"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weblens.functions import expressions as E
 from weblens.operators import alerts, geo, sketches, tiers, traffic
 from weblens.plans import sql as Q
-from weblens.sources import adapters, parsers, sinks, store
+from weblens.sources import adapters, history, parsers, sinks, store
 
 IGNORE_HOSTS, IGNORE_PATHS = [" SHOP.example.com "], ["/healthz"]
 #: The time at which history over the sparse log ends; windows over the dense one end with its last request.
@@ -67,8 +67,8 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def now(spark: SparkSession, sf_dir: str) -> int:
-    """The time of the dense log's last request."""
-    return stored(spark, sf_dir).value("now", lambda: seen(spark, sf_dir).agg(F.max("last")).first()[0])
+    """The time of the dense log's last request; that of its beginning, if there is none."""
+    return stored(spark, sf_dir).value("now", lambda: seen(spark, sf_dir).agg(F.coalesce(F.max("last"), F.lit(adapters.START))).first()[0])
 
 
 def recent(spark: SparkSession, sf_dir: str, window: int) -> DataFrame:
@@ -634,6 +634,43 @@ def retention(spark, sf_dir):
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
+_APPENDED = f"SELECT sec // 3600 * 3600 AS ts, vhost, {Q.COUNTS}, count(DISTINCT addr) AS unique_visitors, round(avg(req_time) * 1000, 5) AS latency_avg, {_disc(0.5)} AS latency_p50, {_disc(0.95)} AS latency_p95, {_disc(0.99)} AS latency_p99 FROM req GROUP BY ALL"
+
+
+def appended(spark: SparkSession, sf_dir: str) -> history.History:
+    """The sparse log in folders by day, all but the last day added to a history, then the folders again."""
+    s = stored(spark, sf_dir)
+    found = history.History(spark, f"{s.path}/history", lambda rows: geo.locate(rows, adapters.ip_ranges(spark, sf_dir), "raw_addr", adapters.ip6_ranges(spark, sf_dir)))
+    prepare = lambda log: traffic.classified(traffic.clean(log))
+
+    def build() -> None:
+        log = adapters.access_log(spark, sf_dir).withColumn("dt", sinks.day_of(F.col("sec")))
+        log.hint("rebalance", "dt").write.mode("overwrite").partitionBy("dt").parquet(f"{s.path}/days")
+        days = found.days_under(f"{s.path}/days")
+        found.add_folder(f"{s.path}/days", prepare, days[:-1])
+        found.add_folder(f"{s.path}/days", prepare)
+
+    s.value("history", build)
+    return found
+
+
+@query(Q.base(False) + _APPENDED)
+def history_appended(spark, sf_dir):
+    """Hours of a history to which the last day was appended by itself: latencies and visitors from merged sketches."""
+    rows = appended(spark, sf_dir).rows("vhosts", "hour")
+    return rounded(rows, "latency_p50", "latency_p95", "latency_p99").withColumn("latency_avg", F.round("latency_avg", 5))
+
+
+@query(Q.base(False, *_PATH_TIERS) + "SELECT * REPLACE (round(total_time, 6) AS total_time) FROM day_paths")
+def history_appended_paths(spark, sf_dir):
+    return rounded(appended(spark, sf_dir).rows("paths", "day"), "total_time")
+
+
+@query(Q.base(False, *_COUNTRY_TIERS) + "SELECT * FROM day_countries")
+def history_appended_countries(spark, sf_dir):
+    return appended(spark, sf_dir).rows("countries", "day")
+
+
 _UNION = (
     f"tiers AS (SELECT *, 60 AS width FROM (SELECT * EXCLUDE (latency_p50) FROM minutes) WHERE ts >= {_CUTS['minute']} UNION ALL BY NAME SELECT *, 3600 AS width FROM hours WHERE ts >= {_CUTS['hour']} AND ts < {_CUTS['minute']} UNION ALL BY NAME SELECT *, 86400 AS width FROM days WHERE ts >= {_CUTS['day']} AND ts < {_CUTS['hour']})"
 )

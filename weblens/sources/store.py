@@ -23,17 +23,20 @@ def root(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="weblens-shared-")
         spark.sparkContext.setCheckpointDir(found)
         return found
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if found.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def state_of(spark: SparkSession, path: str) -> str:
     """Size and time of change of what lies at a path: another state means other tables."""
-    place, system = _file_system(spark, path)
+    place, system = file_system(spark, path)
     status = system.getFileStatus(place)
     return f"{status.getModificationTime()}-{system.getContentSummary(place).getLength()}"
 
@@ -48,18 +51,18 @@ class Store:
         key = (spark.sparkContext.applicationId, source, "|".join(state_of(spark, f"{source}/{x}") for x in inputs))
         if key not in self._roots:
             path = f"{root(spark)}/weblens-store-{hashlib.md5(repr(key).encode()).hexdigest()}"
-            place, system = _file_system(spark, path)
+            place, system = file_system(spark, path)
             system.deleteOnExit(place)
             self._roots[key] = path
         self.spark, self.path = spark, self._roots[key]
 
     def _done(self, name: str) -> bool:
-        place, system = _file_system(self.spark, f"{self.path}/{name}/_STORED")
+        place, system = file_system(self.spark, f"{self.path}/{name}/_STORED")
         return system.exists(place)
 
     def _finish(self, name: str) -> None:
         """Mark a table as whole, which a writer that replaces single days doesn't."""
-        place, system = _file_system(self.spark, f"{self.path}/{name}/_STORED")
+        place, system = file_system(self.spark, f"{self.path}/{name}/_STORED")
         system.create(place, True).close()
 
     def tier(self, name: str, tier: str, rows: Callable[[], DataFrame], start: int | None = None, end: int | None = None) -> DataFrame:
@@ -68,6 +71,9 @@ class Store:
         if not self._done(f"{name}-{tier}"):
             sinks.write_tier(rows(), path, tier)
             self._finish(f"{name}-{tier}")
+        place, system = file_system(self.spark, f"{path}/tier={tier}")
+        if not system.exists(place):  # a tier without rows has no days
+            return self.spark.createDataFrame([], rows().schema)
         return sinks.read_tier(self.spark, path, tier, start, end)
 
     def table(self, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
