@@ -96,6 +96,43 @@ def test_sliding_views_of_a_stream(spark, sf_dir, tmp_path):
     assert len(recent) > 100 and all(seen[k] == (v[0], v[1], v[2], v[0] / 5) for k, v in recent.items())
 
 
+def test_live_views_of_a_stream(spark, sf_dir, tmp_path):
+    """Visitors, paths and countries over 5 s, 60 s and 1 h equal the batch queries; old partials are gone."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    log = adapters.access_log(spark, sf_dir.replace("sf0.01", "sf0.001"), True)
+    # the log's begin comes once more as if four hours before, in the first batch
+    early = log.filter("event_id < 200").withColumn("sec", F.col("sec") - 4 * 3600)
+    rows = traffic.classified(traffic.clean(early.withColumn("_b", F.lit(0)).unionByName(log.withColumn("_b", 1 + F.col("event_id") % 2))))
+    located = catalog.geo.locate(rows, adapters.ip_ranges(spark, sf_dir), "raw_addr", adapters.ip6_ranges(spark, sf_dir))
+    for k in range(3):
+        located.filter(F.col("_b") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(located.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    last = {}
+
+    def each(views, batch_id):
+        last.update({name: df.collect() for name, df in views.items()})
+
+    query = jobs.live_views(stream, each, str(tmp_path / "parts"), str(tmp_path / "cp"), trigger={"availableNow": True})
+    query.awaitTermination(300)
+    assert query.exception() is None
+    end = log.agg(F.max("sec")).first()[0]
+    for w in (5, 60, 3600):
+        own = traffic.trailing(located, end, w)
+        want = {r["vhost"]: (r["n"], r["s"], r["v"]) for r in own.groupBy("vhost").agg(F.count("*").alias("n"), F.sum("s4xx").alias("s"), F.countDistinct("addr").alias("v")).collect()}
+        got = {r["vhost"]: (r[f"requests_{w}"], r[f"s4xx_{w}"], r[f"visitors_{w}"]) for r in last["vhosts"] if r[f"requests_{w}"]}
+        assert got == want and want
+        paths = traffic.top_per(traffic.path_stats(own, w, "vhost"), 10, ["vhost"], "count", "uri")
+        assert sorted((r["vhost"], r["uri"], r["count"], r["s2xx"], r["rps"]) for r in last["paths"] if r["window"] == w) == sorted(map(tuple, paths.select("vhost", "uri", "count", "s2xx", "rps").collect()))
+        countries = traffic.top_per(traffic.country_stats(own, w, "vhost"), 10, ["vhost"], "count", "code")
+        assert sorted((r["vhost"], r["code"], r["count"], r["name"]) for r in last["countries"] if r["window"] == w) == sorted(map(tuple, countries.select("vhost", "code", "count", "name").collect()))
+    for table in ("seconds", "paths", "countries"):
+        hours = [int(x[5:]) for x in os.listdir(tmp_path / "parts" / table) if x.startswith("hour=")]
+        assert hours and all((h + 1) * 3600 > end - 7200 for h in hours)
+
+
 def test_log_lines_of_files(spark, tmp_path):
     """The source gives whole lines, in a batch and as a stream."""
     (tmp_path / "in").mkdir()

@@ -86,3 +86,28 @@ def heavy_hitters(requests: DataFrame, k: int = 10, exact: bool = True) -> DataF
     minutes = requests.groupBy("vhost", E.bucket_start(F.col("sec"), 60).alias("ts")).agg(F.expr("approx_top_k_accumulate(uri, 10000)").alias("_s"))
     found = minutes.groupBy("vhost").agg(F.expr("approx_top_k_combine(_s, 10000)").alias("_s"))
     return found.select("vhost", F.explode(F.expr(f"approx_top_k_estimate(_s, {k})")).alias("_e")).select("vhost", F.col("_e.item").alias("uri"), F.col("_e.count").alias("requests"))
+
+
+def second_hitters(requests: DataFrame, most: int = 1000, seconds: int = 1) -> DataFrame:
+    """(vhost, ts, uri, n, lost): the ``most`` most requested paths of each second (ties by path), as a summary that merges.
+
+    ``lost`` is the largest number of requests that a path left out of the second may have had.
+    """
+    counted = requests.groupBy("vhost", E.bucket_start(F.col("sec"), seconds).alias("ts"), "uri").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("vhost", "ts").orderBy(F.col("n").desc(), "uri")
+    ranked = counted.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most + 1)
+    first_lost = F.max(F.when(F.col("_r") > most, F.col("n"))).over(Window.partitionBy("vhost", "ts"))
+    return ranked.withColumn("lost", F.coalesce(first_lost, F.lit(0).cast("long"))).filter(F.col("_r") <= most).drop("_r")
+
+
+def bounded_hitters(summaries: DataFrame, k: int = 10) -> DataFrame:
+    """(vhost, uri, least, most): of merged summaries the ``k`` paths of each vhost with most certain requests.
+
+    A path had ``least`` requests at least, those of the summaries that hold it, and ``most`` at most: what the others
+    may have lost of it comes on top.  So a path outside all summaries had no more than the sum of ``lost``.
+    """
+    every = summaries.groupBy("vhost", "ts").agg(F.max("lost").alias("lost")).groupBy("vhost").agg(F.sum("lost").alias("_lost"))
+    held = summaries.groupBy("vhost", "uri").agg(F.sum("n").alias("least"), F.sum("lost").alias("_known"))
+    order = Window.partitionBy("vhost").orderBy(F.col("least").desc(), "uri")
+    first = held.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    return first.join(every, "vhost").select("vhost", "uri", "least", (F.col("least") + F.col("_lost") - F.col("_known")).alias("most"))

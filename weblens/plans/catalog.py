@@ -340,6 +340,27 @@ def heavy_hitters_sketch(spark, sf_dir):
     return rows.select("vhost", F.row_number().over(Window.partitionBy("vhost").orderBy(F.col("requests").desc())).cast("long").alias("place"), "requests")
 
 
+_BOUNDED = 2
+_BOUNDS = (
+    f"ranked AS (SELECT *, row_number() OVER (PARTITION BY vhost, sec ORDER BY n DESC, uri) AS place FROM (SELECT vhost, sec, uri, count(*) AS n FROM req GROUP BY ALL)), "
+    f"lost AS (SELECT vhost, sec, CAST(coalesce(max(n) FILTER (place > {_BOUNDED}), 0) AS BIGINT) AS lost FROM ranked GROUP BY ALL), "
+    f"kept AS (SELECT vhost, uri, CAST(sum(n) AS BIGINT) AS least, CAST(sum(lost) AS BIGINT) AS known FROM ranked JOIN lost USING (vhost, sec) WHERE place <= {_BOUNDED} GROUP BY ALL), "
+    "every AS (SELECT vhost, CAST(sum(lost) AS BIGINT) AS lost FROM lost GROUP BY vhost), exact AS (SELECT vhost, uri, count(*) AS requests FROM req GROUP BY ALL)"
+)
+
+
+@query(
+    Q.base(True, _BOUNDS)
+    + "SELECT vhost, uri, least, least + lost - known AS most, requests, requests BETWEEN least AND least + lost - known AS within FROM kept JOIN every USING (vhost) JOIN exact USING (vhost, uri) QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY least DESC, uri) <= 10"
+)
+def heavy_hitters_bounds(spark, sf_dir):
+    """The ten paths of each vhost that summaries of two paths a second find, with the bounds that they prove, beside the exact numbers."""
+    rows = requests(spark, sf_dir, True)
+    found = sketches.bounded_hitters(sketches.second_hitters(rows, _BOUNDED), 10)
+    exact = rows.groupBy("vhost", "uri").agg(F.count("*").alias("requests"))
+    return found.join(exact, ["vhost", "uri"]).withColumn("within", F.col("requests").between(F.col("least"), F.col("most")))
+
+
 _API = "api.example.com"
 _ALL_COUNTERS = [*traffic.CLASSES, *traffic.CLIENTS, *traffic.BUCKETS]
 _MEAN = "CASE WHEN requests > 0 THEN latency_sum / requests * 1000 ELSE 0.0 END AS latency_avg"
@@ -713,6 +734,16 @@ def history_vhost(spark, sf_dir):
     return _points(tiers.series(_hours(spark, sf_dir, _WEEK, AS_OF), _API, _WEEK, AS_OF, tiers.HOUR))
 
 
+@query(
+    Q.base(False, *_TIERS[:2])
+    + f"SELECT ts, CASE WHEN grouping(vhost) = 1 THEN 'all' ELSE vhost END AS vhost, CAST(sum(requests) AS BIGINT) AS requests, round(sum(requests) / 3600, 6) AS rps, max(latency_p95) AS latency_p95, round(CASE WHEN sum({Q.TOTAL}) > 0 THEN sum(s4xx + s5xx) / sum({Q.TOTAL}) * 100 ELSE 0.0 END, 6) AS error_rate, CAST(sum(bytes_out) AS BIGINT) AS bytes_out FROM hours WHERE ts BETWEEN {_WEEK} AND {AS_OF} GROUP BY GROUPING SETS ((ts, vhost), (ts))"
+)
+def history_each_and_all(spark, sf_dir):
+    """The series of each vhost and of all as one, of one scan."""
+    rows = tiers.every_series(_hours(spark, sf_dir, _WEEK, AS_OF), _WEEK, AS_OF, tiers.HOUR)
+    return rounded(rows.select("ts", "vhost", "requests", "rps", "latency_p95", "error_rate", "bytes_out"), "rps", "latency_p95", "error_rate")
+
+
 _ALL = f"every AS (SELECT ts, {Q.SUMS}, avg(latency_avg) AS latency_avg, max(latency_p95) AS latency_p95, max(latency_p99) AS latency_p99, CAST(sum(unique_visitors) AS BIGINT) AS unique_visitors FROM hours WHERE ts BETWEEN {_WEEK} AND {AS_OF} GROUP BY ts)"
 
 
@@ -802,7 +833,8 @@ def alert_events(spark, sf_dir):
 )
 def alert_active(spark, sf_dir):
     """What fires half way through the log."""
-    begin, end = seen(spark, sf_dir).agg(F.min("first"), F.max("last")).first()
+    start = F.lit(adapters.START)
+    begin, end = seen(spark, sf_dir).agg(F.coalesce(F.min("first"), start), F.coalesce(F.max("last"), start)).first()
     return alerts.active(_events(spark, sf_dir), (begin + end) // 2).withColumn("value", F.round("value", 5))
 
 

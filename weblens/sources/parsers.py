@@ -66,5 +66,5 @@ def parse_zone_status(polls: DataFrame) -> DataFrame:
 
 
 def latest_gauges(status: DataFrame) -> DataFrame:
-    """The counters of the last poll."""
-    return status.agg(F.max_by(F.struct(*status.columns), "collected_at").alias("s")).select("s.*")
+    """The counters of the last poll; no row without polls."""
+    return status.agg(F.max_by(F.struct(*status.columns), "collected_at").alias("s")).filter("s is not null").select("s.*")

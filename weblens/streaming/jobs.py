@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weblens.operators.traffic import COUNTERS, counters
-from weblens.sources import sinks
+from weblens.operators import sketches
+from weblens.operators.traffic import COUNTERS, counters, top_per
+from weblens.sources import store
 
 
 def per_window(requests: DataFrame, width: str, delay: str) -> DataFrame:
@@ -37,41 +38,135 @@ def live_feed(requests: DataFrame, each: Callable[[DataFrame, int], None], check
     return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(processingTime="1 second").foreachBatch(each).start()
 
 
+class Recent:
+    """Partial rows per second of a stream, under a path by hour and batch: read by hours, and gone after ``keep`` seconds."""
+
+    def __init__(self, path: str, keep: int) -> None:
+        self.path, self.keep = path.rstrip("/"), keep
+        self.last: int | None = None  # the last second seen, after the first batch of a run
+
+    def _hours(self, spark: SparkSession, table: str) -> list[int]:
+        place, system = store.file_system(spark, f"{self.path}/{table}")
+        names = [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+        return sorted(int(n[5:]) for n in names if n.startswith("hour="))
+
+    def put(self, rows: DataFrame, table: str, batch_id: int) -> None:
+        """Keep a batch's rows; a batch that runs again replaces itself.  What is older than ``keep`` isn't kept."""
+        if self.last is not None:
+            rows = rows.filter(F.col("sec") > self.last - self.keep)
+        kept = rows.withColumn("hour", F.floor(F.col("sec") / 3600).cast("long")).withColumn("batch", F.lit(batch_id))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(f"{self.path}/{table}")
+
+    def advance(self, spark: SparkSession, table: str) -> int | None:
+        """The last second that is kept; hours beyond ``keep`` before it are deleted, in all tables given so far."""
+        hours = self._hours(spark, table)
+        if hours:
+            found = spark.read.parquet(f"{self.path}/{table}").filter(F.col("hour") == hours[-1]).agg(F.max("sec")).first()[0]
+            self.last = max(x for x in (self.last, found) if x is not None)
+        return self.last
+
+    def expire(self, spark: SparkSession, table: str) -> None:
+        for hour in self._hours(spark, table):
+            if (hour + 1) * 3600 <= self.last - self.keep:
+                place, system = store.file_system(spark, f"{self.path}/{table}/hour={hour}")
+                system.delete(place, True)
+
+    def read(self, spark: SparkSession, table: str, seconds: int) -> DataFrame:
+        """Rows of the last ``seconds``; only their hours are read."""
+        since = self.last - seconds
+        rows = spark.read.parquet(f"{self.path}/{table}")
+        return rows.filter((F.col("hour") >= (since + 1) // 3600) & (F.col("sec") > since) & (F.col("sec") <= self.last))
+
+
 def sliding_views(requests: DataFrame, each: Callable[[DataFrame, int], None], path: str, checkpoint: str, windows: tuple[int, ...] = (5, 60, 3600), delay: str = "10 seconds", trigger: dict | None = None):
     """Start a query that hands sliding views to ``each`` whenever seconds changed.
 
-    The stream gives per-second partials, of which the latest of each second counts; they are kept by
-    batch under ``path``, so a batch that is run again replaces itself.  A view has, for every second
-    within the longest window of the last one seen, the rate over the first window and all counters
-    over each of ``windows`` seconds that end with it (<counter>_<seconds>).
+    The stream gives per-second partials, of which the latest of each second counts; they are kept by hour and batch
+    under ``path`` for twice the longest window.  A view has, for every second within the longest window of the last
+    one seen, the rate over the first window and all counters over each of ``windows`` seconds that end with it
+    (<counter>_<seconds>).
     """
     longest = max(windows)
-    ends: list[int] = []  # the last second seen, after the first batch of a run
+    kept = Recent(path, 2 * longest)
 
     def view(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        sinks.batch_sink(path, "second")(batch.drop("visitors", "latency"), batch_id)
-        kept = spark.read.parquet(path)
-        found = (kept.filter(F.col("batch") == batch_id) if ends else kept).agg(F.max("ts")).first()[0]
-        ends[:] = [max(x for x in (*ends, found) if x is not None)] if ends or found is not None else []
-        if not ends:
+        kept.put(batch.drop("visitors", "latency").withColumnRenamed("ts", "sec"), "seconds", batch_id)
+        if kept.advance(spark, "seconds") is None:
             return
-        last = ends[0]
-        recent = kept.filter(F.col("ts") > last - 2 * longest)
-        latest = recent.groupBy("vhost", "ts").agg(F.max_by(F.struct(*COUNTERS), "batch").alias("c")).select("vhost", F.col("ts").alias("sec"), "c.*")
-        shown = None
+        recent = kept.read(spark, "seconds", 2 * longest)
+        latest = recent.groupBy("vhost", "sec").agg(F.max_by(F.struct(*COUNTERS), "batch").alias("c")).select("vhost", "sec", "c.*")
+        sums = []
         for window in windows:
             frame = Window.partitionBy("vhost").orderBy("sec").rangeBetween(-(window - 1), 0)  # of two longest windows' seconds
-            sums = latest.select("vhost", "sec", *[F.sum(c).over(frame).alias(f"{c}_{window}") for c in COUNTERS])
-            shown = sums if shown is None else shown.join(sums, ["vhost", "sec"])
-        shown = shown.withColumn("rps", F.col(f"requests_{windows[0]}") / F.lit(windows[0]))
-        each(shown.filter(F.col("sec") > last - longest), batch_id)
+            sums += [F.sum(c).over(frame).alias(f"{c}_{window}") for c in COUNTERS]
+        shown = latest.select("vhost", "sec", *sums).withColumn("rps", F.col(f"requests_{windows[0]}") / F.lit(windows[0]))
+        each(shown.filter(F.col("sec") > kept.last - longest), batch_id)
+        kept.expire(spark, "seconds")
 
     rows = per_second(requests, delay)
     writer = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(view)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def live_views(requests: DataFrame, each: Callable[[dict[str, DataFrame], int], None], path: str, checkpoint: str, windows: tuple[int, ...] = (5, 60, 3600), n: int = 10, trigger: dict | None = None):
+    """Start a query that hands live views of the last second seen to ``each``: {vhosts, paths, countries}.
+
+    vhosts: for each of ``windows`` all counters, rate and distinct visitors (<name>_<seconds>), mean latency and
+    percentiles; paths and countries: the ``n`` most requested of each vhost and window.  Every batch adds its own
+    partials per second, however late its requests are, so no state is held; partials older than twice the longest
+    window are deleted.  Requests have (code, name) where countries are wanted.
+    """
+    longest = max(windows)
+    kept = Recent(path, 2 * longest)
+    located = "code" in requests.columns
+
+    def parts(batch: DataFrame) -> dict[str, DataFrame]:
+        out = {
+            "seconds": batch.groupBy("vhost", "sec").agg(*sketches.partial_columns()),
+            "paths": batch.groupBy("vhost", "sec", "uri").agg(F.count("*").alias("count"), F.sum("req_time").alias("total_time"), F.sum("s2xx").cast("long").alias("s2xx")),
+        }
+        if located:
+            out["countries"] = batch.filter("code != ''").groupBy("vhost", "sec", "code").agg(F.count("*").alias("count"), F.max("name").alias("name"))
+        return out
+
+    def top(rows: DataFrame, key: str, *columns) -> DataFrame:
+        inside = F.filter(F.array(*[F.lit(w) for w in windows]), lambda w: F.col("sec") > F.lit(kept.last) - w)
+        counted = rows.withColumn("window", F.explode(inside)).groupBy("vhost", "window", key).agg(F.sum("count").alias("count"), *columns)
+        return top_per(counted, n, ["vhost", "window"], "count", key).withColumn("rps", F.col("count") / F.col("window"))
+
+    def view(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        found = parts(batch)
+        for table, rows in found.items():
+            kept.put(rows, table, batch_id)
+        if kept.advance(spark, "seconds") is None:
+            return
+        sums = []
+        for w in windows:
+            inside = lambda c, w=w: F.when(F.col("sec") > kept.last - w, F.col(c))
+            sums += [F.coalesce(F.sum(inside(c)), F.lit(0)).alias(f"{c}_{w}") for c in (*COUNTERS, "latency_sum")]
+            sums += [F.hll_union_agg(inside("visitors")).alias(f"_visitors_{w}"), F.expr(f"kll_merge_agg_double(CASE WHEN sec > {kept.last - w} THEN latency END)").alias(f"_latency_{w}")]
+        vhosts = kept.read(spark, "seconds", longest).groupBy("vhost").agg(*sums)
+        for w in windows:
+            some = F.col(f"requests_{w}") > 0
+            vhosts = vhosts.withColumns({
+                f"rps_{w}": F.col(f"requests_{w}") / F.lit(w),
+                f"visitors_{w}": F.when(some, F.hll_sketch_estimate(f"_visitors_{w}")).otherwise(0),
+                f"latency_avg_{w}": F.when(some, F.col(f"latency_sum_{w}") / F.col(f"requests_{w}") * 1000).otherwise(0.0),
+                f"latency_p95_{w}": F.when(some, F.expr(f"CASE WHEN requests_{w} > 0 THEN kll_sketch_get_quantile_double(_latency_{w}, 0.95D) END") * 1000).otherwise(0.0),
+            }).drop(f"_visitors_{w}", f"_latency_{w}", f"latency_sum_{w}")
+        views = {"vhosts": vhosts, "paths": top(kept.read(spark, "paths", longest), "uri", F.sum("total_time").alias("total_time"), F.sum("s2xx").alias("s2xx"))}
+        if located:
+            views["countries"] = top(kept.read(spark, "countries", longest), "code", F.max("name").alias("name"))
+        each(views, batch_id)
+        for table in found:
+            kept.expire(spark, table)
+
+    writer = requests.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(view)
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 EVENT_SCHEMA = "name string, vhost string, state string, ts long, started_at long, value double"
 
 
