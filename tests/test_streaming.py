@@ -133,6 +133,93 @@ def test_live_views_of_a_stream(spark, sf_dir, tmp_path):
         assert hours and all((h + 1) * 3600 > end - 7200 for h in hours)
 
 
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_events_at_any_ticks_are_those_of_the_machine(spark):
+    """Ticks with gaps, absent vhosts, breaches over midnight: pointers find what the state machine emits."""
+    import random
+
+    import pandas as pd
+
+    rng, rows = random.Random(4), []
+    for vhost in ("a", "b", "c"):
+        ts, bad = 1704067200 + 86400 - 4000, False
+        for _ in range(900):
+            ts += rng.choice([1, 3, 5, 5, 5, 8, 40, 900 if rng.random() < 0.02 else 5])
+            bad = not bad if rng.random() < 0.03 else bad
+            rows.append(("r", vhost, "error_rate", 1.0, 12, ts, float(ts % 50), 5, 1, bad))
+    schema = "name string, vhost string, metric string, threshold double, duration int, ts long, value double, total long, errors long, breach boolean"
+    got = alerts.events(spark.createDataFrame(rows, schema), tick=None, cooldown=61)
+    got = sorted((r["name"], r["vhost"], r["state"], r["ts"], r["started_at"], r["value"]) for r in got.collect())
+    want = []
+    for vhost in ("a", "b", "c"):
+        machine, state = jobs.AlertMachine(61), _Value()
+        machine.state = state
+        own = pd.DataFrame([r for r in rows if r[1] == vhost], columns=[c.split(" ")[0] for c in schema.split(", ")])
+        for half in (own.iloc[:400], own.iloc[400:]):
+            for out in machine.handleInputRows(("r", vhost), iter([half]), None):
+                want += [tuple(r) for r in out.itertuples(index=False)]
+    assert got == sorted(want) and len(got) > 100
+
+
+def _batches(spark, tmp_path, parts):
+    """A stream of one file a batch, in the order given."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{k:03d}"))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+
+
+def test_vhosts_admitted_by_a_stream(spark, sf_dir, tmp_path):
+    """The first vhosts seen stay admitted over batches and restarts, and are those of the whole log."""
+    rows = traffic.classified(traffic.clean(adapters.access_log(spark, sf_dir.replace("sf0.01", "sf0.001"), True)))
+    edge = 1704067200 + 20
+    parts = [rows.filter(f"sec < {edge} AND vhost IN ('www.example.com', 'blog.example.com')"), rows.filter(f"sec < {edge} AND vhost = 'api.example.com'"), rows.filter(f"sec >= {edge}")]
+    got = []
+    for k in range(3):  # a query of its own for each batch: restarts
+        stream = _batches(spark, tmp_path / str(k), [parts[k]])
+        run = jobs.capped_vhosts(lambda df, _: got.append({r["vhost"]: r["count"] for r in df.groupBy("vhost").count().collect()}), str(tmp_path / "admitted"), 2)
+        offset = lambda df, i, run=run, k=k: run(df, 10 * k + i)
+        query = stream.writeStream.foreachBatch(offset).option("checkpointLocation", str(tmp_path / f"cp{k}")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    want = {r["vhost"]: r["count"] for r in traffic.capped_vhosts(whole.withColumn("sec", whole["sec"]), 2).groupBy("vhost").count().collect()}
+    assert set(want) == {"www.example.com", "blog.example.com"} or len(want) == 2
+    total = {}
+    for part in got:
+        for vhost, n in part.items():
+            total[vhost] = total.get(vhost, 0) + n
+    assert set(total) == {"www.example.com", "blog.example.com"} and not got[1]
+
+
+def test_connection_rates_of_a_stream(spark, sf_dir, tmp_path):
+    """Rates over batches are those of the whole; a counter that begins anew gives no negative rate."""
+    polls = parsers.parse_conn_status(adapters.conn_status(spark, sf_dir)).orderBy("collected_at")
+    times = [r["collected_at"] for r in polls.select("collected_at").collect()]
+    cuts = [times[len(times) // 3], times[2 * len(times) // 3]]
+    polls = polls.selectExpr("collected_at", "active", f"IF(collected_at >= {cuts[1]}, accepts % 1000, accepts) AS accepts", "handled", f"IF(collected_at >= {cuts[1]}, requests % 1000, requests) AS requests", "reading", "writing", "waiting")
+    parts = [polls.filter(f"collected_at < {cuts[0]}"), polls.filter(f"collected_at >= {cuts[0]} AND collected_at < {cuts[1]}"), polls.filter(f"collected_at >= {cuts[1]}")]
+    got = []
+    run = jobs.connection_rates(lambda df, _: got.extend(df.collect()), str(tmp_path / "last"))
+    for k, part in enumerate(parts):
+        run(part, k)
+    want = traffic.connection_rates(polls).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) == len(times) - 1
+    assert all(r["conn_rate"] >= 0 and r["request_rate"] >= 0 for r in want)
+
+
 def test_log_lines_of_files(spark, tmp_path):
     """The source gives whole lines, in a batch and as a stream."""
     (tmp_path / "in").mkdir()

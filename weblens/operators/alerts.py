@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from weblens.functions import expressions as E
 from weblens.operators.traffic import CLASSES, classes_total, error_rate
+from weblens.sources import store
 
 TICK, COOLDOWN, DAY = 5, 600, 86400
-#: Rules are configuration; a table of more than this many is refused, as it goes to every task.
+#: Rules are configuration; up to so many go to every task, more are joined as they come.
 MOST_RULES = 10_000
 RULE_SCHEMA = "name string, vhost string, metric string, threshold double, duration int, min_requests long, min_errors long"
 
@@ -30,8 +31,6 @@ def seconds_of(text: str | int | None, default: int) -> int:
 
 def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules with defaults filled in: one minute, all vhosts, and for error rates 20 requests and 5 errors at least."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     rows = []
     for r in rules:
         rate = r["metric"] == "error_rate"
@@ -129,22 +128,71 @@ def _one_place(value: Column) -> Column:
     return F.format_string("%.1f", F.round(F.round(value, 6), 1))
 
 
-def events(evaluated: DataFrame, tick: int = TICK, cooldown: int = COOLDOWN) -> DataFrame:
-    """What the state machine emits on even ticks, without running it.
+_ISLAND = ("name", "vhost", "since")
 
-    In a breach that began at ``since`` the first firing is the tick at which it has lasted the
-    rule's duration, then one every cooldown (both rounded up to ticks); the first tick without a
-    breach after one that fired resolves, and tells when the last firing was.
+
+def fire_times(rows: DataFrame, cooldown: int) -> DataFrame:
+    """(name, vhost, since, ts): when rules fire in each breach of ``islands``, whatever the ticks.
+
+    First at the tick at which the breach has lasted the rule's duration, then at the next tick that is a cooldown or
+    more after the last firing.  Every tick that could fire points to the next one after it; pointers that double
+    reach all firings of a breach in as many rounds as the logarithm of their number.
     """
-    rows = islands(evaluated)
+    could = store.scratch(rows.filter(F.col("breach") & (F.col("ts") - F.col("since") >= F.col("duration"))).select(*_ISLAND, "ts"), "could-fire")
+    # ticks and the times that they wait for, put in order within days; what a day lacks is the first tick of a later one
+    none = F.lit(None).cast("long")
+    both = could.select(*_ISLAND, F.col("ts").alias("_at"), F.col("ts").alias("_tick"), none.alias("ts"))
+    both = both.unionByName(could.select(*_ISLAND, (F.col("ts") + cooldown).alias("_at"), none.alias("_tick"), "ts"))
+    both = both.withColumn("_day", F.floor(F.col("_at") / DAY))
+    later = Window.partitionBy(*_ISLAND).orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    days = both.groupBy(*_ISLAND, "_day").agg(F.min("_tick").alias("_first")).withColumn("_later", F.min("_first").over(later))
+    order = Window.partitionBy(*_ISLAND, "_day").orderBy(F.col("_at").desc(), F.col("ts").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_here", F.min("_tick").over(order)).filter("ts is not null")
+    met = met.join(days.select(*_ISLAND, "_day", "_later"), [*_ISLAND, "_day"]).withColumn("_next", F.coalesce("_here", "_later"))
+    jumps = store.scratch(met.filter("_next is not null").select(*_ISLAND, "ts", "_next"), "jumps")
+    fired = store.scratch(could.groupBy(*_ISLAND).agg(F.min("ts").alias("ts")), "fired")
+    while True:
+        more = fired.join(jumps, [*_ISLAND, "ts"]).select(*_ISLAND, F.col("_next").alias("ts"))
+        if not more.limit(1).count():
+            return fired
+        fired = store.scratch(fired.unionByName(more), "fired")
+        ahead = jumps.select(*_ISLAND, F.col("ts").alias("_next"), F.col("_next").alias("_after"))
+        jumps = store.scratch(jumps.join(ahead, [*_ISLAND, "_next"]).select(*_ISLAND, "ts", F.col("_after").alias("_next")), "jumps")
+
+
+def _even(rows: DataFrame, tick: int, cooldown: int) -> DataFrame:
+    """Rows of ``islands`` with _firing, _resolved and _last_fire where ticks are even: all follow from the length of the breach."""
     wait = (F.ceil(F.col("duration") / tick) * tick).cast("long")
     again = math.ceil(cooldown / tick) * tick
     held = F.col("ts") - F.col("since")
-    firing = F.col("breach") & (held >= wait) & (F.pmod(held - wait, F.lit(again)) == 0)
     lasted = F.col("_prev_ts") - F.col("_prev_since")
-    resolved = ~F.col("breach") & (lasted >= wait)
-    last_fire = F.col("_prev_since") + wait + F.floor((lasted - wait) / again) * again
-    state = F.when(firing, "firing").when(resolved, "resolved")
+    rows = rows.withColumn("_firing", F.col("breach") & (held >= wait) & (F.pmod(held - wait, F.lit(again)) == 0))
+    rows = rows.withColumn("_resolved", ~F.col("breach") & (lasted >= wait))
+    return rows.withColumn("_last_fire", F.col("_prev_since") + wait + F.floor((lasted - wait) / again) * again)
+
+
+def _uneven(rows: DataFrame, cooldown: int) -> DataFrame:
+    """The same for any ticks, from the firings themselves."""
+    rows = store.scratch(rows, "islands")
+    fired = fire_times(rows, cooldown)
+    rows = rows.join(fired.withColumn("_fired", F.lit(True)), [*_ISLAND, "ts"], "left")
+    last = fired.groupBy("name", "vhost", F.col("since").alias("_prev_since")).agg(F.max("ts").alias("_last_fire"))
+    rows = rows.join(last, ["name", "vhost", "_prev_since"], "left")
+    return rows.withColumn("_firing", F.col("_fired").isNotNull()).withColumn("_resolved", ~F.col("breach") & F.col("_last_fire").isNotNull())
+
+
+def events(evaluated: DataFrame, tick: int | None = TICK, cooldown: int = COOLDOWN) -> DataFrame:
+    """What the state machine emits, without running it.
+
+    In a breach that began at ``since`` the first firing is the tick at which it has lasted the
+    rule's duration, then the next one a cooldown or more after the last; the first tick without a
+    breach after one that fired resolves, and tells when the last firing was.  A vhost that is absent
+    from some ticks keeps its state.  Ticks are ``tick`` seconds apart, without gaps, or any where it is None.
+    """
+    rows = islands(evaluated)
+    rows = _uneven(rows, cooldown) if tick is None else _even(rows, tick, cooldown)
+    last_fire = F.col("_last_fire")
+    state = F.when(F.col("_firing"), "firing").when(F.col("_resolved"), "resolved")
     found = rows.withColumn("state", state).filter("state is not null")
     # fixed wording of messages and details
     message = F.when(

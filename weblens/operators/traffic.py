@@ -283,4 +283,7 @@ def connection_rates(status: DataFrame) -> DataFrame:
     order = Window.partitionBy("_hour").orderBy("collected_at")
     own = hours.join(before, "_hour").withColumn("_prev", F.coalesce(F.lag(F.struct("collected_at", "accepts", "requests")).over(order), "_before"))
     gap = F.col("collected_at") - F.col("_prev.collected_at")
-    return own.filter("_prev is not null").select("collected_at", ((F.col("accepts") - F.col("_prev.accepts")) / gap).alias("conn_rate"), ((F.col("requests") - F.col("_prev.requests")) / gap).alias("request_rate"), (F.col("accepts") - F.col("handled")).alias("dropped"))
+    # a counter that is smaller than before has begun anew
+    grown = lambda c: F.when(F.col(c) < F.col(f"_prev.{c}"), F.col(c)).otherwise(F.col(c) - F.col(f"_prev.{c}"))
+    rates = [(grown(c) / gap).alias(n) for c, n in (("accepts", "conn_rate"), ("requests", "request_rate"))]
+    return own.filter("_prev is not null").select("collected_at", *rates, (F.col("accepts") - F.col("handled")).alias("dropped"))

@@ -827,6 +827,21 @@ def alert_events(spark, sf_dir):
     return _events(spark, sf_dir).withColumn("value", F.round("value", 5))
 
 
+#: Ticks that are left out: some of all vhosts, and one vhost's for a while.
+_GAPS = "(ts {div} 5) % 7 IN (2, 3) OR (vhost = 'api.example.com' AND (ts {div} 5) % 40 BETWEEN 10 AND 22)"
+
+
+@query(
+    Q.base(True, *_ALERTS[:2], Q.uneven_events(f"NOT ({_GAPS.format(div='//')})", COOLDOWN)).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT name, vhost, state, CAST(ts AS BIGINT) AS ts, CAST(started_at AS BIGINT) AS started_at, round(value, 5) AS value FROM found"
+)
+def alert_events_uneven(spark, sf_dir):
+    """Events where ticks are missing."""
+    left = _evaluated(spark, sf_dir).filter(f"NOT ({_GAPS.format(div='div')})")
+    rows = alerts.events(left, tick=None, cooldown=COOLDOWN)
+    return rows.select("name", "vhost", "state", "ts", "started_at", F.round("value", 5).alias("value"))
+
+
 @query(
     Q.base(True, *_ALERTS)
     + f"SELECT name, vhost, metric, state, ts, round(value, 5) AS value, message FROM (SELECT * FROM found WHERE ts <= (SELECT (min(sec) + max(sec)) // 2 FROM log) QUALIFY row_number() OVER (PARTITION BY name, vhost ORDER BY ts DESC) = 1) WHERE state = 'firing'"

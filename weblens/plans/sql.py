@@ -116,3 +116,17 @@ found AS (SELECT concat('alert-', name, '-', CAST(ts AS VARCHAR)) AS id, name, v
  CASE WHEN state = 'firing' THEN ts ELSE psince + wait + (pts - psince - wait) // {again} * {again} END AS started_at, CASE WHEN state = 'resolved' THEN ts END AS resolved_at,
  concat(name, CASE WHEN state = 'firing' THEN ' breached threshold: ' ELSE ' has recovered. Current value: ' END, printf('%.1f', round(round(value, 6), 1)), ' (threshold: ', printf('%.1f', round(threshold, 1)), ')') AS message,
  concat('VHost: ', vhost, ' | Total Requests: ', CAST(total AS VARCHAR), ' | Errors: ', CAST(errors AS VARCHAR)) AS details FROM stated WHERE state IS NOT NULL)"""
+
+
+def uneven_events(kept: str, cooldown: int) -> str:
+    """Events of the ticks that are ``kept``, each firing found from the one before it."""
+    return f"""thin AS (SELECT * FROM evaluated WHERE {kept}),
+marked AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY name, vhost ORDER BY ts) AS island FROM thin),
+held AS (SELECT *, CASE WHEN breach THEN min(CASE WHEN breach THEN ts END) OVER (PARTITION BY name, vhost, island) END AS since FROM marked),
+linked AS (SELECT *, lag(since) OVER (PARTITION BY name, vhost ORDER BY ts) AS psince FROM held),
+could AS (SELECT name, vhost, since, ts FROM held WHERE breach AND ts - since >= duration),
+fires AS (SELECT name, vhost, since, min(ts) AS ts FROM could GROUP BY ALL
+ UNION ALL SELECT f.name, f.vhost, f.since, min(c.ts) AS ts FROM fires f JOIN could c ON c.name = f.name AND c.vhost = f.vhost AND c.since = f.since AND c.ts >= f.ts + {cooldown} GROUP BY f.name, f.vhost, f.since, f.ts),
+lasts AS (SELECT name, vhost, since AS psince, max(ts) AS last FROM fires GROUP BY ALL),
+found AS (SELECT l.name, l.vhost, 'firing' AS state, l.ts, l.ts AS started_at, value FROM linked l SEMI JOIN fires f ON f.name = l.name AND f.vhost = l.vhost AND f.ts = l.ts
+ UNION ALL SELECT l.name, l.vhost, 'resolved', l.ts, last, value FROM linked l JOIN lasts s ON s.name = l.name AND s.vhost = l.vhost AND s.psince = l.psince WHERE NOT l.breach)"""

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,16 @@ def state_of(spark: SparkSession, path: str) -> str:
     return f"{status.getModificationTime()}-{system.getContentSummary(place).getLength()}"
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that rounds of a loop don't pile up plans; it goes at the
+    end of the application."""
+    path = f"{root(df.sparkSession)}/weblens-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place, system = file_system(df.sparkSession, path)
+    system.deleteOnExit(place)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """The stored tables that derive from one input."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weblens.operators import sketches
+from weblens.operators import sketches, traffic
 from weblens.operators.traffic import COUNTERS, counters, top_per
 from weblens.sources import store
 
@@ -167,6 +167,62 @@ def live_views(requests: DataFrame, each: Callable[[dict[str, DataFrame], int],
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+class Remembered:
+    """A small table that each batch of a stream leaves for the next: of bounded size, under a path by batch.
+
+    A batch that runs again finds what the one before it left, and replaces what it left itself.
+    """
+
+    def __init__(self, path: str, schema: str) -> None:
+        self.path, self.schema = path.rstrip("/"), schema
+
+    def _batches(self, spark: SparkSession) -> list[int]:
+        place, system = store.file_system(spark, self.path)
+        names = [s.getPath().getName() for s in system.listStatus(place)] if system.exists(place) else []
+        return sorted(int(n[6:]) for n in names if n.startswith("batch="))
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        found = [b for b in self._batches(spark) if b < batch_id]
+        return spark.read.schema(self.schema).parquet(f"{self.path}/batch={found[-1]}") if found else spark.createDataFrame([], self.schema)
+
+    def leave(self, rows: DataFrame, batch_id: int) -> None:
+        """Write the table of this batch, then drop all but that of the one before."""
+        spark = rows.sparkSession
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        for old in [b for b in self._batches(spark) if b < batch_id][:-1]:
+            place, system = store.file_system(spark, f"{self.path}/batch={old}")
+            system.delete(place, True)
+
+
+def capped_vhosts(each: Callable[[DataFrame, int], None], path: str, most: int = 50) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: hands on the requests of the first ``most`` vhosts seen, by batch, then by second and name."""
+    admitted = Remembered(path, "vhost string")
+
+    def view(batch: DataFrame, batch_id: int) -> None:
+        known = admitted.before(batch.sparkSession, batch_id).withColumn("_first", F.lit(-1).cast("long"))
+        new = batch.groupBy("vhost").agg(F.min("sec").alias("_first"))
+        first = known.unionByName(new).groupBy("vhost").agg(F.min("_first").alias("_first")).orderBy("_first", "vhost").limit(most)
+        admitted.leave(first.select("vhost"), batch_id)
+        allowed = batch.sparkSession.read.schema(admitted.schema).parquet(f"{admitted.path}/batch={batch_id}")
+        each(batch.join(F.broadcast(allowed), "vhost", "left_semi"), batch_id)  # ``most`` rows
+
+    return view
+
+
+def connection_rates(each: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch of parsed polls: hands on the rates between polls, the first of a batch against the last before it."""
+    schema = "collected_at long, active long, accepts long, handled long, requests long, reading long, writing long, waiting long"
+    last = Remembered(path, schema)
+
+    def view(batch: DataFrame, batch_id: int) -> None:
+        known = last.before(batch.sparkSession, batch_id)
+        polls = known.unionByName(batch.select(*known.columns))
+        each(traffic.connection_rates(polls), batch_id)
+        last.leave(polls.orderBy(F.col("collected_at").desc()).limit(1), batch_id)
+
+    return view
+
+
 EVENT_SCHEMA = "name string, vhost string, state string, ts long, started_at long, value double"
 
 
