@@ -216,10 +216,31 @@ def test_islands_go_on_over_days(spark):
 
 
 def test_more_rules_than_are_broadcast(spark, monkeypatch):
+    """Beyond the bound rules are joined as they come, with the same results."""
+    rule = {"name": "a", "metric": "error_rate", "threshold": 5, "vhost": "h"}
+    ticks = spark.createDataFrame([("h", 5, 1.0, 0, 0, 30, 10, 1.0, 2.0, 3.0, 25.0)], "vhost string, ts long, rps double, s2xx long, s3xx long, s4xx long, s5xx long, latency_avg double, latency_p95 double, latency_p99 double, error_rate double")
+    rules = alerts.rules_table(spark, [rule, rule | {"name": "b", "threshold": 50}])
+    want = sorted(map(tuple, alerts.evaluate(ticks, rules).collect()))
     monkeypatch.setattr(alerts, "MOST_RULES", 1)
-    rule = {"name": "a", "metric": "error_rate", "threshold": 5}
-    with pytest.raises(ValueError, match="rules"):
-        alerts.rules_table(spark, [rule, rule])
+    assert sorted(map(tuple, alerts.evaluate(ticks, rules).collect())) == want and [r[-1] for r in want] == [True, False]
+
+
+def test_countries_count_addresses_before_they_are_looked_up(spark, sf_dir):
+    """No request is shuffled by its address: what meets the ranges are numbers of (minute, vhost, address)."""
+    from weblens.plans import catalog
+
+    plan = catalog.minute_countries(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join Inner") :]
+    assert left.index("Aggregate") < left.index("Relation")
+
+
+def test_ipv6_with_a_dotted_tail(spark):
+    rows = spark.createDataFrame([("2001:db8::1.2.3.4",), ("64:ff9b::192.0.2.33",), ("::ffff:1.2.3.4",), ("2001:db8::1.2.3.400",), ("1:2:3:4:5:6:7.8.9.10",)], "addr string")
+    got = {r["addr"]: r["h"] for r in rows.select("addr", E.ipv6_hex(F.col("addr")).alias("h")).collect()}
+    assert got == {
+        "2001:db8::1.2.3.4": "20010db8" + "0" * 16 + "01020304", "64:ff9b::192.0.2.33": "0064ff9b" + "0" * 16 + "c0000221", "::ffff:1.2.3.4": None,
+        "2001:db8::1.2.3.400": None, "1:2:3:4:5:6:7.8.9.10": "000100020003000400050006" + "0708090a",
+    }
 
 
 def test_scan_reads_only_what_it_needs(spark, sf_dir):

@@ -111,8 +111,14 @@ def ipv4_number(addr: Column) -> Column:
 
 
 def ipv6_hex(addr: Column) -> Column:
-    """The 32 hexadecimal digits of an IPv6 address, which sort as the addresses do; null for whatever is none."""
+    """The 32 hexadecimal digits of an IPv6 address, which sort as the addresses do; null for whatever is none.
+
+    The last two groups may be written as an IPv4 address; IPv4 mapped into IPv6 is IPv4, and none here.
+    """
     low = F.lower(addr)
+    dotted = ipv4_number(F.regexp_extract(low, r"[^:]*$", 0))
+    group = lambda n: F.lower(F.hex(n))
+    low = F.when(dotted.isNull() | ~low.contains(":"), low).when(ipv4_number(low).isNull(), F.concat(F.regexp_replace(low, r"[^:]*$", ""), group(F.floor(dotted / 65536)), F.lit(":"), group(dotted % 65536)))
     short = low.contains("::")
     groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
     head = groups(F.when(short, F.substring_index(low, "::", 1)).otherwise(low))

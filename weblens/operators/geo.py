@@ -72,3 +72,11 @@ def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr", ranges6:
     found = hits.groupBy("_addr").agg(F.min(F.struct("_rank", "code", "name")).alias("_m")).select("_addr", "_m.code", "_m.name")
     joined = requests.join(found, requests[addr] == found["_addr"], "left").drop("_addr")
     return joined.withColumn("code", F.coalesce("code", F.lit(""))).withColumn("name", F.coalesce("name", F.lit("")))
+
+
+def counted(requests: DataFrame, *keys: str, addr: str = "raw_addr") -> DataFrame:
+    """(keys, sec, addr, n): numbers of requests by minute (as ``sec``) and address, to be looked up in their place.
+
+    A busy address then is a row a minute, and no request is sent anywhere by its address.
+    """
+    return requests.groupBy(*keys, E.bucket_start(F.col("sec"), 60).alias("sec"), addr).agg(F.count("*").alias("n"))

@@ -103,9 +103,15 @@ def path_stats(requests: DataFrame, window: int, *keys: str) -> DataFrame:
     return grouped.withColumn("rps", F.col("count") / F.lit(window)).withColumn("avg_ms", F.col("total_time") / F.col("count") * 1000).withColumn("ok_pct", E.ratio(F.col("s2xx"), F.col("count"), 100.0))
 
 
+def _number(rows: DataFrame) -> Column:
+    """The number of requests: of rows that stand for several, ``n`` has it."""
+    return F.sum("n") if "n" in rows.columns else F.count("*")
+
+
 def country_stats(located: DataFrame, window: int, *keys: str) -> DataFrame:
-    """count, rps and share of all countries' requests; requests without country are not counted.  Name and flag come along."""
-    grouped = located.filter("code != ''").groupBy(*keys, "code").agg(F.count("*").alias("count"), F.max("name").alias("name"))
+    """count, rps and share of all countries' requests (or numbers ``n`` of them); requests without country are not
+    counted.  Name and flag come along."""
+    grouped = located.filter("code != ''").groupBy(*keys, "code").agg(_number(located).alias("count"), F.max("name").alias("name"))
     share = F.col("count") / F.sum("count").over(Window.partitionBy(*keys)) * 100
     return grouped.withColumn("rps", F.col("count") / F.lit(window)).withColumn("pct", share).withColumn("flag", E.country_flag(F.col("code")))
 
@@ -143,9 +149,9 @@ def minute_paths(requests: DataFrame, n: int = 50) -> DataFrame:
 
 
 def minute_countries(located: DataFrame) -> DataFrame:
-    """All countries of each minute and vhost."""
+    """All countries of each minute and vhost, of requests or of numbers ``n`` of them."""
     keyed = located.filter("code != ''").withColumn("ts", E.bucket_start(F.col("sec"), 60))
-    grouped = keyed.groupBy("ts", "vhost", "code").agg(F.count("*").alias("requests"), F.max("name").alias("name"))
+    grouped = keyed.groupBy("ts", "vhost", "code").agg(_number(located).alias("requests"), F.max("name").alias("name"))
     return grouped.withColumn("flag", E.country_flag(F.col("code")))
 
 

@@ -57,6 +57,13 @@ def located(spark: SparkSession, sf_dir: str, dense: bool = False, window: int |
     return geo.locate(rows, adapters.ip_ranges(spark, sf_dir), "raw_addr", adapters.ip6_ranges(spark, sf_dir))
 
 
+def located_counts(spark: SparkSession, sf_dir: str, dense: bool = False, window: int | None = None) -> DataFrame:
+    """Numbers of requests by vhost, minute and country: addresses are counted before they are looked up."""
+    rows = requests(spark, sf_dir, dense)
+    rows = traffic.trailing(rows, now(spark, sf_dir), window) if window else rows
+    return geo.locate(geo.counted(rows, "vhost"), adapters.ip_ranges(spark, sf_dir), "raw_addr", adapters.ip6_ranges(spark, sf_dir))
+
+
 def stored(spark: SparkSession, sf_dir: str) -> store.Store:
     return store.Store(spark, sf_dir, "events.parquet", "nation.parquet")
 
@@ -313,7 +320,7 @@ def path_stats(spark, sf_dir):
     + f", c AS (SELECT vhost, code, count(*) AS count, max(name) AS name FROM located WHERE {_IN60} AND code <> '' GROUP BY ALL) SELECT vhost, code, count, name, round(count / 60, 6) AS rps, round(count / sum(count) OVER (PARTITION BY vhost) * 100, 6) AS pct, {Q.FLAG} AS flag FROM c QUALIFY row_number() OVER (PARTITION BY vhost ORDER BY count DESC, code) <= 10"
 )
 def country_stats(spark, sf_dir):
-    rows = traffic.country_stats(located(spark, sf_dir, True, 60), 60, "vhost")
+    rows = traffic.country_stats(located_counts(spark, sf_dir, True, 60), 60, "vhost")
     return rounded(traffic.top_per(rows, 10, ["vhost"], "count", "code"), "rps", "pct")
 
 
@@ -417,7 +424,7 @@ _HOUR_COUNTRIES = f"countries AS (SELECT vhost, code, count(*) AS count, max(nam
 @query(Q.base(True, Q.LOCATED, _HOUR_COUNTRIES) + f"SELECT * REPLACE (round(pct, 6) AS pct) FROM first_countries WHERE vhost = '{_API}'")
 def second_summary_countries(spark, sf_dir):
     """The first ten countries that go with ``second_summary``."""
-    rows = traffic.country_stats(located(spark, sf_dir, True, 3600).filter(F.col("vhost") == _API), 3600, "vhost")
+    rows = traffic.country_stats(located_counts(spark, sf_dir, True, 3600).filter(F.col("vhost") == _API), 3600, "vhost")
     return rounded(traffic.top_per(rows, 10, ["vhost"], "count", "code"), "rps", "pct")
 
 
@@ -443,7 +450,7 @@ def second_summary_all(spark, sf_dir):
     + f", m AS (SELECT code, CAST(sum(count) AS BIGINT) AS count, round(sum(count / 3600), 6) AS rps, max(name) AS name, max(flag) AS flag FROM first_countries GROUP BY code), p AS (SELECT *, round(count / sum(count) OVER () * 100, 6) AS pct FROM m) SELECT * FROM p ORDER BY count DESC, code LIMIT 10"
 )
 def second_summary_all_countries(spark, sf_dir):
-    rows = traffic.country_stats(located(spark, sf_dir, True, 3600), 3600, "vhost").drop("pct")
+    rows = traffic.country_stats(located_counts(spark, sf_dir, True, 3600), 3600, "vhost").drop("pct")
     return rounded(traffic.merged_tops(rows, "count", "code", share="pct"), "rps", "pct")
 
 
@@ -577,7 +584,7 @@ def minute_paths(spark, sf_dir):
 
 @query(Q.base(False, Q.LOCATED, Q.MINUTE_COUNTRIES) + "SELECT * FROM minute_countries")
 def minute_countries(spark, sf_dir):
-    return sinks.country_rows(traffic.minute_countries(located(spark, sf_dir)))
+    return sinks.country_rows(traffic.minute_countries(located_counts(spark, sf_dir)))
 
 
 def _hours(spark, sf_dir, start=None, end=None):
@@ -627,7 +634,7 @@ _COUNTRY_TIERS = (Q.LOCATED, Q.MINUTE_COUNTRIES, Q.rollup_countries("minute_coun
 
 
 def _hour_countries(spark, sf_dir):
-    minutes = lambda: sinks.country_rows(traffic.minute_countries(located(spark, sf_dir)))
+    minutes = lambda: sinks.country_rows(traffic.minute_countries(located_counts(spark, sf_dir)))
     s = stored(spark, sf_dir)
     return s.tier("countries", "hour", lambda: tiers.rollup_countries(s.tier("countries", "minute", minutes), tiers.HOUR))
 

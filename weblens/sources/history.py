@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.functions import expressions as E
-from weblens.operators import sketches, tiers, traffic
+from weblens.operators import geo, sketches, tiers, traffic
 from weblens.sources import sinks
 from weblens.sources.store import file_system, state_of
 
@@ -58,7 +58,8 @@ def _paths(requests: DataFrame) -> DataFrame:
 
 
 def _countries(located: DataFrame) -> DataFrame:
-    found = _by(located.filter("code != ''"), "code").agg(F.count("*").alias("requests"), F.max("name").alias("name"))
+    """Of numbers ``n`` of requests by minute and address."""
+    found = _by(located.filter("code != ''"), "code").agg(F.sum("n").alias("requests"), F.max("name").alias("name"))
     return found.withColumn("flag", E.country_flag(F.col("code")))
 
 
@@ -76,7 +77,7 @@ TABLES = {
 
 class History:
     def __init__(self, spark: SparkSession, path: str, locate: Step | None = None) -> None:
-        """``locate`` adds the country (code, name) to requests; without it there is no table of countries."""
+        """``locate`` adds the country (code, name) of raw_addr to rows; without it there is no table of countries."""
         self.spark, self.path, self.locate = spark, path.rstrip("/"), locate
         self.tables = {n: t for n, t in TABLES.items() if locate or not t.located}
 
@@ -162,7 +163,7 @@ class History:
             settled.setdefault(e["table"], set()).update(f"{s}/{e['day']}" for s in e["replaces"] if s in ids)
         touched = {d for n in names for d in known.get(n, {}).get("days", [])}
         for table, t in self.tables.items():
-            rows = t.partial(self.locate(requests) if t.located else requests)
+            rows = self._partial(t, requests)
             if settled.get(table):
                 rows = rows.filter(~F.concat("source", F.lit("/"), sinks.day_of(F.col("ts"))).isin(sorted(settled[table])))
             for source, name in ids.items():
@@ -176,6 +177,9 @@ class History:
             self._record("inputs", name, {"state": names[name], "days": sorted({*days[source], *known.get(name, {}).get("days", [])})})
         return sorted(touched)
 
+    def _partial(self, table: Table, requests: DataFrame) -> DataFrame:
+        return table.partial(self.locate(geo.counted(requests, "source", "vhost")) if table.located else requests)
+
     @staticmethod
     def _source(name: str) -> str:
         return hashlib.md5(name.encode()).hexdigest()
@@ -218,7 +222,7 @@ class History:
             own = f"{source}-{batch_id:012d}"
             requests = prepare(batch).withColumn("source", F.lit(own))
             for table, t in self.tables.items():
-                self._write_parts(table, t.partial(self.locate(requests) if t.located else requests))
+                self._write_parts(table, self._partial(t, requests))
             if refresh:
                 self.refresh(self._days_of({own})[own])
 
