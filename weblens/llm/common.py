@@ -22,7 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where it is unset the warehouse.
 
-    Only a local session, whose driver and executors are one process, gets a temporary folder.
+    Only a local session, whose driver and executors are one process, gets a temporary folder; on a
+    cluster a warehouse on a local disk is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
@@ -31,7 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="weblens-shared-")
         spark.sparkContext.setCheckpointDir(found)
         return found
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/weblens-staged"
+    found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if found.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{found}/weblens-staged"
 
 
 def _path(spark: SparkSession, path: str):

@@ -25,7 +25,7 @@ def line_key(line: Column) -> Column:
 
 
 def line_hash(key: Column) -> Column:
-    """128 bits in two longs, so that different lines don't meet in a corpus of any size."""
+    """128 bits in two longs of two seeds of one family: different lines hardly ever meet, though nothing proves it."""
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key, F.length(key)).alias("h2"))
 
 

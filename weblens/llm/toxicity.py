@@ -7,9 +7,11 @@ values with landmark strings; as those strings' subsequences are known, its deci
 one weight per subsequence, and scoring a text is adding them up.  A text's margin is that of its
 worst window.
 
-It is trained on sentences.  All sentences of clean texts are clean; of a toxic text at least one is
-toxic, and which ones those are is found together with the machine: first by letter groups that tell
-the classes apart, then by the machine's own margins.
+It learns from labelled sentences by their windows.  All sentences of clean texts are clean; of a toxic
+text at least one is toxic, and which ones those are is found together with the machine: first by letter
+groups that tell the classes apart, then by the machine's own margins.  What the machine is then fitted on
+are strings of at most fourteen characters of those sentences, mostly single words, and copies of them
+that have a letter put in.
 """
 
 from __future__ import annotations
