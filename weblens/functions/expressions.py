@@ -116,9 +116,19 @@ def ipv6_hex(addr: Column) -> Column:
     The last two groups may be written as an IPv4 address; IPv4 mapped into IPv6 is IPv4, and none here.
     """
     low = F.lower(addr)
-    dotted = ipv4_number(F.regexp_extract(low, r"[^:]*$", 0))
+    tail = F.when(low.contains(":") & low.contains(".") & ~low.rlike(r"^::ffff:[0-9.]+$"), ipv4_number(F.regexp_extract(low, r"[^:]*$", 0)))
+    # named once each: what follows uses them many times
     group = lambda n: F.lower(F.hex(n))
-    low = F.when(dotted.isNull() | ~low.contains(":"), low).when(ipv4_number(low).isNull(), F.concat(F.regexp_replace(low, r"[^:]*$", ""), group(F.floor(dotted / 65536)), F.lit(":"), group(dotted % 65536)))
+    plain = _once(tail, lambda t: F.when(t.isNull(), low).otherwise(F.concat(F.regexp_replace(low, r"[^:]*$", ""), group(F.floor(t / 65536)), F.lit(":"), group(t % 65536))))
+    return _once(plain, _ipv6_digits)
+
+
+def _once(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _ipv6_digits(low: Column) -> Column:
     short = low.contains("::")
     groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
     head = groups(F.when(short, F.substring_index(low, "::", 1)).otherwise(low))
