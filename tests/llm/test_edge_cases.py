@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weblens.llm import chat, exactdup, langid, linededup, merkle, mixing, neardup, packing, tokens, toxicity
+from weblens.llm import chat, common, exactdup, langid, linededup, merkle, mixing, neardup, packing, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_tokens string, target string, kept string, node string, bucket string, size string"
 
@@ -97,6 +97,41 @@ def test_line_runs_know_earlier_batches(spark):
     assert merged == {1: (9, 2), 2: (9, 2), 3: (5, 1), 4: (4, 1)}
 
 
+def test_line_runs_are_neither_shuffled_nor_sorted_again(spark):
+    runs = linededup.LineRuns(fan_in=3)
+    batch = lambda k: spark.range(50 * k, 50 * k + 100).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), (1000 - F.lit(k)).cast("long").alias("doc_id"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    assert runs.add(batch(0)).count() == 100 and runs.add(batch(1)).count() == 50
+    with common.by_buckets(spark):
+        met, merged = plan(runs.met(batch(2))), plan(runs.known())
+    # the batch's own exchange and sort, and a merge join with each of two runs
+    assert (met.count("Exchange"), met.count("Sort ["), met.count("SortMergeJoin")) == (1, 1, 2)
+    assert met.count("Bucketed: true") == merged.count("Bucketed: true") == 2
+    assert (merged.count("Exchange"), merged.count("Sort ["), merged.count("SortMergeJoin")) == (0, 0, 1)
+    assert runs.add(batch(2)).count() == 50 and [len(x) for x in runs.levels] == [0, 1] and runs.add(batch(2)).count() == 0
+    tables = {r.staged_table for r in runs._written}
+    assert len(tables) == 5 and tables <= {t.name for t in spark.catalog.listTables()}
+    runs.drop()
+    assert not tables & {t.name for t in spark.catalog.listTables()}
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == before
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 5])
+def test_line_runs_count_every_key_once(spark, fan_in):
+    rng, runs, docs_of = random.Random(fan_in), linededup.LineRuns(fan_in=fan_in), {}
+    for k in range(6):  # an empty batch among them
+        rows = [] if k == 2 else sorted({(rng.randint(0, 40), 60 - 10 * k + rng.randint(0, 9)) for _ in range(60)})
+        fresh = {r["h1"]: r["holder"] for r in runs.add(spark.createDataFrame([(h, -h, d) for h, d in rows], "h1 long, h2 long, doc_id long")).collect()}
+        assert fresh == {h: max(d for g, d in rows if g == h) for h, _ in rows if h not in docs_of}
+        for h, d in rows:
+            docs_of.setdefault(h, set()).add(d)
+    with common.by_buckets(spark):
+        got = sorted(tuple(r) for r in runs.known().collect())
+    assert got == sorted((h, -h, max(d), len(d)) for h, d in docs_of.items())
+    runs.drop()
+
+
 def test_near(docs, empty):
     got = neardup.near_groups(docs).collect()
     by = {(r["doc_id"], r["n_shingles"]): r for r in got}

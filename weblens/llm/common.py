@@ -63,9 +63,57 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return back
 
 
+def key_buckets(spark: SparkSession) -> int:
+    """As many buckets as a shuffle has partitions, so that rows grouped by the buckets' keys lie as a table needs them."""
+    own = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(own or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stage_sorted(df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+    """``stage`` as a table of ``buckets`` buckets by ``keys``, each sorted by them: joins on them needn't shuffle it."""
+    spark = df.sparkSession
+    table = f"weblens_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/weblens-{name}-{table[8:]}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    place, system = _path(spark, path)
+    system.deleteOnExit(place)
+    for tables in _scopes:
+        tables.append(path)
+    back = spark.read.table(table)
+    back.staged_path, back.staged_table = path, table
+    return back
+
+
+#: What makes plans use the buckets of ``stage_sorted`` and their order.
+_BY_BUCKETS = {
+    "spark.sql.sources.bucketing.enabled": "true",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+}
+
+
+@contextmanager
+def by_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within the block, plans read the tables of ``stage_sorted`` by bucket and in order; settings are put back after it.
+
+    Join such tables there, don't unite them: a union of columnar scans lays their buckets side by side, yet
+    is taken to keep them, and what is grouped on it comes out in parts.
+    """
+    before = {k: spark.conf.get(k, None) for k in _BY_BUCKETS}
+    for k, v in _BY_BUCKETS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def discard(*staged: DataFrame) -> None:
-    """Delete tables written by ``stage`` that nothing still to be computed reads."""
+    """Delete tables written by ``stage`` or ``stage_sorted`` that nothing still to be computed reads."""
     for df in staged:
+        if hasattr(df, "staged_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.staged_table}")
         place, system = _path(df.sparkSession, df.staged_path)
         system.delete(place, True)
 

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblens.llm.common import WHITE, ascii_lower, discard, free_name, salted, stage, text_or_empty
+from weblens.llm.common import WHITE, ascii_lower, by_buckets, discard, free_name, key_buckets, salted, stage, stage_sorted, text_or_empty
 
 #: A very common line is dealt over so many join keys.
 SALTS = 16
 #: Batches into which a one-off table is cut, and runs of a level that are merged into one.
-BATCHES, FAN_IN = 4, 3
+BATCHES, FAN_IN = 4, 2
+#: The key of a run.
+HASH = ("h1", "h2")
 
 
 def line_key(line: Column) -> Column:
@@ -30,23 +32,25 @@ def line_hash(key: Column) -> Column:
 
 
 class LineRuns:
-    """Runs of (h1, h2, holder, n), each sorted by hash, in levels.  ``holder`` is null in entries that only count."""
+    """Runs of (h1, h2, holder, n) in levels.  ``holder`` is null in entries that only count.
 
-    def __init__(self, fan_in: int = FAN_IN) -> None:
-        self.fan_in, self.levels, self._written = fan_in, [[]], []
+    A run is a table in buckets by hash, each sorted by it, so only a new batch is shuffled and sorted:
+    it meets the runs in merge joins bucket by bucket, and two runs are merged where they lie.  All runs
+    of one object have the same number of buckets.
+    """
+
+    def __init__(self, fan_in: int = FAN_IN, buckets: int | None = None) -> None:
+        self.fan_in, self.buckets, self.levels, self._written = fan_in, buckets, [[]], []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def known(self) -> DataFrame | None:
-        """All entries, or None before the first batch."""
-        found = None
-        for run in self.runs():
-            found = run if found is None else found.unionByName(run)
-        return found
-
-    def _write(self, df: DataFrame, name: str) -> DataFrame:
-        self._written.append(stage(df, name))
+        """All entries, one for each key, or None before the first batch."""
+        return self.merged(*self.runs()) if self.runs() else None
+
+    def _write(self, df: DataFrame) -> DataFrame:
+        self._written.append(stage_sorted(df, "line-run", self.buckets, *HASH))
         return self._written[-1]
 
     def drop(self) -> None:
@@ -55,34 +59,40 @@ class LineRuns:
         self.levels, self._written = [[]], []
 
     @staticmethod
-    def merged(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("h1", "h2").agg(F.max("holder").alias("holder"), F.sum("n").alias("n"))
+    def merged(*runs: DataFrame) -> DataFrame:
+        """The runs as one, by a merge join of two at a time."""
+        whole = runs[0].select(*HASH, "holder", "n")
+        for run in runs[1:]:
+            other = run.select(*HASH, F.col("holder").alias("holder_"), F.col("n").alias("n_")).hint("merge")
+            sums = F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))
+            whole = whole.join(other, list(HASH), "full").select(*HASH, F.greatest("holder", "holder_").alias("holder"), sums.alias("n"))
+        return whole
+
+    def met(self, batch: DataFrame) -> DataFrame:
+        """The entries of a batch of (h1, h2, doc_id), a row per document and key, as a run: ``fresh`` if no run knew the key."""
+        counted = batch.groupBy(*HASH).agg(F.max("doc_id").alias("holder"), F.count("*").alias("n"))
+        fresh = F.lit(True)
+        for k, run in enumerate(self.runs()):
+            counted = counted.join(run.select(*HASH, F.lit(True).alias(f"in_{k}")).hint("merge"), list(HASH), "left")
+            fresh &= F.col(f"in_{k}").isNull()
+        return counted.select(*HASH, F.when(fresh, F.col("holder")).alias("holder"), "n", fresh.alias("fresh"))
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Take a batch of (h1, h2, doc_id), a row per document and key; return the keys that no run knew."""
-        counted = batch.groupBy("h1", "h2").agg(F.max("doc_id").alias("holder"), F.count("*").alias("n"))
-        earlier = self.known()
-        if earlier is None:
-            run = self._write(counted.withColumn("fresh", F.lit(True)).sortWithinPartitions("h1", "h2"), "line-run")
-        else:
-            held = earlier.filter("holder is not null").select("h1", "h2").hint("merge")
-            counted = self._write(counted, "line-batch")
-            fresh = counted.join(held, ["h1", "h2"], "left_anti").withColumn("fresh", F.lit(True))
-            again = counted.join(held, ["h1", "h2"], "left_semi").withColumn("holder", F.lit(None).cast(counted.schema["holder"].dataType)).withColumn("fresh", F.lit(False))
-            run = self._write(fresh.unionByName(again).sortWithinPartitions("h1", "h2"), "line-run")
-        self.levels[0].append(run.drop("fresh"))
-        self.compact()
-        return run.filter("fresh").select("h1", "h2", "holder")
+        spark = batch.sparkSession
+        self.buckets = self.buckets or key_buckets(spark)
+        with by_buckets(spark):
+            run = self._write(self.met(batch))
+            self.levels[0].append(run.drop("fresh"))
+            self.compact()
+        return run.filter("fresh").select(*HASH, "holder")
 
     def compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fan_in:
-                whole = self.levels[k][0]
-                for run in self.levels[k][1:]:
-                    whole = whole.unionByName(run)
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._write(self.merged(whole).sortWithinPartitions("h1", "h2"), "line-run"))
+                self.levels[k + 1].append(self._write(self.merged(*self.levels[k])))
                 self.levels[k] = []
 
 
@@ -100,8 +110,9 @@ def repeated_lines(lines: DataFrame, min_docs: int, batches: int = BATCHES) -> D
     runs = LineRuns()
     for k in range(len(cuts) + 1):
         runs.add(once.filter(F.col("_batch") == k).drop("_batch"))
-    found = LineRuns.merged(runs.known()).filter(F.col("n") >= min_docs).select("h1", "h2", "holder")
-    found = stage(found, "lines-repeated")
+    with by_buckets(lines.sparkSession):
+        found = runs.known().filter(F.col("n") >= min_docs).select(*HASH, "holder")
+        found = stage(found, "lines-repeated")
     runs.drop()
     discard(once)
     return found
