@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns; general interfaces."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -289,6 +290,54 @@ def test_merkle_locates_edits(spark):
     assert len(r["d"]) == 1 and r["s"] == [] and 0.9 < r["l"] < 1
 
 
+def _descend(spark, a, b):
+    rows = merkle.with_fingerprint(merkle.with_fingerprint(spark.createDataFrame([(a, b)], "a string, b string"), "a", "fa"), "b", "fb")
+    return merkle.with_differing(merkle.with_differing(rows, "fa", "fb", "d"), "fb", "fa", "e").first()
+
+
+def _node(print_, path):
+    section = print_[33:].split("/")[path[0] - 1]
+    paragraph = section[9:].split("|")[path[1] - 1]
+    return paragraph[9:].split(" ")[path[2] - 1]
+
+
+def test_merkle_descends_to_the_edited_clauses_only(spark):
+    before = [f"Paragraph {k}, with some words; and then {k * k} more." for k in range(400)]
+    after = list(before)
+    after[37], after[251] = after[37].replace("some", "other"), after[251].replace("251,", "two hundred,")
+    r = _descend(spark, "\n".join(before), "\n".join(after))
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()[:8]
+    assert {_node(r["fa"], p) for p in r["d"]["leaves"]} == {digest(" with some words;"), digest("Paragraph 251,")}
+    assert {_node(r["fb"], p) for p in r["e"]["leaves"]} == {digest(" with other words;"), digest("Paragraph two hundred,")}
+    assert {tuple(p[:2]) for p in r["d"]["leaves"]} == {tuple(p) for p in r["d"]["paragraphs"]} and len(r["d"]["paragraphs"]) == 2
+    assert len(r["d"]["sections"]) in (1, 2) and r["d"]["compared"] < 1200 / 5
+    same = _descend(spark, "\n".join(before), "\n".join(before))["d"]
+    assert (same["sections"], same["leaves"], same["compared"]) == ([], [], 1)
+
+
+def test_merkle_descent_of_moved_repeated_and_empty_branches(spark):
+    a, b, c = "One line, here.", "Another; line.", "A third one!"
+    moved = _descend(spark, f"{a}\n{b}", f"{b}\n{a}")
+    assert moved["d"]["sections"] and len(moved["d"]["paragraphs"]) == 2
+    more = _descend(spark, f"{a}\n{a}\n{c}", f"{a}\n{c}")
+    assert len(more["d"]["paragraphs"]) == 1 and more["e"]["paragraphs"] == []
+    nothing = _descend(spark, "", a)
+    assert nothing["d"]["leaves"] == [] and len(nothing["e"]["leaves"]) == 2
+    null = merkle.with_differing(spark.sql("SELECT CAST(NULL AS STRING) AS a, 'x' AS b, 1 AS _mine, 2 AS _first"), "a", "b", "d").first()
+    assert null["d"] is None and (null["_mine"], null["_first"]) == (1, 2)
+
+
+def test_merkle_nodes_are_digests_of_their_children(spark):
+    text = "\n".join(f"Paragraph {k}, with some words." for k in range(100))
+    r = _descend(spark, text, text)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    paragraphs = [md5("".join(md5(x) for x in (f"Paragraph {k},", " with some words."))) for k in range(100)]
+    ends = [k + 1 for k, d in enumerate(paragraphs) if d[0] == merkle.CUT or k == 99]
+    tops = [md5("".join(paragraphs[i:j])) for i, j in zip([0, *ends], ends)]
+    assert r["fa"][:32] == md5("".join(tops)) and [s[:8] for s in r["fa"][33:].split("/")] == [d[:8] for d in tops]
+    assert [p[:8] for s in r["fa"][33:].split("/") for p in s[9:].split("|")] == [d[:8] for d in paragraphs]
+
+
 def test_language(docs, empty):
     model = langid.learn_languages(docs)
     got = langid.identify(docs, model).select("doc_id", "text", "lang_pred", "score").collect()

@@ -48,11 +48,11 @@ n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), firs
 e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
 x AS (SELECT doc_id, 1 AS kind, text FROM e UNION ALL SELECT doc_id, 2, edited FROM e UNION ALL SELECT doc_id, 3, next_text FROM e),
 t AS (SELECT doc_id, kind, list_transform(string_split(text, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{LEAF}'), lambda y: md5(y))) AS tree FROM x),
-p AS (SELECT doc_id, kind, tree, list_transform(tree, lambda p: md5(coalesce(array_to_string(p, ''), ''))) AS pars, list_transform(tree, lambda p: coalesce(array_to_string(list_transform(p, lambda y: y[1:8]), ' '), '')) AS shown FROM t),
+p AS (SELECT doc_id, kind, tree, list_transform(tree, lambda p: md5(coalesce(array_to_string(p, ''), ''))) AS pars, list_transform(tree, lambda p: md5(coalesce(array_to_string(p, ''), ''))[1:8] || '=' || coalesce(array_to_string(list_transform(p, lambda y: y[1:8]), ' '), '')) AS shown FROM t),
 z AS (SELECT *, list_concat([0], list_filter(range(1, len(pars) + 1), lambda i: pars[i][1] = '{CUT}' OR i = len(pars))) AS ends FROM p),
 f AS (SELECT doc_id, kind, list_distinct(list_transform(flatten(tree), lambda y: y[1:8])) AS leaves,
   md5(array_to_string(list_transform(range(2, len(ends) + 1), lambda i: md5(array_to_string(pars[ends[i - 1] + 1:ends[i]], ''))), '')) AS root,
-  array_to_string(list_transform(range(2, len(ends) + 1), lambda i: array_to_string(shown[ends[i - 1] + 1:ends[i]], '|')), '/') AS body FROM z),
+  array_to_string(list_transform(range(2, len(ends) + 1), lambda i: md5(array_to_string(pars[ends[i - 1] + 1:ends[i]], ''))[1:8] || ';' || array_to_string(shown[ends[i - 1] + 1:ends[i]], '|')), '/') AS body FROM z),
 g AS (SELECT a.doc_id, concat(a.root, ':', a.body) AS fingerprint, concat(b.root, ':', b.body) AS edited_fingerprint,
   CASE WHEN a.root = b.root THEN 1.0 WHEN len(a.leaves) + len(b.leaves) = 0 THEN 0.0 ELSE CAST(2 AS DOUBLE) * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END AS near_edited,
   CASE WHEN a.root = c.root THEN 1.0 WHEN len(a.leaves) + len(c.leaves) = 0 THEN 0.0 ELSE CAST(2 AS DOUBLE) * len(list_intersect(a.leaves, c.leaves)) / (len(a.leaves) + len(c.leaves)) END AS near_next
