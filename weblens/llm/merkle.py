@@ -181,21 +181,24 @@ def next_bucket(buckets: DataFrame, stride: int = STRIDE) -> DataFrame:
     return own.join(over, own["parent"] == over["p"], "left").select(*_KEY, F.coalesce("after", "top").alias("after"))
 
 
-def _bucketed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of (doc_id, _hash ...) with their bucket, part and chance, _hash only in full buckets; and the different keys."""
+def _bucketed(raw: DataFrame) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+    """Rows of (doc_id, _hash ...) with their bucket, part and chance, _hash only in full buckets; the different keys; and what to deal rows by.
+
+    Where part and chance are constants, a plan doesn't see them as keys of its windows, so that rows are dealt by bucket alone.
+    """
     bucket = F.coalesce(F.expr(f"floor(doc_id / {STRIDE})"), F.lit(NO_ID))
     sized = stage(raw.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("_n")), "merkle-sizes")
     full = sized.filter(F.col("_n") > FULL).select("bucket", F.lit(True).alias("_full"))
     none = (F.lit(0).cast("long").alias("part"), F.lit(0).alias("chance"))
     if not full.limit(1).count():
-        return raw.withColumn("_hash", F.lit(0).cast("long")).select("*", bucket.alias("bucket"), *none), sized.select("bucket", *none)
+        return raw.withColumn("_hash", F.lit(0).cast("long")).select("*", bucket.alias("bucket"), *none), sized.select("bucket", *none), ("bucket",)
     # by id, by the leading bits of the hash, and, as equal rows may come in any order, by chance
     chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(CHANCES)).cast("int")
     split = raw.withColumns({"bucket": bucket, "chance": chance}).join(full, "bucket", "left")
     down = F.coalesce(STRIDE - 1 - F.pmod("doc_id", F.lit(STRIDE)), F.lit(0))
     part = F.when(F.col("_full"), down * PARTS + _leading()).otherwise(0).cast("long")
     split = split.withColumns({"part": part, "chance": F.when(F.col("_full"), F.col("chance")).otherwise(0), "_hash": F.when(F.col("_full"), F.col("_hash")).otherwise(0)}).drop("_full")
-    return split, stage(split.select(*_KEY).distinct(), "merkle-buckets")
+    return split, stage(split.select(*_KEY).distinct(), "merkle-buckets"), _KEY
 
 
 def _leading() -> Column:
@@ -213,9 +216,9 @@ def with_next(docs: DataFrame, columns: tuple[str, ...], id_col: str = "doc_id",
     """
     derive = derive or (lambda df: df)
     given = [c for c in columns if c in docs.columns]
-    raw, keys = _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), *given).withColumn("_hash", F.xxhash64(*given)))
+    raw, keys, dealt = _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), *given).withColumn("_hash", F.xxhash64(*given)))
     order = Window.partitionBy(*_KEY).orderBy(F.col("doc_id").desc_nulls_last(), "_hash", *given)
-    rows = derive(raw.repartition(*_KEY)).withColumn("_next", F.lead(F.struct(*columns)).over(order))
+    rows = derive(raw.repartition(*dealt)).withColumn("_next", F.lead(F.struct(*columns)).over(order))
 
     heads = raw.groupBy(*_KEY).agg(F.min(F.struct(-F.col("doc_id"), F.col("_hash"))).alias("_h"))
     heads = stage(heads.select(*[F.col(k).alias(f"_{k}") for k in _KEY], (-F.col("_h.col1")).alias("_id"), F.col("_h._hash").alias("_of")), "merkle-heads")
