@@ -488,6 +488,24 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
     assert float(done.stdout) < 150
 
 
+def test_toxicity_fit_is_crossed_and_does_not_hang_on_order(spark):
+    texts = [words(k, 30) + (" zukwyvx" if k % 3 == 0 else "") for k in range(240)]
+    labels = [int(k % 3 == 0) for k in range(240)]
+    order = random.Random(4).sample(range(240), 240)
+    one, other = toxicity.fit(texts, labels), toxicity.fit([texts[i] for i in order], [labels[i] for i in order])
+    tested = texts[:40] + ["zukwyvx", "zuk wyvx", ""]
+    assert (one.scores(tested) == other.scores(tested)).all()
+    docs, marks = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    spread = toxicity.learn_toxicity(docs.repartition(7), marks)  # the same parts, each in a task
+    assert np.allclose(spread.scores(tested), one.scores(tested), atol=1e-6)
+    judged = [toxicity.part_of_fit(texts, labels, k) for k in range(toxicity.FOLDS + 1)]
+    assert [len(m) for _, m, _ in judged] == [sum(toxicity.fold_of(t) == k for t in texts) for k in range(toxicity.FOLDS)] + [0]
+    alike = toxicity.part_of_fit(texts, labels, 0)[0].margins(texts)
+    own = [i for i, t in enumerate(texts) if toxicity.fold_of(t) == 0]
+    changed = [1 - y if i in own else y for i, y in enumerate(labels)]  # labels of a fold don't reach the machine that judges it
+    assert (toxicity.part_of_fit(texts, changed, 0)[0].margins(texts) == alike).all()
+
+
 def test_toxicity_bounds_come_after_what_is_left_out(spark):
     rows = [(k, words(k, 9) if k % 2 else "x" * 20_001) for k in range(40)] + [(100, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -220,3 +220,4 @@ def test_op10(spark):
         auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
         print("toxicity", lang, len(good), len(bad), round(auc, 3), "recall", sum(b >= 0.3 for b in bad) / len(bad), "of clean", sum(g >= 0.3 for g in good) / len(good))
         assert auc > 0.9
+        assert sum(b >= 0.3 for b in bad) >= 0.6 * len(bad) and sum(g >= 0.3 for g in good) <= 0.12 * len(good)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,6 +40,8 @@ TEXTS_PER_CLASS, LONGEST, CHARS_PER_CLASS = 3000, 20_000, 12_000_000
 LANDMARKS, HARD_LANDMARKS, CLEAN_LANDMARKS = 144, 64, 32
 #: Rounds of training, strings of either side in one, and toxic strings of a text.
 ROUNDS, STRINGS, STRINGS_PER_TEXT = 4, 6000, 4
+#: Parts of the sample that are each judged by a machine fitted on the others, for the scores' scale.
+FOLDS = 3
 #: Characters encoded in one go.
 CHUNK = 1 << 16
 #: Code points of the pieces that longer texts are scored in, and that two of them share.
@@ -294,9 +297,22 @@ def _words_at(folded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(np.cumsum((rows == _SPACE) & inside, axis=1) > 0, np.uint32(_SPACE), rows)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 500, c: float = 1.0) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss by accelerated gradient steps; the last column is the bias."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * c
+#: Strings that are found n times together weigh as much as n ** EVENED: rare insults, as of a language with few toxic texts, are fitted too.
+EVENED = 0.5
+
+
+def _evened(strings: np.ndarray) -> np.ndarray:
+    """What each string weighs, by how often it occurs among ``strings``."""
+    _, which, counts = np.unique(strings, axis=0, return_inverse=True, return_counts=True)
+    return counts[which.ravel()].astype(np.float64) ** (EVENED - 1)
+
+
+def _svm(x: np.ndarray, y: np.ndarray, own: np.ndarray, rounds: int = 500, c: float = 1.0) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss by accelerated gradient steps; the last column is the bias.
+
+    Both classes weigh the same, and their rows by ``own``.
+    """
+    weight = own * np.where(y > 0, 0.5 / own[y > 0].sum(), 0.5 / own[y < 0].sum()) * len(y) * c
     lead = w = np.zeros(x.shape[1])
     scale = 2 * np.linalg.norm(x * np.sqrt(weight)[:, None].astype(x.dtype), 2) ** 2 / len(y) + 1e-3
     t = 1.0
@@ -422,33 +438,33 @@ def _plain(texts: list[str], rng: np.random.Generator, n: int) -> np.ndarray:
     return np.concatenate(out)[:n]
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 1, stands_for: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
-    """Fit on labelled texts.
-
-    The machine is trained in rounds: on the toxic sentences known so far against random and hard
-    windows of clean sentences; then each toxic text's sentences above what clean texts reach become
-    its toxic ones, and the hardest clean ones join the other side and the landmarks.  Every fourth
-    text is kept for the scores' scale; there a clean and a toxic text count for as many labelled
-    texts as ``stands_for`` says, so that a score means the same whatever share of each class was
-    sampled.  Without texts of both classes, or without a letter group that tells them apart, every
-    text gets one low score.  Besides the texts, memory holds a few tables of SLOTS entries and the
-    strings of a round, whatever the texts' number and length.
+def _flat() -> ToxicityModel:
+    """The model of too little: every text gets one low score."""
+    return ToxicityModel(Alphabet([]), np.zeros(1 << 20, np.float32), -1.0, 1.0, 0.0)
+
+
+def machine(texts: list[str], labels: list[int], seed: int = 1) -> ToxicityModel | None:
+    """The machine of labelled texts, its scores' scale not set; None without texts of both classes or a letter group that tells them apart.
+
+    It is trained in rounds: on the toxic sentences known so far against random and hard windows of
+    clean sentences; then each toxic text's sentences above what clean texts reach become its toxic
+    ones, and the hardest clean ones join the other side and the landmarks.  The order of the texts
+    doesn't matter.  Besides the texts, memory holds a few tables of SLOTS entries and the strings of
+    a round, whatever the texts' number and length.
     """
-    flat = ToxicityModel(Alphabet([]), np.zeros(1 << 20, np.float32), -1.0, 1.0, 0.0)
-    marks = [int(bool(x)) for x in labels]
-    train = [i for i in range(len(texts)) if i % 4]
-    bad = [texts[i] for i in train if marks[i]]
-    good = [texts[i] for i in train if not marks[i]]
+    pairs = sorted(((zlib.crc32(t.encode("utf-8", "replace")), t, int(bool(x))) for t, x in zip(texts, labels)))
+    bad = [t for _, t, x in pairs if x]
+    good = [t for _, t, x in pairs if not x]
     if not bad or not good:
-        return flat
+        return None
     rng = np.random.default_rng(seed)
     plain, rest = _witnesses(bad, _group_evidence(good + bad, [0] * len(good) + [1] * len(bad), PLAIN))
     other, _ = _witnesses(rest, _group_evidence(good + rest, [0] * len(good) + [1] * len(rest), TELLING))
     witnesses = toxic = np.concatenate([plain, other])
     clean = _plain(good, rng, STRINGS)
     if not len(toxic) or not len(clean):
-        return flat
-    hard, likely, model = np.zeros((0, LENGTH), np.uint32), np.zeros((0, LENGTH), np.uint32), flat
+        return None
+    hard, likely, model = np.zeros((0, LENGTH), np.uint32), np.zeros((0, LENGTH), np.uint32), None
     for k in range(ROUNDS):
         some = clean[rng.permutation(len(clean))[:CLEAN_LANDMARKS]]
         landmarks = Landmarks(np.concatenate([_distinct(toxic, LANDMARKS), _distinct(likely, HARD_LANDMARKS), some]))
@@ -456,7 +472,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, stands_for: tuple[fl
         hidden = _stretched(shown, clean[:, 1:][clean[:, 1:] != _SPACE], rng)
         x = np.concatenate([shown, hidden, clean, hard[:STRINGS]])
         y = np.where(np.arange(len(x)) < len(shown) + len(hidden), 1.0, -1.0)
-        w = _svm(landmarks.images(x), y)
+        own = np.concatenate([np.tile(_evened(shown), 2), np.ones(len(x) - 2 * len(shown))])
+        w = _svm(landmarks.images(x), y, own)
         model = landmarks.model(w)
         if k == ROUNDS - 1:
             break
@@ -469,18 +486,57 @@ def fit(texts: list[str], labels: list[int], seed: int = 1, stands_for: tuple[fl
         held = landmarks.images(witnesses) @ w
         toxic = np.concatenate([witnesses[held > 0], found])
         toxic = toxic[rng.permutation(len(toxic))] if len(toxic) else witnesses
-    rest = list(range(0, len(texts), 4))
-    margin, truth = model.margins([texts[i] for i in rest]), np.array([float(marks[i]) for i in rest])
+    return model
+
+
+def fold_of(text: str) -> int:
+    """The part of the cross-fit a text is judged in; copies share it."""
+    return zlib.crc32(text.encode("utf-8", "replace")) % FOLDS
+
+
+def part_of_fit(texts: list[str], labels: list[int], part: int, seed: int = 1) -> tuple[ToxicityModel | None, np.ndarray, np.ndarray]:
+    """Part ``part`` of a cross-fit: the machine, and margins and labels of the texts it is to judge.
+
+    Below FOLDS the machine learns from the other folds' texts and judges its own fold's; part FOLDS
+    learns from all texts and judges none.
+    """
+    own = [fold_of(t) == part for t in texts]
+    model = machine([t for t, x in zip(texts, own) if not x], [m for m, x in zip(labels, own) if not x], seed)
+    if model is None or part == FOLDS:
+        return model, np.zeros(0), np.zeros(0)
+    return model, model.margins([t for t, x in zip(texts, own) if x]), np.array([float(bool(m)) for m, x in zip(labels, own) if x])
+
+
+def calibrated(model: ToxicityModel | None, margins: np.ndarray, truth: np.ndarray, stands_for: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
+    """``model`` with the scale of scores that margins of texts unseen by their machine have.
+
+    A clean and a toxic text count for as many labelled texts as ``stands_for`` says, so that a score
+    means the same whatever share of each class was sampled.
+    """
+    if model is None:
+        return _flat()
+    order = np.lexsort((truth, margins))  # sums that don't hang on the order of tasks
+    margins, truth = margins[order], truth[order]
     share = np.where(truth > 0, stands_for[1], stands_for[0])
-    share = share / share.mean()
+    share = share / share.mean() if len(share) else share
     slope, shift = 2.0, 0.0
-    for _ in range(4000):
-        p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -40, 40)))
-        slope += 0.5 * float((share * (truth - p) * margin).mean())
+    for _ in range(4000 if len(margins) else 0):
+        p = 1 / (1 + np.exp(-np.clip(slope * margins + shift, -40, 40)))
+        slope += 0.5 * float((share * (truth - p) * margins).mean())
         shift += 0.5 * float((share * (truth - p)).mean())
     return ToxicityModel(model.alphabet, model.weights, model.bias, max(slope, 0.1), shift)
 
 
+def fit(texts: list[str], labels: list[int], seed: int = 1, stands_for: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
+    """Cross-fit on labelled texts: the machine learns from all of them, and the scores' scale from machines that each left a fold out.
+
+    Neither hangs on the order of the texts.  Without texts of both classes, or without a letter
+    group that tells them apart, every text gets one low score.
+    """
+    parts = [part_of_fit(texts, labels, k, seed) for k in range(FOLDS + 1)]
+    return calibrated(parts[-1][0], np.concatenate([m for _, m, _ in parts]), np.concatenate([t for _, _, t in parts]), stands_for)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TEXTS_PER_CLASS, most_chars: int = CHARS_PER_CLASS) -> DataFrame:
     """(_h, _id, _label, _text): at most ``most`` texts and ``most_chars`` code points of each class, the first by a hash of the id.
 
@@ -504,7 +560,7 @@ def _marked(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TEXTS_PER_CLASS, most_chars: int = CHARS_PER_CLASS) -> ToxicityModel:
-    """Fit on the ``labelled_sample``, in one task, which gives the driver no more than the model.
+    """Cross-fit on the ``labelled_sample``, each part in a task of its own; the driver gets the model and one margin a text.
 
     The labels of each class are counted over all rows given: the scores' scale follows their ratio,
     not that of the sample.  Without labels or texts all scores are one low value.
@@ -512,18 +568,22 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     counts = tuple(_marked(labels, id_col, label_col).agg(*[F.count_if(F.col("_label") == k).alias(str(k)) for k in (0, 1)]).first())
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, most, most_chars)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, texts = [], []
-        for batch in batches:
-            marks += batch.column(0).to_pylist()
-            texts += batch.column(1).to_pylist()
-        sampled = [max(1, marks.count(k)) for k in (0, 1)]
-        model = fit(texts, marks, stands_for=tuple(max(1.0, n / m) for n, m in zip(counts, sampled)))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
-
-    ordered = sample.repartition(1).sortWithinPartitions("_h", "_id", "_label").select("_label", "_text")
-    found = ordered.mapInArrow(train, "model binary").head(1)
-    return pickle.loads(found[0]["model"]) if found else fit([], [])
+    def train(table: pa.Table) -> pa.Table:
+        texts, marks = table["_text"].to_pylist(), table["_label"].to_pylist()
+        part = table["_part"][0].as_py()
+        model, margins, truth = part_of_fit(texts, marks, part)
+        last = part == FOLDS
+        sampled = [marks.count(k) for k in (0, 1)] if last else None
+        return pa.table({"model": pa.array([pickle.dumps(model) if last else None], pa.binary()), "margins": pa.array([margins.tolist()], pa.list_(pa.float64())), "truth": pa.array([truth.tolist()], pa.list_(pa.float64())), "sampled": pa.array([sampled], pa.list_(pa.int64()))})
+
+    dealt = sample.select("_label", "_text", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("_part"))
+    parts = dealt.repartition(64, "_part").groupBy("_part").applyInArrow(train, "model binary, margins array<double>, truth array<double>, sampled array<long>").collect()
+    whole = next((r for r in parts if r["sampled"]), None)
+    if whole is None:
+        return _flat()
+    stands_for = tuple(max(1.0, n / max(1, m)) for n, m in zip(counts, whole["sampled"]))
+    margins, truth = (np.array([x for r in parts for x in r[k]]) for k in ("margins", "truth"))
+    return calibrated(pickle.loads(whole["model"]), margins, truth, stands_for)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
