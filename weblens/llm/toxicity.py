@@ -568,16 +568,20 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     counts = tuple(_marked(labels, id_col, label_col).agg(*[F.count_if(F.col("_label") == k).alias(str(k)) for k in (0, 1)]).first())
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, most, most_chars)
 
-    def train(table: pa.Table) -> pa.Table:
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
         texts, marks = table["_text"].to_pylist(), table["_label"].to_pylist()
         part = table["_part"][0].as_py()
         model, margins, truth = part_of_fit(texts, marks, part)
         last = part == FOLDS
         sampled = [marks.count(k) for k in (0, 1)] if last else None
-        return pa.table({"model": pa.array([pickle.dumps(model) if last else None], pa.binary()), "margins": pa.array([margins.tolist()], pa.list_(pa.float64())), "truth": pa.array([truth.tolist()], pa.list_(pa.float64())), "sampled": pa.array([sampled], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model) if last else None], pa.binary()), "margins": pa.array([margins.tolist()], pa.list_(pa.float64())), "truth": pa.array([truth.tolist()], pa.list_(pa.float64())), "sampled": pa.array([sampled], pa.list_(pa.int64()))})
 
     dealt = sample.select("_label", "_text", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("_part"))
-    parts = dealt.repartition(64, "_part").groupBy("_part").applyInArrow(train, "model binary, margins array<double>, truth array<double>, sampled array<long>").collect()
+    parts = dealt.repartitionById(FOLDS + 1, F.col("_part")).mapInArrow(train, "model binary, margins array<double>, truth array<double>, sampled array<long>").collect()
     whole = next((r for r in parts if r["sampled"]), None)
     if whole is None:
         return _flat()
