@@ -179,6 +179,19 @@ def test_op11_base(spark, sf_dir):
         assert set(shown) <= set(got[i]["spans"].split(",")) and got[i]["n_base"] == len(shown)
 
 
+def test_op11_counts_the_fixed_forms(spark, tmp_path):
+    """Spans that the method adds are in ``spans`` alone; the counts are those of ``base_sha256``."""
+    rows = [(k, f"Please write to my mailbox: user{k}@host{k}.example.org today, thanks.") for k in range(30)]
+    rows += [(100, "Please write to my mailbox: jane.roe [at] web [dot] example today, thanks."), (101, None), (102, "10.0.0.1 and a@b.cd")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in Q.op11_pii(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        base = [k for _, k, _ in plain_base(text or "")]
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [base.count(n) for n in range(4)], i
+    assert (got[100]["n_email"], got[100]["n_spans"], got[100]["n_base"]) == (0, 1, 0) and got[100]["spans"].startswith("email:28:")
+
+
 def test_language_does_not_hang_on_the_batch(spark):
     train = spark.createDataFrame([("en", "the quick brown fox and the dog " * 5 + "a"), ("de", "der schnelle braune fuchs und der hund " * 5)] * 3, "lang string, text string")
     train = train.withColumn("text", train["text"]).union(spark.createDataFrame([(f"l{k}", f"word{k} " * 9) for k in range(300)], "lang string, text string"))

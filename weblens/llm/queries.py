@@ -98,16 +98,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n_email`` and so on count all spans, ``n_base`` those of the fixed forms."""
+    """``n_email`` and so on and ``n_base`` count the spans of the fixed forms, ``n_spans`` all."""
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     kind = F.array(*[F.lit(k) for k in pii.KINDS])
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["kind"]), s["start"], s["end"])), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)],
+        *[count(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)],
         F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"),
         shown("spans").alias("spans"),
         F.size("base").cast("long").alias("n_base"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
