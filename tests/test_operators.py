@@ -339,3 +339,14 @@ def test_no_query_joins_everything_with_everything(spark, sf_dir):
     for name, query in catalog.queries().items():
         plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_trailing_counts_cost_the_same_whatever_the_window(spark):
+    """One running sum: no frame that starts at a row's own window is worked out for each row."""
+    rows = [("a", 1704067200 + k, k % 7) for k in range(0, 3 * 86400, 977)] + [("a", 1704067200 + 86400 + k, 1) for k in range(40)] + [("b", 1704067200 + 5, 3)]
+    seconds = spark.createDataFrame(rows, "vhost string, sec long, n long")
+    for window in (1, 60, 3600, 100_000):
+        df = traffic.trailing_counts(seconds, ["n"], window)
+        want = sorted((v, s, sum(m for w, t, m in rows if w == v and s - window < t <= s)) for v, s, _ in rows)
+        assert sorted(map(tuple, df.select("vhost", "sec", "n").collect())) == want
+        assert "unboundedpreceding" in df._jdf.queryExecution().executedPlan().toString()

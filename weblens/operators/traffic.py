@@ -224,10 +224,18 @@ def trailing_rates(seconds: DataFrame, seen: DataFrame, window: int = 5) -> Data
 
 
 def trailing_counts(seconds: DataFrame, columns: list[str], window: int) -> DataFrame:
-    """For every second given, sums of the columns over the ``window`` seconds that end with it."""
-    frame = Window.partitionBy("vhost", "_day").orderBy("sec").rangeBetween(-(window - 1), 0)
+    """For every second given, sums of the columns (whole numbers) over the ``window`` seconds that end with it.
+
+    A second's counts come in at its time and go out ``window`` seconds later, so that one running sum over a day
+    has them all and a row costs the same however long the window is.
+    """
     rows = in_days(seconds.select("vhost", "sec", *columns), window - 1)
-    return rows.select("vhost", "sec", "_own", *[F.sum(c).over(frame).alias(c) for c in columns]).filter("_own").drop("_own")
+    comes = F.struct(F.col("sec").alias("at"), F.lit(1).alias("sign"))
+    goes = F.struct((F.col("sec") + window).alias("at"), F.lit(-1).alias("sign"))
+    edges = rows.withColumn("_e", F.explode(F.array(comes, goes))).filter(F.floor(F.col("_e.at") / DAY) <= F.col("_day"))
+    edges = edges.select("vhost", "_day", F.col("_e.at").alias("sec"), (F.col("_own") & (F.col("_e.sign") > 0)).alias("_own"), *[(F.col(c) * F.col("_e.sign")).alias(c) for c in columns])
+    frame = Window.partitionBy("vhost", "_day").orderBy("sec").rangeBetween(Window.unboundedPreceding, 0)
+    return edges.select("vhost", "sec", "_own", *[F.sum(c).over(frame).alias(c) for c in columns]).filter("_own").drop("_own")
 
 
 def latest_points(series: DataFrame, n: int = 60, key: str = "vhost", ts: str = "ts") -> DataFrame:
