@@ -350,3 +350,10 @@ def test_trailing_counts_cost_the_same_whatever_the_window(spark):
         want = sorted((v, s, sum(m for w, t, m in rows if w == v and s - window < t <= s)) for v, s, _ in rows)
         assert sorted(map(tuple, df.select("vhost", "sec", "n").collect())) == want
         assert "unboundedpreceding" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_line_is_made_and_parsed_once(spark, sf_dir):
+    """Neither a filter nor a column of the result parses a line, or makes it, again."""
+    plan = parsers.parse_access_log(adapters.log_lines(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("StructsToJsonEvaluator") == 1
+    assert parsers.parse_access_log(spark.createDataFrame([(None,), ("",), ("no {",)], "value string")).count() == 0

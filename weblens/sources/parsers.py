@@ -31,11 +31,13 @@ def parse_access_log(lines: DataFrame, value: str = "value") -> DataFrame:
     text = F.trim(value)
     body = F.substr(text, F.instr(text, "{"))
     schema = T.StructType([*LOG_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = lines.filter(F.instr(text, "{") > 0).withColumn("_p", F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    others = [c for c in lines.columns if c not in (value, *LOG_SCHEMA.fieldNames())]
+    # exploded, so that no filter on what is found is worked out by parsing a line once more
+    found = F.explode(F.array(F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})))
+    parsed = lines.filter(F.instr(value, "{") > 0).select(*others, found.alias("_p"))
     parsed = parsed.filter(F.col(f"_p.{_CORRUPT}").isNull() & F.col("_p.ts").isNotNull())
     zero = {T.StringType(): "", T.IntegerType(): 0, T.LongType(): 0, T.DoubleType(): 0.0}
     fields = [F.coalesce(F.col(f"_p.{f.name}"), F.lit(zero[f.dataType]).cast(f.dataType)).alias(f.name) if f.dataType in zero else F.col(f"_p.{f.name}") for f in LOG_SCHEMA.fields]
-    others = [c for c in lines.columns if c not in (value, *LOG_SCHEMA.fieldNames())]
     return parsed.select(*others, *fields, F.unix_seconds("_p.ts").alias("sec"))
 
 
