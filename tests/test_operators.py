@@ -397,3 +397,20 @@ def test_queries_with_many_addresses_match_their_sql(spark, tmp_path, name):
     columns = [c for c in got.columns if c != "latency_avg"]  # a sum of doubles hangs on their order
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
+
+
+def test_kept_countries_need_no_shuffle_of_requests(spark, sf_dir, tmp_path):
+    """What was found for the addresses is stored before the join, whose plan then knows that it is small."""
+    kept = []
+
+    def keep(found):
+        kept.append(f"{tmp_path}/found{len(kept)}")
+        found.write.parquet(kept[-1])
+        return spark.read.parquet(kept[-1])
+
+    rows, ranges = adapters.access_log(spark, sf_dir).withColumn("raw_addr", F.col("addr")), (adapters.ip_ranges(spark, sf_dir), "raw_addr", adapters.ip6_ranges(spark, sf_dir))
+    got, want = (geo.locate(rows, *ranges, *more) for more in ((keep,), ()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 1 and "hashpartitioning" not in plan
+    shown = lambda df: sorted(map(tuple, df.select("event_id", "code", "name").collect()))
+    assert shown(got) == shown(want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +50,14 @@ def _listed6(ranges: DataFrame) -> DataFrame:
     return listed.withColumn("_rank", F.concat(F.translate("start_hex", "0123456789abcdef", "fedcba9876543210"), "end_hex"))
 
 
-def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr", ranges6: DataFrame | None = None) -> DataFrame:
+def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr", ranges6: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``requests`` with code and name: empty where no range holds the address.
 
     Distinct addresses are looked up by the prefixes of the networks that ranges are listed by; then
     they are joined back.  Of several ranges the narrowest counts, then the lower code.  ``ranges``
     has start_ip and end_ip as numbers, ``ranges6`` start_hex and end_hex as 32 lower-case
-    hexadecimal digits.
+    hexadecimal digits.  ``keep`` stores what was found before it is joined: then its size is known when
+    the join is planned, and few addresses need no shuffle of the requests.
     """
     addresses = requests.groupBy(F.col(addr).alias("_addr")).agg(F.count("*").alias("_n"))
     # as a matter of the count, so that addresses are read once each and not once a request
@@ -70,6 +73,7 @@ def locate(requests: DataFrame, ranges: DataFrame, addr: str = "addr", ranges6:
     probed = probed.select(*addresses.columns, "_p._kind", "_p._b")
     hits = probed.join(listed, ["_kind", "_b"]).filter(inside)
     found = hits.groupBy("_addr").agg(F.min(F.struct("_rank", "code", "name")).alias("_m")).select("_addr", "_m.code", "_m.name")
+    found = keep(found) if keep else found
     joined = requests.join(found, requests[addr] == found["_addr"], "left").drop("_addr")
     return joined.withColumn("code", F.coalesce("code", F.lit(""))).withColumn("name", F.coalesce("name", F.lit("")))
 
